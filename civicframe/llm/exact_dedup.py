@@ -1,9 +1,10 @@
 """Exact dedup by content sort, in DataFrame operations only.
 
-Rows are range-partitioned by (normalised text, identifier) with splitters that Spark samples, each
-partition is sorted externally, and each row is compared in full with its neighbour. As the
-identifier is part of the range key, splitters may fall inside a group of copies, so no group has
-to fit into one task. A run of equals that a partition boundary cuts is joined again from the
+Rows are range-partitioned by the normalised bytes with splitters that Spark samples, each partition
+is sorted externally, and each row is compared in full with its neighbour. The splitters' key is
+(first KEY characters, SHA-256, identifier), so that a sampled splitter stays small however long the
+texts are. As the identifier is part of the key, splitters may fall inside a group of copies, so no
+group has to fit into one task. A run of equals that a partition boundary cuts is joined again from the
 first and last run of each partition: two small rows for each partition, however large the group.
 
 Nulls count as empty text. Rows with the same identifier and text are copies of each other; one of
@@ -18,6 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from civicframe.llm.common import BROADCAST_ROWS, WS, free_name, shuffle_partitions, table, written
 
 
+#: Characters of the text in a splitter.
+KEY = 24
+
+
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WS, " ")
 
@@ -28,17 +33,17 @@ def content_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Adds run (struct): part, head (first of its run), keep (smallest id), rows, edge (first or last
     run of its partition), sha (of the normalised text). With carry the other columns stay.
     """
-    run, norm, part, prev, head, keep, n, first, last = free_name(df, "run", "norm", "part", "prev", "head", "keep", "n", "first", "last")
+    run, norm, start, sha, part, prev, head, keep, n, first, last = free_name(df, "run", "norm", "start", "sha", "part", "prev", "head", "keep", "n", "first", "last")
     own = [F.col(f"`{c}`") for c in df.columns] if carry else [F.col(id_col)]
     rows = df.select(*own, normalised(F.col(text_col)).alias(norm))
-    spread = rows.repartitionByRange(F.col(norm), F.col(id_col)).withColumn(part, F.spark_partition_id())
-    order = W.partitionBy(part).orderBy(norm, id_col)
+    keyed = rows.withColumn(start, F.substring(norm, 1, KEY)).withColumn(sha, F.sha2(norm, 256))
+    spread = keyed.repartitionByRange(F.col(start), F.col(sha), F.col(id_col)).withColumn(part, F.spark_partition_id())
+    order = W.partitionBy(part).orderBy(start, sha, id_col)
     runs = (
         spread.withColumn(prev, F.lag(norm).over(order))
         .withColumn(head, F.col(prev).isNull() | (F.col(prev) != F.col(norm)))
         .withColumn(n, F.sum(F.col(head).cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn(norm, F.sha2(F.col(norm), 256))
-        .drop(prev)
+        .drop(prev, norm, start)
     )
     whole = W.partitionBy(part)
     one = W.partitionBy(part, n)
@@ -50,10 +55,10 @@ def content_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             run,
             F.struct(
                 F.col(part).alias("part"), F.col(head).alias("head"), F.col(keep).alias("keep"), F.col(first).alias("rows"),
-                ((F.col(n) == 1) | (F.col(n) == F.col(last))).alias("edge"), F.col(norm).alias("sha"),
+                ((F.col(n) == 1) | (F.col(n) == F.col(last))).alias("edge"), F.col(sha).alias("sha"),
             ),
         )
-        .drop(norm, part, head, keep, n, first, last)
+        .drop(sha, part, head, keep, n, first, last)
     )
 
 
