@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from civicframe.llm.common import fold_of, table
+from civicframe.llm.common import bounded_sample, fold_of, table
 
 BUCKETS, DIM, SEED = 1 << 15, 16, 7
 #: Bound on the labelled rows that are fetched for training.
@@ -144,11 +144,13 @@ def blocks(index: list[int], texts: list, chars: int = 1_000_000):
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict | None:
     """Trains on the labelled rows outside fold 0."""
+    known = docs.filter((fold_of(id_col) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    chosen = F.broadcast(bounded_sample(known.select(F.col(id_col).alias("sample_id")), "sample_id", sample))
     rows = (
-        docs.filter((fold_of(id_col) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-        .select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("order"), F.col(id_col).alias("id"))
-        .orderBy("order", "id").limit(sample)
+        known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+        .join(chosen, F.col("id") == F.col("sample_id"), "left_semi").limit(2 * sample)
     ).collect()
+    rows.sort(key=lambda r: (r.id, r.lang, r.text))
     return train([r.text for r in rows], [r.lang for r in rows])
 
 
