@@ -8,8 +8,14 @@ MODULES = (exact_dedup, html_extract, language_id, media, mixing, ngram_join, su
 
 
 def queries() -> dict:
-    return {name: getattr(m, name) for m in MODULES for name in dir(m) if name.startswith("op") and name[2].isdigit()}
+    import corpus_pipeline
+
+    own = {name: getattr(m, name) for m in MODULES for name in dir(m) if name.startswith("op") and name[2].isdigit()}
+    return own | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
+    import corpus_pipeline
+
+    own = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
+    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
