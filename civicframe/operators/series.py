@@ -80,5 +80,5 @@ def share_intervals(df: DataFrame, order: str, value: str) -> DataFrame:
     """Slices of the whole as intervals [from_share, to_share); one aggregate row joins the ordered few."""
     total = df.agg(F.sum(value).alias("total__"))
     up_to = F.sum(value).over(W.partitionBy(F.lit(0)).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    share = lambda x: F.round(F.try_divide(x.cast("decimal(30,0)"), F.col("total__").cast("decimal(30,0)")).cast("decimal(30,10)"), 8)
+    share = lambda x: F.round(F.try_divide(x.cast("decimal(30,0)"), F.col("total__").cast("decimal(30,0)")).cast("decimal(30,10)"), 8).cast("decimal(30,8)")
     return df.crossJoin(total).withColumn("up__", up_to).withColumn("from_share", share(F.col("up__") - F.col(value))).withColumn("to_share", share(F.col("up__"))).drop("up__", "total__")

@@ -1,2 +1,223 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Builders of the nineteen datasets over the roles of the driver's tables, and one registered query for each."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from civicframe.functions import scalars as X
+from civicframe.operators import aggregates as A, series as S
+from civicframe.plans import queries as Q
+from civicframe.plans.catalog import DatasetQuery, QueryError, level_of, validated
+from civicframe.plans.roles import SQL, entities, entity_totals, movements, read, regions
+
+BUILDERS: dict[str, Callable[[SparkSession, str, DatasetQuery], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def run(spark: SparkSession, sf_dir: str, q: DatasetQuery) -> DataFrame:
+    """A validated dataset query as an unexecuted DataFrame."""
+    return BUILDERS[validated(q).dataset](spark, sf_dir, q)
+
+
+def dataset(name: str, sql: str, **example):
+    """Registers a builder, and its example as a query with SQL."""
+
+    def register(build):
+        BUILDERS[name] = build
+        key = f"q{len(BUILDERS):02d}_{name}"
+        QUERIES[key] = lambda spark, sf_dir: run(spark, sf_dir, DatasetQuery(name, **example))
+        ORACLES[key] = f"WITH {SQL}{',' if sql.startswith('+') else ''} {sql.removeprefix('+')}"
+        return build
+
+    return register
+
+
+def matches(totals: DataFrame, page: DataFrame, columns: dict) -> DataFrame:
+    """A page with totals over all matches, not over the page."""
+    return page.crossJoin(F.broadcast(totals.agg(*[c.alias(n) for n, c in columns.items()])))
+
+
+def _region(rows: DataFrame, region: str | None) -> DataFrame:
+    return rows if region is None else rows.filter(X.same_name(F.col("region_name"), F.lit(region)))
+
+
+@dataset(
+    "siope_comuni",
+    "SELECT region_name, CAST(sum(cents) AS BIGINT) AS cents, count(DISTINCT entity) AS entities FROM mov JOIN ent USING (entity) JOIN reg USING (region) WHERE year = 2000 AND lower(region_name) = 'nation_3' GROUP BY region_name",
+    year=2000, region="Nation_3",
+)
+def municipal_payments(spark, sf_dir, q):
+    rows = movements(spark, sf_dir)
+    rows = rows.filter(F.col("year") == q.year) if q.year else rows
+    rows = rows.join(entities(spark, sf_dir).select("entity", "region"), "entity").join(regions(spark, sf_dir), "region")
+    return _region(rows, q.region).groupBy("region_name").agg(F.sum("cents").alias("cents"), F.count_distinct("entity").alias("entities"))
+
+
+_STATE = "+ c AS (SELECT flag AS mission, CAST(sum(cents) AS BIGINT) AS cents FROM mov WHERE year = 1999 AND month = 6 GROUP BY flag), p AS (SELECT flag AS mission, CAST(sum(cents) AS BIGINT) AS before FROM mov WHERE year = 1998 AND month = 6 GROUP BY flag) SELECT mission, cents, before, CAST(round(CAST(cents - before AS DOUBLE) * 100 / before, 6) AS DECIMAL(20,6)) AS difference_pct FROM c LEFT JOIN p USING (mission)"
+
+
+@dataset("openbdap_spesa_stato", _STATE, year=1999, month=6)
+def state_spending(spark, sf_dir, q):
+    """Groups of a period and the difference from the period a year before; a missing companion leaves nulls."""
+    rows = movements(spark, sf_dir)
+    year = q.year if q.year is not None else F.lit(None)
+    month = F.col("month") == q.month if q.month else F.lit(True)
+    now = rows.filter((F.col("year") == year) & month).groupBy(F.col("flag").alias("mission")).agg(F.sum("cents").alias("cents"))
+    before = rows.filter((F.col("year") == year - 1) & month).groupBy(F.col("flag").alias("mission")).agg(F.sum("cents").alias("before"))
+    return now.join(before, "mission", "left").withColumn("difference_pct", X.percentage(F.col("cents") - F.col("before"), F.col("before")))
+
+
+@dataset("openbdap_amministrazione", "SELECT flag, status, CAST(sum(cents) AS BIGINT) AS cents FROM mov WHERE supplier = 7 AND year = 2000 GROUP BY flag, status", code="7", year=2000)
+def administration(spark, sf_dir, q):
+    rows = movements(spark, sf_dir).filter(F.col("supplier") == int(q.code))
+    rows = rows.filter(F.col("year") == q.year) if q.year else rows
+    rows = rows.filter(F.col("month") == q.month) if q.month else rows
+    return rows.groupBy("flag", "status").agg(F.sum("cents").alias("cents"))
+
+
+@dataset(
+    "openbdap_opere_pubbliche",
+    "+ w AS (SELECT number, CAST(sum(cents) AS BIGINT) AS actual, CAST(sum(cents) FILTER (flag <> 'R') AS BIGINT) AS planned, max(day) AS planned_end, count(*) FILTER (flag = 'N') AS open FROM mov WHERE number = 77 GROUP BY number) SELECT number, actual, planned, CASE WHEN planned > 0 AND actual > 0 THEN CAST(round(CAST(actual - planned AS DOUBLE) * 10000 / planned, 0) AS BIGINT) END AS change_bp, open FROM w",
+    cup="77",
+)
+def public_work(spark, sf_dir, q):
+    """One work by its code, with its change of cost where both costs are positive."""
+    rows = movements(spark, sf_dir).filter(F.col("number") == int(q.cup))
+    work = rows.groupBy("number").agg(F.sum("cents").alias("actual"), F.sum(F.when(F.col("flag") != "R", F.col("cents"))).alias("planned"), F.count_if(F.col("flag") == "N").alias("open"))
+    both = (F.col("planned") > 0) & (F.col("actual") > 0)
+    return work.select("number", "actual", "planned", F.when(both, X.basis_points(F.col("actual") - F.col("planned"), F.col("planned"))).alias("change_bp"), "open")
+
+
+@dataset("openbdap_ssn_conto_economico", "SELECT entity, title_cents, total_cents FROM et JOIN reg USING (region) WHERE lower(region_name) = 'nation_7' ORDER BY entity LIMIT 20", region="Nation_7", limit=20)
+def health_accounts(spark, sf_dir, q):
+    rows = _region(entity_totals(spark, sf_dir).join(regions(spark, sf_dir), "region"), q.region)
+    if q.code:
+        rows = rows.filter((F.col("entity").cast("string") == q.code) | (F.col("name") == q.code))
+    return S.page(rows.select("entity", "title_cents", "total_cents"), [F.asc("entity")], *q.page)
+
+
+@dataset("opencivitas_fabbisogni", "SELECT entity, total_cents - title_cents AS difference, CAST(round(CAST(total_cents AS DOUBLE) / (people * 100), 2) AS DECIMAL(20,2)) AS per_capita FROM et JOIN reg USING (region) WHERE lower(region_name) = 'nation_11' ORDER BY difference DESC NULLS LAST, entity LIMIT 30 OFFSET 5", region="Nation_11", limit=30, offset=5)
+def needs(spark, sf_dir, q):
+    rows = _region(entity_totals(spark, sf_dir).join(regions(spark, sf_dir), "region"), q.region)
+    rows = rows.filter(F.col("entity").cast("string") == q.code) if q.code else rows
+    rows = rows.select("entity", (F.col("total_cents") - F.col("title_cents")).alias("difference"), X.per_capita(F.col("total_cents"), F.col("people")).alias("per_capita"))
+    return S.page(rows, S.ordered_by("difference", True, "entity"), *q.page)
+
+
+@dataset("opencoesione_progetti", "SELECT region, CAST(sum(total_cents) AS BIGINT) AS cost, CAST(sum(title_cents) AS BIGINT) AS paid, CAST(sum(total_cents) - sum(title_cents) AS BIGINT) AS difference FROM et GROUP BY region")
+def cohesion(spark, sf_dir, q):
+    return entity_totals(spark, sf_dir).groupBy("region").agg(F.sum("total_cents").alias("cost"), F.sum("title_cents").alias("paid")).withColumn("difference", F.col("cost") - F.col("paid"))
+
+
+@dataset(
+    "pnrr_asili",
+    "+ p AS (SELECT number, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM mov JOIN ent USING (entity) JOIN reg USING (region) WHERE year = 2001 AND lower(region_name) = 'nation_2' GROUP BY number) SELECT *, (SELECT count(*) FROM p) AS total FROM p ORDER BY number LIMIT 20",
+    region="Nation_2", limit=20,
+)
+def projects(spark, sf_dir, q):
+    rows = movements(spark, sf_dir).filter("year = 2001").join(entities(spark, sf_dir).select("entity", "region", "segment"), "entity").join(regions(spark, sf_dir), "region")
+    rows = _region(rows, q.region)
+    rows = rows.filter(F.col("number").cast("string") == q.cup) if q.cup else rows
+    rows = rows.filter(X.contains_folded([F.col("segment")], q.query)) if q.query else rows
+    rows = rows.filter(X.same_name(F.col("area"), F.lit(q.province))) if q.province else rows
+    found = rows.groupBy("number").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
+    return matches(found, S.page(found, [F.asc("number")], *q.page), {"total": F.count(F.lit(1))})
+
+
+@dataset("anac_cig_snapshot", "SELECT flag AS choice, count(*) AS n, CAST(round(CAST(count(*) AS DOUBLE) * 100 / (SELECT count(*) FROM mov WHERE year = 2000), 6) AS DECIMAL(20,6)) AS pct FROM mov WHERE year = 2000 GROUP BY flag", year=2000)
+def contracts(spark, sf_dir, q):
+    rows = movements(spark, sf_dir).filter(F.col("year") == q.year)
+    whole = rows.agg(F.count(F.lit(1)).alias("whole"))
+    return rows.groupBy(F.col("flag").alias("choice")).agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(whole)).select("choice", "n", X.percentage(F.col("n"), F.col("whole")).alias("pct"))
+
+
+@dataset("inps_invalidita_civile", "+ y AS (SELECT region_name, year, CAST(sum(cents) AS BIGINT) AS cents FROM mov JOIN ent USING (entity) JOIN reg USING (region) GROUP BY region_name, year), c AS (SELECT *, cents - lag(cents) OVER (PARTITION BY region_name ORDER BY year) AS change FROM y) SELECT * FROM c WHERE year = 1998 AND lower(region_name) = 'nation_5'", year=1998, region="Nation_5")
+def invalidity(spark, sf_dir, q):
+    rows = movements(spark, sf_dir).join(entities(spark, sf_dir).select("entity", "region"), "entity").join(regions(spark, sf_dir), "region")
+    years = _region(rows, q.region).groupBy("region_name", "year").agg(F.sum("cents").alias("cents"))
+    found = S.changes(years, ["region_name"], "year", "cents").drop("change_pct")
+    return found.filter(F.col("year") == q.year) if q.year else found
+
+
+@dataset("cpt_finanza_regionale", "SELECT region_name, year, CAST(coalesce(sum(cents) FILTER (flag = 'N'), 0) AS BIGINT) AS revenue, CAST(coalesce(sum(cents) FILTER (flag <> 'N'), 0) AS BIGINT) AS expenditure, CAST(coalesce(sum(cents) FILTER (flag = 'N'), 0) - coalesce(sum(cents) FILTER (flag <> 'N'), 0) AS BIGINT) AS balance FROM mov JOIN ent USING (entity) JOIN reg USING (region) WHERE year = 1997 GROUP BY region_name, year", year=1997)
+def regional_finance(spark, sf_dir, q):
+    rows = movements(spark, sf_dir).join(entities(spark, sf_dir).select("entity", "region"), "entity").join(regions(spark, sf_dir), "region")
+    rows = _region(rows.filter(F.col("year") == (q.year or 2000)), q.region)
+    part = lambda c: F.coalesce(F.sum(F.when(c, F.col("cents"))), F.lit(0))
+    return rows.groupBy("region_name", "year").agg(part(F.col("flag") == "N").alias("revenue"), part(F.col("flag") != "N").alias("expenditure")).withColumn("balance", F.col("revenue") - F.col("expenditure"))
+
+
+_TAX = "+ s AS (SELECT region_name, entity, name, CASE WHEN balance_cents >= 0 THEN people END AS f, CASE WHEN balance_cents >= 0 AND people IS NOT NULL THEN balance_cents END AS a FROM ent JOIN reg USING (region) WHERE contains(lower(name), '11')) SELECT entity, name, f AS frequency, a AS amount_cents, (SELECT count(*) FROM s) AS matched, (SELECT CAST(coalesce(sum(a) FILTER (f IS NOT NULL), 0) AS BIGINT) FROM s) AS matched_cents, (SELECT count(*) FILTER (f IS NULL OR a IS NULL) FROM s) AS suppressed FROM s ORDER BY lower(name), entity LIMIT 20"
+
+
+@dataset("mef_irpef_comunale", _TAX, level="municipality", query="11", limit=20)
+def income_tax(spark, sf_dir, q):
+    """Totals are over all matches; withheld pairs stay null."""
+    shown = F.col("balance_cents") >= 0
+    rows = _region(entities(spark, sf_dir).join(regions(spark, sf_dir), "region"), q.region)
+    rows = rows.filter(X.contains_folded([F.col("name")], q.query)) if q.query else rows
+    rows = rows.filter(F.col("entity").cast("string") == q.code) if q.code else rows
+    rows = rows.select("region_name", "area", "entity", "name", F.when(shown, F.col("people")).alias("frequency"), F.when(shown & F.col("people").isNotNull(), F.col("balance_cents")).alias("amount_cents"))
+    if (level := level_of(q)) != "municipality":
+        return rows.groupBy("area" if level == "province" else "region_name").agg(*A.suppressed(F.col("frequency"), F.col("amount_cents")))
+    known = F.col("frequency").isNotNull() & F.col("amount_cents").isNotNull()
+    page = S.page(rows.select("entity", "name", "frequency", "amount_cents"), [F.collate("name", "UNICODE_CI_AI").asc(), F.asc("entity")], *q.page)
+    return matches(rows, page, {"matched": F.count(F.lit(1)), "matched_cents": F.coalesce(F.sum(F.when(known, F.col("amount_cents"))), F.lit(0)), "suppressed": F.count_if(~known)})
+
+
+@dataset("ipa_enti", "SELECT entity, name FROM ent WHERE contains(lower(name), '#00000014') ORDER BY entity LIMIT 10", query="#00000014", limit=10)
+def bodies(spark, sf_dir, q):
+    rows = entities(spark, sf_dir).select("entity", "name")
+    if q.code:
+        return rows.filter(F.col("entity").cast("string") == q.code.strip()).limit(1)
+    return S.page(rows.filter(F.lower("name").contains(q.query.lower())) if q.query else rows, [F.asc("entity")], *q.page)
+
+
+@dataset("ipa_struttura", "+ u AS (SELECT DISTINCT supplier, part % 10 AS unit FROM mov WHERE supplier = 3) SELECT unit, CAST(supplier AS BIGINT) AS parent, (SELECT count(*) FROM u) > 4 AS truncated FROM u ORDER BY unit LIMIT 4", code="3", limit=4)
+def structure(spark, sf_dir, q):
+    """Units of a body with their parent, and whether the page is not all."""
+    units = movements(spark, sf_dir).filter(F.col("supplier") == int(q.code)).select((F.col("part") % 10).alias("unit"), F.col("supplier").alias("parent")).distinct()
+    offset, limit = q.page
+    return matches(units, S.page(units, [F.asc("unit")], offset, limit), {"truncated": F.count(F.lit(1)) > offset + limit})
+
+
+@dataset("mef_partecipazioni", "SELECT count(*) AS records, count(DISTINCT supplier) AS companies, count(DISTINCT entity) AS administrations, count(*) FILTER (flag = 'A' OR status = 'F') AS any_flag FROM mov")
+def participations(spark, sf_dir, q):
+    anyone = F.exists(F.array(F.col("flag") == "A", F.col("status") == "F"), lambda x: x)
+    return movements(spark, sf_dir).agg(F.count(F.lit(1)).alias("records"), F.count_distinct("supplier").alias("companies"), F.count_distinct("entity").alias("administrations"), F.count_if(anyone).alias("any_flag"))
+
+
+@dataset("consulenti_incarichi", "SELECT 'external' AS series, year, count(*) AS n FROM mov WHERE flag = 'A' AND year = 1999 GROUP BY year UNION ALL SELECT 'employee', year, count(*) FROM mov WHERE flag = 'R' AND year = 1999 GROUP BY year", year=1999)
+def appointments(spark, sf_dir, q):
+    rows = movements(spark, sf_dir).filter("flag IN ('A', 'R')").select(F.when(F.col("flag") == "A", "external").otherwise("employee").alias("series"), "year")
+    return (rows.filter(F.col("year") == q.year) if q.year else rows).groupBy("series", "year").agg(F.count(F.lit(1)).alias("n"))
+
+
+@dataset("parlamento_bilanci", "SELECT status AS chamber, count(*) AS statements FROM (SELECT DISTINCT status, year, month FROM mov WHERE status = 'F' AND year = 2000) GROUP BY status", chamber="F", year=2000)
+def chambers(spark, sf_dir, q):
+    """Statements are filtered within their chamber; chambers left without any go."""
+    nested = movements(spark, sf_dir).select("status", "year", "month").distinct().groupBy(F.col("status").alias("chamber")).agg(F.collect_list(F.struct("year", "month")).alias("s"))
+    nested = nested.filter(F.col("chamber") == q.chamber) if q.chamber else nested
+    kept = nested.withColumn("s", F.filter("s", lambda x: x["year"] == q.year)) if q.year else nested
+    return kept.filter(F.size("s") > 0).select("chamber", F.size("s").cast("bigint").alias("statements"))
+
+
+_OUT = Q.ORACLES["a26_f15_o05_outliers"][len("WITH ") + len(SQL) :]
+
+
+@dataset("controlli_segnali", f"+ x AS (WITH {SQL}{_OUT}) SELECT entity, region, total_cents, direction FROM x ORDER BY multiple DESC NULLS LAST, distance DESC, entity LIMIT 20", area="spesa-comuni", limit=20)
+def signals(spark, sf_dir, q):
+    if q.area and q.area.lower() != "spesa-comuni":
+        raise QueryError(f"no screening for {q.area}")
+    rows = A.outliers(_region(entity_totals(spark, sf_dir).join(regions(spark, sf_dir), "region"), q.region), "region", "total_cents", "entity")
+    order = [F.col("multiple").desc_nulls_last(), F.col("distance").desc(), F.col("entity").asc()]
+    return S.page(rows, order, *q.page).select("entity", "region", "total_cents", "direction")
+
+
+@dataset("registro_fonti", "SELECT supplier, name FROM (SELECT s_suppkey AS supplier, s_name AS name FROM supplier) WHERE contains(lower(name), '9') OR contains(lower(CAST(supplier AS VARCHAR)), '9')", query="9")
+def sources(spark, sf_dir, q):
+    rows = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier"), F.col("s_name").alias("name"))
+    return rows.filter(X.contains_folded([F.col("name"), F.col("supplier").cast("string")], q.query)) if q.query else rows

@@ -439,10 +439,10 @@ def unlinked_awards(spark, sf_dir):
     return J.null_safe(awards, tenders, ["cup"], ["cig", "user"], "left_anti").groupBy("cup").agg(F.count(F.lit(1)).alias("unlinked"))
 
 
-@query("j11_j13_composite_lookup", "+ c AS (SELECT * FROM (VALUES (0, 'ALGERIA', 'a'), (1, 'WRONG', 'b')) AS v(code, label, identity)) SELECT region, region_name, identity FROM reg LEFT JOIN c ON region = code AND trim(region_name) = label")
+@query("j11_j13_composite_lookup", "+ c AS (SELECT * FROM (VALUES (0, 'NATION_0', 'a'), (1, 'WRONG', 'b')) AS v(code, label, identity)) SELECT region, region_name, identity FROM reg LEFT JOIN c ON region = code AND trim(region_name) = label")
 def composite_lookup(spark, sf_dir):
     """Code and label must both match, else there is no identity."""
-    curated = spark.createDataFrame([(0, "ALGERIA", "a"), (1, "WRONG", "b")], "code int, label string, identity string")
+    curated = spark.createDataFrame([(0, "NATION_0", "a"), (1, "WRONG", "b")], "code int, label string, identity string")
     found = regions(spark, sf_dir)
     return found.join(curated, (F.col("region") == F.col("code")) & (F.trim("region_name") == F.col("label")), "left").select("region", "region_name", "identity")
 
@@ -533,10 +533,10 @@ def zipped(spark, sf_dir):
     return arrays.select("region", F.explode(F.arrays_zip("years", "amounts")).alias("z")).filter("z.years IN (1999, 2000)").select("region", F.col("z.years").alias("year"), F.col("z.amounts").alias("cents"))
 
 
-@query("f01_f05_f07_equality", "SELECT entity FROM ent JOIN reg USING (region) WHERE lower(region_name) = lower('ALGERIA') AND (CAST(entity AS VARCHAR) LIKE '1%' OR name = 'Customer#2')")
+@query("f01_f05_f07_equality", "SELECT entity FROM ent JOIN reg USING (region) WHERE lower(region_name) = lower('NATION_0') AND (CAST(entity AS VARCHAR) LIKE '1%' OR name = 'Customer#000000002')")
 def equality(spark, sf_dir):
     rows = entities(spark, sf_dir).join(regions(spark, sf_dir), "region")
-    return rows.filter((F.lower("region_name") == F.lower(F.lit("ALGERIA"))) & (F.col("entity").cast("string").startswith("1") | (F.col("name") == "Customer#2"))).select("entity")
+    return rows.filter((F.lower("region_name") == F.lower(F.lit("NATION_0"))) & (F.col("entity").cast("string").startswith("1") | (F.col("name") == "Customer#000000002"))).select("entity")
 
 
 @query("f02_f03_f04_x27_search", "SELECT doc_id FROM documents WHERE contains(lower(strip_accents(text)), 'ecion') OR contains(lower(strip_accents(source)), 'src7')", roles=False)
@@ -589,10 +589,10 @@ def derived(spark, sf_dir):
     )
 
 
-@query("p01_p03_p07_projection", "SELECT entity, CASE WHEN people IS NULL THEN 'partial' ELSE 'complete' END AS state, CAST(len(list_distinct(list_filter([segment, nullif(name, 'Customer#1'), segment], lambda x: x IS NOT NULL))) AS INT) AS parts FROM ent")
+@query("p01_p03_p07_projection", "SELECT entity, CASE WHEN people IS NULL THEN 'partial' ELSE 'complete' END AS state, CAST(len(list_distinct(list_filter([segment, nullif(name, 'Customer#000000001'), segment], lambda x: x IS NOT NULL))) AS INT) AS parts FROM ent")
 def projection(spark, sf_dir):
     """Repeated columns to an array without blanks and repetitions; complete or partial."""
-    parts = F.array_distinct(F.array_compact(F.array(F.col("segment"), F.nullif("name", F.lit("Customer#1")), F.col("segment"))))
+    parts = F.array_distinct(F.array_compact(F.array(F.col("segment"), F.nullif("name", F.lit("Customer#000000001")), F.col("segment"))))
     return entities(spark, sf_dir).select("entity", F.when(F.col("people").isNull(), "partial").otherwise("complete").alias("state"), F.size(parts).alias("parts"))
 
 
