@@ -4,10 +4,13 @@ Documents are sets of word shingles; two link when their sets' Jaccard similarit
 threshold. Equal sets collapse to one representative. Representatives that could link share a
 shingle among their first n - ceil(t n) + 1 in one global order (hash order, but shingles that are
 frequent in a bounded sample come last; any order is exact, this one keeps common passages apart).
-Documents connected by such shared shingles form a block. In each block a signature tree holds, at
-every node, the OR of the bitmaps below, the range of set sizes and the largest number of shingles
-that share a bit; a dual traversal prunes node pairs whose sizes or largest possible overlap rule a
-link out, or whose documents are all connected already, and compares whole sets at the leaves.
+The representatives of such a shingle form a block, named by the smallest of them, its hub; shingles
+with the same hub share a block. In a block a signature tree holds, at every node, the OR of the
+bitmaps below, the range of set sizes and the largest number of shingles that share a bit; a dual
+traversal prunes node pairs whose sizes or largest possible overlap rule a link out, or whose
+documents are all linked already. What survives is compared in full by a join of the whole sets.
+The first traversal is the hub against its tree, which links groups of copies without listing their
+pairs; the second is the tree against itself, for pairs that the first has not joined.
 A block above NODE documents is cut into nodes by size class and salt, and pairs of nodes are
 traversed in tasks of their own. Links give components by alternating stars.
 
@@ -30,7 +33,9 @@ from civicframe.llm.components import connected_components
 from civicframe.llm.shingles import shingle_sets
 
 #: Documents of a node that is traversed in a task; leaves and fan-out of the trees within.
-NODE, LEAF = 2048, 8
+NODE, LEAF = 4096, 8
+#: Members of small blocks that share a task, on average.
+BUNDLE = 1000
 #: Sampled documents, and in how many of them a shingle counts as frequent.
 HOT_SAMPLE, HOT_COUNT = 4000, 12
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
@@ -47,6 +52,20 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """One bit per shingle in 256 to 32768 bits, two to four for each; a shorter one is the longer one's fold."""
+    bits = 1 << min(15, max(8, (2 * len(shingles) - 1).bit_length()))
+    flags = np.zeros(bits, np.uint8)
+    flags[(shingles & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").view(np.uint64)
+
+
+def folded(maps: np.ndarray) -> np.ndarray:
+    """Bitmaps (rows) of half the length."""
+    half = maps.shape[1] // 2
+    return maps[:, :half] | maps[:, half:]
+
+
 def shingled_docs(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """id, shingles (sorted as unsigned numbers)."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -71,7 +90,7 @@ def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, k: int) -> np
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
-    """id, n, c1, c2 (with n: which set it is), prefix (the shingles of which linked sets share one)."""
+    """id, n, c1, c2 (with n: which set it is), prefix (the shingles of which linked sets share one), lead (smallest shingle), map (bitmap)."""
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
@@ -86,7 +105,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, de
                 sums = np.append(np.uint64(0), np.cumsum(flat))
                 other = (flat ^ (flat >> np.uint64(27))) * _SECOND
                 others = np.append(np.uint64(0), np.cumsum(other ^ (other >> np.uint64(31))))
-                prefixes = []
+                prefixes, maps = [], [bitmap(s) for s in sets]
+                lead = np.array([s[0] if len(s) else 0 for s in sets], np.uint64).view(np.int64)
                 for s in sets:
                     p = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
                     if len(hot) and len(s):
@@ -95,31 +115,47 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, de
                         s = np.concatenate([s[~common], s[common]]) if common.any() else s
                     prefixes.append(s[:p])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(n), pa.array((sums[ends[1:]] - sums[ends[:-1]]).view(np.int64)), pa.array((others[ends[1:]] - others[ends[:-1]]).view(np.int64)), _lists(prefixes)],
-                    ["id", "n", "c1", "c2", "prefix"],
+                    [b.column(0), pa.array(n), pa.array((sums[ends[1:]] - sums[ends[:-1]]).view(np.int64)), pa.array((others[ends[1:]] - others[ends[:-1]]).view(np.int64)), _lists(prefixes), pa.array(lead), _lists(maps)],
+                    ["id", "n", "c1", "c2", "prefix", "lead", "map"],
                 )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, c1 long, c2 long, prefix array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, c1 long, c2 long, prefix array<long>, lead long, map array<long>")
 
 
-def block_edges(reps: DataFrame) -> DataFrame:
-    """(u, v): representatives with a shared prefix shingle, each joined to the smallest of the shingle's."""
-    tokens = reps.select("rep", F.explode("prefix").alias("token"))
+def block_members(reps: DataFrame) -> DataFrame:
+    """(hub, hub_n, rep, n): representatives that share a prefix shingle, under the smallest of the shingle's."""
+    tokens = reps.select("rep", "n", F.explode("prefix").alias("token"))
     groups = tokens.groupBy("token").agg(F.min("rep").alias("hub"), F.max("rep").alias("far"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     groups = written(groups, "groups")
-    pairs = groups.filter("c = 2").select(F.col("hub").alias("u"), F.col("far").alias("v"))
+    pairs = groups.filter("c = 2").select("hub", F.col("far").alias("rep"))
     many = groups.filter("c > 2").select("token", "hub")
-    if many.count() <= BROADCAST_ROWS:
-        many = F.broadcast(many)
-    stars = tokens.join(many, "token").select(F.col("hub").alias("u"), F.col("rep").alias("v"))
-    return pairs.union(stars).filter("u <> v").distinct()
+    stars = tokens.select("token", "rep").join(many, "token").select("hub", "rep")
+    found = pairs.union(stars).filter("hub <> rep").distinct()
+    sizes = reps.select("rep", "n")
+    return found.join(sizes.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n")), "hub").join(sizes, "rep").select("hub", "hub_n", "rep", "n")
+
+
+def in_reach(members: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """Of labelled block members (hub, rep, n, label) those with another of near size and other label in their block."""
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
+    both = members.select("hub", "rep", "n").union(members.select("hub", "hub", "hub_n").distinct())
+    named = both.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("hub", "rep", "n", F.coalesce("component", "rep").alias("label"), size_class.alias("class"))
+    kinds = named.groupBy("hub", "class").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("c"))
+    reach = (
+        kinds.select("hub", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), "low", "high")
+        .groupBy("hub", "class").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("hub", "class")
+    )
+    # two members are hub and other, which the first traversal has compared
+    more = kinds.groupBy("hub").agg(F.sum("c").alias("block_n"), F.map_from_entries(F.collect_list(F.struct("class", F.ceil(F.col("c") / NODE).cast("int")))).alias("cuts")).filter("block_n > 2")
+    return named.join(reach, ["hub", "class"], "left_semi").join(more, "hub")
 
 
 class Forest:
-    """Union-find over a task's documents."""
+    """Union-find over a task's documents; those with equal labels are one from the start."""
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
+    def __init__(self, labels: list):
+        first: dict = {}
+        self.up = [first.setdefault(x, i) for i, x in enumerate(labels)]
 
     def find(self, x: int) -> int:
         up = self.up
@@ -128,105 +164,129 @@ class Forest:
             x = up[x]
         return x
 
-    def join(self, a: int, b: int) -> None:
-        self.up[self.find(b)] = self.find(a)
-
 
 class SignatureTree:
-    """Levels of nodes over documents in min-hash order; level 0 are leaves of LEAF documents."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]), len(sets[i]), i))
-        self.ids, self.sets = order, [sets[i] for i in order]
-        self.n = np.array([len(s) for s in self.sets], np.int64)
-        bits = 1 << min(16, max(7, int(4 * self.n.max()).bit_length()))
-        self.maps = np.zeros((len(sets), bits // 64), np.uint64)
-        for i, s in enumerate(self.sets):
-            at = (s & np.uint64(bits - 1)).astype(np.int64)
-            np.bitwise_or.at(self.maps[i], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    """Levels of nodes over documents in min-hash order; level 0 are leaves of LEAF documents.
+
+    maps: bitmaps of one length (rows); own: which documents have this length themselves (pairs of
+    documents that have not are another tree's).
+    """
+
+    def __init__(self, n: np.ndarray, lead: np.ndarray, maps: np.ndarray, labels: list, own: np.ndarray):
+        order = np.lexsort((n, lead))
+        self.ids, self.n, self.maps, self.own = order, n[order], maps[order], own[order]
         self.ones = np.bitwise_count(self.maps).sum(1).astype(np.int64)
-        shared = self.n - self.ones  # shingles beyond one per bit
-        self.levels = []
-        maps, low, high, extra = self.maps, self.n, self.n, shared
+        self.forest = Forest([labels[i] for i in order])
+        self.levels, self.one = [], set()
+        up, low, high, extra = self.maps, self.n, self.n, self.n - self.ones
         while True:
-            at = np.arange(0, len(maps), LEAF)
-            maps, low, high, extra = np.bitwise_or.reduceat(maps, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(extra, at)
-            self.levels.append((maps, low, high, extra))
-            if len(maps) == 1:
+            at = np.arange(0, len(up), LEAF)
+            up, low, high, extra = np.bitwise_or.reduceat(up, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(extra, at)
+            self.levels.append((up, low, high, extra))
+            if len(up) == 1:
                 break
-        self.one: set = set()  # nodes known to be one component
 
     def below(self, level: int, i: int) -> range:
-        size = len(self.levels[level - 1][0]) if level else len(self.sets)
+        size = len(self.levels[level - 1][0]) if level else len(self.n)
         return range(i * LEAF, min(size, (i + 1) * LEAF))
 
-    def single(self, level: int, i: int, forest: Forest) -> bool:
+    def single(self, level: int, i: int) -> bool:
+        """Whether all documents of a node are linked already."""
         if (level, i) in self.one:
             return True
+        find = self.forest.find
         if level == 0:
-            roots = {forest.find(j) for j in self.below(0, i)}
-            done = len(roots) == 1
+            done = len({find(j) for j in self.below(0, i)}) == 1
         else:
-            done = all(self.single(level - 1, j, forest) for j in self.below(level, i)) and len({forest.find(j * LEAF**level) for j in self.below(level, i)}) == 1
+            done = all(self.single(level - 1, j) for j in self.below(level, i)) and len({find(j * LEAF**level) for j in self.below(level, i)}) == 1
         if done:
             self.one.add((level, i))
         return done
 
-    def links(self, num: int, den: int) -> list[tuple[int, int]]:
-        """Pairs that link, enough of them to join every component; nothing that links stays apart."""
-        forest, out = Forest(len(self.sets)), []
-        top = len(self.levels) - 1
-        stack = [(top, 0, 0)]
+    def from_one(self, who: int, num: int, den: int) -> list[int]:
+        """Documents that may link with document who (an index of the input)."""
+        (me,) = np.flatnonzero(self.ids == who)
+        out, stack = [], [(len(self.levels) - 1, 0)]
+        while stack:
+            level, i = stack.pop()
+            maps, low, high, extra = self.levels[level]
+            if num * low[i] > den * self.n[me] or num * self.n[me] > den * high[i]:
+                continue
+            most = int(np.bitwise_count(maps[i] & self.maps[me]).sum()) + min(int(extra[i]), int(self.n[me] - self.ones[me]))
+            if most * (num + den) < num * int(low[i] + self.n[me]):
+                continue
+            if level:
+                stack += [(level - 1, j) for j in self.below(level, i)]
+            else:
+                out += [x for x, y in self._leaves(self.below(0, i), range(me, me + 1), num, den) if x != me]
+        return [int(self.ids[x]) for x in out]
+
+    def pairs(self, num: int, den: int) -> list[tuple[int, int]]:
+        """Pairs that may link and are not linked already."""
+        find, out = self.forest.find, []
+        stack = [(len(self.levels) - 1, 0, 0)]
         while stack:
             level, i, j = stack.pop()
             maps, low, high, extra = self.levels[level]
             if i != j:
-                if den * low[j] * 1 > 0 and (num * low[i] > den * high[j] or num * low[j] > den * high[i]):
+                if num * low[i] > den * high[j] or num * low[j] > den * high[i]:
                     continue
-                # overlap at most the common bits plus what shares bits
-                most = int(np.bitwise_count(maps[i] & maps[j]).sum()) + min(extra[i], extra[j])
-                if most * (num + den) < num * (low[i] + low[j]):
+                # overlap is at most the common bits and what shares bits
+                most = int(np.bitwise_count(maps[i] & maps[j]).sum()) + int(min(extra[i], extra[j]))
+                if most * (num + den) < num * int(low[i] + low[j]):
                     continue
-            if self.single(level, i, forest) and (i == j or self.single(level, j, forest) and forest.find(i * LEAF ** (level + 1)) == forest.find(j * LEAF ** (level + 1))):
+            if self.single(level, i) and (i == j or self.single(level, j) and find(i * LEAF ** (level + 1)) == find(j * LEAF ** (level + 1))):
                 continue
             if level:
-                kids_i, kids_j = self.below(level, i), self.below(level, j)
-                pairs = [(level - 1, a, b) for a in kids_i for b in kids_j if i != j or a <= b]
-                pairs.sort(key=lambda x: x[1] != x[2])  # a node against itself first
-                stack += reversed(pairs)
-                continue
-            self._leaves(self.below(0, i), self.below(0, j), num, den, forest, out)
-        return [(self.ids[a], self.ids[b]) for a, b in out]
+                stack += [(level - 1, a, b) for a in self.below(level, i) for b in self.below(level, j) if i != j or a <= b]
+            else:
+                out += [(x, y) for x, y in self._leaves(self.below(0, i), self.below(0, j), num, den) if (i != j or x < y) and find(x) != find(y)]
+        return [(int(self.ids[a]), int(self.ids[b])) for a, b in out]
 
-    def _leaves(self, left: range, right: range, num: int, den: int, forest: Forest, out: list) -> None:
+    def _leaves(self, left: range, right: range, num: int, den: int) -> list[tuple[int, int]]:
         a, b = slice(left.start, left.stop), slice(right.start, right.stop)
         both = np.bitwise_count(self.maps[a][:, None] & self.maps[b][None]).sum(2).astype(np.int64)
         na, nb = self.n[a][:, None], self.n[b][None]
         most = np.minimum(na - (self.ones[a][:, None] - both), nb - (self.ones[b][None] - both))
-        for x, y in zip(*np.nonzero(most * (num + den) >= num * (na + nb))):
-            x, y = left.start + int(x), right.start + int(y)
-            if x == y or left.start == right.start and x > y or forest.find(x) == forest.find(y):
-                continue
-            common = len(np.intersect1d(self.sets[x], self.sets[y], assume_unique=True))
-            if den * common >= num * (len(self.sets[x]) + len(self.sets[y]) - common):
-                forest.join(x, y)
-                out.append((x, y))
-
-
-def block_links(members: DataFrame, blocks: DataFrame, num: int, den: int) -> DataFrame:
-    """members (rep, shingles) and blocks (node, component) -> links (u, v) found by the blocks' trees."""
-    kind = blocks.schema["node"].dataType.simpleString()
-    sized = members.join(blocks, F.col("rep") == F.col("node")).select(
-        "rep", F.col("component").alias("block"), "shingles",
-        F.floor(F.log(F.size("shingles").cast("double")) / F.log(F.lit(den / num))).cast("int").alias("class"),
-    )
-    sized = written(sized, "blocks")
-    total = sized.count()
-    by_class = sized.groupBy("block", "class").agg(F.count(F.lit(1)).alias("n"))
-    sizes = by_class.groupBy("block").agg(F.sum("n").alias("block_n"), F.map_from_entries(F.collect_list(F.struct("class", F.ceil(F.col("n") / NODE).cast("int")))).alias("cuts"))
-    bundles = max(1, total // NODE)
-    rows = sized.join(sizes, "block")
-    small = rows.filter(F.col("block_n") <= NODE).select("rep", "block", "shingles", F.pmod(F.xxhash64("block"), F.lit(bundles)).alias("task"), F.lit("").alias("pair"))
+        may = (most * (num + den) >= num * (na + nb)) & (self.own[a][:, None] | self.own[b][None])
+        return [(left.start + int(x), right.start + int(y)) for x, y in zip(*np.nonzero(may))]
+
+
+def trees_of(n: np.ndarray, lead: np.ndarray, maps: list, labels: list, num: int, den: int) -> Iterator[tuple[np.ndarray, SignatureTree]]:
+    """One tree for each bitmap length, with the documents of the next length that are near enough in size, folded."""
+    size = np.array([len(m) for m in maps])
+    for bits in np.unique(size):
+        at = np.flatnonzero((size == bits) | (size == 2 * bits) & (num * n <= den * n[size == bits].max()))
+        rows = np.stack([maps[i] if size[i] == bits else folded(np.asarray(maps[i])[None])[0] for i in at])
+        yield at, SignatureTree(n[at], lead[at], rows, [labels[i] for i in at], size[at] == bits)
+
+
+def hub_candidates(members: DataFrame, maps: DataFrame, num: int, den: int, bundles: int) -> DataFrame:
+    """Distinct pairs (u, v) of hub and member that the hub's way down its block's tree lets through."""
+    near = members.filter(F.expr(f"{num} * n <= {den} * hub_n AND {num} * hub_n <= {den} * n"))
+    counts = near.groupBy("hub").agg(F.ceil((F.count(F.lit(1)) + 1) / NODE).cast("int").alias("cuts"))
+    cut = near.join(counts, "hub").select("hub", "rep", F.lit(False).alias("is_hub"), F.pmod(F.xxhash64("rep", F.lit(5)), F.col("cuts").cast("long")).cast("int").alias("part"), "cuts")
+    # a large block's members go to several tasks, and the hub to each
+    hubs = counts.select("hub", F.col("hub").alias("rep"), F.lit(True).alias("is_hub"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("part"), "cuts")
+    dealt = cut.union(hubs).withColumn("task", _task("cuts", "part", bundles)).join(maps, "rep").select("hub", "rep", "is_hub", "part", "n", "lead", "map", "task")
+
+    def traverse(frame: pd.DataFrame) -> pd.DataFrame:
+        out: set = set()
+        for (hub, _), block in frame.groupby(["hub", "part"], sort=False):
+            block = block.reset_index(drop=True)
+            reps, (own,) = block.rep.tolist(), np.flatnonzero(block.is_hub.to_numpy())
+            for at, tree in _trees(block, list(range(len(reps))), num, den):
+                where = np.flatnonzero(at == own)
+                out.update((hub, reps[at[b]]) for b in (tree.from_one(int(where[0]), num, den) if len(where) else ()))
+        return pd.DataFrame(sorted(out), columns=["u", "v"])
+
+    kind = members.schema["rep"].dataType.simpleString()
+    return dealt.groupBy("task").applyInPandas(traverse, f"u {kind}, v {kind}").distinct()
+
+
+def pair_candidates(members: DataFrame, maps: DataFrame, num: int, den: int, bundles: int) -> DataFrame:
+    """Distinct pairs (u, v) of members, not linked yet, that their block's tree against itself lets through."""
+    small = members.filter(F.col("block_n") <= NODE).select("hub", "rep", "label", F.lit("").alias("part"), F.lit(1).alias("cuts"))
     # a larger block: nodes by size class and salt; a document goes to every pair of nodes that its node is in
     own, up, down = F.col("cuts")[F.col("class")], F.coalesce(F.try_element_at("cuts", F.col("class") + 1), F.lit(0)), F.coalesce(F.try_element_at("cuts", F.col("class") - 1), F.lit(0))
     salt = F.pmod(F.xxhash64("rep", F.lit(5)), own.cast("long")).cast("int")
@@ -239,37 +299,65 @@ def block_links(members: DataFrame, blocks: DataFrame, num: int, den: int) -> Da
         F.transform(upto(up), lambda j: F.concat_ws(",", F.col("class"), salt, F.col("class") + 1, j)),
         F.transform(upto(down), lambda j: F.concat_ws(",", F.col("class") - 1, j, F.col("class"), salt)),
     )
-    large = rows.filter(F.col("block_n") > NODE).withColumn("pair", F.explode(pairs)).select("rep", "block", "shingles", F.xxhash64("block", "pair").alias("task"), "pair")
+    large = members.filter(F.col("block_n") > NODE).withColumn("part", F.explode(pairs)).select("hub", "rep", "label", "part", F.lit(2).alias("cuts"))
+    dealt = small.union(large).withColumn("task", _task("cuts", "part", bundles)).join(maps, "rep").select("hub", "rep", "label", "part", "n", "lead", "map", "task")
+
+    def traverse(frame: pd.DataFrame) -> pd.DataFrame:
+        out: set = set()
+        for _, block in frame.groupby(["hub", "part"], sort=False):
+            reps, labels = block.rep.tolist(), block.label.tolist()
+            if len(set(labels)) > 1:
+                for at, tree in _trees(block, labels, num, den):
+                    out.update(tuple(sorted((reps[at[a]], reps[at[b]]))) for a, b in tree.pairs(num, den))
+        return pd.DataFrame(sorted(out), columns=["u", "v"])
+
+    kind = members.schema["rep"].dataType.simpleString()
+    return dealt.groupBy("task").applyInPandas(traverse, f"u {kind}, v {kind}").distinct()
+
+
+def _task(cuts: str, part: str, bundles: int):
+    """Small blocks share so many tasks; a part of a large block is a task of its own."""
+    return F.when(F.col(cuts) == 1, F.pmod(F.xxhash64("hub"), F.lit(bundles))).otherwise(F.xxhash64("hub", part))
+
+
+def _trees(block: pd.DataFrame, labels: list, num: int, den: int):
+    maps = [np.asarray(m, np.int64).view(np.uint64) for m in block["map"]]
+    return trees_of(block.n.to_numpy(), block.lead.to_numpy(), maps, labels, num, den)
 
-    def trees(frame: pd.DataFrame) -> pd.DataFrame:
-        out: list = []
-        for _, block in frame.groupby(["block", "pair"], sort=False):
-            reps = block.rep.tolist()
-            tree = SignatureTree([np.asarray(s, np.int64).view(np.uint64) for s in block.shingles])
-            out += [(reps[a], reps[b]) for a, b in tree.links(num, den)]
-        return pd.DataFrame(out, columns=["u", "v"])
 
-    return small.union(large).groupBy("task").applyInPandas(trees, f"u {kind}, v {kind}")
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) whose whole sets link."""
+    pairs = written(pairs, "pairs")
+    needed = pairs.select(F.col("u").alias("needed")).union(pairs.select("v")).distinct()
+    if needed.count() <= BROADCAST_ROWS:
+        needed = F.broadcast(needed)
+    own = docs.join(needed, F.col(id_col) == F.col("needed"), "left_semi")
+    sets = written(shingled_docs(own, id_col, text_col, k), "sets")
+    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
+    common = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("total"))
+    return written(common.filter(F.expr(f"{den} * common >= {num} * (total - common)")).select("u", "v").distinct(), "links")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id; two sets link when den * |both| >= num * |either|."""
+    docs = docs.select(id_col, text_col)
     hot = frequent_shingles(docs, id_col, text_col, k)
     signed = written(signatures(docs, id_col, text_col, k, num, den, hot), "signatures")
     which = ["n", "c1", "c2"]
-    reps = signed.filter("n > 0 AND id IS NOT NULL").groupBy(*which).agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"))
-    reps = written(reps, "representatives")
-    edges = block_edges(reps)
-    blocks = written(connected_components(edges), "candidates")
-    few = blocks.select("node")
-    if few.count() <= BROADCAST_ROWS:
-        few = F.broadcast(few)
-    own = docs.join(few, F.col(id_col) == F.col("node"), "left_semi")
-    sets = shingled_docs(own, id_col, text_col, k).filter(F.size("shingles") > 0).withColumnRenamed("id", "rep")
-    links = block_links(sets, blocks, num, den)
-    names = connected_components(links)
-    classes = reps.select(*which, "rep").join(names, F.col("rep") == F.col("node"), "left").select(*which, F.coalesce("component", "rep").alias("component_id"))
-    return signed.join(classes, which, "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    sets = signed.filter("n > 0 AND id IS NOT NULL").select("id", *which)
+    classes = written(sets.groupBy(*which).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")), "classes")
+    later = sets.join(classes.filter("c > 1").select(*which, "rep"), which).filter("id <> rep").select(F.col("id").alias("later")).distinct()
+    if later.count() <= BROADCAST_ROWS:
+        later = F.broadcast(later)
+    reps = signed.filter("n > 0 AND id IS NOT NULL").join(later, F.col("id") == F.col("later"), "left_anti").withColumnRenamed("id", "rep")
+    maps = reps.select("rep", "n", "lead", "map")
+    members = written(block_members(reps), "members")
+    bundles = max(16, members.count() // BUNDLE)
+    first = verified(hub_candidates(members, maps, num, den, bundles), docs, id_col, text_col, k, num, den)
+    second = verified(pair_candidates(in_reach(members, connected_components(first), num, den), maps, num, den, bundles), docs, id_col, text_col, k, num, den)
+    names = connected_components(first.union(second))
+    named = classes.join(names, F.col("rep") == F.col("node"), "left").select(*which, F.coalesce("component", "rep").alias("component_id"))
+    return signed.join(named, which, "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

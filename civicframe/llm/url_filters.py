@@ -83,7 +83,7 @@ def with_rule(df: DataFrame, rules=RULES) -> DataFrame:
     ranked = [(a, h, p, i) for i, (a, h, p) in enumerate(_rank(rules))]
     listed = df.sparkSession.createDataFrame(ranked, "r_action string, r_host string, r_path string, r_rank int")
     keys = df.select("host", "path").distinct()
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(F.split("host", r"\."))), lambda i: F.substring_index("host", ".", i * -1))
+    suffixes = F.expr(r"transform(sequence(1, size(split(host, '\\.'))), i -> substring_index(host, '.', -i))")
     best = (
         keys.withColumn("r_host", F.explode(suffixes)).join(listed, "r_host").filter("startswith(path, r_path)")
         .groupBy("host", "path").agg(F.min_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_action").alias("action")), "r_rank").alias("best"))
