@@ -181,9 +181,11 @@ def stretches(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str) ->
 
 def matching_parts(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]]:
     """(begin and end in a, begin and end in b, similarity) of the parts of two stretches that match."""
-    least, out = WORDS - K + 1, []
-    here = _within(a, b)
-    spans = [(0, len(a), 8)]
+    least, here = WORDS - K + 1, _within(a, b)
+    out = _bridged(a, b, here)
+    # what matches without an order, left and right of them
+    ends = [0, *[e for part in out for e in part[:2]], len(a)]
+    spans = [(lo, hi, 8) for lo, hi in zip(ends[::2], ends[1::2])]
     while spans:
         lo, hi, weight = spans.pop()
         if hi - lo < least:
@@ -208,6 +210,74 @@ def matching_parts(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, in
     return out
 
 
+def _runs(a: np.ndarray, b: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begins in a, begins in b, lengths) of the heaviest chain of runs that match in one order. Of several equal places in b the one nearest to the commonest offset counts."""
+    at = np.flatnonzero(here)
+    values, rank = np.unique(b, return_inverse=True)
+    order = np.sort(rank.astype(np.int64) * (len(b) + 1) + np.arange(len(b)))
+    of = np.searchsorted(values, a[at]) * (len(b) + 1)
+    first = order[np.searchsorted(order, of)] - of
+    offsets, times = np.unique(first - at, return_counts=True)
+    aim = np.clip(at + offsets[times.argmax()], 0, len(b) - 1)
+    k = np.searchsorted(order, of + aim)
+    up, down = order[np.minimum(k, len(order) - 1)] - of, order[np.maximum(k - 1, 0)] - of
+    far = len(b) + 1
+    up_by, down_by = (np.where((x >= 0) & (x < far - 1), np.abs(x - aim), far) for x in (up, down))
+    place = np.where(up_by <= down_by, up, down)
+    new = np.flatnonzero(np.append(True, (np.diff(at) != 1) | (np.diff(place) != 1)))
+    x, u, n = at[new], place[new], np.diff(np.append(new, len(at)))
+    if len(x) > 1 and (u[1:] < (u + n)[:-1]).any():
+        best, came = n.copy(), np.full(len(x), -1)
+        for i in range(1, len(x)):
+            before = np.where((u + n)[:i] <= u[i], best[:i], 0)
+            j = int(before.argmax())
+            if before[j]:
+                best[i], came[i] = n[i] + before[j], j
+        chain, i = [], int(best.argmax())
+        while i >= 0:
+            chain.append(i)
+            i = came[i]
+        chain.reverse()
+        x, u, n = x[chain], u[chain], n[chain]
+    return x, u, n
+
+
+def _bridged(a: np.ndarray, b: np.ndarray, here: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+    """The longest similar part from the begin of a run to the end of one, then those left and right of it, in order."""
+    least = WORDS - K + 1
+    if here.sum() < SIMILARITY * least:
+        return []
+    x, u, n = _runs(a, b, here)
+    y, v = x + n, u + n
+    first = np.zeros(len(a), bool)
+    first[np.unique(a, return_index=True)[1]] = True
+    hits, misses = np.append(0, np.cumsum(here)), np.append(0, np.cumsum(~here & first))
+    similar = {}
+    for p in range(len(x)):
+        got, missed = hits[y[p:]] - hits[x[p]], misses[y[p:]] - misses[x[p]]
+        able = np.flatnonzero((got >= SIMILARITY * (got + missed)) & (y[p:] - x[p] >= least) & (v[p:] - u[p] >= least))
+        if len(able):
+            ends = slice(p, p + able[-1] + 1)
+            s = _similarities(a[x[p] : y[ends][-1]], b[u[p] : v[ends][-1]], y[ends] - x[p], v[ends] - u[p])
+            for q in able[s[able] >= SIMILARITY]:
+                similar[p, p + int(q)] = float(s[q])
+    taken: list[tuple[int, int]] = []
+    for p, q in sorted(similar, key=lambda k: (x[k[0]] - y[k[1]], k)):
+        if all(q < c or p > d for c, d in taken):
+            taken.append((p, q))
+    return [(int(x[p]), int(y[q]), int(u[p]), int(v[q]), similar[p, q]) for p, q in sorted(taken)]
+
+
+def _similarities(a: np.ndarray, b: np.ndarray, ends: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of the sets a[:end], b[:other end] for all (rising) pairs of ends."""
+    one, i = np.unique(a, return_index=True)
+    two, j = np.unique(b, return_index=True)
+    _, at, other = np.intersect1d(one, two, assume_unique=True, return_indices=True)
+    since = np.maximum(np.searchsorted(ends, i[at], "right"), np.searchsorted(other_ends, j[other], "right"))
+    common = np.cumsum(np.bincount(since, minlength=len(ends))[: len(ends)])
+    return common / (np.searchsorted(np.sort(i), ends) + np.searchsorted(np.sort(j), other_ends) - common)
+
+
 def _within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which elements of a are in b."""
     known = set(b.tolist())

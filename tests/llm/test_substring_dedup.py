@@ -56,5 +56,37 @@ def test_windows_are_those_of_the_definition():
                     assert covered[(a, b)] == a + int(h[a : b + 1].argmin())
 
 
+def similar(x, y):
+    return len(set(x) & set(y)) / len(set(x) | set(y))
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_near_passages_are_those_of_brute_force(seed):
+    """Edited passages of 50 to 95 words between other words: a part is found where any is, and none is much longer."""
+    rng = np.random.default_rng(seed)
+    least = D.WORDS - D.K + 1
+    passage = rng.integers(0, 1 << 40, int(rng.integers(50, 95)))
+    words = [np.concatenate([rng.integers(0, 1 << 40, 12), passage, rng.integers(0, 1 << 40, 12)]) for _ in range(2)]
+    for at in rng.integers(12, 12 + len(passage), seed % 3):
+        words[1][at] += 1
+    if seed % 4 == 3:
+        words[1] = np.insert(words[1], 40, 7)
+    a, b = ([hash(tuple(w[i : i + D.K].tolist())) for i in range(len(w) - D.K + 1)] for w in words)
+    found = D.matching_parts(np.array(a), np.array(b))
+    longest = max((y - x for x in range(len(a)) for y in range(x + least, len(a) + 1) for u in range(max(0, x - 1), min(x + 2, len(b))) for v in range(max(u + least, y - 1), min(y + 1, len(b)) + 1) if similar(a[x:y], b[u:v]) >= D.SIMILARITY), default=0)
+    assert bool(found) == bool(longest)
+    for x, y, u, v, s in found:
+        assert y - x >= least and v - u >= least and s == similar(a[x:y], b[u:v]) >= D.SIMILARITY
+    if found:  # brute force may add words of no match at the ends
+        assert max(y - x for x, y, *_ in found) >= 0.75 * longest
+
+
+def test_one_changed_word():
+    """60 equal words but the one in the middle: 51 of 61 shingles."""
+    a = [f"p{i}" for i in range(60)]
+    b = [*a[:30], "changed", *a[31:]]
+    assert [(x, y) for x, y, *_ in D.matching_parts(*(np.array([hash(tuple(w[i : i + 5])) for i in range(56)]) for w in (a, b)))] == [(0, 56)]
+
+
 def test_empty(spark):
     assert D.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
