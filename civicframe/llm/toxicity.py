@@ -2,7 +2,8 @@
 
 A character trigram model is counted over all texts. Tokens that look written around a filter
 (symbols or digits for letters, letters repeated, letters spaced out) become a lattice of possible
-letters and omissions, and a Viterbi pass under the character model restores the likeliest word.
+letters, omissions and, where letters are spaced out, word borders; a Viterbi pass under the
+character model restores the likeliest words, and each of them is looked up.
 The restored text is scored: a logistic model over words and word beginnings that mark the label,
 chosen on at most SAMPLE labelled documents outside fold 0 (those with the smallest xxhash64 of
 their identifier), counted over documents that are no near copies of each other.
@@ -35,7 +36,9 @@ ALPHABET = " abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóô
 N = len(ALPHABET) + 1  # and one for any other letter
 EDGES = ".,;:?!\"'()[]{}<>«»„“”‘’*#%&|~^_-+=/\\"
 CODE = {c: i for i, c in enumerate(ALPHABET)}
-_SPACED = re.compile(r"(?<![^\s])(?:[^\W_][ .\-_*]){3,}[^\W_](?![^\s])")
+#: Cost of a word border in a spaced run.
+BORDER = 1.0
+_SPACED = re.compile(r"(?<![^\s\"'(])(?:[^\W_]|[@$!|+€£*])(?:(?:\s{1,3}|[.\-_*])(?:[^\W_]|[@$!|+€£*])){2,}(?=[\s.,;:?!\"')]|$)")
 _ODD = re.compile(r"[0-9@$!|+€£*.\-_'~^]|([^\W\d_])\1\1")
 _codes: np.ndarray | None = None
 KEPT = 200_000
@@ -79,15 +82,25 @@ def char_model(counts: list[tuple[int, int]]) -> np.ndarray:
 
 
 def restore(token: str, lm: np.ndarray) -> str:
-    """The likeliest word behind a token: Viterbi over the lattice of letters, under the character model."""
-    # state: last two codes and the last source letter -> (score, word)
-    states = {(0, 0, ""): (0.0, "")}
-    for i, c in enumerate(token):
+    """The likeliest words behind a token or a spaced run: Viterbi over the lattice of letters and word borders, under the character model."""
+    # state: last two codes and the last source letter -> (score, (word so far, its last letter))
+    states: dict = {(0, 0, ""): (0.0, None)}
+    gaps, letters, gap = [], [], False
+    for c in token:
+        if c.isspace():
+            gap = True
+        else:
+            gaps.append(gap and bool(letters))
+            letters.append(c)
+            gap = False
+    for i, c in enumerate(letters):
+        if gaps[i] or c in SKIPPED and 0 < i < len(letters) - 1:  # a border, or none
+            _border(states, lm)
         if c.isalpha():
             options = [(c, 0.0)]
         else:
             options = [(x, -1.0 if len(LEET[c]) == 1 else -1.8) for x in LEET.get(c, "")]
-        repeated = c.isalpha() and ((i and token[i - 1] == c and i + 1 < len(token) and token[i + 1] == c) or (i > 1 and token[i - 1] == c and token[i - 2] == c))
+        repeated = c.isalpha() and ((i and letters[i - 1] == c and i + 1 < len(letters) and letters[i + 1] == c) or (i > 1 and letters[i - 1] == c and letters[i - 2] == c))
         after: dict = {}
         for (a, b, last), (score, word) in states.items():
             for x, cost in options:
@@ -95,14 +108,28 @@ def restore(token: str, lm: np.ndarray) -> str:
                 s = score + cost + float(lm[a, b, k])
                 key = (b, k, x)
                 if key not in after or after[key][0] < s:
-                    after[key] = (s, word + x)
+                    after[key] = (s, (word, x))
             if repeated and last == c or c in SKIPPED or not options:
                 s = score - (0.3 if repeated or c in SKIPPED else 4.0)
                 key = (a, b, last)
                 if key not in after or after[key][0] < s:
                     after[key] = (s, word)
         states = after or states
-    return max((s + float(lm[a, b, 0]), w) for (a, b, _), (s, w) in states.items())[1]
+    word = max((s + float(lm[a, b, 0]), i, w) for i, ((a, b, _), (s, w)) in enumerate(states.items()))[2]
+    out = []
+    while word is not None:
+        word, x = word
+        out.append(x)
+    return "".join(reversed(out))
+
+
+def _border(states: dict, lm: np.ndarray) -> None:
+    """Adds to the states those after a word border."""
+    for (a, b, _), (score, word) in list(states.items()):
+        if b:
+            s, key = score - BORDER + float(lm[a, b, 0]), (b, 0, "")
+            if key not in states or states[key][0] < s:
+                states[key] = (s, (word, " "))
 
 
 class Reader:
@@ -112,13 +139,13 @@ class Reader:
         self.lm, self.marks, self.seen = lm, marks, {}
 
     def features(self, token: str) -> tuple:
-        word = token.strip(EDGES)
+        word = token.strip(EDGES + " ")
         if token[:1] in LEET and word != token:  # a leading symbol may be a letter: $tupid
-            word = token.rstrip(EDGES).lstrip("\"'(")
+            word = token.rstrip(EDGES + " ").lstrip("\"'(")
         if not word or not any(map(str.isalpha, word)):
             return ()
         if not word.isalpha() or _ODD.search(word):
-            words = {word, restore(word, self.lm)} if len(word) <= 64 else {word}
+            words = {re.sub(r"[\s.\-_*]", "", word) if re.search(r"\s", word) else word, *restore(word, self.lm).split()}
         else:
             words = (word,)
         out: list = []
@@ -133,7 +160,7 @@ class Reader:
         low = text.lower()
         found = set(low.split())
         for run in _SPACED.findall(low):
-            found.add(re.sub(r"[ .\-_*]", "", run))
+            found.add(" ".join(run.split()))
         return found
 
     def read(self, text: str | None) -> set:

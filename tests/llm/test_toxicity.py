@@ -41,6 +41,16 @@ def test_scores(spark, model):
     assert all(0 <= s <= 1 for s in got.values())
 
 
+def test_spaces_are_in_the_lattice(spark, model):
+    lm = model[1]["lm"]
+    assert [X.restore(t, lm) for t in ("a s t u p i d", "r i v e r i d i o t", "$ t u p i d", "s t u p 1 d")] == ["a stupid", "river idiot", "stupid", "stupid"]
+    spaced = ["you are a s t u p i d", "r i v e r s t u p i d", "green $ t u p i d.", "s" + "t" * 94 + "upid", "table (s t u p ! d)"]
+    clean = ["r i v e r t a b l e", "a b c", "", "w" * 100]
+    frame = spark.createDataFrame(list(enumerate(spaced + clean)), "doc_id long, text string")
+    got = [r.toxicity >= 0.5 for r in X.score_toxicity(frame, model[1]).orderBy("doc_id").collect()]
+    assert got == [True] * len(spaced) + [False] * len(clean)
+
+
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
