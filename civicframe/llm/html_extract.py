@@ -4,7 +4,9 @@ For every DOM node: characters and tags below it, those inside links, and from t
 density of characters per tag. A node's sum is that of its children's densities; the node with the
 largest sum is the core, the smallest density on its path to the body is the threshold, and the
 subtree that holds the core and keeps to the threshold is the main text. Containers that are no
-content whatever their density (menus, forms, adverts, comments and so on) leave before counting.
+content whatever their density (by element, role or being hidden) leave before counting. Words of
+boilerplate in a class or id lower a node's density; in the main text a node leaves only if one of its
+classes or its id is such a word and most of its text is links or it holds a form.
 
 Null or empty html gives an empty text. Unclosed tags end with their parents or the page; a tag cut
 off at the end of the page is dropped. Equal pages give equal texts. Extra columns stay.
@@ -37,6 +39,9 @@ DROP_WORDS = frozenset(
     "recommended widget popup modal overlay login signup masthead copyright disclaimer toolbar pagination pager skip".split()
 )
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+CONTROLS = frozenset("form input button select textarea".split())
+#: What the density of a node with a word of boilerplate in its class or id counts.
+HINTED = 0.25
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|iframe|svg)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
@@ -47,10 +52,11 @@ ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "chars", "link_chars", "tags", "link_tags", "density", "drop")
+    __slots__ = ("tag", "up", "kids", "chars", "link_chars", "tags", "link_tags", "density", "drop", "hint", "named")
 
     def __init__(self, tag: str, up: "Node | None", drop: bool):
         self.tag, self.up, self.kids, self.drop = tag, up, [], drop
+        self.hint = self.named = False  # class or id holds a word of boilerplate; is one
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = 0.0
 
@@ -65,13 +71,35 @@ def _dropped(tag: str, attrs: str, up: Node) -> bool:
     if attrs and not attrs.isspace():
         for m in ATTR.finditer(attrs):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(w in DROP_WORDS for w in re.split(r"[^a-z]+", value)):
-                return True
             if name == "role" and value in DROP_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 return True
     return False
 
 
+def _hints(node: Node, attrs: str) -> None:
+    """What class and id say about a node; it only weighs with the densities."""
+    for m in ATTR.finditer(attrs):
+        if m[1].lower() in ("class", "id") and node.tag not in ("html", "body", "article", "main"):
+            value = (m[2] or m[3] or m[4] or "").lower()
+            node.hint = node.hint or any(w in DROP_WORDS for w in re.split(r"[^a-z]+", value))
+            node.named = node.named or any(w in DROP_WORDS for w in value.split())
+
+
+def _confirmed(node: Node) -> bool:
+    """A node that is named boilerplate and holds mostly links, or a form."""
+    if not node.named or node.drop:
+        return False
+    if node.link_chars * 2 > node.chars:
+        return True
+    stack = list(node.kids)
+    while stack:
+        k = stack.pop()
+        if k.tag in CONTROLS:
+            return True
+        stack += k.kids
+    return False
+
+
 def _in_article(node: Node | None) -> bool:
     while node is not None:
         if node.tag in ("article", "main"):
@@ -108,6 +136,8 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str | None]]]:
         if tag in HEADINGS and now.tag == "header" and not _in_article(now):
             drop = True
         node = Node(tag, now, drop)
+        if m[4] and not m[4].isspace():
+            _hints(node, m[4])
         now.kids.append(node)
         if tag == "br":
             out.append((now, " "))
@@ -161,18 +191,21 @@ def measure(root: Node, pieces: list[tuple[Node, str | None]]) -> Node:
         if c:
             base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
             node.density = c / t * math.log(max(1.0, c / max(1, lc) * t / lt) + 1) / math.log(base + 1)
+        if node.hint:
+            node.density *= HINTED
     return body
 
 
 def main_node(body: Node) -> Node:
     """The subtree with the main text."""
-    core, best, stack = body, -1.0, [body]
+    core, best, stack = body, -1.0, [(body, 1.0)]
     while stack:
-        node = stack.pop()
-        total = sum(k.density for k in node.kids)
+        node, weight = stack.pop()
+        weight *= HINTED if node.hint else 1.0
+        total = weight * sum(k.density for k in node.kids)
         if node is not body and total > best:
             core, best = node, total
-        stack += node.kids
+        stack += [(k, weight) for k in node.kids]
     path, node = [], core
     while node is not None and node is not body:
         path.append(node)
@@ -202,6 +235,13 @@ def main_text(page: str | None) -> str:
     root, pieces = parse(page)
     chosen = main_node(measure(root, pieces))
     inside, out, now = {id(chosen): True}, [], []
+    stack = [chosen]
+    while stack:
+        for k in stack.pop().kids:
+            if _confirmed(k):
+                inside[id(k)] = False
+            else:
+                stack.append(k)
 
     def within(node: Node | None) -> bool:
         chain = []

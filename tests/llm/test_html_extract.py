@@ -25,6 +25,12 @@ def test_density_without_declared_container():
     assert main_text(page).count("\n\n") == 4 and "one" not in main_text(page)
 
 
+def test_ordinary_words_in_classes_stay():
+    inside = '<section id="related-work"><p>other work</p></section><h2 id="share-prices">prices</h2><p class="notice-period">three months</p><div class="post social"><p>posted text</p></div>'
+    page = f'<body><article><p>text</p>{inside}<div class="related"><a href=1>more of it</a></div><div class="newsletter">mail<input></div></article></body>'
+    assert main_text(page).split("\n\n") == ["text", "other work", "prices", "three months", "posted text"]
+
+
 def test_column(spark):
     df = spark.createDataFrame([(1, PAGE, "t"), (2, None, "t"), (3, "<p>" + "w " * 100_000, "t")], "page_id long, html string, kind string")
     got = {r.page_id: r for r in extract_text(df).collect()}
