@@ -2,8 +2,9 @@
 
 For every DOM node: characters and tags below it, those inside links, and from them a link-adjusted
 density of characters per tag. A node's sum is that of its children's densities; the node with the
-largest sum is the core, the smallest density on its path to the body is the threshold, and the
-subtree that holds the core and keeps to the threshold is the main text. Containers that are no
+largest sum is the core, the smallest density on its path to the body is the threshold, and the core
+and the subtrees beside its path that reach the threshold are the main text. A declared article or
+main around the core goes first; a main that holds several articles counts as a whole. Containers that are no
 content whatever their density (by element, role or being hidden) leave before counting. Words of
 boilerplate in a class or id lower a node's density; in the main text a node leaves only if one of its
 classes or its id is such a word and most of its text is links or it holds a form.
@@ -196,46 +197,57 @@ def measure(root: Node, pieces: list[tuple[Node, str | None]]) -> Node:
     return body
 
 
-def main_node(body: Node) -> Node:
-    """The subtree with the main text."""
-    core, best, stack = body, -1.0, [(body, 1.0)]
+def main_nodes(body: Node) -> list[Node]:
+    """The subtrees with the main text."""
+    core, best, stack = body, 0.0, [(body, 1.0)]
     while stack:
         node, weight = stack.pop()
         weight *= HINTED if node.hint else 1.0
         total = weight * sum(k.density for k in node.kids)
-        if node is not body and total > best:
+        if total > best:
             core, best = node, total
         stack += [(k, weight) for k in node.kids]
     path, node = [], core
     while node is not None and node is not body:
         path.append(node)
         node = node.up
-    for node in path:  # a declared container of the core goes before the densities
-        if node.tag in ("article", "main"):
-            return node
-    declared, stack = [], [body]
+    # a declared container of the core goes before the densities
+    declared = [n for n in path if n.tag in ("article", "main")]
+    if declared:
+        several = [n for n in declared if n.tag == "main" and len(_declared(n)) > 1]
+        return several[-1:] or declared[:1]
+    found = _declared(body)
+    if found:
+        return found
+    if core is body or not core.chars:
+        return [body]
+    # up from the core, with the subtrees beside the path that reach its smallest density
+    threshold, chosen, inner = min([n.density for n in path] + [body.density]), [core], core
+    while inner is not body:
+        chosen += [k for k in inner.up.kids if k is not inner and k.chars and k.density >= threshold]
+        inner = inner.up
+    return chosen
+
+
+def _declared(top: Node) -> list[Node]:
+    """The outermost articles and mains with text below a node; of nested ones only the outer."""
+    out, stack = [], list(top.kids)
     while stack:
         node = stack.pop()
         if node.tag in ("article", "main") and node.chars:
-            declared.append(node)
+            out.append(node)
         else:
             stack += node.kids
-    if declared:
-        return max(declared, key=lambda n: (sum(k.density for k in n.kids), n.chars))
-    threshold = min([n.density for n in path] + [body.density])
-    rest = body.chars - (path[-1].chars if path else 0)
-    if path and path[-1].density >= threshold and rest * 4 < body.chars:
-        return path[-1]
-    return body
+    return out
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     root, pieces = parse(page)
-    chosen = main_node(measure(root, pieces))
-    inside, out, now = {id(chosen): True}, [], []
-    stack = [chosen]
+    chosen = main_nodes(measure(root, pieces))
+    inside, out, now = {id(n): True for n in chosen}, [], []
+    stack = list(chosen)
     while stack:
         for k in stack.pop().kids:
             if _confirmed(k):

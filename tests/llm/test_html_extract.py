@@ -31,6 +31,22 @@ def test_ordinary_words_in_classes_stay():
     assert main_text(page).split("\n\n") == ["text", "other work", "prices", "three months", "posted text"]
 
 
+def test_threshold_leaves_an_inner_container():
+    text = "".join(f"<p>{'a long sentence of running text ' * 8}{i}.</p>" for i in range(5))
+    links = "".join(f"<a href={i}>link</a>" for i in range(9))
+    assert "link" not in main_text(f"<body><div id=page><div>{links}</div><div>{text}</div></div></body>")
+    both = main_text(f"<body><div id=page><div>{links}</div><div>{text}</div><div>{text}</div></div></body>")
+    assert both.count("\n\n") == 9 and "link" not in both
+
+
+def test_several_articles():
+    page = "<body><main>" + "".join(f"<article><p>{f'text of number {i} ' * (i + 3)}</p></article>" for i in range(3)) + "</main></body>"
+    assert main_text(page).count("\n\n") == 2
+    assert main_text(page.replace("main>", "div>")).count("\n\n") == 2
+    long = "".join(f"<p>{'many words of a long text ' * 9}{i}.</p>" for i in range(6))
+    assert main_text(f"<body><main><article>{long}</article><article><p>a short one</p></article></main></body>").endswith("a short one")
+
+
 def test_column(spark):
     df = spark.createDataFrame([(1, PAGE, "t"), (2, None, "t"), (3, "<p>" + "w " * 100_000, "t")], "page_id long, html string, kind string")
     got = {r.page_id: r for r in extract_text(df).collect()}
