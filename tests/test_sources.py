@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from civicframe.operators.joins import CheckFailed
-from civicframe.plans.catalog import FILTERS, DatasetQuery, QueryError, intent, level_of, validated
+from civicframe.plans.catalog import FILTERS, DatasetQuery, QueryError, level_of, validated
 from civicframe.plans.catalog_queries import BUILDERS
 from civicframe.sources import readers as R, sinks as K
 from civicframe.streaming.months import upsert
@@ -107,18 +107,6 @@ def test_requests():
     assert [level_of(DatasetQuery("mef_irpef_comunale", code=c)) for c in ("01", "001", "001001")] == ["region", "province", "municipality"]
 
 
-@pytest.mark.parametrize(
-    "question,expected",
-    [
-        ("Quanto hanno speso i Comuni nel 2025?", DatasetQuery("siope_comuni", year=2025)), ("Pagamenti dei comuni in Calabria 2025", DatasetQuery("siope_comuni", year=2025, region="Calabria")),
-        ("Quanto ha speso lo Stato nel 2026?", DatasetQuery("openbdap_spesa_stato", year=2026)), ("Imposta netta dichiarata nel Lazio 2024", DatasetQuery("mef_irpef_comunale", year=2024, level="region", region="Lazio")),
-        ("Chi è corrotto?", "refusal"), ("aiuto", "help"), ("Quanto ha speso lo Stato?", "help"),
-    ],
-)
-def test_intents(question, expected):
-    assert intent(question) == expected
-
-
 def test_upsert_is_idempotent(spark, tmp_path):
     target = str(tmp_path / "u")
     a = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
