@@ -11,16 +11,19 @@ traversal prunes node pairs whose sizes or largest possible overlap rule a link
 documents are all linked already. What survives is compared in full by a join of the whole sets.
 The first traversal is the hub against its tree, which links groups of copies without listing their
 pairs; the second is the tree against itself, for pairs that the first has not joined.
-A block above NODE documents is cut into nodes by size class and salt, and pairs of nodes are
-traversed in tasks of their own. Links give components by alternating stars.
+A block above NODE documents is cut into nodes by size class and min-hash. Each node is summed up
+where its documents are; pairs of these summaries are pruned first, and documents go only to tasks of
+pairs that are left. Links give components by alternating stars.
 
 Null, empty and white-space texts have no shingles and link with nothing; their component is their
 own identifier. A text with fewer than k words is one shingle. Rows with the same identifier are one
-document with several sets, linked through it. An empty table gives an empty table.
+document with several sets, linked through it. Equal rows get equal results. Texts of any length are
+read whole. An empty table gives an empty table. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,24 +31,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from civicframe.llm.common import BROADCAST_ROWS, bounded_sample, table, written
+from civicframe.llm.common import BROADCAST_ROWS, bounded_sample, free_name, table, written
 from civicframe.llm.components import connected_components
-from civicframe.llm.shingles import shingle_sets
+from civicframe.llm.shingles import by_bytes, shingle_sets
 
 #: Documents of a node that is traversed in a task; leaves and fan-out of the trees within.
 NODE, LEAF = 4096, 8
 #: Members of small blocks that share a task, on average.
 BUNDLE = 1000
-#: Sampled documents, and in how many of them a shingle counts as frequent.
-HOT_SAMPLE, HOT_COUNT = 4000, 12
+#: Sampled documents, in how many of them a shingle counts as frequent, and bound on these shingles.
+HOT_SAMPLE, HOT_COUNT, HOT_MOST = 4000, 12, 200_000
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _batches(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def _lists(sets: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -54,7 +52,7 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
     """One bit per shingle in 256 to 32768 bits, two to four for each; a shorter one is the longer one's fold."""
-    bits = 1 << min(15, max(8, (2 * len(shingles) - 1).bit_length()))
+    bits = _bits_of(len(shingles))
     flags = np.zeros(bits, np.uint8)
     flags[(shingles & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").view(np.uint64)
@@ -72,19 +70,19 @@ def shingled_docs(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFr
 
     def run(batches):
         for whole in batches:
-            for b in _batches(whole):
+            for b in by_bytes(whole, 1):
                 yield pa.RecordBatch.from_arrays([b.column(0), _lists(shingle_sets(b.column(1), k))], ["id", "shingles"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, shingles array<long>")
 
 
 def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, k: int) -> np.ndarray:
-    """Shingles of at least HOT_COUNT of at most HOT_SAMPLE documents: they go last in the order."""
+    """Shingles of at least HOT_COUNT of at most HOT_SAMPLE documents, the most frequent HOT_MOST of them: they go last in the order."""
     chosen = bounded_sample(docs.select(F.col(id_col).alias("sample_id")), "sample_id", HOT_SAMPLE)
     some = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("sample_id"), "left_semi")
     rows = (
         shingled_docs(some, id_col, text_col, k).select(F.explode("shingles").alias("s"))
-        .groupBy("s").count().filter(F.col("count") >= HOT_COUNT).select("s").collect()
+        .groupBy("s").count().filter(F.col("count") >= HOT_COUNT).orderBy(F.desc("count"), "s").limit(HOT_MOST).select("s").collect()
     )
     return np.sort(np.array([r.s for r in rows], np.int64).view(np.uint64))
 
@@ -97,7 +95,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, de
     def run(batches):
         hot = shared.value
         for whole in batches:
-            for b in _batches(whole):
+            for b in by_bytes(whole, 1):
                 sets = shingle_sets(b.column(1), k)
                 n = np.array([len(s) for s in sets], np.int64)
                 flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
@@ -136,18 +134,27 @@ def block_members(reps: DataFrame) -> DataFrame:
 
 
 def in_reach(members: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """Of labelled block members (hub, rep, n, label) those with another of near size and other label in their block."""
+    """Of block members (hub, hub_n, rep, n) those with another of near size and other label (a component) in their block.
+
+    Gives hub, rep, n, label, class (of size), block_n (members of the block), cuts (nodes by class). What is known of a
+    block is written before it is joined, so that AQE can split a block's members.
+    """
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
     both = members.select("hub", "rep", "n").union(members.select("hub", "hub", "hub_n").distinct())
-    named = both.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("hub", "rep", "n", F.coalesce("component", "rep").alias("label"), size_class.alias("class"))
+    label = F.coalesce("component", "rep").alias("label")
+    named = both.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("hub", "rep", "n", label, size_class.alias("class"))
+    named = written(named, "named")
     kinds = named.groupBy("hub", "class").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("c"))
+    kinds = written(kinds, "kinds")
     reach = (
         kinds.select("hub", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), "low", "high")
         .groupBy("hub", "class").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("hub", "class")
     )
     # two members are hub and other, which the first traversal has compared
-    more = kinds.groupBy("hub").agg(F.sum("c").alias("block_n"), F.map_from_entries(F.collect_list(F.struct("class", F.ceil(F.col("c") / NODE).cast("int")))).alias("cuts")).filter("block_n > 2")
-    return named.join(reach, ["hub", "class"], "left_semi").join(more, "hub")
+    cuts = F.map_from_entries(F.collect_list(F.struct("class", F.ceil(F.col("c") / NODE).cast("int"))))
+    more = kinds.groupBy("hub").agg(F.sum("c").alias("block_n"), cuts.alias("cuts")).filter("block_n > 2")
+    known = written(reach.join(more, "hub"), "reach")
+    return named.join(known, ["hub", "class"])
 
 
 class Forest:
@@ -169,18 +176,23 @@ class SignatureTree:
     """Levels of nodes over documents in min-hash order; level 0 are leaves of LEAF documents.
 
     maps: bitmaps of one length (rows); own: which documents have this length themselves (pairs of
-    documents that have not are another tree's).
+    documents that have not are another tree's); side: with two of them only pairs across are asked for.
     """
 
-    def __init__(self, n: np.ndarray, lead: np.ndarray, maps: np.ndarray, labels: list, own: np.ndarray):
-        order = np.lexsort((n, lead))
-        self.ids, self.n, self.maps, self.own = order, n[order], maps[order], own[order]
+    def __init__(self, n: np.ndarray, lead: np.ndarray, maps: np.ndarray, labels: list, own: np.ndarray, side: np.ndarray):
+        order = np.lexsort((n, lead, side))
+        self.ids, self.n, self.maps, self.own, self.side = order, n[order], maps[order], own[order], side[order]
+        self.across = len(np.unique(side)) > 1
         self.ones = np.bitwise_count(self.maps).sum(1).astype(np.int64)
         self.forest = Forest([labels[i] for i in order])
         self.levels, self.one = [], set()
         up, low, high, extra = self.maps, self.n, self.n, self.n - self.ones
+        one, two = self.side, self.side
+        self.sides = []
         while True:
             at = np.arange(0, len(up), LEAF)
+            one, two = np.minimum.reduceat(one, at), np.maximum.reduceat(two, at)
+            self.sides.append((one, two))
             up, low, high, extra = np.bitwise_or.reduceat(up, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(extra, at)
             self.levels.append((up, low, high, extra))
             if len(up) == 1:
@@ -228,6 +240,8 @@ class SignatureTree:
         while stack:
             level, i, j = stack.pop()
             maps, low, high, extra = self.levels[level]
+            if self.across and self._beside(level, i, j):
+                continue
             if i != j:
                 if num * low[i] > den * high[j] or num * low[j] > den * high[i]:
                     continue
@@ -241,8 +255,15 @@ class SignatureTree:
                 stack += [(level - 1, a, b) for a in self.below(level, i) for b in self.below(level, j) if i != j or a <= b]
             else:
                 out += [(x, y) for x, y in self._leaves(self.below(0, i), self.below(0, j), num, den) if (i != j or x < y) and find(x) != find(y)]
+        if self.across:
+            out = [(x, y) for x, y in out if self.side[x] != self.side[y]]
         return [(int(self.ids[a]), int(self.ids[b])) for a, b in out]
 
+    def _beside(self, level: int, i: int, j: int) -> bool:
+        """Whether all documents of two nodes are on one side."""
+        one, two = self.sides[level]
+        return bool(one[i] == two[i] == one[j] == two[j])
+
     def _leaves(self, left: range, right: range, num: int, den: int) -> list[tuple[int, int]]:
         a, b = slice(left.start, left.stop), slice(right.start, right.stop)
         both = np.bitwise_count(self.maps[a][:, None] & self.maps[b][None]).sum(2).astype(np.int64)
@@ -252,62 +273,114 @@ class SignatureTree:
         return [(left.start + int(x), right.start + int(y)) for x, y in zip(*np.nonzero(may))]
 
 
-def trees_of(n: np.ndarray, lead: np.ndarray, maps: list, labels: list, num: int, den: int) -> Iterator[tuple[np.ndarray, SignatureTree]]:
+def trees_of(n: np.ndarray, lead: np.ndarray, maps: list, labels: list, side: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, SignatureTree]]:
     """One tree for each bitmap length, with the documents of the next length that are near enough in size, folded."""
     size = np.array([len(m) for m in maps])
     for bits in np.unique(size):
         at = np.flatnonzero((size == bits) | (size == 2 * bits) & (num * n <= den * n[size == bits].max()))
         rows = np.stack([maps[i] if size[i] == bits else folded(np.asarray(maps[i])[None])[0] for i in at])
-        yield at, SignatureTree(n[at], lead[at], rows, [labels[i] for i in at], size[at] == bits)
+        yield at, SignatureTree(n[at], lead[at], rows, [labels[i] for i in at], size[at] == bits, side[at])
 
 
 def hub_candidates(members: DataFrame, maps: DataFrame, num: int, den: int, bundles: int) -> DataFrame:
     """Distinct pairs (u, v) of hub and member that the hub's way down its block's tree lets through."""
     near = members.filter(F.expr(f"{num} * n <= {den} * hub_n AND {num} * hub_n <= {den} * n"))
     counts = near.groupBy("hub").agg(F.ceil((F.count(F.lit(1)) + 1) / NODE).cast("int").alias("cuts"))
-    cut = near.join(counts, "hub").select("hub", "rep", F.lit(False).alias("is_hub"), F.pmod(F.xxhash64("rep", F.lit(5)), F.col("cuts").cast("long")).cast("int").alias("part"), "cuts")
+    counts = written(counts, "counts")
+    salt = F.pmod(F.xxhash64("rep", F.lit(5)), F.col("cuts").cast("long")).cast("int")
+    cut = near.join(counts, "hub").select("hub", "rep", "n", F.lit(False).alias("is_hub"), salt.alias("part"), "cuts")
     # a large block's members go to several tasks, and the hub to each
-    hubs = counts.select("hub", F.col("hub").alias("rep"), F.lit(True).alias("is_hub"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("part"), "cuts")
-    dealt = cut.union(hubs).withColumn("task", _task("cuts", "part", bundles)).join(maps, "rep").select("hub", "rep", "is_hub", "part", "n", "lead", "map", "task")
+    hubs = near.select("hub", "hub_n").distinct().join(counts, "hub")
+    hubs = hubs.select("hub", F.col("hub").alias("rep"), F.col("hub_n").alias("n"), F.lit(True).alias("is_hub"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("part"), "cuts")
+    dealt = cut.union(hubs).withColumn("task", _task("cuts", "part", bundles)).join(maps, ["rep", "n"])
+    dealt = dealt.select("hub", "rep", "is_hub", "part", "n", "lead", "map", "task")
 
     def traverse(frame: pd.DataFrame) -> pd.DataFrame:
         out: set = set()
         for (hub, _), block in frame.groupby(["hub", "part"], sort=False):
             block = block.reset_index(drop=True)
-            reps, (own,) = block.rep.tolist(), np.flatnonzero(block.is_hub.to_numpy())
-            for at, tree in _trees(block, list(range(len(reps))), num, den):
-                where = np.flatnonzero(at == own)
-                out.update((hub, reps[at[b]]) for b in (tree.from_one(int(where[0]), num, den) if len(where) else ()))
+            reps, own = block.rep.tolist(), np.flatnonzero(block.is_hub.to_numpy())
+            for at, tree in _trees(block, list(range(len(reps))), np.zeros(len(reps), int), num, den):
+                for where in np.flatnonzero(np.isin(at, own)):
+                    out.update((hub, reps[at[b]]) for b in tree.from_one(int(where), num, den) if reps[at[b]] != hub)
         return pd.DataFrame(sorted(out), columns=["u", "v"])
 
     kind = members.schema["rep"].dataType.simpleString()
     return dealt.groupBy("task").applyInPandas(traverse, f"u {kind}, v {kind}").distinct()
 
 
+def node_members(members: DataFrame, maps: DataFrame) -> DataFrame:
+    """Members of large blocks with their node: a range of min-hashes within a size class, cut further where equal ones are many."""
+    x = (F.col("lead").cast("double") + F.when(F.col("lead") < 0, F.lit(2.0**64)).otherwise(F.lit(0.0))) / F.lit(2.0**64)
+    cuts = F.try_element_at("cuts", F.col("class"))
+    place = F.least(cuts - 1, F.floor(cuts * (1 - F.exp(-F.col("n") * x))).cast("int"))  # the least of n hashes, made uniform
+    placed = written(members.join(maps, ["rep", "n"]).select("hub", "rep", "label", "n", "class", "lead", "map", place.alias("place")), "placed")
+    sizes = placed.groupBy("hub", "class", "place").agg(F.ceil(F.count(F.lit(1)) / NODE).cast("long").alias("parts"))
+    node = F.concat_ws(",", "place", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts")))
+    return placed.join(written(sizes, "sizes"), ["hub", "class", "place"]).withColumn("node", node).drop("place", "parts")
+
+
+def _bits_of(n: int) -> int:
+    """Length of a bitmap of n shingles."""
+    return 1 << min(15, max(8, (2 * n - 1).bit_length()))
+
+
+def node_pairs(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(hub, class, node, part, side) for both nodes of every pair that may hold links: the tree's uppermost traversal.
+
+    A node is one row: OR of its bitmaps, range of sizes, most shingles that share a bit, range of labels. The bitmaps
+    are as long as those of the smallest size of the class, and once more as those of the class below.
+    """
+
+    def summed(frame: pd.DataFrame) -> pd.DataFrame:
+        kind, n, out = int(frame["class"].iloc[0]), frame.n.to_numpy(), []
+        for below in (0, 1):
+            bits = _bits_of(max(1, math.floor((den / num) ** (kind - below) * (1 - 1e-9))))
+            total, extra = np.zeros(bits // 64, np.uint64), 0
+            for size, m in zip(n, frame["map"]):
+                m = np.asarray(m, np.int64).view(np.uint64)[None]
+                while m.shape[1] * 64 > bits:
+                    m = folded(m)
+                total |= m[0]
+                extra = max(extra, int(size) - int(np.bitwise_count(m).sum()))
+            out += [total.view(np.int64).tolist(), extra]
+        row = (frame.hub.iloc[0], kind, frame.node.iloc[0], int(n.min()), int(n.max()), frame.label.min(), frame.label.max(), *out)
+        return pd.DataFrame([row], columns=["hub", "class", "node", "low", "high", "first", "last", "map", "extra", "map_below", "extra_below"])
+
+    kind = nodes.schema["label"].dataType.simpleString()
+    schema = f"hub {nodes.schema['hub'].dataType.simpleString()}, class int, node string, low long, high long, first {kind}, last {kind}, map array<long>, extra long, map_below array<long>, extra_below long"
+    sums = written(nodes.groupBy("hub", "class", "node").applyInPandas(summed, schema), "node-sums")
+    a = sums.select("hub", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("b_class"), F.struct("class", "node", "low", "high", "first", "last", "map", "extra").alias("a"))
+    b = sums.select("hub", F.col("class").alias("b_class"), F.struct("class", "node", "low", "high", "first", "last", "map", "extra", "map_below", "extra_below").alias("b"))
+    pairs = a.join(b, ["hub", "b_class"]).filter("a.class < b.class OR a.node <= b.node")
+    overlap = "aggregate(zip_with(a.map, IF(a.class = b.class, b.map, b.map_below), (x, y) -> CAST(bit_count(x & y) AS BIGINT)), 0L, (s, x) -> s + x)"
+    most = f"{overlap} + least(a.extra, IF(a.class = b.class, b.extra, b.extra_below))"
+    left = pairs.filter(
+        F.expr(f"{num} * a.low <= {den} * b.high AND {num} * b.low <= {den} * a.high")
+        & F.expr("NOT (a.first = a.last AND b.first = b.last AND a.first = b.first)")
+        & F.expr(f"(a.class = b.class AND a.node = b.node) OR ({most}) * {num + den} >= {num} * (a.low + b.low)")
+    )
+    part = F.concat_ws("|", "a.class", "a.node", "b.class", "b.node").alias("part")
+    both = left.select("hub", part, F.array(F.struct("a.class", "a.node", F.lit(0).alias("side")), F.struct("b.class", "b.node", F.lit(1).alias("side"))).alias("nodes"))
+    return both.select("hub", "part", F.explode(F.array_distinct(F.expr("IF(nodes[0].class = nodes[1].class AND nodes[0].node = nodes[1].node, slice(nodes, 1, 1), nodes)"))).alias("x")).select("hub", "part", "x.*")
+
+
 def pair_candidates(members: DataFrame, maps: DataFrame, num: int, den: int, bundles: int) -> DataFrame:
     """Distinct pairs (u, v) of members, not linked yet, that their block's tree against itself lets through."""
-    small = members.filter(F.col("block_n") <= NODE).select("hub", "rep", "label", F.lit("").alias("part"), F.lit(1).alias("cuts"))
-    # a larger block: nodes by size class and salt; a document goes to every pair of nodes that its node is in
-    own, up, down = F.col("cuts")[F.col("class")], F.coalesce(F.try_element_at("cuts", F.col("class") + 1), F.lit(0)), F.coalesce(F.try_element_at("cuts", F.col("class") - 1), F.lit(0))
-    salt = F.pmod(F.xxhash64("rep", F.lit(5)), own.cast("long")).cast("int")
-
-    def upto(n):
-        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-    pairs = F.concat(
-        F.transform(upto(own), lambda j: F.concat_ws(",", F.col("class"), F.least(j, salt), F.col("class"), F.greatest(j, salt))),
-        F.transform(upto(up), lambda j: F.concat_ws(",", F.col("class"), salt, F.col("class") + 1, j)),
-        F.transform(upto(down), lambda j: F.concat_ws(",", F.col("class") - 1, j, F.col("class"), salt)),
-    )
-    large = members.filter(F.col("block_n") > NODE).withColumn("part", F.explode(pairs)).select("hub", "rep", "label", "part", F.lit(2).alias("cuts"))
-    dealt = small.union(large).withColumn("task", _task("cuts", "part", bundles)).join(maps, "rep").select("hub", "rep", "label", "part", "n", "lead", "map", "task")
+    members = written(members, "open-members")
+    small = members.filter(F.col("block_n") <= NODE).join(maps, ["rep", "n"]).select("hub", "rep", "label", F.lit("").alias("part"), F.lit(0).alias("side"), "n", "lead", "map", F.lit(1).alias("cuts"))
+    # a larger block: its nodes in pairs
+    nodes = written(node_members(members.filter(F.col("block_n") > NODE), maps), "nodes")
+    pairs = written(node_pairs(nodes, num, den), "node-pairs")
+    large = nodes.join(pairs, ["hub", "class", "node"]).select("hub", "rep", "label", "part", "side", "n", "lead", "map", F.lit(2).alias("cuts"))
+    dealt = small.union(large).withColumn("task", _task("cuts", "part", bundles))
 
     def traverse(frame: pd.DataFrame) -> pd.DataFrame:
         out: set = set()
         for _, block in frame.groupby(["hub", "part"], sort=False):
             reps, labels = block.rep.tolist(), block.label.tolist()
             if len(set(labels)) > 1:
-                for at, tree in _trees(block, labels, num, den):
+                for at, tree in _trees(block, labels, block.side.to_numpy(), num, den):
                     out.update(tuple(sorted((reps[at[a]], reps[at[b]]))) for a, b in tree.pairs(num, den))
         return pd.DataFrame(sorted(out), columns=["u", "v"])
 
@@ -320,9 +393,9 @@ def _task(cuts: str, part: str, bundles: int):
     return F.when(F.col(cuts) == 1, F.pmod(F.xxhash64("hub"), F.lit(bundles))).otherwise(F.xxhash64("hub", part))
 
 
-def _trees(block: pd.DataFrame, labels: list, num: int, den: int):
+def _trees(block: pd.DataFrame, labels: list, side: np.ndarray, num: int, den: int):
     maps = [np.asarray(m, np.int64).view(np.uint64) for m in block["map"]]
-    return trees_of(block.n.to_numpy(), block.lead.to_numpy(), maps, labels, num, den)
+    return trees_of(block.n.to_numpy(), block.lead.to_numpy(), maps, labels, side, num, den)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
@@ -346,14 +419,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     which = ["n", "c1", "c2"]
     sets = signed.filter("n > 0 AND id IS NOT NULL").select("id", *which)
     classes = written(sets.groupBy(*which).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")), "classes")
-    later = sets.join(classes.filter("c > 1").select(*which, "rep"), which).filter("id <> rep").select(F.col("id").alias("later")).distinct()
+    later = sets.join(classes.filter("c > 1").select(*which, "rep"), which).filter("id <> rep").select("id", *which).distinct()
     if later.count() <= BROADCAST_ROWS:
         later = F.broadcast(later)
-    reps = signed.filter("n > 0 AND id IS NOT NULL").join(later, F.col("id") == F.col("later"), "left_anti").withColumnRenamed("id", "rep")
+    reps = signed.filter("n > 0 AND id IS NOT NULL").join(later, ["id", *which], "left_anti").withColumnRenamed("id", "rep")
     maps = reps.select("rep", "n", "lead", "map")
+    # an identifier with several sets joins their classes
+    several = sets.groupBy("id").agg(F.min(F.struct(*which)).alias("a"), F.max(F.struct(*which)).alias("b")).filter("a <> b").select("id")
+    through = written(sets.join(several, "id", "left_semi").join(classes, which).filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct(), "through")
     members = written(block_members(reps), "members")
     bundles = max(16, members.count() // BUNDLE)
-    first = verified(hub_candidates(members, maps, num, den, bundles), docs, id_col, text_col, k, num, den)
+    first = verified(hub_candidates(members, maps, num, den, bundles), docs, id_col, text_col, k, num, den).union(through)
     second = verified(pair_candidates(in_reach(members, connected_components(first), num, den), maps, num, den, bundles), docs, id_col, text_col, k, num, den)
     names = connected_components(first.union(second))
     named = classes.join(names, F.col("rep") == F.col("node"), "left").select(*which, F.coalesce("component", "rep").alias("component_id"))
@@ -365,9 +441,13 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates the document with the smallest identifier."""
+    """Pipeline stage: of each group of near duplicates the document with the smallest identifier, with all its columns.
+
+    Texts without words and rows without an identifier stay; so do all rows of the identifier that stays.
+    """
     groups = jaccard_components(docs.select(id_col, text_col), id_col, text_col, k, num, den)
-    drop = groups.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("drop_id"))
+    (gone,) = free_name(docs, "gone")
+    drop = groups.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias(gone)).distinct()
     if drop.count() <= BROADCAST_ROWS:
         drop = F.broadcast(drop)
-    return docs.join(drop, F.col(id_col) == F.col("drop_id"), "left_anti")
+    return docs.join(drop, F.col(id_col) == F.col(gone), "left_anti")

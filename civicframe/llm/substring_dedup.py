@@ -28,8 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from civicframe.llm.common import BROADCAST_ROWS, WORD, table, written
-from civicframe.llm.ngram_join import _batches
-from civicframe.llm.shingles import mix, shingled, word_hashes
+from civicframe.llm.shingles import by_bytes, mix, shingled, word_hashes
 
 K, WORDS, HASHES, ENOUGH, SIMILARITY = 5, 50, 4, 2, 0.8
 #: Weight of a mismatch when a passage must have none.
@@ -100,7 +99,7 @@ def window_rows(docs: DataFrame, id_col: str, text_col: str, spans: bool = True)
 
     def run(batches):
         for whole in batches:
-            for b in _batches(whole, 2000):
+            for b in by_bytes(whole, 1):
                 grams, ends = _sequences(b.column(1))
                 for a in range(0, b.num_rows, 200):  # so few that places fit into 24 bits
                     part = ends[a : min(a + 200, b.num_rows) + 1]
@@ -163,7 +162,7 @@ def stretches(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str) ->
 
     def run(batches):
         for whole in batches:
-            for b in _batches(whole, 200):
+            for b in by_bytes(whole, 0):
                 grams, ends = _sequences(b.column(0))
                 small = (grams >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 pairs, begins, parts = [], [], []

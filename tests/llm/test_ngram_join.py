@@ -71,7 +71,7 @@ def test_tree_loses_no_pair():
             sets.append(np.unique(np.where(rng.random(len(base)) < 0.05, rng.integers(0, 1 << 62, len(base)).astype(np.uint64), base)))
     n, lead, maps = np.array([len(s) for s in sets]), np.array([s[0] for s in sets]).view(np.int64), [N.bitmap(s) for s in sets]
     found, ways = set(), collections.defaultdict(set)
-    for at, tree in N.trees_of(n, lead, maps, list(range(len(sets))), 85, 100):
+    for at, tree in N.trees_of(n, lead, maps, list(range(len(sets))), np.zeros(len(sets), int), 85, 100):
         found |= {tuple(sorted((int(at[a]), int(at[b])))) for a, b in tree.pairs(85, 100)}
         place = {int(x): i for i, x in enumerate(at)}
         for a in (int(x) for i, x in enumerate(at) if tree.own[np.flatnonzero(tree.ids == i)[0]]):
@@ -86,6 +86,44 @@ def test_tree_loses_no_pair():
     assert links and links <= found and len(found) < 4 * len(links)
 
 
+def test_sides_give_the_pairs_across():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 62, 90).astype(np.uint64)
+    sets = [np.unique(np.append(base[rng.random(90) < 0.95], rng.integers(0, 1 << 62, 3).astype(np.uint64))) for _ in range(50)]
+    n, lead, maps = np.array([len(s) for s in sets]), np.array([s[0] for s in sets]).view(np.int64), [N.bitmap(s) for s in sets]
+    side = np.arange(50) % 2
+    whole, across = set(), set()
+    for found, sides in ((whole, side * 0), (across, side)):
+        for at, tree in N.trees_of(n, lead, maps, list(range(50)), sides, 85, 100):
+            found |= {tuple(sorted((int(at[a]), int(at[b])))) for a, b in tree.pairs(85, 100)}
+    assert across and across == {(a, b) for a, b in whole if side[a] != side[b]}
+
+
+def test_repeated_identifiers(spark):
+    """An identifier with several texts joins their components."""
+    rng = np.random.default_rng(3)
+    one, base = ([f"w{j}" for j in rng.integers(0, 900, 60)] for _ in range(2))
+    rows = [(1, one), (2, one), (2, base), (5, [*base, "more"]), (7, one[:20]), (7, one[:20]), (8, base[:9]), (8, [])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = [(r.doc_id, r.component_id) for r in N.jaccard_components(df).collect()]
+    assert sorted(got) == [(1, 1), (2, 1), (2, 1), (5, 1), (7, 7), (7, 7), (8, 8), (8, 8)]
+    kept = N.one_of_each(df.selectExpr("*", "1 AS drop_id", "2 AS gone"))
+    assert kept.columns == ["doc_id", "text", "drop_id", "gone"] and sorted(r.doc_id for r in kept.collect()) == [1, 7, 7, 8, 8]
+
+
+def test_shingles_of_blocks(monkeypatch):
+    from civicframe.llm import shingles
+
+    texts = pa.array(["x" * 70 + " b c", None, "", "a b  c d e" * 30, " ", "é" * 40, "z"])
+    hashes, at = shingles.word_hashes(texts)
+    monkeypatch.setattr(shingles, "BLOCK", 16)
+    again, at_again = shingles.word_hashes(texts)
+    assert (hashes == again).all() and (at == at_again).all() and at[-1] == len(hashes) == 3 + 121 + 1 + 1
+    batch = pa.record_batch([pa.array(range(7)), texts], ["id", "text"])
+    parts = list(shingles.by_bytes(batch, 1, 75, 3))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(7)) and [p.num_rows for p in parts] == [3, 1, 1, 1, 1]
+
+
 def test_shingles_of_slices():
     whole = pa.array(["x", "a b c d e", None, "", "A B C D E", "long " * 5])
     sets = shingle_sets(whole.slice(1), 4)
