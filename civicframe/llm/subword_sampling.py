@@ -6,7 +6,8 @@ weights of each stretch give every edge its conditional probability, so a whole
 by walking edges. Sampling without replacement is a best-first search over sets of segmentations: a
 set's key is the largest Gumbel-perturbed log-probability within it. Popping a set draws its best
 member, and the rest of the set is split by the first edge that differs; each part gets a Gumbel of
-its own mass, truncated at its parent's. The keys are exact, so the first k members popped are k
+its own mass, truncated at its parent's. Masses are kept as logarithms, that of what leaves a path as
+the sum of the other edges, so no set is too small to be drawn: the first k members popped are k
 segmentations without replacement, in order; the next key is the threshold of their inclusion
 probabilities. Parts far down a text are kept together and split only when they are popped.
 
@@ -15,8 +16,10 @@ model file, read on the driver and broadcast; a piece of merge rank r weighs (r
 characters without a piece fall back to bytes. Spaces are kept as they are; decoding gives the text back.
 
 Null and empty texts have the one empty segmentation, with log-probability 0 and inclusion 1. A text
-with fewer than k segmentations has fewer samples. Null keys count as key 0. Repeated rows with equal
-keys and texts get equal samples. Texts of any length are read whole; other columns stay.
+with fewer than k segmentations has all of them, with inclusion 1. Null keys count as one key.
+Repeated rows with equal keys and texts get equal samples; of samples with equal values the one drawn
+first is first. Texts of any length are read whole. An empty table gives an empty table. Other columns
+stay; a new column whose name is taken gets a _ behind its name.
 """
 
 from __future__ import annotations
@@ -33,13 +36,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from civicframe.llm.common import free_name, table
+from civicframe.llm.shingles import by_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, ALPHA, SEED = 2, 1.0, 3
 #: Splits of a set that are made at once; what lies further down is one set until it is popped.
 NEAR = 48
-#: Stretches whose lattices a worker keeps; older ones go first.
-KEPT = 160_000
+#: Bytes of lattices that a worker keeps, and of texts that it takes at once.
+KEPT, AT_ONCE = 64 << 20, 1 << 18
+#: Bytes of an edge, a node and a stretch (with its text and places in dictionaries), about.
+EDGE, NODE, STRETCH = 24, 8, 400
 FINE, COARSE = r" *(?:[^\W\d_²]+|(?:[\d_²]|[^\w ])+)| +", r" *[^ ]+| +"
 SAMPLED = "array<struct<ids: array<int>, log_prob: double, inclusion: double>>"
 BUCKET_BITS = 17
@@ -48,7 +54,7 @@ _M1, _M2, _M3, _M4 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB13311
 
 
 def load_vocabulary(path: str = MODEL, alpha: float = ALPHA) -> dict:
-    """Pieces by id (spaces for the mark) and, by the hashes of pieces and their beginnings, ids (-1: only a beginning) and weights."""
+    """Pieces by id (spaces for the mark) and, by the hashes of pieces and their beginnings, ids (-1: only a beginning) and logarithms of weights."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -62,7 +68,7 @@ def load_vocabulary(path: str = MODEL, alpha: float = ALPHA) -> dict:
             continue
         score = model.get_score(i)
         rank = -score if -1e8 < score <= 0 else size
-        table_of[p] = (i, (rank + 2.7) ** -alpha)
+        table_of[p] = (i, -alpha * math.log(rank + 2.7))
     for p in list(table_of):
         for n in range(1, len(p)):
             table_of.setdefault(p[:n], (-1, 0.0))
@@ -83,7 +89,7 @@ def load_vocabulary(path: str = MODEL, alpha: float = ALPHA) -> dict:
     buckets = np.searchsorted(np.array(hashes, np.uint64)[order] >> np.uint64(64 - BUCKET_BITS), np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64))
     decoding = {"bytes": np.frombuffer(b"".join(raw), np.uint8), "byte_start": np.cumsum([0] + [len(r) for r in raw]), "buckets": buckets.astype(np.int64), "crowd": int(np.diff(buckets).max())}
     arrays = decoding | {"hashes": np.array(hashes, np.uint64)[order], "ids": np.array(ids, np.int64)[order], "weights": np.array(weights)[order]}
-    return arrays | {"plain": plain, "first_byte": first_byte, "pattern": FINE if whole else COARSE, "longest": max(map(len, table_of), default=1), "size": size, "byte_weight": (size + 2.7) ** -alpha}
+    return arrays | {"plain": plain, "first_byte": first_byte, "pattern": FINE if whole else COARSE, "longest": max(map(len, table_of), default=1), "size": size, "byte_weight": -alpha * math.log(size + 2.7)}
 
 
 def mixed_bits(h: np.ndarray, n) -> np.ndarray:
@@ -101,20 +107,23 @@ def uniform(h: np.ndarray) -> np.ndarray:
 
 
 class Lattices:
-    """Edges of stretches' lattices in flat arrays: node -> first edge, edge -> (share up to it, end, piece, log share).
+    """Edges of stretches' lattices in flat arrays: node -> first edge, edge -> (share up to it, end, piece, log share, log share of the node's other edges).
 
     All lattices of a batch are built together: pieces are looked up by rolling hashes, one length at
     a time and only where some piece goes on, and backward weights go from the ends inwards.
     """
 
-    LONG = 64  # longer stretches are rescaled on the way
-
     def __init__(self, vocabulary: dict, room: int = 1 << 12):
         self.v = vocabulary
         self.chunks, self.nodes, self.edges = 0, 0, 0
         self.chunk_node, self.chunk_len = np.zeros(room, np.int64), np.zeros(room, np.int32)
         self.first = np.zeros(room * 8, np.int64)
-        self.upto, self.log, self.end, self.piece = np.zeros(room * 16, np.float32), np.zeros(room * 16, np.float32), np.zeros(room * 16, np.int32), np.zeros(room * 16, np.int32)
+        self.upto, self.log, self.other = np.zeros(room * 16), np.zeros(room * 16, np.float32), np.zeros(room * 16, np.float32)
+        self.end, self.piece = np.zeros(room * 16, np.int32), np.zeros(room * 16, np.int32)
+
+    def size(self) -> int:
+        """Bytes, about."""
+        return self.edges * EDGE + self.nodes * NODE + self.chunks * STRETCH
 
     @staticmethod
     def _put(a: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
@@ -161,18 +170,15 @@ class Lattices:
             starts.append(bare)
             ends.append(bare + 1)
             ids.append(np.where(n_bytes == 1, v["first_byte"] + c, v["size"] + c))
-            weights.append(v["byte_weight"] ** n_bytes)
+            weights.append(v["byte_weight"] * n_bytes)
         # edges by node, longer pieces first
         start, end = np.concatenate(starts[::-1]), np.concatenate(ends[::-1])
         order = np.argsort(start, kind="stable")
         start, end = start[order], end[order]
         piece, weight = np.concatenate(ids[::-1])[order], np.concatenate(weights[::-1])[order]
         first = np.searchsorted(start, np.arange(total + 1))
-        value = self._backward(start, end, weight, first, stop, size)
-        sums = np.add.reduceat(value, first[:-1])
-        share = value / np.repeat(sums, np.diff(first))
-        running = np.cumsum(share)
-        upto = running - np.repeat(running[first[:-1]] - share[first[:-1]], np.diff(first))
+        value, back = self._backward(start, end, weight, first, stop, size)
+        log, other, upto = self._shares(value - back[start], np.arange(len(start)) - first[start], np.diff(first)[start])
         upto[first[1:] - 1] = 2.0
         begin = stop - np.repeat(size, size)
         c0, n0, e0 = self.chunks, self.nodes, self.edges
@@ -181,7 +187,7 @@ class Lattices:
         self.chunk_len = self._put(self.chunk_len, c0, size)
         self.first = self._put(self.first, n0, e0 + first)
         self.upto, self.piece = self._put(self.upto, e0, upto), self._put(self.piece, e0, piece)
-        self.log = self._put(self.log, e0, np.log(np.maximum(share, 1e-300)))
+        self.log, self.other = self._put(self.log, e0, log), self._put(self.other, e0, other)
         self.end = self._put(self.end, e0, end - begin[start])
         self.chunks, self.nodes, self.edges = c0 + len(chunks), n0 + total, e0 + len(start)
 
@@ -200,35 +206,49 @@ class Lattices:
         found = np.flatnonzero(slot >= 0)
         return found, slot[found]
 
-    def _backward(self, start, end, weight, first, stop, size) -> np.ndarray:
-        """Weight of each edge times that of all ways from its end on, up to a factor for each node."""
+    def _backward(self, start, end, weight, first, stop, size) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithms: of each edge's weight times that of all ways from its end on, and of a node's sum of these."""
         total = len(stop)
-        back = np.ones(total + 1)
-        value = np.zeros(len(start))
-        left = (stop - np.arange(total))  # characters from the node to the end of its stretch
+        back, value = np.zeros(total + 1), np.zeros(len(start))
+        left = stop - np.arange(total)  # characters from the node to the end of its stretch
         longest = int(size.max())
         by_left = np.argsort(left, kind="stable")
         bounds = np.searchsorted(left[by_left], np.arange(1, longest + 2))
-        scale = np.zeros(total + 1)  # logarithm by which back is scaled; differs along long stretches only
         for n in range(longest):
             nodes = by_left[bounds[n] : bounds[n + 1]]
             counts = first[nodes + 1] - first[nodes]
-            edge = np.repeat(first[nodes] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+            begins = np.cumsum(counts) - counts
+            edge = np.repeat(first[nodes] - begins, counts) + np.arange(int(counts.sum()))
             to = end[edge]
-            last = to == stop[start[edge]]
-            x = weight[edge] * np.where(last, 1.0, back[to])
-            if longest > self.LONG:
-                of = np.repeat(np.arange(len(nodes)), counts)
-                shift = np.where(last, 0.0, scale[to])
-                top = np.maximum.reduceat(shift, np.cumsum(counts) - counts)
-                x = x * np.exp(np.maximum(shift - top[of], -700.0))
+            x = weight[edge] + np.where(to == stop[start[edge]], 0.0, back[to])
             value[edge] = x
-            sums = np.add.reduceat(x, np.cumsum(counts) - counts)
-            if longest > self.LONG:
-                back[nodes], scale[nodes] = 1.0, top + np.log(sums)
-            else:
-                back[nodes] = sums
-        return value
+            top = np.maximum.reduceat(x, begins)
+            back[nodes] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, counts)), begins))
+        return value, back
+
+    @staticmethod
+    def _shares(x: np.ndarray, rank: np.ndarray, degree: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log share, log share of the node's other edges, share up to here) of edges with log shares x, of a node's edges number rank."""
+        most = int(degree.max())
+        before, after = np.full(len(x), -np.inf), np.full(len(x), -np.inf)
+        order = np.argsort(rank, kind="stable")
+        bounds = np.searchsorted(rank[order], np.arange(most + 1))
+        for r in range(1, most):
+            at = order[bounds[r] : bounds[r + 1]]
+            before[at] = np.logaddexp(before[at - 1], x[at - 1])
+        for r in range(most - 2, -1, -1):
+            at = order[bounds[r] : bounds[r + 1]]
+            at = at[degree[at] > r + 1]
+            after[at] = np.logaddexp(after[at + 1], x[at + 1])
+        other = np.logaddexp(before, after)
+        log = np.where(other < -0.7, np.log1p(-np.exp(np.minimum(other, -0.7))), x)
+        return log, other, np.exp(np.logaddexp(before, x))
+
+    def beside(self, edge: int, banned: tuple) -> float:
+        """Log share of what leaves an edge's node neither by it nor by the banned ones."""
+        node = int(np.searchsorted(self.first[: self.nodes], edge, "right")) - 1
+        rest = [float(self.log[e]) for e in range(int(self.first[node]), int(self.first[node + 1])) if e != edge and e not in banned]
+        return float(np.logaddexp.reduce(rest)) if rest else -math.inf
 
     def edges_at(self, chunk: int, at: int) -> range:
         node = self.chunk_node[chunk] + at
@@ -310,7 +330,7 @@ class Sampler:
 
     def sample(self, texts: list[str], keys: list[int]) -> list[list[tuple]]:
         """For each text up to k (ids, log-probability, inclusion), best perturbed value first."""
-        if len(self.of) > KEPT or len(self.words) > 2 * KEPT:
+        if self.lattices.size() + len(self.words) * STRETCH > KEPT:
             self._forget()
         fresh: list = []
         split = [self._split(t, fresh) for t in texts]
@@ -362,19 +382,19 @@ class _Doc:
         if begin >= len(edges):
             return
         which, stop = len(self.found) - 1, min(len(edges), begin + NEAR)
-        left = -np.expm1(logs[begin:stop])
+        left = self.s.lattices.other[edges[begin:stop]].astype(np.float64)
         if banned:
-            left[0] -= np.exp(self.s.lattices.log[list(banned)].astype(np.float64)).sum()
+            left[0] = self.s.lattices.beside(int(edges[begin]), banned)
         before = float(logs[:begin].sum()) + np.append(0.0, np.cumsum(logs[begin:stop]))
-        free = np.flatnonzero(left > 1e-7)
+        free = np.flatnonzero(left > -np.inf)
         if len(free):
-            values = _truncated(before[free] + np.log(left[free]), value, self._uniform(-2, free))
+            values = _truncated(before[free] + left[free], value, self._uniform(-2, free))
             for j in self._best(values):
                 t = int(free[j])
                 heapq.heappush(self.heap, (-float(values[j]), self.draws, begin + t, which, (banned if t == 0 else ()) + (int(edges[begin + t]),), True))
         if stop < len(edges):  # whatever differs further down
             rest = float(logs[stop:].sum())
-            if rest < -1e-7:
+            if rest < 0:
                 g = float(_truncated(before[-1] + math.log(-math.expm1(rest)), value, self._uniform(-3)))
                 heapq.heappush(self.heap, (-g, self.draws, stop, which, (), False))
 
@@ -396,7 +416,8 @@ class _Doc:
         head = int(ends[self.chunk] - steps[self.chunk])
         pos = int(lat.end[edges[at - 1]]) if at > head else 0
         choices = [e for e in lat.edges_at(int(self.chunks[self.chunk]), pos) if e not in banned]
-        w = np.cumsum(np.exp(lat.log[choices].astype(np.float64)))
+        logs = lat.log[choices].astype(np.float64)
+        w = np.cumsum(np.exp(logs - logs.max()))
         self.pick = choices[min(int(np.searchsorted(w / w[-1], float(self._uniform(-4)))), len(choices) - 1)]
         self.popped = (-g, at, head, which, banned)
         return True
@@ -415,11 +436,9 @@ class _Doc:
         g, _, begin, which, _, _ = heapq.heappop(self.heap)
         edges, _, logs = self.found[which]
         p = logs[begin:]
-        left = -np.expm1(p)
-        free = np.flatnonzero(left > 1e-7)
-        if not len(free):
-            return
-        mass = float(logs[:begin].sum()) + (np.cumsum(p) - p)[free] + np.log(left[free])
+        left = self.s.lattices.other[edges[begin:]].astype(np.float64)
+        free = np.flatnonzero(left > -np.inf)
+        mass = float(logs[:begin].sum()) + (np.cumsum(p) - p)[free] + left[free]
         drawn = mass + _gumbel(self._uniform(-5, free))
         values = _conditioned(drawn, -g)
         values[drawn.argmax()] = -g
@@ -477,16 +496,6 @@ def decode(ids, v: dict) -> str:
     return decode_all(np.asarray(ids, np.int64), np.array([0, len(ids)]), v)[0].as_py()
 
 
-def _slices(batch: pa.RecordBatch, text_at: int, chars: int = 400_000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about so many characters."""
-    sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + chars, "right")))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def _nested(found: list[list[tuple]]) -> pa.Array:
     """Samples as an Arrow column of type SAMPLED."""
     flat = [x for one in found for x in one]
@@ -499,21 +508,40 @@ def _nested(found: list[list[tuple]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(one) for one in found]).astype(np.int32)), inner)
 
 
-def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SAMPLES, seed: int = SEED, alpha: float = ALPHA, model: str = MODEL, out: str = "segmentations", keep_text: bool = True) -> DataFrame:
-    """Adds the column out (SAMPLED): up to k distinct segmentations, in the order of their perturbed values."""
+def _round_trips(found: list[list[tuple]], texts: pa.Array, v: dict) -> pa.Array:
+    """Whether every sample of a text decodes to it."""
+    samples = [x[0] for one in found for x in one]
+    bounds = np.cumsum([0] + [len(x) for x in samples])
+    counts = [len(one) for one in found]
+    texts = texts.cast(pa.large_string()).take(pa.array(np.repeat(np.arange(len(found)), counts)))
+    same = pc.equal(decode_all(np.concatenate(samples).astype(np.int64), bounds, v), texts).to_numpy(zero_copy_only=False)
+    return pa.array(np.logical_and.reduceat(same, np.cumsum(counts) - counts))
+
+
+def sample_segmentations(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SAMPLES, seed: int = SEED, alpha: float = ALPHA,
+    model: str = MODEL, out: str = "segmentations", keep_text: bool = True, check: str | None = None,
+) -> DataFrame:
+    """Adds the column out (SAMPLED): up to k distinct segmentations, in the order of their perturbed values.
+
+    check names a boolean column for whether decoding each of them gives the text (null: empty) back.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model, alpha))
-    own = [c for c in docs.columns if c != out and (keep_text or c != text_col)]
-    (key, text) = free_name(docs, "row_key", "row_text")
-    rows = docs.select(*own, F.xxhash64(id_col).alias(key), F.col(text_col).alias(text))
-    schema = T.StructType([docs.schema[c] for c in own]).add(out, T._parse_datatype_string(SAMPLED))
+    own = [c for c in docs.columns if keep_text or c != text_col]
+    key, text, *names = free_name(docs, "row_key", "row_text", out, *([check] if check else []))
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.xxhash64(id_col).alias(key), F.col(text_col).alias(text))
+    schema = T.StructType([docs.schema[c] for c in own]).add(names[0], T._parse_datatype_string(SAMPLED))
+    if check:
+        schema = schema.add(names[1], "boolean")
 
     def run(batches):
         sampler = Sampler(shared.value, k, seed)
         for batch in batches:
-            for part in _slices(batch, len(own) + 1):
-                texts = pc.fill_null(part.column(len(own) + 1), "").to_pylist()
-                found = sampler.sample(texts, part.column(len(own)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], _nested(found)], schema.names)
+            for part in by_bytes(batch, len(own) + 1, AT_ONCE):
+                texts = pc.fill_null(part.column(len(own) + 1), "")
+                found = sampler.sample(texts.to_pylist(), part.column(len(own)).to_pylist())
+                more = [_round_trips(found, texts, shared.value)] if check else []
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], _nested(found), *more], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -521,39 +549,42 @@ def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def decoded(df: DataFrame, ids_col: str, out: str = "decoded", model: str = MODEL) -> DataFrame:
     """Adds the text of a column of piece ids (of which neither the column nor an id is null)."""
     shared = df.sparkSession.sparkContext.broadcast(load_vocabulary(model))
-    schema = T.StructType(list(df.schema.fields)).add(out, "string")
+    schema = T.StructType(list(df.schema.fields)).add(*free_name(df, out), "string")
     place = df.columns.index(ids_col)
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 300):
-                part = batch.slice(at, 300)
+            sizes = np.cumsum(pc.list_value_length(batch.column(place)).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + AT_ONCE, "right")))
+                part = batch.slice(at, to - at)
                 ids = part.column(place)
                 bounds = ids.offsets.to_numpy()
                 texts = decode_all(ids.values.to_numpy()[bounds[0] : bounds[-1]], bounds - bounds[0], shared.value)
                 yield pa.RecordBatch.from_arrays([*part.columns, texts.cast(pa.string())], schema.names)
+                at = to
 
     return df.mapInArrow(run, schema)
 
 
-def _digest(df: DataFrame, id_col: str = "doc_id"):
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     s = F.col("segmentations")
-    return df.select(
-        F.col(id_col), F.size(s).alias("n_samples"),
+    return sample_segmentations(docs, keep_text=False, check="round_trip").select(
+        "doc_id", F.size(s).alias("n_samples"),
         F.transform(s, lambda x: F.size(x["ids"]).cast("long")).alias("n_pieces"),
         F.transform(s, lambda x: F.round(x["log_prob"], 4)).alias("log_prob"),
         F.transform(s, lambda x: x["inclusion"]).alias("inclusion"),
         F.transform(s, lambda x: F.xxhash64(x["ids"])).alias("ids_hash"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+        "round_trip",
     )
 
 
-def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    sampled = sample_segmentations(docs).withColumn("ids", F.element_at("segmentations", -1)["ids"])
-    return _digest(decoded(sampled, "ids"))
-
-
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pipeline stage: the documents' columns without the text, with the ids of each sample."""
+    """Pipeline stage: the documents' columns without the text, with the ids of each sample.
+
+    Every row stays, repeated ones too; null and empty texts get the empty segmentation, and a column that is named
+    segmentations already keeps its name (ours gets a _ behind it).
+    """
     return sample_segmentations(docs, id_col, text_col, keep_text=False)
