@@ -1,5 +1,13 @@
+import html
+import math
+import random
+import re
+import time
+
+import pyarrow.parquet as pq
 import pytest
 
+from civicframe.llm import html_extract as H
 from civicframe.llm.html_extract import extract_text, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var x="</p><p>no</p>";</script></head><body>
@@ -47,7 +55,91 @@ def test_several_articles():
     assert main_text(f"<body><main><article>{long}</article><article><p>a short one</p></article></main></body>").endswith("a short one")
 
 
+def plain_page(seed):
+    """A page without any telling tag, class or id: (html, text of its article)."""
+    rng = random.Random(seed)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    links = lambda n: "".join(f'<li><a href="/{i}">{words(1)}</a></li>' for i in range(n))
+    blocks = [words(rng.randint(40, 90)) for _ in range(rng.randint(4, 9))]
+    title = words(6)
+    text = "".join(f"<p>{b}</p>" for b in blocks)
+    inner = (f"<div><h2>{title}</h2>{text}</div>", f"<table><tr><td><h2>{title}</h2>{text}</td></tr></table>", f"<div><h2>{title}</h2><div>{text}</div></div>")[seed % 3]
+    side = f"<div><ul>{links(8)}</ul><p>{words(3)}</p></div>"
+    page = f"<html><body><div><div><ul>{links(12)}</ul></div><div>{inner}{side}</div><div><p>{words(2)}</p><ul>{links(5)}</ul></div></div></body></html>"
+    return page, "\n\n".join([title, *blocks])
+
+
+def test_pages_without_telling_names(monkeypatch):
+    pages = [plain_page(i) for i in range(60)]
+    assert sum(main_text(page) == text for page, text in pages) == len(pages)
+    monkeypatch.setattr(H, "composite", lambda *_: 0.0)  # it is the densities that tell
+    assert sum(main_text(page) == text for page, text in pages) == 0
+
+
+def test_densities_are_those_of_the_definition():
+    for seed in range(20):
+        page = PAGE if seed == 19 else plain_page(seed)[0].replace("<li>", '<li class="menu">' if seed % 4 == 0 else "<li>", 3)
+        root, pieces = H.parse(page)
+        body = H.measure(root, pieces)
+
+        def counts(node):
+            """(characters, tags, characters and tags of links) below a node, by walking it afresh."""
+            c = 0 if node.drop else sum(len(t) - t.count(" ") for n, t in pieces if n is node and t and not t.isspace())
+            t, lt, lc = 0, 0, c * is_linked(node)
+            for k in node.kids:
+                kc, kt, klc, klt = counts(k)
+                w = H.HINTED if k.hint else 1
+                c, lc = c + w * kc, lc + w * klc
+                t, lt = (t + 1 + kt, lt + (k.tag == "a") + klt) if not k.drop else (t, lt)
+            return c, t, lc, lt
+
+        def is_linked(node):
+            return node is not None and (node.tag == "a" or is_linked(node.up))
+
+        bc, _, blc, _ = counts(body)
+        stack, best, most = [body], None, 0
+        while stack:
+            node = stack.pop()
+            c, t, lc, lt = counts(node)
+            if c and not node.drop:
+                t, lt = max(t, 1), max(lt, 1)
+                want = c / t * math.log(max(1, c / max(1, lc) * t / lt) + 1) / math.log(math.log(c / max(1, c - lc) * lc + blc / bc * c + math.e) + 1)
+                assert node.density == pytest.approx(want * (H.HINTED if node.hint else 1))
+            stack += node.kids
+        core = H.core_of(body)
+        chosen, threshold = H.main_nodes(body)
+        path, node = [], core
+        while node is not None:
+            path.append(node)
+            node = node.up if node is not body else None
+        assert threshold == min(n.density for n in path) and core in chosen
+
+
+def test_the_given_pages_are_their_articles():
+    """They all hold one article, with headings, paragraphs and character references."""
+    table = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])
+    for page in table.column(0).to_pylist():
+        (article,) = re.findall(r"<article>(.*?)</article>", page, re.S)
+        blocks = [" ".join(html.unescape(re.sub(r"<br ?/?>", " ", re.sub(r"</?(?!br)[a-z][^>]*>", "", b))).split()) for b in re.split(r"</?(?:p|h1|h2|ul|li)>", article)]
+        assert main_text(page) == "\n\n".join(b for b in blocks if b)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "text", "<b>" * 50_000 + "</z>" * 50_000 + "<li>x" * 1000, '<div class="ad">' * 50_000 + "x<p>y", "<a " * 50_000, "<p><table>" * 50_000], ids=range(5))
+def test_deep_pages_take_linear_time(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 3
+
+
+def test_adverts_and_comments_within_an_article():
+    page = f"<body><article><h1>t</h1><p>{'long running text ' * 20}</p><div class=ad>buy this</div><p>short.</p><div id=comments><p>{'a long comment of a reader ' * 9}</p></div></article></body>"
+    assert main_text(page).split("\n\n")[2:] == ["short."] and main_text(page).startswith("t\n\nlong")
+
+
 def test_column(spark):
-    df = spark.createDataFrame([(1, PAGE, "t"), (2, None, "t"), (3, "<p>" + "w " * 100_000, "t")], "page_id long, html string, kind string")
-    got = {r.page_id: r for r in extract_text(df).collect()}
-    assert got[1].kind == "t" and got[2].text == "" and len(got[3].text) == 199_999
+    df = spark.createDataFrame([(1, PAGE, "t", 5), (2, None, "t", 5), (3, "<p>" + "w " * 100_000, "t", 5), (1, PAGE, "t", 5)], "page_id long, html string, text string, text_ int")
+    rows = extract_text(df).collect()
+    got = {r.page_id: r for r in rows}
+    assert got[1].text == "t" and got[1].text_ == 5 and got[2].text__ == "" and len(got[3].text__) == 199_999
+    assert len(rows) == 4 and len({r.text__ for r in rows}) == 3
+    assert extract_text(df.limit(0)).count() == 0
