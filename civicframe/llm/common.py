@@ -14,6 +14,8 @@ WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side is broadcast only while the bound on its rows is below this.
 BROADCAST_ROWS = 200_000
+#: Rows of an Arrow batch.
+BATCH = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package when the session began elsewhere than in the repository."""
+    """Lets Python workers import this package when the session began elsewhere than in the repository.
+
+    Arrow batches get BATCH rows where the session has Spark's default, as rows here are whole texts.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     known = f"{env.get('PYTHONPATH', '')}:{os.environ.get('PYTHONPATH', '')}".split(":")

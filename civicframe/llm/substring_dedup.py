@@ -5,17 +5,23 @@ Cartesian tree over the shingles' hashes gives the compact windows: (l, c, r) st
 subsequences within [l, r] that hold c, whose min-hash all is that of c. Only nodes that span WORDS
 words are kept, two for every WORDS words of text; a sliding minimum finds them and the tree over
 them alone gives their spans. Windows of different documents with equal min-hashes meet under the
-group's first document, its hub, and under the first of those that also share the words before or
-after, so a group of any size costs at most three links for each member. For
-each document and hub an interval join collects the aligned windows; where ENOUGH hash functions
-agree the stretches are cut from both texts, trimmed to the part that matches, and compared in full:
-a passage has at least WORDS words and its shingle set a Jaccard similarity of at least SIMILARITY.
+group's first document, its hub, so a group of any size costs one link for each member. For each
+document and hub an interval join collects the aligned windows; where ENOUGH hash functions agree the
+stretches are cut from both texts, trimmed to the part that matches, and compared in full: a passage
+has at least WORDS words and its shingle set a Jaccard similarity of at least SIMILARITY.
+
+A window over which its hub gave no passage is open, as is its whole group (of the first OPEN hash
+functions): there the hub may share too little of what others share. Open groups meet once more under
+the first documents that also agree on what stands a little after or before, and, for the first
+function, under the first document of every run of WORDS words through the window: all equal passages
+share such a run, so none is lost, and a group costs at most one link for each run of its members.
 Exact copies of a whole text are joined by the text first and appear with their whole text.
 
 One row per passage: id, start_word, n_words, rep_id, rep_start_word, similarity; the hub's own
 passages are rows too (rep_id = id). Documents without a repeated passage have no row. Null, empty and
 shorter texts have no passage. A passage that only repeats within one document is none. Rows that
-share an identifier are one document. Texts of any length are read whole; an empty table gives none.
+share an identifier are one document. Of equal documents and places the smallest is the hub. Texts of
+any length are read whole; an empty table gives none. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,29 +29,33 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from civicframe.llm.common import BROADCAST_ROWS, WORD, table, written
 from civicframe.llm.shingles import by_bytes, mix, shingled, word_hashes
 
-K, WORDS, HASHES, ENOUGH, SIMILARITY = 5, 50, 4, 2, 0.8
+K, WORDS, HASHES, ENOUGH, OPEN, SIMILARITY = 5, 50, 4, 2, 2, 0.8
+#: Shingles of WORDS words, and the multiple to which the stretches that are asked for are widened.
+LEAST, STEP = WORDS - K + 1, 32
+#: Shingles by which the context of an open window is away from it.
+AWAY = 11
 #: Weight of a mismatch when a passage must have none.
 STRICT = 1 << 40
 #: Offsets between two texts that count as one alignment.
 BAND = 64
 _SALTS = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64)) for i in range(HASHES)]
-_PLACE = np.uint64((1 << 24) - 1)
 
 
-def minima(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def minima(hashes: np.ndarray, bounds: np.ndarray, width: int, bits: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(values in order of size, end of each place's text, places that are smallest among some width places of a text).
 
-    Each of these places has a compact window of at least width places, and no other has. Of equal hashes the first counts as smaller.
+    Each of these places has a compact window of at least width places, and no other has. Of equal hashes the first counts
+    as smaller; hashes that differ in their last bits alone (as many as places need, bits at least) count as equal.
     """
     n = len(hashes)
-    low = (hashes & ~_PLACE) | np.arange(n, dtype=np.uint64)
+    places = np.uint64((1 << max(bits, n.bit_length())) - 1)
+    low = (hashes & ~places) | np.arange(n, dtype=np.uint64)
     text_end = np.repeat(bounds[1:], np.diff(bounds))
     if n < width:
         return low, text_end, np.zeros(0, np.int64)
@@ -57,7 +67,7 @@ def minima(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarr
         least = np.minimum(least[: n - width + 1], least[width - size : n - size + 1])
     least = least[: n - width + 1]
     whole = np.arange(n - width + 1) + width <= text_end[: n - width + 1]
-    return low, text_end, np.unique((least[whole] & _PLACE).astype(np.int64))
+    return low, text_end, np.unique((least[whole] & places).astype(np.int64))
 
 
 def compact_windows(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,94 +103,204 @@ def _sequences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return grams[places], ends
 
 
-def window_rows(docs: DataFrame, id_col: str, text_col: str, spans: bool = True) -> DataFrame:
-    """id, key (min-hash of one of the functions) and, with spans, fn, l, c, r in shingle places of the text, and the shingles K words on and back."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def window_rows(docs: DataFrame, spans: bool = True) -> DataFrame:
+    """docs (id, text) -> id, key (min-hash of one of the functions) and, with spans, fn, l, c, r in shingle places of the text, and the shingles AWAY on and back."""
+    kind = docs.schema["id"].dataType.simpleString()
+    fields = f"id {kind}, key long" + ", fn byte, l int, c int, r int, after int, before int" * spans
 
     def run(batches):
         for whole in batches:
             for b in by_bytes(whole, 1):
-                grams, ends = _sequences(b.column(1))
-                for a in range(0, b.num_rows, 200):  # so few that places fit into 24 bits
-                    part = ends[a : min(a + 200, b.num_rows) + 1]
-                    yield from _part(b.column(0).slice(a, len(part) - 1), grams[part[0] : part[-1]], part - part[0])
-
-    def _part(ids, grams, bounds) -> Iterator[pa.RecordBatch]:
-        if len(grams) >= 1 << 24 and len(ids) > 1:
-            half = len(ids) // 2
-            yield from _part(ids.slice(0, half), grams[: bounds[half]], bounds[: half + 1])
-            yield from _part(ids.slice(half), grams[bounds[half] :], bounds[half:] - bounds[half])
-            return
-        for fn in range(HASHES):
-            h = mix(grams ^ _SALTS[fn])
-            if not spans:
-                _, _, c = minima(h, bounds, WORDS - K + 1)
-                of = np.searchsorted(bounds, c, "right") - 1
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array(h[c].view(np.int64))], ["id", "key"])
-                continue
-            left, c, right = compact_windows(h, bounds, WORDS - K + 1)
-            of = np.searchsorted(bounds, c, "right") - 1
-            begin, end = bounds[of], bounds[of + 1] - 1
-            after, before = grams[np.minimum(c + K, end)], grams[np.maximum(c - K, begin)]
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(of)), pa.array(h[c].view(np.int64)), pa.array(np.full(len(c), fn, np.int8)), pa.array((left - begin).astype(np.int32)), pa.array((c - begin).astype(np.int32)), pa.array((right - begin).astype(np.int32)), pa.array((after >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array((before >> np.uint64(32)).astype(np.uint32).view(np.int32))],
-                ["id", "key", "fn", "l", "c", "r", "after", "before"],
-            )
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, key long" + ", fn byte, l int, c int, r int, after int, before int" * spans)
-
-
-def aligned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, hub, begin, end, hub_begin, hub_end): stretches of two documents on which enough functions agree."""
+                grams, bounds = _sequences(b.column(1))
+                for fn in range(HASHES):
+                    h = mix(grams ^ _SALTS[fn])
+                    if spans:
+                        left, c, right = compact_windows(h, bounds, LEAST)
+                    else:
+                        _, _, c = minima(h, bounds, LEAST)
+                    of = np.searchsorted(bounds, c, "right") - 1
+                    columns = [b.column(0).take(pa.array(of)), pa.array(h[c].view(np.int64))]
+                    if spans:
+                        begin, end = bounds[of], bounds[of + 1] - 1
+                        columns.append(pa.array(np.full(len(c), fn, np.int8)))
+                        columns += [pa.array((x - begin).astype(np.int32)) for x in (left, c, right)]
+                        columns += [pa.array(_short(grams[x])) for x in (np.minimum(c + AWAY, end), np.maximum(c - AWAY, begin))]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "key", "fn", "l", "c", "r", "after", "before"][: len(columns)])
+
+    return docs.mapInArrow(run, fields)
+
+
+def _short(grams: np.ndarray) -> np.ndarray:
+    """32 bits of each shingle."""
+    return (grams >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def shared_windows(docs: DataFrame) -> DataFrame:
+    """The windows whose min-hash several documents have."""
     # both sides of each join are plain shuffles or tables, so that AQE can split a key that many documents share
     # (hash joins: their build sides have one row for each key)
-    groups = window_rows(docs, id_col, text_col, spans=False).groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key")
-    shared = written(window_rows(docs, id_col, text_col).join(written(groups, "groups").hint("shuffle_hash"), "key", "left_semi"), "windows")
-    pairs = None
-    # the group's first document, and the first of those that also agree on what comes next or before
-    for by in (["key"], ["key", "after"], ["key", "before"]):
-        first = written(shared.groupBy(*by).agg(F.min(F.struct("id", "l", "c", "r")).alias("h")), "firsts")
-        linked = shared.join(first.hint("shuffle_hash"), by).filter("id <> h.id").select("id", F.col("h.id").alias("hub"), "fn", "l", "c", "r", "h")
-        pairs = linked if pairs is None else pairs.union(linked)
-    pairs = pairs.distinct()
+    groups = window_rows(docs, spans=False).groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key")
+    return written(window_rows(docs).join(written(groups, "groups").hint("shuffle_hash"), "key", "left_semi"), "windows")
+
+
+def hubs_of(windows: DataFrame, *by: str) -> DataFrame:
+    """by, h (id, l, c, r of the group's first document)."""
+    return written(windows.groupBy(*by).agg(F.min(F.struct("id", "l", "c", "r")).alias("h")), "firsts")
+
+
+def spans_of(linked: DataFrame, enough: int) -> DataFrame:
+    """Linked windows (id, fn, l, c, r, h) -> (id, hub, begin, end, hub_begin, hub_end): stretches of two documents on which enough functions agree."""
     back, on = F.least(F.col("c") - F.col("l"), F.expr("h.c - h.l")), F.least(F.col("r") - F.col("c"), F.expr("h.r - h.c"))
-    places = pairs.select(
-        "id", "hub", "fn", F.floor((F.col("c") - F.col("h.c")) / BAND).alias("band"),
+    places = linked.select(
+        "id", F.col("h.id").alias("hub"), "fn", F.floor((F.col("c") - F.col("h.c")) / BAND).alias("band"),
         (F.col("c") - back).alias("begin"), (F.col("c") + on).alias("end"), (F.col("h.c") - back).alias("hub_begin"), (F.col("h.c") + on).alias("hub_end"),
     )
-    spans = (F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("hub_begin").alias("hub_begin"), F.max("hub_end").alias("hub_end"))
+    ends = (F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("hub_begin").alias("hub_begin"), F.max("hub_end").alias("hub_end"))
     # an alignment may lie on the border of two bands
     near = places.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    found = near.groupBy("id", "hub", "band").agg(F.count_distinct("fn").alias("functions"), *spans)
-    return found.filter((F.col("functions") >= ENOUGH) & (F.col("end") - F.col("begin") + 1 >= WORDS - K + 1)).groupBy("id", "hub", "begin", "end", "hub_begin", "hub_end").agg(F.max("functions").alias("functions"))
+    found = near.groupBy("id", "hub", "band").agg(F.count_distinct("fn").alias("functions"), *ends)
+    return found.filter((F.col("functions") >= enough) & (F.col("end") - F.col("begin") + 1 >= LEAST)).select("id", "hub", "begin", "end", "hub_begin", "hub_end").distinct()
+
 
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs (id, text) whose id is in the column id of ids, so that a later join moves these texts alone."""
+    ids = ids.select("id").distinct()
+    return docs.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= BROADCAST_ROWS else docs
 
-def stretches(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """asked (id, pair, begin, end) -> (pair, begin, shingles): the stretches' shingles, as 32 bits each."""
-    wanted = asked.groupBy("id").agg(F.collect_list(F.struct("pair", "begin", "end")).alias("asked"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("text", "asked")
+
+def stretches(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Distinct asked (id, begin, end) -> (id, begin, end, shingles): the stretches' shingles, as 32 bits each."""
+    kind = docs.schema["id"].dataType.simpleString()
+    wanted = asked.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("asked"))
+    rows = only(docs, asked).join(wanted, "id").select("text", "asked", "id")
 
     def run(batches):
         for whole in batches:
             for b in by_bytes(whole, 0):
                 grams, ends = _sequences(b.column(0))
-                small = (grams >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                pairs, begins, parts = [], [], []
-                for i, asked in enumerate(b.column(1).to_pylist()):
-                    for x in asked:
-                        pairs.append(x["pair"])
-                        begins.append(x["begin"])
-                        parts.append(small[ends[i] + x["begin"] : min(ends[i] + x["end"] + 1, ends[i + 1])])
-                offsets = np.cumsum([0] + [len(p) for p in parts]).astype(np.int32)
-                flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.int64()), pa.array(begins, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["pair", "begin", "shingles"])
+                small, lists = _short(grams), b.column(1)
+                of = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+                flat = lists.flatten()
+                begin, end = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+                first = np.minimum(ends[of] + begin, ends[of + 1])
+                sizes = np.maximum(np.minimum(ends[of] + end, ends[of + 1]) - first, 0)
+                for a, z in _runs_of(sizes, 1 << 20):
+                    offsets = np.cumsum(np.append(0, sizes[a:z])).astype(np.int32)
+                    parts = [small[x : x + n] for x, n in zip(first[a:z], sizes[a:z])]
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(2).take(pa.array(of[a:z])), pa.array(begin[a:z].astype(np.int32)), pa.array(end[a:z].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))],
+                        ["id", "begin", "end", "shingles"],
+                    )
+
+    return rows.mapInArrow(run, f"id {kind}, begin int, end int, shingles array<int>")
+
+
+def _runs_of(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of elements whose sizes sum up to about so many."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
+def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (id, hub, begin, end, hub_begin, hub_end) -> passages: id, start_word, n_words, rep_id, rep_start_word, rep_n_words, similarity.
+
+    Stretches are asked for with a margin, as a window may end short of the passage, and in steps, so that those of a
+    hub are few and each is cut once, however many documents meet there.
+    """
+    kind = docs.schema["id"].dataType.simpleString()
 
-    return rows.mapInArrow(run, "pair long, begin int, shingles array<int>")
+    def widened(begin: str, end: str) -> tuple:
+        return F.greatest(F.lit(0), F.floor((F.col(begin) - WORDS) / STEP) * STEP).cast("int"), (F.ceil((F.col(end) + WORDS + 1) / STEP) * STEP).cast("int")
+
+    (a0, a1), (b0, b1) = widened("begin", "end"), widened("hub_begin", "hub_end")
+    pairs = written(pairs.select("id", a0.alias("a0"), a1.alias("a1"), "hub", b0.alias("b0"), b1.alias("b1")).distinct(), "alignments")
+    asked = pairs.select("id", F.col("a0").alias("begin"), F.col("a1").alias("end")).union(pairs.select("hub", "b0", "b1")).distinct()
+    parts = written(stretches(docs, written(asked, "asked")), "stretches")
+    own = parts.select("id", F.col("begin").alias("a0"), F.col("end").alias("a1"), F.col("shingles").alias("a"))
+    hubs = parts.select(F.col("id").alias("hub"), F.col("begin").alias("b0"), F.col("end").alias("b1"), F.col("shingles").alias("b"))
+    both = pairs.join(own, ["id", "a0", "a1"]).join(hubs, ["hub", "b0", "b1"]).select("id", "hub", "a0", "a", "b0", "b")
+
+    def compare(batches):
+        for batch in batches:
+            a, b = batch.column(3), batch.column(5)
+            at, bt = a.offsets.to_numpy(), b.offsets.to_numpy()
+            av, bv = a.values.to_numpy(), b.values.to_numpy()
+            begins, hub_begins = batch.column(2).to_pylist(), batch.column(4).to_pylist()
+            who, out = [], []
+            for i in range(batch.num_rows):
+                for x, y, u, v, s in matching_parts(av[at[i] : at[i + 1]], bv[bt[i] : bt[i + 1]]):
+                    who.append(i)
+                    out.append((begins[i] + x, y - x + K - 1, hub_begins[i] + u, v - u + K - 1, s))
+            who = pa.array(who, pa.int64())
+            n = [pa.array([r[j] for r in out], pa.int64()) for j in range(4)]
+            columns = [batch.column(0).take(who), n[0], n[1], batch.column(1).take(who), n[2], n[3], pa.array([r[4] for r in out], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "start_word", "n_words", "rep_id", "rep_start_word", "rep_n_words", "similarity"])
+
+    schema = f"id {kind}, start_word long, n_words long, rep_id {kind}, rep_start_word long, rep_n_words long, similarity double"
+    return written(both.mapInArrow(compare, schema), "passages")
+
+
+def open_pairs(docs: DataFrame, shared: DataFrame, firsts: DataFrame, found: DataFrame) -> DataFrame:
+    """Stretches that windows share in groups whose hub gave no passage over one of them."""
+    covered = found.select(F.col("id").alias("f_id"), F.col("rep_id").alias("f_hub"), F.col("start_word").alias("f_begin"), (F.col("start_word") + F.col("n_words") - K).alias("f_end"))
+    some = shared.filter(F.col("fn") < OPEN)
+    linked = some.join(firsts.hint("shuffle_hash"), "key").select("key", F.col("h.id").alias("hub"), "id", "c").filter("id <> hub")
+    left = linked.join(covered, (F.col("id") == F.col("f_id")) & (F.col("hub") == F.col("f_hub")) & F.col("c").between(F.col("f_begin"), F.col("f_end")), "left_anti")
+    keys = written(left.groupBy("key").agg(F.min("hub").alias("hub")), "open-keys")
+    windows = written(some.join(keys.hint("shuffle_hash"), "key"), "open")
+    near = None
+    for by in ("after", "before"):
+        # the group's first document has been compared
+        linked = windows.join(hubs_of(windows, "key", by).hint("shuffle_hash"), ["key", by]).filter("id <> h.id AND h.id <> hub").select("id", "fn", "l", "c", "r", "h")
+        near = linked if near is None else near.union(linked)
+    return spans_of(near.distinct(), 1).union(run_pairs(docs, windows.filter("fn = 0"), covered))
+
+
+def run_pairs(docs: DataFrame, windows: DataFrame, covered: DataFrame) -> DataFrame:
+    """(id, hub, begin, end, hub_begin, hub_end): runs of WORDS words through the windows that documents share with the run's first document."""
+    kind = docs.schema["id"].dataType.simpleString()
+    asked = written(windows.groupBy("id").agg(F.collect_list(F.struct("l", "c", "r")).alias("windows")), "run-windows")
+    rows = only(docs, asked).join(asked, "id").select("text", "windows", "id")
+
+    def run(batches):
+        for whole in batches:
+            for b in by_bytes(whole, 0):
+                grams, ends = _sequences(b.column(0))
+                keys = _run_keys(grams)
+                lists = b.column(1)
+                of = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+                flat = lists.flatten()
+                left, c, right = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+                first, last = ends[of] + np.maximum(left, c - LEAST + 1), ends[of] + np.minimum(c, right - LEAST + 1)
+                n = np.maximum(last - first + 1, 0)
+                at = np.unique(np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum())))
+                own = np.searchsorted(ends, at, "right") - 1
+                yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(own)), pa.array(keys[at].view(np.int64)), pa.array((at - ends[own]).astype(np.int32))], ["id", "run", "at"])
+
+    runs = written(rows.mapInArrow(run, f"id {kind}, run long, at int"), "runs")
+    firsts = runs.groupBy("run").agg(F.min(F.struct("id", "at")).alias("h"), F.max("id").alias("high")).filter("h.id <> high").drop("high")
+    linked = runs.join(written(firsts, "run-firsts").hint("shuffle_hash"), "run").filter("id <> h.id").select("id", "at", F.col("h.id").alias("hub"), F.col("h.at").alias("hub_at"))
+    new = linked.join(covered, (F.col("id") == F.col("f_id")) & (F.col("hub") == F.col("f_hub")) & (F.col("at") >= F.col("f_begin")) & (F.col("at") + (LEAST - 1) <= F.col("f_end")), "left_anti")
+    return new.groupBy("id", "hub", (F.col("at") - F.col("hub_at")).alias("offset")).agg(F.min("at").alias("begin"), (F.max("at") + LEAST - 1).alias("end"), F.min("hub_at").alias("hub_begin"), (F.max("hub_at") + LEAST - 1).alias("hub_end")).select("id", "hub", "begin", "end", "hub_begin", "hub_end")
+
+
+def _run_keys(grams: np.ndarray) -> np.ndarray:
+    """Hash of the LEAST shingles from each place on (places within LEAST of the end have none of use)."""
+    n, size, key = len(grams), 1, grams
+    while size * 2 <= LEAST:
+        key = mix(key[: max(0, len(key) - size)] * np.uint64(3) + key[size:])
+        size *= 2
+    if size < LEAST:
+        key = mix(key[: max(0, n - LEAST + 1)] * np.uint64(5) + key[LEAST - size : max(LEAST - size, n - size + 1)])
+    return key
 
 
 def matching_parts(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]]:
     """(begin and end in a, begin and end in b, similarity) of the parts of two stretches that match."""
-    least, here = WORDS - K + 1, _within(a, b)
+    least, here = LEAST, _within(a, b)
     out = _bridged(a, b, here)
     # what matches without an order, left and right of them
     ends = [0, *[e for part in out for e in part[:2]], len(a)]
@@ -243,7 +363,7 @@ def _runs(a: np.ndarray, b: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, n
 
 def _bridged(a: np.ndarray, b: np.ndarray, here: np.ndarray) -> list[tuple[int, int, int, int, float]]:
     """The longest similar part from the begin of a run to the end of one, then those left and right of it, in order."""
-    least = WORDS - K + 1
+    least = LEAST
     if here.sum() < SIMILARITY * least:
         return []
     x, u, n = _runs(a, b, here)
@@ -297,43 +417,23 @@ def _densest(match: np.ndarray, weight: int) -> tuple[int, int] | None:
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per passage that repeats in another document, see the module's text."""
-    docs = docs.select(id_col, text_col).filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    kind = docs.schema[id_col].dataType.simpleString()
-    keys = docs.select(F.col(id_col).alias("id"), F.sha2(text_col, 256).alias("sha"))
-    keys = written(keys, "keys")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    keys = written(docs.select("id", F.sha2("text", 256).alias("sha")), "keys")
     firsts = written(keys.groupBy("sha").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("c")).filter("c > 1").drop("c"), "firsts")
     few = firsts.select("rep")
     if few.count() <= BROADCAST_ROWS:
         few = F.broadcast(few)
-    long = docs.join(few, F.col(id_col) == F.col("rep")).select("rep", F.regexp_count(text_col, F.lit(WORD)).alias("n")).filter(F.col("n") >= WORDS)
+    long = docs.join(few, F.col("id") == F.col("rep")).select("rep", F.regexp_count("text", F.lit(WORD)).alias("n")).filter(F.col("n") >= WORDS)
     copies = written(keys.distinct().join(firsts, "sha").join(long.groupBy("rep").agg(F.max("n").alias("n")), "rep").select("id", "rep", "n"), "copies")
     later = copies.filter("id <> rep").select(F.col("id").alias("later")).distinct()
     if later.count() <= BROADCAST_ROWS:
         later = F.broadcast(later)
-    single = docs.join(later, F.col(id_col) == F.col("later"), "left_anti")
-    pairs = written(aligned(single, id_col, text_col).withColumn("pair", F.monotonically_increasing_id()), "alignments")
-    # with a margin, as a window may end short of the passage
-    asked = pairs.select("id", (F.col("pair") * 2).alias("pair"), F.greatest(F.lit(0), F.col("begin") - WORDS).alias("begin"), (F.col("end") + WORDS).alias("end"))
-    asked = asked.union(pairs.select("hub", F.col("pair") * 2 + 1, F.greatest(F.lit(0), F.col("hub_begin") - WORDS), F.col("hub_end") + WORDS))
-    parts = stretches(single, asked, id_col, text_col)
-    parts = written(parts, "stretches")
-    both = (
-        pairs.select("pair", "id", "hub")
-        .join(parts.filter("pair % 2 = 0").select((F.col("pair") / 2).cast("long").alias("pair"), F.col("begin").alias("a_begin"), F.col("shingles").alias("a")), "pair")
-        .join(parts.filter("pair % 2 = 1").select(((F.col("pair") - 1) / 2).cast("long").alias("pair"), F.col("begin").alias("b_begin"), F.col("shingles").alias("b")), "pair")
-        .select("id", "hub", "a_begin", "a", "b_begin", "b")
-    )
-
-    def compare(batches):
-        for frame in batches:
-            out = []
-            for row in frame.itertuples(index=False):
-                for x, y, u, v, s in matching_parts(np.asarray(row.a), np.asarray(row.b)):
-                    out.append((row.id, row.a_begin + x, y - x + K - 1, row.hub, row.b_begin + u, v - u + K - 1, s))
-            yield pd.DataFrame(out, columns=["id", "start_word", "n_words", "rep_id", "rep_start_word", "rep_n_words", "similarity"])
-
-    found = both.mapInPandas(compare, f"id {kind}, start_word long, n_words long, rep_id {kind}, rep_start_word long, rep_n_words long, similarity double")
-    found = written(found, "passages")
+    single = docs.join(later, F.col("id") == F.col("later"), "left_anti")
+    shared = shared_windows(single)
+    hubs = hubs_of(shared, "key")
+    linked = shared.join(hubs.hint("shuffle_hash"), "key").filter("id <> h.id")
+    found = compared(single, spans_of(linked, ENOUGH))
+    found = found.union(compared(single, open_pairs(single, shared, hubs, found)))
     zero = F.lit(0).cast("long")
     whole = copies.select("id", zero.alias("start_word"), F.col("n").cast("long").alias("n_words"), F.col("rep").alias("rep_id"), zero.alias("rep_start_word"), F.lit(1.0).alias("similarity"))
     own = found.select(F.col("rep_id").alias("id"), F.col("rep_start_word").alias("start_word"), F.col("rep_n_words").alias("n_words"), "rep_id", "rep_start_word", F.lit(1.0).alias("similarity"))

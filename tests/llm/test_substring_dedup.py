@@ -88,5 +88,87 @@ def test_one_changed_word():
     assert [(x, y) for x, y, *_ in D.matching_parts(*(np.array([hash(tuple(w[i : i + 5])) for i in range(56)]) for w in (a, b)))] == [(0, 56)]
 
 
+def word_lists(rng, *sizes):
+    return [[f"w{j}" for j in rng.integers(0, 1 << 40, n)] for n in sizes]
+
+
+@pytest.mark.parametrize("fragment", [20, 30, 40])
+def test_a_hub_that_quotes_fragments_hides_no_passage(spark, fragment):
+    """Triples: two documents share 60 words, an earlier one has them in fragments that are too short."""
+    rng = np.random.default_rng(fragment)
+    rows = []
+    for i in range(40):
+        (passage,) = word_lists(rng, 60)
+        early = []
+        for at in range(0, 60, fragment):
+            early += passage[at : at + fragment] + word_lists(rng, 15)[0]
+        rows.append((i, " ".join(early)))
+        for j in (1, 2):
+            before, after = word_lists(rng, 30, 30)
+            rows.append((100 * j + i, " ".join(before + passage + after)))
+    found = D.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found} == {100 * j + i for i in range(40) for j in (1, 2)}
+    assert all(r.rep_id % 100 == r.doc_id % 100 and 50 <= r.n_words <= 62 for r in found)
+
+
+def test_a_line_that_all_share_hides_no_passage(spark):
+    """45 words stand in every document; pairs of them share 15 more around them."""
+    rng = np.random.default_rng(9)
+    (line,) = word_lists(rng, 45)
+    rows = []
+    for i in range(60):
+        left, right = word_lists(rng, 8, 7)
+        for j in (0, 1):
+            before, after = word_lists(rng, 25, 25)
+            shared = left + line + right if i % 3 == 0 else line
+            rows.append((2 * i + j, " ".join(before + shared + after)))
+    found = D.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found} == {2 * i + j for i in range(0, 60, 3) for j in (0, 1)}
+
+
+def test_recall_of_near_passages(spark):
+    """Families of passages with edited words, between other words, against the full comparison of all pairs."""
+    rng = np.random.default_rng(4)
+    rows, family = [], {}
+    for f in range(60):
+        (passage,) = word_lists(rng, int(rng.integers(55, 160)))
+        for j in range(int(rng.integers(2, 6))):
+            words = list(passage)
+            for at in rng.integers(0, len(words), int(rng.integers(0, 1 + len(words) // 45))):
+                words[at] = f"edit{rng.integers(0, 1 << 40)}"
+            before, after = word_lists(rng, int(rng.integers(5, 60)), int(rng.integers(5, 60)))
+            family[len(rows)] = (f, len(before), len(words))
+            rows.append((len(rows), " ".join(before + words + after)))
+    grams = {i: np.array([hash(tuple(w[j : j + D.K])) for j in range(len(w) - D.K + 1)]) for i, w in ((i, t.split()) for i, t in rows)}
+    linked = [(a, b) for a in grams for b in grams if a < b and family[a][0] == family[b][0] and D.matching_parts(grams[b], grams[a])]
+    expected = {i for pair in linked for i in pair}
+    found = {r.doc_id for r in D.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(expected) > 100 and found <= expected and len(found) >= 0.95 * len(expected)
+
+
+def test_repeated_identifiers_and_other_columns(spark):
+    rng = np.random.default_rng(2)
+    one, two, rest = word_lists(rng, 70, 70, 40)
+    rows = [(1, one), (1, one), (1, two), (2, rest + one), (3, two + rest), (4, rest), (5, one)]
+    df = spark.createDataFrame([(i, " ".join(w), "x", 1, 2) for i, w in rows], "doc_id long, text string, id string, rep int, hub int")
+    found = D.repeated_passages(df).collect()
+    assert {r.doc_id for r in found} == {1, 2, 3, 5} and {(r.doc_id, r.rep_id) for r in found} >= {(2, 1), (3, 1), (5, 1)}
+    assert len(found) == len({tuple(r) for r in found})
+
+
+def test_places_take_as_many_bits_as_they_need():
+    h = np.random.default_rng(0).integers(0, 1 << 62, 500).astype(np.uint64) << np.uint64(1)
+    bounds = np.array([0, 500])
+    assert D.minima(h, bounds, 46, bits=1)[2].tolist() == D.minima(h, bounds, 46)[2].tolist()
+
+
+def test_run_keys():
+    g = np.random.default_rng(1).integers(0, 1 << 62, 200).astype(np.uint64)
+    both = np.concatenate([g, g[20:120], g[:5]])
+    keys = D._run_keys(both)
+    assert len(keys) == len(both) - D.LEAST + 1 and (keys[200 : 200 + 100 - D.LEAST + 1] == keys[20 : 120 - D.LEAST + 1]).all()
+    assert len(np.unique(keys)) == len(keys) - (100 - D.LEAST + 1) and not len(D._run_keys(g[:10]))
+
+
 def test_empty(spark):
     assert D.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
