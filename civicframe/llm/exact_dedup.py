@@ -1,11 +1,12 @@
 """Exact dedup by content sort, in DataFrame operations only.
 
-Rows are range-partitioned by the normalised bytes with splitters that Spark samples, each partition
-is sorted externally, and each row is compared in full with its neighbour. The splitters' key is
-(first KEY characters, SHA-256, identifier), so that a sampled splitter stays small however long the
-texts are. As the identifier is part of the key, splitters may fall inside a group of copies, so no
-group has to fit into one task. A run of equals that a partition boundary cuts is joined again from the
-first and last run of each partition: two small rows for each partition, however large the group.
+Splitters sampled from the rows cut the order of the normalised bytes into ranges; each row goes to its
+range in one shuffle, each range is sorted externally, and each row is compared in full with the one
+before it. The sort key is (first KEY characters, SHA-256, identifier), so that a splitter stays small
+however long the texts are. As the identifier is part of the key, splitters may fall inside a group of
+copies, so no group has to fit into one task. A run of equals that a border of ranges cuts is joined
+again from the first and last row of each range, compared in full: two rows for each range, however
+large the group.
 
 Nulls count as empty text. Rows with the same identifier and text are copies of each other; one of
 them stays. A null identifier sorts first and never is a keep_id unless all of a group's are null.
@@ -14,85 +15,106 @@ An empty table gives an empty table. Columns that clash with working columns are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+import math
 
-from civicframe.llm.common import BROADCAST_ROWS, WS, free_name, shuffle_partitions, table, written
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from civicframe.llm.common import WS, free_name, shuffle_partitions, table, written
 
-#: Characters of the text in a splitter.
-KEY = 24
+#: Characters of the text in a splitter; ranges for each shuffle partition, and at most; sampled rows for each range.
+KEY, RANGES, MOST_RANGES, SAMPLED = 24, 4, 16_384, 20
+_RUN = "struct<part: int, n: bigint, head: boolean, first: boolean, last: boolean, sha: string>"
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WS, " ")
 
 
+def splitters(rows: DataFrame, key: list[str], id_col: str, ranges: int) -> list:
+    """Sorted keys between ranges, from at most SAMPLED rows for each: those with the smallest hashes of their identifiers."""
+    n, most, top = rows.count(), SAMPLED * ranges, 1 << 62
+    order = F.pmod(F.xxhash64(id_col), F.lit(top))
+    some = rows.filter(order < F.lit(int(top * 1.5 * most / n))) if n > 2 * most else rows
+    found = some.select(*key).orderBy(F.pmod(F.xxhash64(id_col), F.lit(top)), *key).limit(most).orderBy(*key).collect()
+    step = max(1, math.ceil(len(found) / ranges))
+    return [tuple(r) for r in found[step::step]]
+
+
+def range_of(key: Column, cuts: list, kind: str) -> Column:
+    """How many of the sorted cuts are not above the key: first among every so many of them, then among those between."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(cuts)))
+
+    def listed(some: list) -> Column:
+        return F.array(*[F.struct(*map(F.lit, c)).cast(kind) for c in some])
+
+    outer = F.size(F.filter(listed(cuts[::step]), lambda c: c <= key))
+    inner = F.filter(F.element_at(F.array(*[listed(cuts[i : i + step]) for i in range(0, len(cuts), step)]), outer), lambda c: c <= key)
+    return F.when(outer == 0, F.lit(0)).otherwise((outer - 1) * step + F.size(inner))
+
+
 def content_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = True) -> DataFrame:
-    """Each row with its run: equal rows next to each other in one partition of the sorted order.
+    """Each row with its run: equal rows next to each other in one range of the sorted order.
 
-    Adds run (struct): part, head (first of its run), keep (smallest id), rows, edge (first or last
-    run of its partition), sha (of the normalised text). With carry the other columns stay.
+    Adds run (struct): part (the range), n (which run of it), head (first of its run), first and last (of its range), sha
+    (of the normalised text). With carry the other columns stay, else the identifier and, of first and last rows, the
+    normalised text as border.
     """
-    run, norm, start, sha, part, prev, head, keep, n, first, last = free_name(df, "run", "norm", "start", "sha", "part", "prev", "head", "keep", "n", "first", "last")
+    run, norm, start, sha, part, head, n, first, last = free_name(df, "run", "norm", "start", "sha", "part", "head", "n", "first", "last")
+    key = [start, sha, id_col]
     own = [F.col(f"`{c}`") for c in df.columns] if carry else [F.col(id_col)]
-    rows = df.select(*own, normalised(F.col(text_col)).alias(norm))
-    keyed = rows.withColumn(start, F.substring(norm, 1, KEY)).withColumn(sha, F.sha2(norm, 256))
-    spread = keyed.repartitionByRange(F.col(start), F.col(sha), F.col(id_col)).withColumn(part, F.spark_partition_id())
-    order = W.partitionBy(part).orderBy(start, sha, id_col)
+    rows = df.select(*own, normalised(F.col(text_col)).alias(norm)).withColumn(start, F.substring(norm, 1, KEY)).withColumn(sha, F.sha2(norm, 256))
+    cuts = splitters(rows, key, id_col, min(MOST_RANGES, RANGES * shuffle_partitions(df.sparkSession)))
+    kind = f"struct<a: string, b: string, c: {df.schema[id_col].dataType.simpleString()}>"
+    placed = rows.withColumn(part, range_of(F.struct(*key).cast(kind), cuts, kind)).repartition(F.col(part))
+    order = W.partitionBy(part).orderBy(*key)
+    before = F.lag(norm).over(order)
     runs = (
-        spread.withColumn(prev, F.lag(norm).over(order))
-        .withColumn(head, F.col(prev).isNull() | (F.col(prev) != F.col(norm)))
+        placed.withColumn(last, F.lead(sha).over(order).isNull())
+        .withColumn(head, F.coalesce(before != F.col(norm), F.lit(True)))
+        .withColumn(first, F.row_number().over(order) == 1)
         .withColumn(n, F.sum(F.col(head).cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-        .drop(prev, norm, start)
     )
-    whole = W.partitionBy(part)
-    one = W.partitionBy(part, n)
-    return (
-        runs.withColumn(keep, F.min(id_col).over(one))
-        .withColumn(first, F.count(F.lit(1)).over(one))
-        .withColumn(last, F.max(n).over(whole))
-        .withColumn(
-            run,
-            F.struct(
-                F.col(part).alias("part"), F.col(head).alias("head"), F.col(keep).alias("keep"), F.col(first).alias("rows"),
-                ((F.col(n) == 1) | (F.col(n) == F.col(last))).alias("edge"), F.col(sha).alias("sha"),
-            ),
-        )
-        .drop(sha, part, head, keep, n, first, last)
-    )
+    of = F.struct(F.col(part).alias("part"), F.col(n).alias("n"), F.col(head).alias("head"), F.col(first).alias("first"), F.col(last).alias("last"), F.col(sha).alias("sha"))
+    border = [] if carry else [F.when(F.col(first) | F.col(last), F.col(norm)).alias("border")]
+    return runs.select(*own, of.cast(_RUN).alias(run), *border)
 
 
-def joined_runs(runs: DataFrame, run: str = "run") -> DataFrame:
-    """Runs that partition boundaries cut, put together: adds keep_id, group_size and whether the row stays."""
-    edge = (
-        runs.filter(F.col(f"{run}.edge") & F.col(f"{run}.head"))
-        .groupBy(F.col(f"{run}.sha").alias("edge_sha"))
-        .agg(F.min(f"{run}.keep").alias("edge_keep"), F.sum(f"{run}.rows").alias("edge_rows"), F.min(f"{run}.part").alias("edge_part"))
-    )
-    # at most two rows for each partition of the sort; beyond the bound Spark picks the join
-    if 2 * shuffle_partitions(runs.sparkSession) <= BROADCAST_ROWS:
-        edge = F.broadcast(edge)
-    return (
-        runs.join(edge, F.col(f"{run}.sha") == F.col("edge_sha"), "left")
-        .withColumn("keep_id", F.coalesce("edge_keep", f"{run}.keep"))
-        .withColumn("group_size", F.coalesce("edge_rows", f"{run}.rows"))
-        .withColumn("kept", F.col(f"{run}.head") & F.coalesce(F.col("edge_part") == F.col(f"{run}.part"), F.lit(True)))
-        .drop("edge_sha", "edge_keep", "edge_rows", "edge_part")
-    )
+def cut_runs(borders: DataFrame) -> DataFrame:
+    """borders (part, n, sha, text: first and last rows of ranges) -> (part, n, lead_part, lead_n): runs of equal texts under the first of them."""
+    runs = borders.select("part", "n", "sha", "text").distinct()
+    lead = runs.groupBy("sha", "text").agg(F.min(F.struct("part", "n")).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    return runs.join(lead, ["sha", "text"]).select("part", "n", F.col("lead.part").alias("lead_part"), F.col("lead.n").alias("lead_n"))
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id, keep_id, group_size, kept, text_sha256."""
-    runs = written(content_runs(df.select(id_col, text_col), id_col, text_col, carry=False), "runs")
-    return joined_runs(runs).select(id_col, "keep_id", "group_size", "kept", F.col("run.sha").alias("text_sha256"))
+    runs = written(content_runs(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", carry=False).select("id", "run.*", "border"), "runs")
+    cut = written(cut_runs(runs.filter("border IS NOT NULL").withColumnRenamed("border", "text")), "cut-runs")
+    named = runs.groupBy("part", "n").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("rows"))
+    joined = cut.join(named, ["part", "n"]).groupBy("lead_part", "lead_n").agg(F.min("keep").alias("all_keep"), F.sum("rows").alias("all_rows"))
+    joined = written(cut.join(joined, ["lead_part", "lead_n"]), "joined-runs")
+    # at most two rows for each of MOST_RANGES ranges
+    whole = named.join(F.broadcast(joined), ["part", "n"], "left")
+    whole = whole.select(
+        "part", "n", F.coalesce("all_keep", "keep").alias("keep_id"), F.coalesce("all_rows", "rows").alias("group_size"),
+        F.coalesce((F.col("part") == F.col("lead_part")) & (F.col("n") == F.col("lead_n")), F.lit(True)).alias("leads"),
+    )
+    return runs.join(whole, ["part", "n"]).select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("head") & F.col("leads")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def distinct_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the copies: of equal texts, the row with the smallest identifier."""
+    """df without the copies: of equal texts, the row with the smallest identifier, with all its columns."""
+    own = [f"own_{i}" for i in range(len(df.columns))]
     (run,) = free_name(df, "run")
-    heads = content_runs(df, id_col, text_col).filter(F.col(f"{run}.head"))
-    kept = joined_runs(written(heads, "heads").withColumnsRenamed({c: f"own_{i}" for i, c in enumerate(df.columns)}), run)
-    return kept.filter("kept").select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(df.columns)])
+    runs = content_runs(df, id_col, text_col).filter(f"{run}.head OR {run}.last")
+    runs = written(runs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(df.columns, own)], f"{run}.*"), "heads")
+    text = normalised(F.col(own[df.columns.index(text_col)])).alias("text")
+    cut = cut_runs(runs.filter("first OR last").select("part", "n", "sha", text)).filter("part <> lead_part OR n <> lead_n").select("part", "n")
+    # at most two rows for each of MOST_RANGES ranges
+    kept = runs.filter("head").join(F.broadcast(cut), ["part", "n"], "left_anti")
+    return kept.select(*[F.col(o).alias(c) for o, c in zip(own, df.columns)])
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,8 @@
-from civicframe.llm.exact_dedup import distinct_texts, exact_dedup
+import hashlib
+
+from pyspark.sql import functions as F
+
+from civicframe.llm.exact_dedup import distinct_texts, exact_dedup, range_of
 
 SCHEMA = "doc_id long, text string, run string, Norm int"
 
@@ -24,6 +28,34 @@ def test_large_group_crosses_partitions(spark):
     assert [r.doc_id for r in got.filter("kept").collect()] == [0]
 
 
+def test_ranges_are_those_of_the_order(spark):
+    """Whatever the cuts: groups, equal texts across borders and the one that stays are those of a plain grouping."""
+    rows = [(i if i % 11 else None, ("same  text", f"text {i % 7}", "", "é" * (i % 5), None)[i % 5]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {}
+    for i, t in rows:
+        want.setdefault(" ".join((t or "").split(" ")).replace("  ", " "), []).append(i)
+    got = exact_dedup(df).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.text_sha256, []).append(r)
+    assert sorted(map(len, by.values())) == sorted(map(len, want.values())) and len(got) == 400
+    sums = {hashlib.sha256(t.encode()).hexdigest(): ids for t, ids in want.items()}
+    for sha, rs in by.items():
+        ids = [i for i in sums[sha] if i is not None]
+        assert {r.keep_id for r in rs} == {min(ids, default=None)} and {r.group_size for r in rs} == {len(rs)} and sum(r.kept for r in rs) == 1
+    assert distinct_texts(df).count() == len(want)
+
+
+def test_range_numbers(spark):
+    cuts = [("b", "x", 3), ("b", "x", 5), ("c", "", 0), ("d", "y", 1), ("d", "y", 2)]
+    df = spark.createDataFrame([("a", "z", 9), ("b", "x", None), ("b", "x", 3), ("b", "x", 4), ("c", "a", 0), ("d", "y", 2), ("e", "", 0)], "a string, b string, c long")
+    kind = "struct<a: string, b: string, c: bigint>"
+    for k in range(len(cuts) + 1):
+        got = [r.n for r in df.select(range_of(F.struct("a", "b", "c").cast(kind), cuts[:k], kind).alias("n")).collect()]
+        assert got == [min(k, n) for n in (0, 0, 1, 1, 3, 5, 5)]
+
+
 def test_stage_keeps_columns(spark):
     kept = distinct_texts(docs(spark))
     assert kept.columns == ["doc_id", "text", "run", "Norm"] and kept.count() == 6
