@@ -6,15 +6,24 @@ decision of their aliases: urls with the same normal form, and urls that redirec
 links join, directly or over others (distributed connected components). In such a class an explicit
 allow goes before a block; a class without any rule is allowed.
 
-Null urls and urls without '://' have empty host and path, fit no rule and have no alias: allowed.
-Null html has no links. Extra columns are ignored. Repeated rows give repeated results.
+All canonical links and refreshes of a page count, with character references decoded, and are resolved
+against the page or its base; those in comments or scripts do not. Null urls and urls without '://'
+have empty host and path, fit no rule and have no alias: allowed. Null or empty html has no links. Of
+rules of equal length allow goes first, then the order of host and path. Extra columns are ignored,
+whatever their names. Repeated rows give repeated results, an empty table an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import html as _html
+import re
+from urllib.parse import urljoin
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from civicframe.llm.common import table
+from civicframe.llm.html_extract import ATTR, TOKEN
 from civicframe.llm.components import connected_components
 
 #: The rules of the production query.
@@ -41,29 +50,37 @@ def normal_form(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, form)
 
 
-def link_targets(url: Column, html: Column) -> Column:
-    """Canonical link and meta refresh of a page, as absolute urls."""
-    tags = (
-        F.regexp_extract(html, r"(?i)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1),
-        F.regexp_extract(html, r"(?i)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)", 1),
-    )
-    refs = (
-        F.regexp_extract(tags[0], r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1),
-        F.regexp_extract(tags[1], r"(?i)url\s*=\s*['\"]?([^\"'\s>]+)", 1),
-    )
-    scheme, site = F.regexp_extract(url, r"^([^:]*)://", 1), F.regexp_extract(url, r"^([^:]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(url, r"^([^:]*://[^?#]*/)", 1)
+def links_of(url: str, page: str) -> list[str]:
+    """Canonical links and refreshes of a page, as absolute urls."""
+    base, out = url, []
+    for m in TOKEN.finditer(page):
+        if m[2] or (m[3] or "").lower() not in ("link", "meta", "base"):
+            continue
+        attrs: dict = {}
+        for a in ATTR.finditer(m[4]):
+            attrs.setdefault(a[1].lower(), _html.unescape(a[2] or a[3] or a[4] or "").strip())
+        tag = m[3].lower()
+        if tag == "base" and base is url and attrs.get("href"):
+            base = _joined(url, attrs["href"]) or url
+        elif tag == "link" and "canonical" in attrs.get("rel", "").lower().split():
+            out.append(attrs.get("href"))
+        elif tag == "meta" and attrs.get("http-equiv", "").lower() == "refresh":
+            to = re.search(r"(?i)\burl\s*=\s*(?:\"([^\"]*)|'([^']*)|(\S+))", attrs.get("content", ""))
+            out.append(to and (to[1] or to[2] or to[3]))
+    found = (_joined(base, x) for x in out if x)
+    return [x for x in found if x]
+
+
+def _joined(base: str, ref: str) -> str | None:
+    try:
+        return urljoin(base, ref)
+    except ValueError:  # no valid host
+        return None
 
-    def absolute(ref: Column) -> Column:
-        return (
-            F.when(ref == "", None)
-            .when(F.instr(ref, "://") > 0, ref)
-            .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref))
-            .when(ref.startswith("/"), F.concat(site, ref))
-            .otherwise(F.concat(F.when(folder == "", F.concat(site, F.lit("/"))).otherwise(folder), ref))
-        )
 
-    return F.array_compact(F.array(*map(absolute, refs)))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def link_targets(url: pd.Series, html: pd.Series) -> pd.Series:
+    return pd.Series([links_of(u, h) for u, h in zip(url, html)], dtype=object)
 
 
 def _rank(rules) -> list:
@@ -97,7 +114,8 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     base = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), normal_form(url).alias("form"))
     judged = with_rule(base, rules)
     links = (
-        pages.select(normal_form(url).alias("u"), F.explode(link_targets(url, F.col(html_col))).alias("target"))
+        pages.filter((F.instr(url, "://") > 0) & F.col(html_col).rlike("(?i)canonical|refresh"))
+        .select(normal_form(url).alias("u"), F.explode(link_targets(url, F.col(html_col))).alias("target"))
         .select("u", normal_form(F.col("target")).alias("v")).filter("u <> v")
     )
     alias = connected_components(links)

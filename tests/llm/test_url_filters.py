@@ -26,6 +26,36 @@ def test_aliases_take_decisions(spark):
     assert [allowed[i].verdict for i in range(7)] == ["block", "allow", "allow", "allow", "allow", "allow", "allow"]
 
 
+def test_links_are_decoded_and_resolved(spark):
+    pages = [
+        ("http://bad.net/p?x=1&y=2", None),
+        ("http://a.it/1", '<link rel="canonical" href="http://bad.net/p?x=1&amp;y=2">'),
+        ("http://b.it/dir/page", '<link href="?v=3" rel="nofollow canonical">'), ("http://b.it/dir/page?v=3", '<meta http-equiv=Refresh content="5; URL=&#39;http://bad.net/p?y=2&#38;x=1&#39;">'),
+        ("http://c.it/x/y", '<base href="http://bad.net/"><link rel=canonical href="p?y=2&amp;x=1#top">'),
+        ("http://d.it/", '<link rel=canonical href="http://d.it/"><link rel=canonical href="http://bad.net/p?x=1&y=2">'),
+        ("http://e.it/", '<!-- <link rel=canonical href="http://bad.net/p?x=1&y=2"> --><script>"<link rel=canonical href=http://bad.net/p?x=1&y=2>"</script>'),
+        ("http://f.it/a/b", '<link rel=canonical href="#here"><link rel=canonical href="../c"><link rel=canonical href="http://[bad/">'), ("http://f.it/c", '<link rel=canonical href="//a.it/1">'),
+        ("http://g.it/", ""), (None, '<link rel=canonical href="http://bad.net/p?x=1&y=2">'),
+    ]
+    got = run(spark, pages + pages[:2])
+    assert [got[i].verdict for i in range(13)] == ["block"] * 6 + ["allow", "block", "block", "allow", "allow", "block", "block"]
+
+
+def test_empty_tables(spark):
+    assert filter_urls(spark.createDataFrame([], "page_id long, url string, html string, rule int, form string")).count() == 0
+
+
+def test_the_sql_agrees(spark):
+    import duckdb
+
+    from civicframe.llm import url_filters as U
+
+    folder = "/root/testdata/sf0.01"
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
+    df = U.op10_url_filters(spark, folder)
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, duckdb.sql(U.ORACLE["op10_url_filters"]).select(*df.columns).fetchall()))
+
+
 def test_many_rules_join(spark):
     rules = [*RULES, *[("block", f"h{i}.it", "/") for i in range(300)]]
     got = run(spark, [("http://x.h7.it/a", None), ("http://h.it/", None), ("http://example.net/en/", None)], rules)
