@@ -6,29 +6,35 @@ letters, omissions and, where letters are spaced out, word borders; a Viterbi pa
 character model restores the likeliest words, and each of them is looked up.
 The restored text is scored: a logistic model over words and word beginnings that mark the label,
 chosen on at most SAMPLE labelled documents outside fold 0 (those with the smallest xxhash64 of
-their identifier), counted over documents that are no near copies of each other.
+their identifier), counted over documents that are no near copies of each other, and over the share
+of a text's words that have such a mark.
 
 Null and empty texts score the model's prior. Without labels every score is 0. Texts of any length
-are scored whole. Rows keep their columns; equal texts get equal scores.
+are scored whole. Rows keep their columns, repeated rows stay repeated, and equal texts get equal
+scores; if the new column's name is taken it gets a _ behind it. Of ways to read a token that are
+equally likely the first in the alphabet counts. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from civicframe.llm.common import bounded_sample, fold_of, table
+from civicframe.llm.common import bounded_sample, fold_of, free_name, table
 from civicframe.llm.language_id import blocks
 
-#: Bound on the labelled documents that the model is fitted on, and on its marks.
-SAMPLE, MARKS = 8000, 4000
+#: Bound on the labelled documents that the model is fitted on.
+SAMPLE = 8000
 #: A mark must be this many deviations above its expected number of labelled documents.
 SURPRISE = 6.0
 BEGINNINGS = (4, 5, 6)
+#: Shares of marked words from which a text counts as one kind higher.
+SHARES = (0.005, 0.01, 0.02, 0.03, 0.05, 0.08)
 #: The channel: what a symbol may stand for. Fixed values.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "€": "e", "£": "l", "*": "aeiou"}
 SKIPPED = ".-_'~^"
@@ -156,17 +162,20 @@ class Reader:
             return tuple(self.marks[f] for f in out if f in self.marks)
         return tuple(out)
 
-    def tokens(self, text: str) -> set:
+    def tokens(self, text: str) -> Counter:
+        """How often each token of a text comes, spaced runs as well as their parts."""
         low = text.lower()
-        found = set(low.split())
+        found = Counter(low.split())
         for run in _SPACED.findall(low):
-            found.add(" ".join(run.split()))
+            found[" ".join(run.split())] += 1
         return found
 
     def read(self, text: str | None) -> set:
+        """Numbers of the text's marks, and after those of all marks the kinds that its share of marked words reaches; without marks, its words and beginnings."""
         out: set = set()
-        seen = self.seen
-        for token in self.tokens(text or ""):
+        seen, marked, total = self.seen, 0, 0
+        for token, n in self.tokens(text or "").items():
+            total += n
             got = seen.get(token)
             if got is None:
                 got = self.features(token)
@@ -175,6 +184,9 @@ class Reader:
                 seen[token] = got
             if got:
                 out.update(got)
+                marked += n
+        if marked and self.marks is not None:
+            out.update(len(self.marks) + j for j, share in enumerate(SHARES) if marked >= share * total)
         return out
 
 
@@ -222,10 +234,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | No
                 h = h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7) if len(h) > 2 else h
                 mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
                 keys.append(int(mixed.min().astype(np.int64)))
-            yield pd.DataFrame({"label": batch.label.astype("int32"), "key": keys, "features": found})
+            yield pd.DataFrame({"label": batch.label.astype("int32"), "key": keys, "features": found, "text": batch.text})
 
-    own = _labelled(docs, labels, sample).select("text", "label").mapInPandas(features, "label int, key long, features array<string>")
-    single = own.dropDuplicates(["label", "key"]).persist()
+    own = _labelled(docs, labels, sample).select("text", "label").mapInPandas(features, "label int, key long, features array<string>, text string")
+    single = own.groupBy("label", "key").agg(F.min(F.struct("features", "text")).alias("one")).select("label", "one.*").persist()
     try:
         n, positive = single.agg(F.count(F.lit(1)), F.sum("label")).first()
         if not n:
@@ -238,25 +250,26 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | No
             .filter((F.col("n") >= 4) & (F.col("hits") >= 0.5 * F.col("n")))
             .withColumn("z", (F.col("hits") - expected) / F.sqrt(expected * (1 - base) + 1e-9))
             .filter(F.col("z") >= SURPRISE)
-            .orderBy(F.desc("z"), "mark").limit(MARKS)
+            .orderBy(F.desc("z"), "mark")
         ).collect()
         names = {r.mark: i for i, r in enumerate(marks)}
         table_of = spark.sparkContext.broadcast(names)
 
         def hits(batches):
-            marks_of = table_of.value
+            reader = Reader(shared.value, table_of.value)
             for batch in batches:
-                yield pd.DataFrame({"label": batch.label, "at": [[marks_of[f] for f in fs if f in marks_of] for fs in batch.features]})
+                yield pd.DataFrame({"label": batch.label, "at": [sorted(reader.read(t)) for t in batch.text]})
 
-        rows = single.select("label", "features").mapInPandas(hits, "label int, at array<int>").collect()
+        rows = single.select("label", "text").mapInPandas(hits, "label int, at array<int>").collect()
     finally:
         single.unpersist()
-    weight, bias = fit_marks(sorted((r.label, sorted(r["at"])) for r in rows), len(names))
+    weight, bias = fit_marks(sorted((r.label, sorted(r["at"])) for r in rows), len(names) + len(SHARES))
     return {"lm": lm, "marks": names, "weight": weight, "bias": bias}
 
 
 def score_toxicity(docs: DataFrame, model: dict | None, text_col: str = "text", out: str = "toxicity") -> DataFrame:
     """Adds the column out: a score from 0 to 1."""
+    (out,) = free_name(docs, out)
     if model is None:
         return docs.withColumn(out, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -282,6 +295,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose score is below 0.5."""
+    """Pipeline stage: documents whose score is below 0.5, with all their columns and as often as they come.
+
+    Null and empty texts stay unless most labelled documents are toxic; without labels everything stays.
+    """
     model = learn(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model, out="toxicity__").filter("toxicity__ < 0.5").drop("toxicity__")
+    (score,) = free_name(docs, "toxicity")
+    return score_toxicity(docs, model).filter(F.col(score) < 0.5).drop(score)

@@ -51,6 +51,24 @@ def test_spaces_are_in_the_lattice(spark, model):
     assert got == [True] * len(spaced) + [False] * len(clean)
 
 
+def test_held_out_recall(spark):
+    """The query on the given tables: rows that it has not learnt from."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").filter("toxic IS NOT NULL").select("doc_id", "toxic").distinct()
+    got = X.op3_toxicity(spark, folder).join(labels, "doc_id").filter("held_out").collect()
+    toxic, clean = [r for r in got if r.toxic], [r for r in got if not r.toxic]
+    assert len(toxic) > 50 and sum(r.predicted for r in toxic) >= 0.9 * len(toxic)
+    assert sum(r.predicted for r in clean) <= 0.005 * len(clean)
+
+
+def test_odd_tables(spark, model):
+    frame = model[0].filter("doc_id < 20").selectExpr("*", "'own' AS toxicity", "1 AS toxicity__")
+    out = X.score_toxicity(frame.union(frame), model[1])
+    assert out.columns == ["doc_id", "text", "label", "toxicity", "toxicity__", "toxicity_"] and out.count() == 40
+    assert out.select("doc_id", "toxicity_").distinct().count() == 20
+    assert X.score_toxicity(frame.limit(0), model[1]).count() == 0
+
+
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
