@@ -2,27 +2,31 @@
 
 Subwords are character bigrams and trigrams of the lower-cased text in which every run of
 non-letters is one space, hashed to BUCKETS rows of an embedding. A text's vector is the mean of
-its subwords' rows over the whole text. The driver trains on at most SAMPLE labelled rows (those
-with the smallest xxhash64 of their identifier) and on short random excerpts of them; a fifth of
-the sample is kept from training to fit the softmax temperature and the score from which a
-prediction is accepted. Inference reduces to a table of per-bucket logits that is broadcast.
+its subwords' rows over the whole text. The driver trains on at most SAMPLE labelled identifiers (those
+with the smallest xxhash64), of each a part of at most CHARS characters from a place that its hash
+tells, and on short random excerpts of these; a fifth of the sample is kept from training to fit the
+softmax temperature and the score from which a prediction is accepted, near copies on one side.
+Inference reduces to a table of per-bucket logits that is broadcast.
 
 Null texts and texts without a letter are `und` with score 0 and not accepted. Without any labelled
-row everything is `und`. Ties go to the first language in alphabetical order. Rows keep all their
-columns; names that clash with the results are replaced only in identify()'s output columns asked for.
+row everything is `und`, as in an empty table. Ties go to the first language in alphabetical order.
+Texts of any length are read whole. Rows keep all their columns and repeated rows stay repeated; if
+the new column's name is taken it gets a _ behind it. Of rows with one identifier the sample has one.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from civicframe.llm.common import bounded_sample, fold_of, table
+from civicframe.llm.common import bounded_sample, fold_of, free_name, table
+from civicframe.llm.shingles import shingled, word_hashes
 
 BUCKETS, DIM, SEED = 1 << 15, 16, 7
-#: Bound on the labelled rows that are fetched for training.
-SAMPLE = 3000
+#: Bounds on the labelled rows that are fetched for training and on the characters of each.
+SAMPLE, CHARS = 3000, 20_000
 PRECISION = 0.99
 _letters: np.ndarray | None = None
 
@@ -72,11 +76,19 @@ def train(texts: list[str], langs: list[str], epochs: int = 6) -> dict | None:
     rng = np.random.default_rng(SEED)
     label = {x: i for i, x in enumerate(names)}
     examples: list[tuple] = []
+    hashes, at = word_hashes(pa.array(texts, pa.large_string()))
+    least = [int(shingled(hashes[a:b], 3).min()) if b - a > 2 else i for i, (a, b) in enumerate(zip(at[:-1], at[1:]))]  # near copies mostly share it
+    kept = [x % 5 == 0 for x in least]
+    for lang in names:
+        of = [i for i, x in enumerate(langs) if x == lang]
+        if 2 * sum(kept[i] for i in of) > len(of):  # nearly all are copies
+            for j, i in enumerate(of):
+                kept[i] = j % 5 == 0
     for i, (text, lang) in enumerate(zip(texts, langs)):
         parts = [p for p in excerpts(text, rng) if any(map(str.isalpha, p))]
         if parts:
             grams, at = subwords(parts)
-            examples += [(i % 5 == 0, label[lang], *np.unique(grams[a:b], return_counts=True)) for a, b in zip(at[:-1], at[1:]) if b > a]
+            examples += [(kept[i], label[lang], *np.unique(grams[a:b], return_counts=True)) for a, b in zip(at[:-1], at[1:]) if b > a]
     fit, hold = [e for e in examples if not e[0]], [e for e in examples if e[0]]
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     out = np.zeros((DIM, len(names)), np.float32)
@@ -148,14 +160,17 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     chosen = F.broadcast(bounded_sample(known.select(F.col(id_col).alias("sample_id")), "sample_id", sample))
     rows = (
         known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-        .join(chosen, F.col("id") == F.col("sample_id"), "left_semi").limit(2 * sample)
+        .join(chosen, F.col("id") == F.col("sample_id"), "left_semi")
+        .withColumn("text", F.substring("text", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.length("text") - CHARS + 1)).cast("int") + 1, F.lit(CHARS)))
+        .groupBy("id").agg(F.min(F.struct("lang", "text")).alias("one")).select("id", "one.*")
     ).collect()
-    rows.sort(key=lambda r: (r.id, r.lang, r.text))
+    rows.sort(key=lambda r: r.id)
     return train([r.text for r in rows], [r.lang for r in rows])
 
 
 def identify(docs: DataFrame, model: dict | None, text_col: str = "text", out: str = "language") -> DataFrame:
     """Adds the struct column out: lang_pred, score, accepted."""
+    (out,) = free_name(docs, out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, accepted boolean")

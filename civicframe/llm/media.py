@@ -6,8 +6,11 @@ byte 0 corrects the declared type, confirmed hits further in are embedded media,
 that can be carved. Storing a payload as 8-bit PCM in a WAV container and cutting it out again are
 plain binary expressions in the JVM.
 
-Null bytes count as empty: type null, no spans. Magic bytes whose structure does not hold are
-ignored, so text that happens to hold "BM" or "RIFF" stays what it is. Equal bytes give equal results.
+Null and empty bytes have type null and no spans. Magic bytes whose structure does not hold are
+ignored, so text that happens to hold "BM" or "RIFF" stays what it is. Payloads of any length up to
+the container's 4 GB are read whole, each byte a few times at most. Equal bytes give equal results,
+repeated rows repeated ones, an empty table an empty table. Of embedded media that overlap the first
+counts. Other columns stay; if the new column's name is taken it gets a _ behind it.
 """
 
 from __future__ import annotations
@@ -15,12 +18,11 @@ from __future__ import annotations
 import struct
 import zlib
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from civicframe.llm.common import table
+from civicframe.llm.common import free_name, table
 
 #: The formats' magic bytes.
 MAGIC = {
@@ -47,12 +49,12 @@ def _png(b: bytes, at: int):
     return None
 
 
-def _jpeg(b: bytes, at: int):
+def _jpeg(b: bytes, at: int, find):
     pos = at + 2
     while pos + 4 <= len(b) and b[pos] == 0xFF:
         mark, size = b[pos + 1], struct.unpack_from(">H", b, pos + 2)[0]
         if mark == 0xDA:
-            end = b.find(b"\xff\xd9", pos + 2 + size)
+            end = find(b"\xff\xd9", pos + 2 + size)
             return None if end < 0 else (end + 2 - at, pos + 2 + size, end - pos - 2 - size)
         if not 0xC0 <= mark <= 0xFE or size < 2:
             return None
@@ -109,13 +111,13 @@ def _wav(b: bytes, at: int):
     return None
 
 
-def _pdf(b: bytes, at: int):
-    end = b.find(b"%%EOF", at)
-    return (end + 5 - at, at, end + 5 - at) if end > 0 and b.find(b"obj", at, end) > 0 else None
+def _pdf(b: bytes, at: int, find):
+    end = find(b"%%EOF", at)
+    return (end + 5 - at, at, end + 5 - at) if end > 0 and 0 < find(b"obj", at) < end else None
 
 
-def _zip(b: bytes, at: int):
-    end = b.find(b"PK\x05\x06", at)
+def _zip(b: bytes, at: int, find):
+    end = find(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return None
     size, off, note = struct.unpack_from("<IIH", b, end + 12)
@@ -159,9 +161,15 @@ def _ogg(b: bytes, at: int):
 VALIDATORS = {"image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "audio/wav": _wav, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip, "audio/flac": _flac, "audio/ogg": _ogg}
 
 
+#: Formats whose end has to be searched for.
+SEARCHED = ("application/pdf", "application/zip", "image/jpeg")
+
+
 def automaton():
     global _automaton
     if _automaton is None:
+        import ahocorasick
+
         _automaton = ahocorasick.Automaton()
         for magic, kind in MAGIC.items():
             _automaton.add_word(magic.decode("latin-1"), (len(magic), kind))
@@ -169,14 +177,32 @@ def automaton():
     return _automaton
 
 
+class Finder:
+    """Places of byte strings in order: what has been looked through is not looked through again."""
+
+    def __init__(self, data: bytes):
+        self.data, self.last = data, {}
+
+    def __call__(self, what: bytes, at: int) -> int:
+        """The first place from at on, or -1."""
+        begin, place = self.last.get(what, (at, None))
+        if at < begin:
+            before = self.data.find(what, at, begin + len(what) - 1)
+            return place if before < 0 else before
+        if place is None or -1 < place < at:
+            place = self.data.find(what, at)
+        self.last[what] = (at, place)
+        return place
+
+
 def sniff(data: bytes) -> tuple[tuple | None, list[tuple[str, int, int]]]:
     """((type, length, data start, data length) at byte 0 or None, embedded (type, start, length))."""
-    top, inside, free = None, [], 0
+    top, inside, free, find = None, [], 0, Finder(data)
     for end, (size, kind) in automaton().iter(data.decode("latin-1")):
         at = end - size + 1
         if at and at < free:
             continue  # within embedded media that is confirmed already
-        got = VALIDATORS[kind](data, at)
+        got = VALIDATORS[kind](data, at, find) if kind in SEARCHED else VALIDATORS[kind](data, at)
         if got and at == 0:
             top = (kind, *got)
         elif got:
@@ -195,6 +221,7 @@ def _feature(data: bytes, top: tuple | None) -> str:
 
 def sniffed(df: DataFrame, media_col: str, declared_col: str, out: str = "sniffed") -> DataFrame:
     """Adds the struct column out (SNIFFED): the confirmed type, whether the declared one was right, spans and features."""
+    (out,) = free_name(df, out)
 
     @F.pandas_udf(SNIFFED)
     def look(media: pd.Series, declared: pd.Series) -> pd.DataFrame:

@@ -1,6 +1,9 @@
 import gzip
 import hashlib
+import io
 import struct
+import time
+import zipfile
 import zlib
 
 import pytest
@@ -35,6 +38,45 @@ def test_broken_structure_is_ignored():
         assert M.sniff(bad) == (None, [])
 
 
+def test_places_are_found_once():
+    data = b"..a..b..a....b"
+    find = M.Finder(data)
+    for what, at in ((b"a", 0), (b"a", 3), (b"b", 6), (b"b", 1), (b"a", 9), (b"a", 2), (b"zz", 0), (b"zz", 5)):
+        assert find(what, at) == data.find(what, at)
+
+
+@pytest.mark.parametrize("unit", [b"%PDF-1.4 ", b"PK\x03\x04", b"\xff\xd8\xff\xda\x00\x02", b"BM"])
+def test_many_hits_take_linear_time(unit):
+    began = time.process_time()
+    assert M.sniff(unit * 200_000) == (None, [])
+    assert time.process_time() - began < 6
+
+
+def test_pdf_and_zip_ends():
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("a", "text")
+    pdf = b"%PDF-1.4\n1 0 obj <<>> endobj\n%%EOF"
+    data = b"x" + pdf + b" %PDF- " + pdf + buffer.getvalue() + b"%PDF-"
+    assert M.sniff(data)[1] == [("application/pdf", 1, len(pdf)), ("application/pdf", 1 + len(pdf) + 1, len(pdf) + 6), ("application/zip", 1 + 2 * len(pdf) + 7, len(buffer.getvalue()))]
+
+
+def test_the_query(spark, tmp_path):
+    """Every column of the query against plain Python."""
+    texts = [(1, "héllo"), (2, None), (3, "x" * 64), (4, "RIFF BM GIF89a"), (5, "y" * 300_001), (6, "héllo"), (6, "héllo"), (7, ""), (8, "z" * 65)]
+    spark.createDataFrame([(i, t, "own") for i, t in texts], "doc_id long, text string, sniffed string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = M.op9_media_columns(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(i for i, _ in texts)
+    for r in rows:
+        plain = (dict(texts)[r.doc_id] or "").encode()
+        payload = plain + b"\0" * (max(64, -(-len(plain) // 64) * 64) - len(plain))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(plain), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-64:]), len(wav(payload)), hashlib.sha256(wav(payload)).hexdigest())
+        assert r.media_type == "audio/wav" and r.feature.startswith(f"audio/wav;bytes={len(payload)};")
+    df = spark.createDataFrame([(b"x", "t", 1)], "m binary, d string, sniffed int")
+    assert M.sniffed(df, "m", "d").columns == ["m", "d", "sniffed", "sniffed_"] and M.sniffed(df.limit(0), "m", "d").count() == 0
+
+
 def test_query_digests(spark):
     texts = [(1, "héllo"), (2, None), (3, "x" * 64), (4, "RIFF BM GIF89a"), (5, "y" * 300_001), (6, "héllo")]
     df = spark.createDataFrame(texts, "doc_id long, text string")
