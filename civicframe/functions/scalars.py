@@ -100,6 +100,11 @@ def basis_points(value: Column, base: Column) -> Column:
     return F.round(F.try_divide(value.cast("decimal(20,0)") * 10000, base.cast("decimal(18,0)")), 0).cast("bigint")
 
 
+def round_half_away(n: Column, d: Column) -> Column:
+    """n / d of integers as an integer, halves away from zero; null without d."""
+    return F.round(F.try_divide(n.cast("decimal(20,0)"), d.cast("decimal(18,0)")), 0).cast("bigint")
+
+
 def round_half_up(x: Column) -> Column:
     """Half toward plus infinity."""
     return F.floor(x + F.lit(0.5)).cast("bigint")

@@ -78,3 +78,31 @@ def safe_sum(column: str) -> Column:
 
 def both_or_none(a: str, b: str) -> Column:
     return always(F.col(a).isNull() == F.col(b).isNull())
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A named condition in standard SQL: of every row, or (each=False) of a whole group; null does not hold."""
+
+    name: str
+    holds: str
+    each: bool = True
+
+    def sql(self) -> str:
+        if self.each:
+            return f"count(CASE WHEN coalesce({self.holds}, false) THEN NULL ELSE 1 END) = 0"
+        return f"coalesce({self.holds}, false)"
+
+
+def judged(df: DataFrame, by: str, rules: list[Rule]) -> DataFrame:
+    """(by, check_name, ok) for every group and rule, from one aggregate."""
+    row = df.groupBy(by).agg(*[F.expr(r.sql()).alias(f"c{i}") for i, r in enumerate(rules)])
+    pairs = [F.struct(F.lit(r.name).alias("check_name"), F.col(f"c{i}").alias("ok")) for i, r in enumerate(rules)]
+    return row.select(by, F.explode(F.array(*pairs)).alias("x")).select(by, "x.check_name", "x.ok")
+
+
+def broken(df: DataFrame, variants: list[str], changes: dict[str, str], lost: str = "false") -> DataFrame:
+    """A copy of a table for each variant, with columns changed by SQL expressions over column variant and rows lost."""
+    named = df.withColumn("variant", F.explode(F.array(*map(F.lit, variants))))
+    kept = named.filter(f"NOT ({lost})")
+    return kept.select("variant", *[F.expr(changes[c]).alias(c) if c in changes else F.col(c) for c in df.columns])

@@ -480,9 +480,16 @@ def doubled_keys(spark, sf_dir):
 
 
 @query(
-    "v05_v06_v08_v12_v23_checks",
-    """SELECT * FROM (VALUES ('determines', true), ('entities', true), ('safe_sum', true), ('title_le_total', true), ('unique', true), ('year_constant', false)) AS v(check_name, ok)""",
-    roles=False,
+    "v05_v08_checks",
+    """+ r AS (SELECT et.*, region_name, entity % 2 AS year FROM et JOIN reg USING (region))
+        SELECT 'determines' AS check_name, count(DISTINCT (region, region_name)) = count(DISTINCT region) AS ok FROM r
+        UNION ALL SELECT 'does_not_determine', count(DISTINCT (region, entity)) = count(DISTINCT region) FROM r
+        UNION ALL SELECT 'entities', count(*) = count(DISTINCT entity) FROM r
+        UNION ALL SELECT 'safe_sum', abs(sum(CAST(total_cents AS HUGEINT))) <= 9007199254740991 FROM r
+        UNION ALL SELECT 'title_le_total', count(*) FILTER (title_cents > total_cents) = 0 FROM r
+        UNION ALL SELECT 'unique', count(DISTINCT entity) = count(entity) FROM r
+        UNION ALL SELECT 'not_unique', count(DISTINCT region) = count(region) FROM r
+        UNION ALL SELECT 'year_constant', count(*) FILTER (year <> 0) = 0 FROM r""",
 )
 def checks(spark, sf_dir):
     """A bundle of contracts from one aggregate."""
@@ -490,9 +497,10 @@ def checks(spark, sf_dir):
     return V.report(
         rows,
         [
-            V.Check("determines", V.determines("region", "region_name")), V.Check("entities", F.count(F.lit(1)) == F.count_distinct("entity")),
-            V.Check("safe_sum", V.safe_sum("total_cents")), V.Check("title_le_total", V.always(F.col("title_cents") <= F.col("total_cents"))),
-            V.Check("unique", V.unique("entity")), V.Check("year_constant", V.constant("year", 0)),
+            V.Check("determines", V.determines("region", "region_name")), V.Check("does_not_determine", V.determines("region", "entity")),
+            V.Check("entities", F.count(F.lit(1)) == F.count_distinct("entity")), V.Check("safe_sum", V.safe_sum("total_cents")),
+            V.Check("title_le_total", V.always(F.col("title_cents") <= F.col("total_cents"))), V.Check("unique", V.unique("entity")),
+            V.Check("not_unique", V.unique("region")), V.Check("year_constant", V.constant("year", 0)),
         ],
     )
 
