@@ -103,10 +103,10 @@ def _sequences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return grams[places], ends
 
 
-def window_rows(docs: DataFrame, spans: bool = True) -> DataFrame:
-    """docs (id, text) -> id, key (min-hash of one of the functions) and, with spans, fn, l, c, r in shingle places of the text, and the shingles AWAY on and back."""
+def window_rows(docs: DataFrame) -> DataFrame:
+    """docs (id, text) -> id, key (min-hash of one of the functions), fn, l, c, r in shingle places of the text, and the shingles AWAY on and back."""
     kind = docs.schema["id"].dataType.simpleString()
-    fields = f"id {kind}, key long" + ", fn byte, l int, c int, r int, after int, before int" * spans
+    fields = f"id {kind}, key long, fn byte, l int, c int, r int, after int, before int"
 
     def run(batches):
         for whole in batches:
@@ -114,18 +114,13 @@ def window_rows(docs: DataFrame, spans: bool = True) -> DataFrame:
                 grams, bounds = _sequences(b.column(1))
                 for fn in range(HASHES):
                     h = mix(grams ^ _SALTS[fn])
-                    if spans:
-                        left, c, right = compact_windows(h, bounds, LEAST)
-                    else:
-                        _, _, c = minima(h, bounds, LEAST)
+                    left, c, right = compact_windows(h, bounds, LEAST)
                     of = np.searchsorted(bounds, c, "right") - 1
-                    columns = [b.column(0).take(pa.array(of)), pa.array(h[c].view(np.int64))]
-                    if spans:
-                        begin, end = bounds[of], bounds[of + 1] - 1
-                        columns.append(pa.array(np.full(len(c), fn, np.int8)))
-                        columns += [pa.array((x - begin).astype(np.int32)) for x in (left, c, right)]
-                        columns += [pa.array(_short(grams[x])) for x in (np.minimum(c + AWAY, end), np.maximum(c - AWAY, begin))]
-                    yield pa.RecordBatch.from_arrays(columns, ["id", "key", "fn", "l", "c", "r", "after", "before"][: len(columns)])
+                    begin, end = bounds[of], bounds[of + 1] - 1
+                    columns = [b.column(0).take(pa.array(of)), pa.array(h[c].view(np.int64)), pa.array(np.full(len(c), fn, np.int8))]
+                    columns += [pa.array((x - begin).astype(np.int32)) for x in (left, c, right)]
+                    columns += [pa.array(_short(grams[x])) for x in (np.minimum(c + AWAY, end), np.maximum(c - AWAY, begin))]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "key", "fn", "l", "c", "r", "after", "before"])
 
     return docs.mapInArrow(run, fields)
 
@@ -135,31 +130,35 @@ def _short(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def shared_windows(docs: DataFrame) -> DataFrame:
-    """The windows whose min-hash several documents have."""
-    # both sides of each join are plain shuffles or tables, so that AQE can split a key that many documents share
-    # (hash joins: their build sides have one row for each key)
-    groups = window_rows(docs, spans=False).groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key")
-    return written(window_rows(docs).join(written(groups, "groups").hint("shuffle_hash"), "key", "left_semi"), "windows")
+def hubs_of(windows: DataFrame, *by: str) -> DataFrame:
+    """by, h (id, l, c, r of the first document) of the groups of several documents."""
+    first = windows.groupBy(*by).agg(F.min(F.struct("id", "l", "c", "r")).alias("h"), F.max("id").alias("high"))
+    return written(first.filter("h.id <> high").drop("high"), "firsts")
 
 
-def hubs_of(windows: DataFrame, *by: str) -> DataFrame:
-    """by, h (id, l, c, r of the group's first document)."""
-    return written(windows.groupBy(*by).agg(F.min(F.struct("id", "l", "c", "r")).alias("h")), "firsts")
+def shared_windows(docs: DataFrame) -> DataFrame:
+    """The windows whose min-hash several documents have, with h, that of the first of these."""
+    # both sides of the join are a plain shuffle and a table, so that AQE can split a key that many documents share
+    # (a hash join: its build side has one row for each key)
+    hubs = hubs_of(window_rows(docs).select("id", "key", "l", "c", "r"), "key")
+    return written(window_rows(docs).join(hubs.hint("shuffle_hash"), "key"), "windows")
 
 
 def spans_of(linked: DataFrame, enough: int) -> DataFrame:
     """Linked windows (id, fn, l, c, r, h) -> (id, hub, begin, end, hub_begin, hub_end): stretches of two documents on which enough functions agree."""
     back, on = F.least(F.col("c") - F.col("l"), F.expr("h.c - h.l")), F.least(F.col("r") - F.col("c"), F.expr("h.r - h.c"))
     places = linked.select(
-        "id", F.col("h.id").alias("hub"), "fn", F.floor((F.col("c") - F.col("h.c")) / BAND).alias("band"),
+        "id", F.col("h.id").alias("hub"), F.floor((F.col("c") - F.col("h.c")) / BAND).cast("int").alias("band"), F.expr("shiftleft(1, fn)").alias("functions"),
         (F.col("c") - back).alias("begin"), (F.col("c") + on).alias("end"), (F.col("h.c") - back).alias("hub_begin"), (F.col("h.c") + on).alias("hub_end"),
     )
-    ends = (F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("hub_begin").alias("hub_begin"), F.max("hub_end").alias("hub_end"))
+
+    def together(rows: DataFrame) -> DataFrame:
+        ends = (F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("hub_begin").alias("hub_begin"), F.max("hub_end").alias("hub_end"))
+        return rows.groupBy("id", "hub", "band").agg(F.bit_or("functions").alias("functions"), *ends)
+
     # an alignment may lie on the border of two bands
-    near = places.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    found = near.groupBy("id", "hub", "band").agg(F.count_distinct("fn").alias("functions"), *ends)
-    return found.filter((F.col("functions") >= enough) & (F.col("end") - F.col("begin") + 1 >= LEAST)).select("id", "hub", "begin", "end", "hub_begin", "hub_end").distinct()
+    found = together(together(places).withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))))
+    return found.filter((F.bit_count("functions") >= enough) & (F.col("end") - F.col("begin") + 1 >= LEAST)).select("id", "hub", "begin", "end", "hub_begin", "hub_end").distinct()
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -172,7 +171,7 @@ def stretches(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """Distinct asked (id, begin, end) -> (id, begin, end, shingles): the stretches' shingles, as 32 bits each."""
     kind = docs.schema["id"].dataType.simpleString()
     wanted = asked.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("asked"))
-    rows = only(docs, asked).join(wanted, "id").select("text", "asked", "id")
+    rows = only(docs, asked).join(wanted.hint("shuffle_hash"), "id").select("text", "asked", "id")
 
     def run(batches):
         for whole in batches:
@@ -221,7 +220,7 @@ def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     parts = written(stretches(docs, written(asked, "asked")), "stretches")
     own = parts.select("id", F.col("begin").alias("a0"), F.col("end").alias("a1"), F.col("shingles").alias("a"))
     hubs = parts.select(F.col("id").alias("hub"), F.col("begin").alias("b0"), F.col("end").alias("b1"), F.col("shingles").alias("b"))
-    both = pairs.join(own, ["id", "a0", "a1"]).join(hubs, ["hub", "b0", "b1"]).select("id", "hub", "a0", "a", "b0", "b")
+    both = pairs.join(own.hint("shuffle_hash"), ["id", "a0", "a1"]).join(hubs.hint("shuffle_hash"), ["hub", "b0", "b1"]).select("id", "hub", "a0", "a", "b0", "b")
 
     def compare(batches):
         for batch in batches:
@@ -243,14 +242,13 @@ def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(both.mapInArrow(compare, schema), "passages")
 
 
-def open_pairs(docs: DataFrame, shared: DataFrame, firsts: DataFrame, found: DataFrame) -> DataFrame:
+def open_pairs(docs: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame:
     """Stretches that windows share in groups whose hub gave no passage over one of them."""
     covered = found.select(F.col("id").alias("f_id"), F.col("rep_id").alias("f_hub"), F.col("start_word").alias("f_begin"), (F.col("start_word") + F.col("n_words") - K).alias("f_end"))
-    some = shared.filter(F.col("fn") < OPEN)
-    linked = some.join(firsts.hint("shuffle_hash"), "key").select("key", F.col("h.id").alias("hub"), "id", "c").filter("id <> hub")
-    left = linked.join(covered, (F.col("id") == F.col("f_id")) & (F.col("hub") == F.col("f_hub")) & F.col("c").between(F.col("f_begin"), F.col("f_end")), "left_anti")
-    keys = written(left.groupBy("key").agg(F.min("hub").alias("hub")), "open-keys")
-    windows = written(some.join(keys.hint("shuffle_hash"), "key"), "open")
+    some = shared.filter(F.col("fn") < OPEN).withColumn("hub", F.col("h.id")).drop("h")
+    left = some.filter("id <> hub").select("key", "hub", "id", "c").join(covered, (F.col("id") == F.col("f_id")) & (F.col("hub") == F.col("f_hub")) & F.col("c").between(F.col("f_begin"), F.col("f_end")), "left_anti")
+    keys = written(left.select("key").distinct(), "open-keys")
+    windows = written(some.join(keys.hint("shuffle_hash"), "key", "left_semi"), "open")
     near = None
     for by in ("after", "before"):
         # the group's first document has been compared
@@ -263,7 +261,7 @@ def run_pairs(docs: DataFrame, windows: DataFrame, covered: DataFrame) -> DataFr
     """(id, hub, begin, end, hub_begin, hub_end): runs of WORDS words through the windows that documents share with the run's first document."""
     kind = docs.schema["id"].dataType.simpleString()
     asked = written(windows.groupBy("id").agg(F.collect_list(F.struct("l", "c", "r")).alias("windows")), "run-windows")
-    rows = only(docs, asked).join(asked, "id").select("text", "windows", "id")
+    rows = only(docs, asked).join(asked.hint("shuffle_hash"), "id").select("text", "windows", "id")
 
     def run(batches):
         for whole in batches:
@@ -300,28 +298,34 @@ def _run_keys(grams: np.ndarray) -> np.ndarray:
 
 def matching_parts(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]]:
     """(begin and end in a, begin and end in b, similarity) of the parts of two stretches that match."""
-    least, here = LEAST, _within(a, b)
+    here = _within(a, b)
+    most = np.flatnonzero(here)
+    if len(most) < SIMILARITY * LEAST:
+        return []
+    x, y = int(most[0]), int(most[-1]) + 1
+    if y - x == len(most) >= LEAST:  # one run, often the same in both
+        for u in np.flatnonzero(b == a[x]).tolist():
+            if u + y - x <= len(b) and (b[u : u + y - x] == a[x:y]).all():
+                return [(x, y, u, u + y - x, 1.0)]
     out = _bridged(a, b, here)
     # what matches without an order, left and right of them
     ends = [0, *[e for part in out for e in part[:2]], len(a)]
     spans = [(lo, hi, 8) for lo, hi in zip(ends[::2], ends[1::2])]
     while spans:
         lo, hi, weight = spans.pop()
-        if hi - lo < least:
+        if hi - lo < LEAST or here[lo:hi].sum() < SIMILARITY * LEAST:
             continue
         got = _densest(here[lo:hi], weight)
         if got is None:
             continue
         x, y = lo + got[0], lo + got[1]
         spans += [(lo, x, weight), (y, hi, weight)]
-        if y - x < least:
+        if y - x < LEAST:
             continue
         other = _densest(_within(b, a[x:y]), weight)
         similarity = 0.0
-        if other is not None and other[1] - other[0] >= least:
-            one, two = set(a[x:y].tolist()), set(b[other[0] : other[1]].tolist())
-            common = len(one & two)
-            similarity = common / (len(one) + len(two) - common)
+        if other is not None and other[1] - other[0] >= LEAST:
+            similarity = _similarity(a[x:y], b[other[0] : other[1]])
         if similarity >= SIMILARITY:
             out.append((x, y, *other, similarity))
         elif weight < STRICT:  # no passage as a whole; runs without any difference within it may be
@@ -329,6 +333,12 @@ def matching_parts(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, in
     return out
 
 
+def _similarity(a: np.ndarray, b: np.ndarray) -> float:
+    one, two = set(a.tolist()), set(b.tolist())
+    common = len(one & two)
+    return common / (len(one) + len(two) - common)
+
+
 def _runs(a: np.ndarray, b: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(begins in a, begins in b, lengths) of the heaviest chain of runs that match in one order. Of several equal places in b the one nearest to the commonest offset counts."""
     at = np.flatnonzero(here)
@@ -368,6 +378,8 @@ def _bridged(a: np.ndarray, b: np.ndarray, here: np.ndarray) -> list[tuple[int,
         return []
     x, u, n = _runs(a, b, here)
     y, v = x + n, u + n
+    if y[-1] - x[0] >= LEAST and v[-1] - u[0] >= LEAST and (whole := _similarity(a[x[0] : y[-1]], b[u[0] : v[-1]])) >= SIMILARITY:
+        return [(int(x[0]), int(y[-1]), int(u[0]), int(v[-1]), whole)]
     first = np.zeros(len(a), bool)
     first[np.unique(a, return_index=True)[1]] = True
     hits, misses = np.append(0, np.cumsum(here)), np.append(0, np.cumsum(~here & first))
@@ -399,8 +411,7 @@ def _similarities(a: np.ndarray, b: np.ndarray, ends: np.ndarray, other_ends: np
 
 def _within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which elements of a are in b."""
-    known = set(b.tolist())
-    return np.fromiter((x in known for x in a.tolist()), bool, len(a))
+    return np.fromiter(map(set(b.tolist()).__contains__, a.tolist()), bool, len(a))
 
 
 def _densest(match: np.ndarray, weight: int) -> tuple[int, int] | None:
@@ -430,10 +441,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         later = F.broadcast(later)
     single = docs.join(later, F.col("id") == F.col("later"), "left_anti")
     shared = shared_windows(single)
-    hubs = hubs_of(shared, "key")
-    linked = shared.join(hubs.hint("shuffle_hash"), "key").filter("id <> h.id")
-    found = compared(single, spans_of(linked, ENOUGH))
-    found = found.union(compared(single, open_pairs(single, shared, hubs, found)))
+    found = compared(single, spans_of(shared.filter("id <> h.id"), ENOUGH))
+    found = found.union(compared(single, open_pairs(single, shared, found)))
     zero = F.lit(0).cast("long")
     whole = copies.select("id", zero.alias("start_word"), F.col("n").cast("long").alias("n_words"), F.col("rep").alias("rep_id"), zero.alias("rep_start_word"), F.lit(1.0).alias("similarity"))
     own = found.select(F.col("rep_id").alias("id"), F.col("rep_start_word").alias("start_word"), F.col("rep_n_words").alias("n_words"), "rep_id", "rep_start_word", F.lit(1.0).alias("similarity"))
