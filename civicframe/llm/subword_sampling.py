@@ -43,13 +43,13 @@ SAMPLES, ALPHA, SEED = 2, 1.0, 3
 #: Splits of a set that are made at once; what lies further down is one set until it is popped.
 NEAR = 48
 #: Bytes of lattices that a worker keeps, and of texts that it takes at once.
-KEPT, AT_ONCE = 64 << 20, 1 << 18
+KEPT, AT_ONCE = 256 << 20, 1 << 18
 #: Bytes of an edge, a node and a stretch (with its text and places in dictionaries), about.
-EDGE, NODE, STRETCH = 24, 8, 400
+EDGE, NODE, STRETCH = 24, 8, 220
 FINE, COARSE = r" *(?:[^\W\d_²]+|(?:[\d_²]|[^\w ])+)| +", r" *[^ ]+| +"
 SAMPLED = "array<struct<ids: array<int>, log_prob: double, inclusion: double>>"
 BUCKET_BITS = 17
-_STEP = np.uint64(0x2545F4914F6CDD1D)
+_STEP, _ALL = np.uint64(0x2545F4914F6CDD1D), (1 << 64) - 1
 _M1, _M2, _M3, _M4 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 
 
@@ -101,6 +101,19 @@ def mixed_bits(h: np.ndarray, n) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def mixed_number(h: int, n: int) -> int:
+    """mixed_bits of one number."""
+    h = ((h + n * 0x9E3779B97F4A7C15) & _ALL) ^ 0xD6E8FEB86659FD93
+    h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & _ALL
+    h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & _ALL
+    return h ^ (h >> 31)
+
+
+def uniform_number(h: int) -> float:
+    """uniform of one number."""
+    return ((h >> 11) + 0.5) * 2.0**-53
+
+
 def uniform(h: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from hashes, the same everywhere."""
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
@@ -178,7 +191,7 @@ class Lattices:
         piece, weight = np.concatenate(ids[::-1])[order], np.concatenate(weights[::-1])[order]
         first = np.searchsorted(start, np.arange(total + 1))
         value, back = self._backward(start, end, weight, first, stop, size)
-        log, other, upto = self._shares(value - back[start], np.arange(len(start)) - first[start], np.diff(first)[start])
+        log, other, upto = self._shares(value - back[start], first[:-1], np.diff(first))
         upto[first[1:] - 1] = 2.0
         begin = stop - np.repeat(size, size)
         c0, n0, e0 = self.chunks, self.nodes, self.edges
@@ -227,22 +240,23 @@ class Lattices:
         return value, back
 
     @staticmethod
-    def _shares(x: np.ndarray, rank: np.ndarray, degree: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(log share, log share of the node's other edges, share up to here) of edges with log shares x, of a node's edges number rank."""
-        most = int(degree.max())
-        before, after = np.full(len(x), -np.inf), np.full(len(x), -np.inf)
-        order = np.argsort(rank, kind="stable")
-        bounds = np.searchsorted(rank[order], np.arange(most + 1))
-        for r in range(1, most):
-            at = order[bounds[r] : bounds[r + 1]]
-            before[at] = np.logaddexp(before[at - 1], x[at - 1])
-        for r in range(most - 2, -1, -1):
-            at = order[bounds[r] : bounds[r + 1]]
-            at = at[degree[at] > r + 1]
-            after[at] = np.logaddexp(after[at + 1], x[at + 1])
-        other = np.logaddexp(before, after)
-        log = np.where(other < -0.7, np.log1p(-np.exp(np.minimum(other, -0.7))), x)
-        return log, other, np.exp(np.logaddexp(before, x))
+    def _shares(x: np.ndarray, first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log share, log share of the node's other edges, share up to here) of edges with log shares x; of each node the first edge and how many.
+
+        Of an edge that has nearly all of its node the others are summed up, as one minus its share would lose them.
+        """
+        own = x > -0.01
+        x = np.minimum(x, 0.0)
+        rest = np.where(own, -np.inf, x)
+        top = np.maximum.reduceat(rest, first)
+        top[np.isinf(top)] = 0.0
+        with np.errstate(divide="ignore"):
+            others = top + np.log(np.add.reduceat(np.exp(rest - np.repeat(top, counts)), first))
+            other = np.where(own, np.repeat(others, counts), np.log1p(-np.exp(np.minimum(x, -0.01))))
+        log = np.where(own, np.log1p(-np.exp(np.minimum(other, -0.7))), x)
+        running = np.cumsum(np.exp(log))
+        before = running[first] - np.exp(log[first])
+        return log, other, running - np.repeat(before, counts)
 
     def beside(self, edge: int, banned: tuple) -> float:
         """Log share of what leaves an edge's node neither by it nor by the banned ones."""
@@ -290,6 +304,12 @@ def _truncated(mass: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
     return -np.logaddexp(-bound, -(mass + _gumbel(u)))
 
 
+def _least_of(bound: float, drawn: float) -> float:
+    """_truncated of one number that has been drawn."""
+    low, high = min(bound, drawn), max(bound, drawn)
+    return low - math.log1p(math.exp(low - high))
+
+
 class Sampler:
     def __init__(self, vocabulary: dict, k: int, seed: int):
         self.v, self.k, self.seed = vocabulary, k, seed
@@ -297,40 +317,28 @@ class Sampler:
         self._forget()
 
     def _forget(self) -> None:
-        self.lattices, self.of, self.words = Lattices(self.v), {}, {}
-
-    def _numbers(self, chunks: list[str], fresh: list) -> tuple:
-        of = self.of
-        out = []
-        for c in chunks:
-            n = of.get(c)
-            if n is None:
-                n = of[c] = len(of)
-                fresh.append(c)
-            out.append(n)
-        return tuple(out)
+        self.lattices, self.of = Lattices(self.v), {}
 
     def _split(self, text: str, fresh: list) -> list[int]:
-        """The numbers of a text's stretches."""
+        """The numbers of a text's stretches; new ones go to fresh."""
         if not text:
             return []
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            return list(self._numbers(self.pattern.findall(" " + text), fresh))
-        parts, words = text.split(" "), self.words  # every part has one leading space
-        got = list(map(words.get, parts))
+        found, of = self.pattern.findall(" " + text), self.of
+        got = list(map(of.get, found))
         if None in got:
-            for i, x in enumerate(got):
-                if x is None:
-                    word = parts[i]
-                    x = words.get(word)
-                    if x is None:
-                        x = words[word] = self._numbers(self.pattern.findall(" " + word), fresh)
-                    got[i] = x
-        return list(chain.from_iterable(got))
+            for i, n in enumerate(got):
+                if n is None:
+                    chunk = found[i]
+                    n = of.get(chunk)
+                    if n is None:
+                        n = of[chunk] = len(of)
+                        fresh.append(chunk)
+                    got[i] = n
+        return got
 
     def sample(self, texts: list[str], keys: list[int]) -> list[list[tuple]]:
         """For each text up to k (ids, log-probability, inclusion), best perturbed value first."""
-        if self.lattices.size() + len(self.words) * STRETCH > KEPT:
+        if self.lattices.size() > KEPT:
             self._forget()
         fresh: list = []
         split = [self._split(t, fresh) for t in texts]
@@ -369,12 +377,14 @@ class _Doc:
     """The search of one text."""
 
     def __init__(self, sampler: Sampler, chunks, base, edges, steps, logs):
-        self.s, self.chunks, self.base, self.draws, self.found, self.heap = sampler, chunks, base, 0, [], []
-        self._take(edges, steps, logs, float(_gumbel(self._uniform(-1))), 0, ())
+        self.s, self.chunks, self.base, self.draws, self.found, self.heap = sampler, chunks, int(base), 0, [], []
+        self._take(edges, steps, logs, -math.log(-math.log(self._uniform(-1))), 0, ())
 
-    def _uniform(self, kind: int, at=0):
+    def _uniform(self, kind: int, at=None):
         self.draws += 1
-        return uniform(mixed_bits(mixed_bits(self.base, np.int64(kind * 1000 - self.draws)), at))
+        if at is None:
+            return uniform_number(mixed_number(mixed_number(self.base, kind * 1000 - self.draws), 0))
+        return uniform(mixed_bits(np.uint64(mixed_number(self.base, kind * 1000 - self.draws)), at))
 
     def _take(self, edges, steps, logs, value: float, begin: int, banned: tuple) -> None:
         """Keeps a drawn path and splits the rest of its set: paths equal up to step begin, there none of banned."""
@@ -395,7 +405,8 @@ class _Doc:
         if stop < len(edges):  # whatever differs further down
             rest = float(logs[stop:].sum())
             if rest < 0:
-                g = float(_truncated(before[-1] + math.log(-math.expm1(rest)), value, self._uniform(-3)))
+                drawn = float(before[-1]) + math.log(-math.expm1(rest)) - math.log(-math.log(self._uniform(-3)))
+                g = _least_of(value, drawn)
                 heapq.heappush(self.heap, (-g, self.draws, stop, which, (), False))
 
     def _best(self, values) -> list[int]:
@@ -418,7 +429,7 @@ class _Doc:
         choices = [e for e in lat.edges_at(int(self.chunks[self.chunk]), pos) if e not in banned]
         logs = lat.log[choices].astype(np.float64)
         w = np.cumsum(np.exp(logs - logs.max()))
-        self.pick = choices[min(int(np.searchsorted(w / w[-1], float(self._uniform(-4)))), len(choices) - 1)]
+        self.pick = choices[min(int(np.searchsorted(w / w[-1], self._uniform(-4))), len(choices) - 1)]
         self.popped = (-g, at, head, which, banned)
         return True
 
