@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 SAFE_INTEGER = 9007199254740991
 MONTHS = ("gennaio", "febbraio", "marzo", "aprile", "maggio", "giugno", "luglio", "agosto", "settembre", "ottobre", "novembre", "dicembre")
@@ -39,6 +39,14 @@ def per_capita(cents_: Column, people: Column) -> Column:
     return F.when(people > 0, F.round(cents_.cast("decimal(20,0)") / (people.cast("decimal(18,0)") * 100), 2).cast("decimal(20,2)"))
 
 
+def per_capita_even(cents_: Column, people: Column) -> Column:
+    """As per_capita, with halves to even: of whole cents a head, so that no binary fraction tells."""
+    low = F.floor(F.try_divide(cents_.cast("decimal(20,0)"), people.cast("decimal(18,0)"))).cast("bigint")
+    rest = 2 * (cents_ - low * people)
+    up = (rest > people) | ((rest == people) & (low % 2 != 0))
+    return F.when(people > 0, euro(low + up.cast("bigint")))
+
+
 def italian_cents(text: Column, signed: bool = False) -> Column:
     """'1.234,5' to cents; anything else null."""
     ok = text.rlike(r"^-?\d[\d.]*(,\d+)?$" if signed else r"^\d[\d.]*(,\d+)?$")
@@ -100,6 +108,11 @@ def basis_points(value: Column, base: Column) -> Column:
     return F.round(F.try_divide(value.cast("decimal(20,0)") * 10000, base.cast("decimal(18,0)")), 0).cast("bigint")
 
 
+def checked_points(percent: Column, most: int) -> Column:
+    """Percent in hundredths, halves away from zero; null beyond most percent either way."""
+    return F.when(F.abs(percent) <= most, F.round(percent * 100, 0).cast("bigint"))
+
+
 def round_half_away(n: Column, d: Column) -> Column:
     """n / d of integers as an integer, halves away from zero; null without d."""
     return F.round(F.try_divide(n.cast("decimal(20,0)"), d.cast("decimal(18,0)")), 0).cast("bigint")
@@ -162,9 +175,13 @@ def province_code(municipality: Column) -> Column:
 
 
 def search_key(text: Column) -> Column:
-    """Lower case without accents, apostrophes and dashes unified, one space."""
-    low = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ’‘´`–—", "aaaaaaceeeeiiiinooooouuuuyy''''--")
-    return F.trim(F.regexp_replace(low, r"\s+", " "))
+    """Lower case without accents, full-width and joined letters, apostrophes and dashes unified, one space."""
+    wide = "".join(chr(0xFF21 + i) for i in range(26)) + "".join(chr(0xFF41 + i) for i in range(26)) + "".join(chr(0xFF10 + i) for i in range(10))
+    low = F.lower(F.translate(text, wide, "abcdefghijklmnopqrstuvwxyz" * 2 + "0123456789"))
+    low = F.translate(low, "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy")
+    for joined, parts in (("[’‘´`]", "'"), ("[–—]", "-"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), (r"\s+", " ")):
+        low = F.regexp_replace(low, joined, parts)
+    return F.trim(low)
 
 
 def same_name(a: Column, b: Column) -> Column:
@@ -245,14 +262,66 @@ def polygon_area(ring: Column) -> Column:
     return F.abs(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)) / 2
 
 
-def compact_amount(amount: Column) -> Column:
-    """Amount with its unit, for display."""
-    size = F.abs(amount)
+def italian_number(amount: Column, digits: int) -> Column:
+    """Points between groups of three, a comma before the given digits; halves away from zero."""
+    shown = F.format_number(F.round(F.abs(amount).cast("decimal(30,6)"), digits), digits)
+    return F.concat(F.when(amount < 0, "-").otherwise(""), F.translate(shown, ",.", ".,"))
+
+
+def exact_euro(amount: Column) -> Column:
+    return F.concat(italian_number(amount, 0), F.lit(" €"))
+
+
+def compact_euro(amount: Column, reference: Column | None = None) -> Column:
+    """Billions, millions or euros, by the size of the amount or of a reference (a table's largest)."""
+    size = F.abs(amount if reference is None else reference)
+    billions, millions = F.concat(italian_number(amount / 1e9, 2), F.lit(" mld €")), F.concat(italian_number(amount / 1e6, 1), F.lit(" mln €"))
+    return F.when(size >= 1e9, billions).when(size >= 1e6, millions).otherwise(exact_euro(amount))
+
+
+def percent_text(value: Column, digits: int = 1) -> Column:
+    return F.concat(italian_number(value, digits), F.lit("%"))
+
+
+def period_kind(year: Column, month: Column, now: Column) -> Column:
+    """What a request selects: latest, year, month, or invalid (a month without a year, or out of range)."""
     return (
-        F.when(size >= 1e9, F.concat(F.format_number(amount / 1e9, 1), F.lit(" mld")))
-        .when(size >= 1e6, F.concat(F.format_number(amount / 1e6, 1), F.lit(" mln")))
-        .otherwise(F.format_number(amount, 0))
-    )
+        F.when(year.isNull() & month.isNull(), "latest").when(year.isNull() | (year < 2000) | (year > now + 1), "invalid")
+        .when(month.isNull(), "year").when(month.between(1, 12), "month").otherwise("invalid")
+    )
+
+
+def territorial_level(code: Column, asked: Column) -> Column:
+    """region, province or municipality by the length of a code; else municipality where something else is asked."""
+    n = F.length(code)
+    return F.when(n == 2, "region").when(n == 3, "province").when((n == 6) | asked, "municipality").otherwise("region")
+
+
+def release_of(title: Column, prefix: str) -> Column:
+    """Struct kind, year, month of a release's title: '2024/03 - prefix' or '2024 - prefix Consuntivo'; else of nulls."""
+    final, monthly = rf"^(20\d\d) - {prefix} Consuntivo$", rf"^(20\d\d)/(0[1-9]|1[0-2]) - {prefix}$"
+    year = F.coalesce(F.nullif(F.regexp_extract(title, final, 1), F.lit("")), F.nullif(F.regexp_extract(title, monthly, 1), F.lit("")))
+    kind = F.when(title.rlike(final), "consuntivo").when(title.rlike(monthly), "mensile")
+    month = F.nullif(F.regexp_extract(title, monthly, 2), F.lit("")).cast("int")
+    return F.struct(kind.alias("kind"), year.cast("int").alias("year"), month.alias("month"))
+
+
+def product_code(kind: Column, month: Column, suffix: str) -> Column:
+    """Code under which a release is published; null without a kind, or a month where it needs one."""
+    monthly = F.concat(F.lit("PBS_SPE_M"), F.lpad(month.cast("string"), 2, "0"), F.lit(f"_{suffix}_001"))
+    return F.when(kind == "consuntivo", F.lit(f"PBS_SPE_RND_{suffix}_001")).when(kind == "mensile", monthly)
+
+
+def works(rows: DataFrame) -> DataFrame:
+    """Public works by number: funding secured, planned and actual cost, change in basis points (null unless both are positive), what is to find."""
+    part = lambda c: F.coalesce(F.sum(F.when(c, F.col("cents"))), F.lit(0))
+    found = rows.groupBy("number").agg(
+        F.sum("cents").alias("actual"), part(F.col("flag") != "R").alias("planned"), part(F.col("flag") == "A").alias("secured"), F.max("day").alias("planned_end"),
+        F.when(F.bool_and(F.col("status") == "F"), "C").alias("status"), F.count_if(F.col("flag") == "N").alias("open"),
+    )
+    both = (F.col("planned") > 0) & (F.col("actual") > 0)
+    change = F.when(both, basis_points(F.col("actual") - F.col("planned"), F.col("planned")))
+    return found.withColumn("change_bp", change).withColumn("to_find", F.greatest(F.col("actual") - F.col("secured"), F.lit(0)))
 
 
 def work_signals(warnings: Column, status: Column, planned_end: Column, actual_end: Column, observed: Column, change_bp: Column, to_find: Column) -> Column:

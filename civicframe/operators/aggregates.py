@@ -56,24 +56,59 @@ def weighted_nearest_rank(df: DataFrame, keys: list[str], value: str, weight: st
     return run.groupBy(*keys).agg(*[F.min(F.when(F.col("cum") >= F.lit(p) * F.col("total"), F.col(value))).alias(n) for n, p in probabilities])
 
 
-def linear_quantiles(value: str, probabilities: dict[str, float]) -> list[Column]:
-    """Quantiles by linear interpolation over ranks."""
-    return [F.percentile(value, p).alias(n) for n, p in probabilities.items()]
+def ranks(df: DataFrame, by: list[str], value: str, parts: int = 64) -> DataFrame:
+    """by, value, upto (rows of the group up to the value) and n (rows of the group), for every distinct value.
+
+    Nulls do not count. Values fall into ranges between approximate quantiles, and running counts go over the ranges'
+    sums first, so that no task sorts all values of a group.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c__"))
+    cuts = counts.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000).alias("cuts__"))
+    # one row
+    placed = counts.crossJoin(F.broadcast(cuts)).withColumn("part__", F.size(F.filter("cuts__", lambda c: c < F.col(value)))).drop("cuts__")
+    before = W.partitionBy(*by).orderBy("part__").rowsBetween(W.unboundedPreceding, -1)
+    sums = placed.groupBy(*by, "part__").agg(F.sum("c__").alias("s__"))
+    sums = sums.withColumn("low__", F.coalesce(F.sum("s__").over(before), F.lit(0))).withColumn("n", F.sum("s__").over(W.partitionBy(*by)))
+    inside = W.partitionBy(*by, "part__").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    upto = F.col("low__") + F.sum("c__").over(inside)
+    return placed.join(sums.drop("s__"), [*by, "part__"]).select(*by, value, upto.alias("upto"), "n")
+
+
+def _at_rank(rank: Column, value: str) -> Column:
+    """Aggregate: the value at a rank counted from 0."""
+    return F.min(F.when(F.col("upto") > rank, F.col(value)))
+
+
+def linear_quantiles(df: DataFrame, by: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
+    """by, n and quantiles by linear interpolation over ranks; groups without a value have no row."""
+    picks = []
+    for name, p in probabilities.items():
+        place = (F.col("n") - 1) * F.lit(p)
+        low = F.floor(place)
+        picks += [_at_rank(low, value).alias(f"{name}_a"), _at_rank(F.least(low + 1, F.col("n") - 1), value).alias(f"{name}_b")]
+    found = ranks(df, by, value).groupBy(*by, "n").agg(*picks)
+
+    def between(name: str, p: float) -> Column:
+        place, a, b = (F.col("n") - 1) * F.lit(p), F.col(f"{name}_a").cast("double"), F.col(f"{name}_b").cast("double")
+        return (a + (place - F.floor(place)) * (b - a)).alias(name)
+
+    return found.select(*by, "n", *[between(name, p) for name, p in probabilities.items()])
 
 
-def floor_index_breaks(df: DataFrame, value: str, fractions=(0.2, 0.4, 0.6, 0.8)) -> DataFrame:
-    """Class breaks values[min(n - 1, floor(n f))] of the values without nulls."""
-    values = df.filter(F.col(value).isNotNull()).agg(F.array_sort(F.collect_list(value)).alias("v"))
-    n = F.size("v")
-    return values.select(*[F.try_element_at("v", F.least(n, F.floor(n * f).cast("int") + 1)).alias(f"break_{i + 1}") for i, f in enumerate(fractions)])
+def floor_index_breaks(df: DataFrame, value: str, fractions=(0.2, 0.4, 0.6, 0.8), by: list[str] | None = None) -> DataFrame:
+    """Class breaks values[min(n - 1, floor(n f))] of the values without nulls, of all rows or by group; one row of nulls where there is no row."""
+    picks = [_at_rank(F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(f))), value).alias(f"break_{i + 1}") for i, f in enumerate(fractions)]
+    return ranks(df, by or [], value).groupBy(*(by or [])).agg(*picks)
 
 
 def tukey(df: DataFrame, cohort: str, value: str, k: float = 1.5, least: int = 4) -> DataFrame:
     """Fences of each cohort; cohorts below least keep their row, without quantiles and with nothing evaluated."""
     if not 0 < k < float("inf"):
         raise ValueError("k must be a positive number")
+    n = F.coalesce("n", F.lit(0)).cast("bigint")
     enough = F.col("n") >= least
-    q = df.groupBy(cohort).agg(F.count(value).alias("n"), *linear_quantiles(value, {"q1": 0.25, "q3": 0.75}))
+    q = linear_quantiles(df, [cohort], value, {"q1": 0.25, "q3": 0.75})
+    q = df.select(cohort).distinct().join(q, cohort, "left").withColumn("n", n)
     q = q.withColumn("q1", F.when(enough, F.col("q1"))).withColumn("q3", F.when(enough, F.col("q3"))).withColumn("iqr", F.col("q3") - F.col("q1"))
     return q.select(cohort, "n", F.when(enough, F.col("n")).otherwise(0).alias("evaluated"), "q1", "q3", "iqr", (F.col("q1") - k * F.col("iqr")).alias("lower"), (F.col("q3") + k * F.col("iqr")).alias("upper"))
 

@@ -19,6 +19,18 @@ def unambiguous(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(value).alias(value), F.max(value).alias("other__")).filter(f"{value} = other__").drop("other__")
 
 
+def companion(left: DataFrame, right: DataFrame, keys: list[str], kind: str) -> DataFrame:
+    """Whether the other side has a row of the same keys (missing) and kind (other kind), so that both may be joined (companion)."""
+    other = right.select(*keys, F.col(kind).alias("kind__"))
+    state = F.when(F.col("kind__").isNull(), "missing").when(F.col("kind__") != F.col(kind), "other kind").otherwise("companion")
+    return left.join(other, keys, "left").select(*keys, state.alias("state"))
+
+
+def single_valued(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Every key once: with its value, or null where there are several."""
+    return df.groupBy(key).agg(F.when(F.count_distinct(value) == 1, F.min(value)).alias(value))
+
+
 def keep_latest(df: DataFrame, keys: list[str], order: str, tie: str) -> DataFrame:
     """Of each key the row with the latest order; ties go to the smallest tie."""
     place = F.row_number().over(W.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last(), F.col(tie)))
@@ -26,13 +38,23 @@ def keep_latest(df: DataFrame, keys: list[str], order: str, tie: str) -> DataFra
 
 
 def checked_lookup(df: DataFrame, dimension: DataFrame, key: str, strict: bool = True) -> DataFrame:
-    """Inner lookup of a key that must be in the dimension, there once."""
-    if strict:
-        doubled = dimension.groupBy(key).count().filter("count > 1").limit(1).count()
-        orphans = df.join(dimension, key, "left_anti").limit(1).count()
-        if doubled or orphans:
-            raise CheckFailed(f"{key}: " + "; ".join(x for x, bad in (("doubled in the dimension", doubled), ("missing from the dimension", orphans)) if bad))
-    return df.join(dimension, key)
+    """Inner lookup of a key that must be in the dimension, there once; a row that breaks this fails the job that reads it.
+
+    The dimension is reduced to a row for each key with its count, so the check costs no job of its own.
+    """
+    if not strict:
+        return df.join(dimension, key)
+    others = [c for c in dimension.columns if c != key]
+    one = dimension.groupBy(key).agg(F.count(F.lit(1)).alias("times__"), F.first(F.struct(F.lit(1), *others)).alias("row__"))
+    why = F.when(F.col("times__").isNull(), f"{key}: missing from the dimension").otherwise(f"{key}: doubled in the dimension")
+    sound = F.when(F.col("times__") == 1, F.lit(True)).otherwise(F.raise_error(why).cast("boolean"))
+    return df.join(one, key, "left").filter(sound).select(*df.columns, *[F.col(f"row__.{c}").alias(c) for c in others])
+
+
+def repeated_across(files: list[DataFrame], keys: list[str], file: str) -> DataFrame:
+    """Keys that more than one of several files has, with their number."""
+    rows = reduce(DataFrame.unionByName, [f.select(*keys, file) for f in files]).distinct()
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("files")).filter("files > 1")
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

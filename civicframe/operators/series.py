@@ -54,6 +54,35 @@ def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFra
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def numbered(df: DataFrame, order: list[Column], out: str = "place") -> DataFrame:
+    """Places of a page or of a few groups in a total order; for reports, as one task numbers them."""
+    return df.withColumn(out, F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)).cast("bigint"))
+
+
+def envelope(df: DataFrame, offset: int, limit: int) -> DataFrame:
+    """One row: first, returned, total and next_offset (null at the end) of a page."""
+    total = F.count(F.lit(1))
+    returned = F.greatest(F.least(F.lit(limit).cast("bigint"), F.col("total") - offset), F.lit(0).cast("bigint"))
+    after = F.lit(offset + limit).cast("bigint")
+    return df.agg(total.alias("total")).select(F.lit(offset).cast("bigint").alias("first"), returned.alias("returned"), "total", F.when(after < F.col("total"), after).alias("next_offset"))
+
+
+def numbered_page(df: DataFrame, order: list[Column], page_: int, size: int) -> DataFrame:
+    """The rows of a page by its number, moved to the last there is, each with page, total, returned and has_more. Counting is a job of its own."""
+    total = df.count()
+    at = last_page(page_, total, size)
+    facts = {"page": at, "total": total, "returned": max(0, min(size, total - (at - 1) * size))}
+    rows = page(df, order, (at - 1) * size, size)
+    return rows.select("*", *[F.lit(v).cast("bigint").alias(k) for k, v in facts.items()], F.lit(total > at * size).alias("has_more"))
+
+
+def declared(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """name, type, present: which of the declared columns a table has, with their type."""
+    own = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    rows = [(n, t, own.get(n) == t) for n, t in columns.items()]
+    return df.sparkSession.createDataFrame(rows, "name string, type string, present boolean")
+
+
 def clamped(value, fallback: int, low: int, high: int) -> int:
     """Out of range is moved into it."""
     try:

@@ -114,11 +114,11 @@ def cohesion(spark, sf_dir, q):
 
 @dataset(
     "pnrr_asili",
-    "+ p AS (SELECT number, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM mov JOIN ent USING (entity) JOIN reg USING (region) WHERE year = 2001 AND lower(region_name) = 'nation_2' GROUP BY number) SELECT *, (SELECT count(*) FROM p) AS total FROM p ORDER BY number LIMIT 20",
+    "+ p AS (SELECT number, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM mov JOIN ent USING (entity) JOIN reg USING (region) WHERE lower(region_name) = 'nation_2' GROUP BY number) SELECT *, (SELECT count(*) FROM p) AS total FROM p ORDER BY number LIMIT 20",
     region="Nation_2", limit=20,
 )
 def projects(spark, sf_dir, q):
-    rows = movements(spark, sf_dir).filter("year = 2001").join(entities(spark, sf_dir).select("entity", "region", "segment"), "entity").join(regions(spark, sf_dir), "region")
+    rows = movements(spark, sf_dir).join(entities(spark, sf_dir).select("entity", "region", "segment"), "entity").join(regions(spark, sf_dir), "region")
     rows = _region(rows, q.region)
     rows = rows.filter(F.col("number").cast("string") == q.cup) if q.cup else rows
     rows = rows.filter(X.contains_folded([F.col("segment")], q.query)) if q.query else rows

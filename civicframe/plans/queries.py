@@ -65,12 +65,12 @@ def left_join_unmatched(spark, sf_dir):
 @query(
     "a05_grouping_sets",
     """SELECT CAST(grouping_id(entity, title, region, month) AS BIGINT) AS level, entity, title, region, month, CAST(sum(cents) AS BIGINT) AS cents
-        FROM mov JOIN tit USING (part) JOIN ent USING (entity) WHERE year = 2000
+        FROM mov JOIN tit USING (part) JOIN ent USING (entity)
         GROUP BY GROUPING SETS ((entity), (entity, title), (region), (title), (month))""",
 )
 def grouping_sets(spark, sf_dir):
     """One pass: by entity, entity and title, region, title, month."""
-    rows = movements(spark, sf_dir).filter("year = 2000").join(titles(spark, sf_dir), "part").join(entities(spark, sf_dir).select("entity", "region"), "entity")
+    rows = movements(spark, sf_dir).join(titles(spark, sf_dir), "part").join(entities(spark, sf_dir).select("entity", "region"), "entity")
     base = rows.groupBy("entity", "title", "region", "month").agg(F.sum("cents").alias("cents"))
     sets = [["entity"], ["entity", "title"], ["region"], ["title"], ["month"]]
     return base.groupingSets(sets, "entity", "title", "region", "month").agg(F.grouping_id("entity", "title", "region", "month").cast("bigint").alias("level"), F.sum("cents").alias("cents"))
@@ -174,13 +174,13 @@ def band_sensitivity(spark, sf_dir):
 
 @query(
     "w01_f19_x34_month_flows",
-    """+ m AS (SELECT year, month, CAST(sum(cents) AS BIGINT) AS flow FROM mov WHERE year >= 2000 GROUP BY year, month), o AS (SELECT CAST(max(year) AS INT) AS y, max(day) AS observed FROM mov),
+    """+ m AS (SELECT year, month, CAST(sum(cents) AS BIGINT) AS flow FROM mov GROUP BY year, month), o AS (SELECT CAST(max(year) AS INT) AS y, max(day) AS observed FROM mov),
         l AS (SELECT year, max(month) AS latest FROM m GROUP BY year)
         SELECT year, month, flow, CAST(sum(flow) OVER (PARTITION BY year ORDER BY month) AS BIGINT) AS cumulative FROM m JOIN l USING (year), o WHERE NOT (year = year(observed) AND month = latest)""",
 )
 def month_flows(spark, sf_dir):
     """Flows and running totals of the months that are complete."""
-    months = movements(spark, sf_dir).filter("year >= 2000").groupBy("year", "month").agg(F.sum("cents").alias("flow"), F.max("day").alias("seen"))
+    months = movements(spark, sf_dir).groupBy("year", "month").agg(F.sum("cents").alias("flow"), F.max("day").alias("seen"))
     by_year = W.partitionBy("year")
     run = S.running_total(months, ["year"], "month", "flow").withColumn("latest", F.max("month").over(by_year)).withColumn("observed", F.max("seen").over(by_year))
     latest_year = months.agg(F.max("seen").alias("now"))
@@ -391,9 +391,9 @@ def differences(spark, sf_dir):
 # --- joins, sets -----------------------------------------------------------------------------------------------------
 
 
-@query("j03_unambiguous", "SELECT supplier, min(flag) AS flag FROM mov WHERE year = 2001 GROUP BY supplier HAVING count(DISTINCT flag) = 1")
+@query("j03_unambiguous", "SELECT number, min(flag) AS flag FROM mov GROUP BY number HAVING count(DISTINCT flag) = 1")
 def unambiguous_flags(spark, sf_dir):
-    return J.unambiguous(movements(spark, sf_dir).filter("year = 2001").select("supplier", "flag"), "supplier", "flag")
+    return J.unambiguous(movements(spark, sf_dir).select("number", "flag"), "number", "flag")
 
 
 @query("j04_j06_checked_lookup", "SELECT segment, region_name, count(*) AS n FROM ent JOIN reg USING (region) GROUP BY segment, region_name")
@@ -455,10 +455,10 @@ def reconcile(spark, sf_dir):
     return J.reconciled(detail, published, ["region"], "cents")
 
 
-@query("j19_u07_set_difference", "SELECT number, line FROM (SELECT number, line FROM mov WHERE year = 2001) EXCEPT ALL SELECT DISTINCT number, line FROM mov WHERE year = 2001")
+@query("j19_u07_set_difference", "SELECT number, line FROM mov EXCEPT ALL SELECT DISTINCT number, line FROM mov")
 def set_difference(spark, sf_dir):
-    """Multiset difference: the doubled keys of a year."""
-    keys = movements(spark, sf_dir).filter("year = 2001").select("number", "line")
+    """Multiset difference: the doubled keys."""
+    keys = movements(spark, sf_dir).select("number", "line")
     return keys.exceptAll(keys.dropDuplicates())
 
 
@@ -508,27 +508,27 @@ def checks(spark, sf_dir):
 # --- shapes, search, scalars -----------------------------------------------------------------------------------------
 
 
-@query("p09_p10_pivot", "SELECT supplier, " + ", ".join(f"CAST(coalesce(sum(cents) FILTER (flag = '{f}'), 0) AS BIGINT) AS {f.lower()}, CAST(CASE WHEN count(*) FILTER (flag = '{f}') = 0 THEN 1 ELSE 0 END AS INT) AS {f.lower()}_missing" for f in "ANR") + " FROM mov WHERE year = 2001 GROUP BY supplier")
+@query("p09_p10_pivot", "SELECT supplier, " + ", ".join(f"CAST(coalesce(sum(cents) FILTER (flag = '{f}'), 0) AS BIGINT) AS {f.lower()}, CAST(CASE WHEN count(*) FILTER (flag = '{f}') = 0 THEN 1 ELSE 0 END AS INT) AS {f.lower()}_missing" for f in "ANR") + " FROM mov GROUP BY supplier")
 def pivot(spark, sf_dir):
     """Long to wide over a fixed list, zero by default and with a flag for what was missing."""
-    wide = movements(spark, sf_dir).filter("year = 2001").groupBy("supplier").pivot("flag", list("ANR")).agg(F.sum("cents"))
+    wide = movements(spark, sf_dir).groupBy("supplier").pivot("flag", list("ANR")).agg(F.sum("cents"))
     return wide.select("supplier", *[x for f in "ANR" for x in (F.coalesce(f, F.lit(0)).alias(f.lower()), F.col(f).isNull().cast("int").alias(f"{f.lower()}_missing"))])
 
 
-@query("p02_j09_o06_d08_trace", "SELECT o_orderkey AS number, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents, string_agg(supplier, ',' ORDER BY CAST(supplier AS VARCHAR), CAST(line AS VARCHAR)) AS suppliers FROM orders JOIN mov ON o_orderkey = number WHERE year = 2001 GROUP BY o_orderkey")
+@query("p02_j09_o06_d08_trace", "SELECT o_orderkey AS number, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents, string_agg(supplier, ',' ORDER BY CAST(supplier AS VARCHAR), CAST(line AS VARCHAR)) AS suppliers FROM orders JOIN mov ON o_orderkey = number GROUP BY o_orderkey")
 def trace(spark, sf_dir):
     """Parents with an ordered array of children, flattened again for comparison."""
-    lines = movements(spark, sf_dir).filter("year = 2001").select("number", "supplier", "line", "cents")
+    lines = movements(spark, sf_dir).select("number", "supplier", "line", "cents")
     parents = lines.select("number").distinct()
     tree = J.nested(parents, lines, "number", "lines", ["supplier", "line"])
     total = F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + x["cents"])
     return tree.select("number", F.size("lines").cast("bigint").alias("n"), total.alias("cents"), F.array_join(F.transform("lines", lambda x: x["supplier"].cast("string")), ",").alias("suppliers"))
 
 
-@query("f06_f08_nested_filters", "SELECT number, count(*) FILTER (flag = 'R') AS kept FROM mov WHERE year = 2001 GROUP BY number HAVING count(*) FILTER (flag = 'R') > 0 AND bool_or(supplier % 7 = 0)")
+@query("f06_f08_nested_filters", "SELECT number, count(*) FILTER (flag = 'R') AS kept FROM mov GROUP BY number HAVING count(*) FILTER (flag = 'R') > 0 AND bool_or(supplier % 7 = 0)")
 def nested_filters(spark, sf_dir):
     """Children are filtered, parents left empty go; another condition on any child."""
-    lines = movements(spark, sf_dir).filter("year = 2001").groupBy("number").agg(F.collect_list(F.struct("flag", "supplier")).alias("lines"))
+    lines = movements(spark, sf_dir).groupBy("number").agg(F.collect_list(F.struct("flag", "supplier")).alias("lines"))
     kept = lines.withColumn("kept", F.filter("lines", lambda x: x["flag"] == "R"))
     return kept.filter((F.size("kept") > 0) & F.exists("lines", lambda x: x["supplier"] % 7 == 0)).select("number", F.size("kept").cast("bigint").alias("kept"))
 
@@ -682,29 +682,9 @@ def points(spark, sf_dir):
     return entity_totals(spark, sf_dir).groupBy("region").agg(F.sum("total_cents").alias("v"), F.sum("title_cents").alias("b")).select("region", X.basis_points(F.col("v"), F.col("b")).alias("bp"))
 
 
-@query("x40_k05_digests", "SELECT n_nationkey AS region, sha256(n_name) AS sha FROM nation", roles=False)
-def digests(spark, sf_dir):
-    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("region"), F.sha2("n_name", 256).alias("sha"))
-
-
-@query("k02_k06_change_digest", "SELECT count(*) AS n FROM nation", roles=False)
-def change_digest(spark, sf_dir):
-    """How many rows a content digest covers; sinks write only when it differs."""
-    from civicframe.sources.sinks import content_digest
-
-    return content_digest(read(spark, sf_dir, "nation")).select("n")
-
-
 @query("r01_s10_release", "+ c AS (SELECT year, month, CASE WHEN month = 12 THEN 'consuntivo' ELSE 'mensile' END AS kind FROM mov GROUP BY year, month) SELECT year, month, kind FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY (kind = 'consuntivo') DESC, month DESC) AS k FROM c) WHERE k = 1")
 def releases(spark, sf_dir):
     """For each year the final account where there is one, else the latest month."""
     found = movements(spark, sf_dir).select("year", "month").distinct().withColumn("kind", F.when(F.col("month") == 12, "consuntivo").otherwise("mensile"))
     place = F.row_number().over(W.partitionBy("year").orderBy((F.col("kind") == "consuntivo").desc(), F.desc("month")))
     return found.withColumn("place", place).filter("place = 1").drop("place")
-
-
-@query("s12_s13_s14_s15_s16_lookup", "SELECT p_type AS kind, count(*) AS n FROM part WHERE contains(p_name, 'a') AND p_size = 10 GROUP BY p_type ORDER BY n DESC, kind LIMIT 10", roles=False)
-def remote_sql(spark, sf_dir):
-    """Text and equality filters, group, count, top."""
-    rows = read(spark, sf_dir, "part").filter(F.col("p_name").contains("a") & (F.col("p_size") == 10))
-    return S.top(rows.groupBy(F.col("p_type").alias("kind")).agg(F.count(F.lit(1)).alias("n")), [F.desc("n"), F.asc("kind")], 10)

@@ -157,6 +157,21 @@ def page_links(pages: DataFrame, html_col: str, pattern: str) -> DataFrame:
     return links.withColumn("year", F.nullif(F.regexp_extract("link", r"(20\d{2})", 1), F.lit("")).cast("int"))
 
 
+def registry_documents(rows: DataFrame, series: str, kind: str) -> DataFrame:
+    """Documents of one series and type of a registry: kind and year by their titles; exact repetitions once, variants apart.
+
+    An unknown title, or a blank in a field that is needed, is an error.
+    """
+    own = rows.filter((F.trim("series") == series) & (F.trim("type") == kind)).withColumn("title", F.trim(F.regexp_replace("title", r"\s+", " ")))
+    of = {"account": "rendiconto delle entrate e delle spese del senato", "budget": "progetto di bilancio interno del senato"}
+    year = F.regexp_extract(F.lower("title"), rf"^(?:{'|'.join(of.values())}) per l'anno finanziario (\d{{4}})$", 1)
+    known = F.when(F.lower("title").startswith(of["account"]), "account").otherwise("budget")
+    blank = F.exists(F.array(*[F.trim(c) for c in ("document", "number", "title", "presented")]), lambda c: F.coalesce(c, F.lit("")) == "")
+    refused = F.when(blank, F.raise_error(F.lit("registry: a field is blank"))).when(year == "", F.raise_error(F.concat(F.lit("registry: unknown title "), "title")))
+    found = own.select(known.alias("kind"), F.coalesce(refused, year).cast("int").alias("year"), F.col("number").cast("int").alias("number"), "document", F.to_date("presented").alias("presented"))
+    return found.distinct()
+
+
 def shapes(content: DataFrame) -> DataFrame:
     """path, number, parts (rings of x, y) of the polygons of shape files."""
 

@@ -20,31 +20,43 @@ def window_totals(events: DataFrame, size: str = "1 day", late: str = "2 days")
 
 
 def upsert(target: str, keys: list[str]):
-    """A foreachBatch function: rows of a batch replace those of equal keys; a repeated batch changes nothing."""
+    """A foreachBatch function: rows of a batch replace those of equal keys; a repeated batch changes nothing.
+
+    Of rows of a batch with equal keys the largest counts, by the other columns in their order.
+    """
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        from civicframe.sources.sinks import replace_atomically
+        from civicframe.sources.sinks import Folder, replace_atomically
 
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
-        try:
+        others = [c for c in batch.columns if c not in keys]
+        fresh = batch.groupBy(*keys).agg(F.max(F.struct(*others)).alias("row__")).select(*keys, "row__.*").select(*batch.columns)
+        if Folder(spark, target).exists():
             fresh = spark.read.parquet(target).join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        replace_atomically(lambda where: fresh.write.parquet(where), target)
+        replace_atomically(spark, lambda where: fresh.write.parquet(where), target)
 
     return apply
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, or one of our own where the session names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{named or spark.conf.get('spark.sql.warehouse.dir')}/days-{uuid.uuid4().hex}"
+
+
 def streamed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table read as a stream to its end; every window of it, as the complete output has them."""
+    """The events table read as a stream to its end: every trigger writes the windows that it has changed, the last of each counts."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    name = f"days_{uuid.uuid4().hex}"
+    where = shared_folder(spark)
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as the table may be one file
-    run = window_totals(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{where}/out/epoch_part={epoch}")
+
+    windows = window_totals(stream).writeStream.outputMode("update").foreachBatch(keep)
+    windows.option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    written = spark.read.parquet(f"{where}/out")
+    return written.groupBy("day", "event_type").agg(F.max_by(F.struct("n", "cents"), "epoch").alias("last")).select("day", "event_type", "last.n", "last.cents")
 
 
 QUERIES = {"stream_days": streamed_days}

@@ -89,7 +89,7 @@ def test_sinks(spark, tmp_path):
     assert K.write_if_changed(df, target, ("at",)) and not K.write_if_changed(df.withColumn("at", F.lit("t2")), target, ("at",))
     assert K.write_if_changed(df.withColumn("v", F.lit("b")), target, ("at",)) and spark.read.parquet(target).first().v == "b"
     with pytest.raises(RuntimeError):
-        K.replace_atomically(lambda where: (_ for _ in ()).throw(RuntimeError()), target)
+        K.replace_atomically(spark, lambda where: (_ for _ in ()).throw(RuntimeError()), target)
     assert spark.read.parquet(target).first().v == "b"
     K.write_pair(df, {"b": 1, "a": 2}, str(tmp_path / "p"))
     assert (tmp_path / "p" / "meta.json").read_text() == '{"a":2,"b":1}'
@@ -97,6 +97,23 @@ def test_sinks(spark, tmp_path):
     assert K.unchanged(m, m) and not K.unchanged(m, m.withColumn("etag", F.lit("f")))
 
 
+def test_artifacts(spark, tmp_path):
+    from civicframe.operators.contracts import Check, always, unique
+
+    df = spark.createDataFrame([(1, 5), (2, 7)], "k int, v int")
+    checks = [Check("positive", always(F.col("v") > 0)), Check("unique", unique("k"))]
+    path = str(tmp_path / "artifact")
+    meta = K.write_artifact(df, path, checks, {"source": "x"})
+    assert meta["rows"] == 2 and sorted(K.read_artifact(spark, path, checks).collect()) == [(1, 5), (2, 7)]
+    with pytest.raises(CheckFailed, match="positive"):
+        K.write_artifact(df.withColumn("v", -F.col("v")), path, checks)
+    with pytest.raises(CheckFailed, match="large"):
+        K.read_artifact(spark, path, [Check("large", always(F.col("v") > 5))])
+    df.withColumn("v", F.col("v") + 1).write.mode("overwrite").parquet(f"{path}/data")
+    with pytest.raises(CheckFailed, match="sum"):
+        K.read_artifact(spark, path, checks)
+
+
 def test_requests():
     assert set(BUILDERS) == set(FILTERS)
     bad = [DatasetQuery("x"), DatasetQuery("mef_partecipazioni", year=1), DatasetQuery("ipa_enti", code="a", query="b"), DatasetQuery("openbdap_spesa_stato", month=3), DatasetQuery("ipa_struttura"), DatasetQuery("pnrr_asili", cup="1", region="x")]
@@ -111,5 +128,5 @@ def test_upsert_is_idempotent(spark, tmp_path):
     target = str(tmp_path / "u")
     a = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     put = upsert(target, ["k"])
-    put(a, 0), put(a, 0), put(spark.createDataFrame([(2, "c")], "k int, v string"), 1)
+    put(a, 0), put(a, 0), put(spark.createDataFrame([(2, "c"), (2, "a")], "k int, v string"), 1)
     assert sorted(map(tuple, spark.read.parquet(target).collect())) == [(1, "a"), (2, "c")]
