@@ -35,6 +35,12 @@ def dataset(name: str, sql: str, **example):
     return register
 
 
+def example(name: str, of: str, sql: str, **filters):
+    """Registers one more query of a dataset."""
+    QUERIES[name] = lambda spark, sf_dir: run(spark, sf_dir, DatasetQuery(of, **filters))
+    ORACLES[name] = f"WITH {SQL}{',' if sql.startswith('+') else ''} {sql.removeprefix('+')}"
+
+
 def matches(totals: DataFrame, page: DataFrame, columns: dict) -> DataFrame:
     """A page with totals over all matches, not over the page."""
     return page.crossJoin(F.broadcast(totals.agg(*[c.alias(n) for n, c in columns.items()])))
@@ -56,18 +62,35 @@ def municipal_payments(spark, sf_dir, q):
     return _region(rows, q.region).groupBy("region_name").agg(F.sum("cents").alias("cents"), F.count_distinct("entity").alias("entities"))
 
 
-_STATE = "+ c AS (SELECT flag AS mission, CAST(sum(cents) AS BIGINT) AS cents FROM mov WHERE year = 1999 AND month = 6 GROUP BY flag), p AS (SELECT flag AS mission, CAST(sum(cents) AS BIGINT) AS before FROM mov WHERE year = 1998 AND month = 6 GROUP BY flag) SELECT mission, cents, before, CAST(round(CAST(cents - before AS DOUBLE) * 100 / before, 6) AS DECIMAL(20,6)) AS difference_pct FROM c LEFT JOIN p USING (mission)"
+_GROUPINGS = {"mission": ("flag",), "title": ("status",), "administration": ("flag", "status")}
+_STATE = """+ x AS (SELECT year, flag, status, cents FROM mov WHERE year IN ({year}, {year} - 1) AND month = {month}),
+    u AS (SELECT 'mission' AS grouping, flag AS key, year, cents FROM x UNION ALL SELECT 'title', status, year, cents FROM x UNION ALL SELECT 'administration', flag || ':' || status, year, cents FROM x),
+    c AS (SELECT grouping, key, CAST(sum(cents) FILTER (year = {year}) AS BIGINT) AS cents, CAST(sum(cents) FILTER (year = {year} - 1) AS BIGINT) AS before FROM u GROUP BY grouping, key)
+    SELECT grouping, key, cents, before, CAST(round(CAST(cents - before AS DOUBLE) * 100 / before, 6) AS DECIMAL(20,6)) AS difference_pct,
+    CASE WHEN (SELECT count(*) FROM x WHERE year = {year} - 1) = 0 THEN 'no companion release' WHEN before IS NULL THEN 'not in the companion release' END AS warning FROM c WHERE cents IS NOT NULL"""
 
 
-@dataset("openbdap_spesa_stato", _STATE, year=1999, month=6)
+@dataset("openbdap_spesa_stato", _STATE.format(year=1999, month=6), year=1999, month=6)
 def state_spending(spark, sf_dir, q):
-    """Groups of a period and the difference from the period a year before; a missing companion leaves nulls."""
+    """A period by mission, title and administration, each against the period a year before, with a warning where that lacks it."""
     rows = movements(spark, sf_dir)
     year = q.year if q.year is not None else F.lit(None)
     month = F.col("month") == q.month if q.month else F.lit(True)
-    now = rows.filter((F.col("year") == year) & month).groupBy(F.col("flag").alias("mission")).agg(F.sum("cents").alias("cents"))
-    before = rows.filter((F.col("year") == year - 1) & month).groupBy(F.col("flag").alias("mission")).agg(F.sum("cents").alias("before"))
-    return now.join(before, "mission", "left").withColumn("difference_pct", X.percentage(F.col("cents") - F.col("before"), F.col("before")))
+    rows = rows.filter(month & F.col("year").isin(year, year - 1) if q.year is not None else F.lit(False))
+    now, then = F.col("year") == year, F.col("year") == year - 1
+    sums = rows.groupBy("flag", "status").agg(F.sum(F.when(now, F.col("cents"))).alias("cents"), F.sum(F.when(then, F.col("cents"))).alias("before"))
+    # few rows from here on: one for each pair of keys
+    found = None
+    for name, keys in _GROUPINGS.items():
+        part = sums.groupBy(F.concat_ws(":", *keys).alias("key")).agg(F.sum("cents").alias("cents"), F.sum("before").alias("before")).withColumn("grouping", F.lit(name))
+        found = part if found is None else found.unionByName(part)
+    companion = rows.agg(F.count_if(then).alias("earlier"))
+    warning = F.when(F.col("earlier") == 0, "no companion release").when(F.col("before").isNull(), "not in the companion release")
+    found = found.filter("cents IS NOT NULL").crossJoin(F.broadcast(companion))
+    return found.select("grouping", "key", "cents", "before", X.percentage(F.col("cents") - F.col("before"), F.col("before")).alias("difference_pct"), warning.alias("warning"))
+
+
+example("q02_openbdap_spesa_stato_first_year", "openbdap_spesa_stato", _STATE.format(year=1995, month=3), year=1995, month=3)
 
 
 @dataset("openbdap_amministrazione", "SELECT flag, status, CAST(sum(cents) AS BIGINT) AS cents FROM mov WHERE supplier = 7 AND year = 2000 GROUP BY flag, status", code="7", year=2000)
@@ -78,38 +101,93 @@ def administration(spark, sf_dir, q):
     return rows.groupBy("flag", "status").agg(F.sum("cents").alias("cents"))
 
 
-@dataset(
-    "openbdap_opere_pubbliche",
-    "+ w AS (SELECT number, CAST(sum(cents) AS BIGINT) AS actual, CAST(sum(cents) FILTER (flag <> 'R') AS BIGINT) AS planned, max(day) AS planned_end, count(*) FILTER (flag = 'N') AS open FROM mov WHERE number = 77 GROUP BY number) SELECT number, actual, planned, CASE WHEN planned > 0 AND actual > 0 THEN CAST(round(CAST(actual - planned AS DOUBLE) * 10000 / planned, 0) AS BIGINT) END AS change_bp, open FROM w",
-    cup="77",
-)
+_WORK = """+ w AS (SELECT number, CAST(sum(cents) AS BIGINT) AS actual, CAST(coalesce(sum(cents) FILTER (flag <> 'R'), 0) AS BIGINT) AS planned, CAST(coalesce(sum(cents) FILTER (flag = 'A'), 0) AS BIGINT) AS secured,
+        max(day) AS planned_end, CASE WHEN bool_and(status = 'F') THEN 'C' END AS status, count(*) FILTER (flag = 'N') AS open FROM mov WHERE number = {cup} GROUP BY number),
+    s AS (SELECT *, CASE WHEN planned > 0 AND actual > 0 THEN CAST(round(CAST(actual - planned AS DOUBLE) * 10000 / planned, 0) AS BIGINT) END AS change_bp, greatest(actual - secured, 0) AS to_find FROM w)
+    SELECT number, actual, planned, secured, change_bp, open, array_to_string(list_filter([CASE WHEN open = 0 THEN 'data-quality' END, CASE WHEN coalesce(status, '') <> 'C' AND planned_end < DATE '2001-08-31' THEN 'schedule-check' END,
+        CASE WHEN change_bp >= 1000 THEN 'cost-growth' END, CASE WHEN to_find > 0 THEN 'funding-gap' END], lambda x: x IS NOT NULL), ',') AS signals FROM s"""
+
+
+@dataset("openbdap_opere_pubbliche", _WORK.format(cup=77), cup="77")
 def public_work(spark, sf_dir, q):
-    """One work by its code, with its change of cost where both costs are positive."""
-    rows = movements(spark, sf_dir).filter(F.col("number") == int(q.cup))
-    work = rows.groupBy("number").agg(F.sum("cents").alias("actual"), F.sum(F.when(F.col("flag") != "R", F.col("cents"))).alias("planned"), F.count_if(F.col("flag") == "N").alias("open"))
-    both = (F.col("planned") > 0) & (F.col("actual") > 0)
-    return work.select("number", "actual", "planned", F.when(both, X.basis_points(F.col("actual") - F.col("planned"), F.col("planned"))).alias("change_bp"), "open")
+    """One work by its code: cost, funding, the change of cost where both costs are positive, and its signals."""
+    work = X.works(movements(spark, sf_dir).filter(F.col("number") == int(q.cup)))
+    warnings = F.when(F.col("open") == 0, F.array(F.lit("no open line"))).otherwise(F.array().cast("array<string>"))
+    observed = F.lit("2001-08-31").cast("date")
+    signals = X.work_signals(warnings, F.col("status"), F.col("planned_end"), F.lit(None).cast("date"), observed, F.col("change_bp"), F.col("to_find"))
+    return work.select("number", "actual", "planned", "secured", "change_bp", "open", F.array_join(signals, ",").alias("signals"))
+
+
+example("q04_openbdap_opere_pubbliche_other", "openbdap_opere_pubbliche", _WORK.format(cup=32), cup="32")
+
+_HEALTH = """+ e AS (SELECT et.*, region_name FROM et JOIN reg USING (region)), n AS (SELECT CAST(sum(title_cents) AS BIGINT) AS title_cents, CAST(sum(total_cents) AS BIGINT) AS total_cents, count(*) AS entities FROM e WHERE {where})
+    {rows}"""
+_HEALTH_PAGE = "SELECT 'entity' AS level, CAST(entity AS VARCHAR) AS code, title_cents, total_cents, CAST(1 AS BIGINT) AS entities, (SELECT entities FROM n) AS matched FROM e WHERE {where} ORDER BY entity LIMIT 20"
 
 
-@dataset("openbdap_ssn_conto_economico", "SELECT entity, title_cents, total_cents FROM et JOIN reg USING (region) WHERE lower(region_name) = 'nation_7' ORDER BY entity LIMIT 20", region="Nation_7", limit=20)
+@dataset(
+    "openbdap_ssn_conto_economico",
+    _HEALTH.format(where="lower(region_name) = 'nation_7'", rows="SELECT 'region' AS level, 'Nation_7' AS code, title_cents, total_cents, entities, entities AS matched FROM n UNION ALL ("
+                   + _HEALTH_PAGE.format(where="lower(region_name) = 'nation_7'") + ")"),
+    region="Nation_7", limit=20,
+)
 def health_accounts(spark, sf_dir, q):
+    """The nation with its regions, a region with a page of its entities, or an entity by its code or name."""
     rows = _region(entity_totals(spark, sf_dir).join(regions(spark, sf_dir), "region"), q.region)
     if q.code:
         rows = rows.filter((F.col("entity").cast("string") == q.code) | (F.col("name") == q.code))
-    return S.page(rows.select("entity", "title_cents", "total_cents"), [F.asc("entity")], *q.page)
+    sums = (F.sum("title_cents").alias("title_cents"), F.sum("total_cents").alias("total_cents"), F.count(F.lit(1)).alias("entities"))
+    columns = ("level", "code", "title_cents", "total_cents", "entities")
+    if not q.region and not q.code:
+        lower = rows.groupBy(F.col("region_name").alias("code")).agg(*sums).withColumn("level", F.lit("region")).select(*columns)
+        top = rows.agg(*sums).select(F.lit("nation").alias("level"), F.lit("IT").alias("code"), "title_cents", "total_cents", "entities")
+        return matches(rows, top.unionByName(lower), {"matched": F.count(F.lit(1))})
+    page = S.page(rows.select("entity", "title_cents", "total_cents"), [F.asc("entity")], *q.page)
+    page = page.select(F.lit("entity").alias("level"), F.col("entity").cast("string").alias("code"), "title_cents", "total_cents", F.lit(1).cast("bigint").alias("entities"))
+    if q.region and not q.code:
+        page = rows.agg(*sums).select(F.lit("region").alias("level"), F.lit(q.region).alias("code"), "title_cents", "total_cents", "entities").unionByName(page)
+    return matches(rows, page, {"matched": F.count(F.lit(1))})
+
+
+example(
+    "q05_openbdap_ssn_conto_economico_nation", "openbdap_ssn_conto_economico",
+    _HEALTH.format(where="true", rows="SELECT 'nation' AS level, 'IT' AS code, title_cents, total_cents, entities, entities AS matched FROM n UNION ALL SELECT 'region', region_name, CAST(sum(title_cents) AS BIGINT), "
+                   "CAST(sum(total_cents) AS BIGINT), count(*), (SELECT entities FROM n) FROM e GROUP BY region_name"),
+)
+example("q05_openbdap_ssn_conto_economico_entity", "openbdap_ssn_conto_economico", _HEALTH.format(where="entity = 10", rows=_HEALTH_PAGE.format(where="entity = 10")), code="10")
 
+_NEEDS = """SELECT entity, total_cents - title_cents AS difference, CAST(round(CAST(total_cents AS DOUBLE) / (people * 100), 2) AS DECIMAL(20,2)) AS per_capita
+    FROM et JOIN reg USING (region) WHERE lower(region_name) = 'nation_11' ORDER BY {order} NULLS LAST, entity LIMIT 30 OFFSET {offset}"""
 
-@dataset("opencivitas_fabbisogni", "SELECT entity, total_cents - title_cents AS difference, CAST(round(CAST(total_cents AS DOUBLE) / (people * 100), 2) AS DECIMAL(20,2)) AS per_capita FROM et JOIN reg USING (region) WHERE lower(region_name) = 'nation_11' ORDER BY difference DESC NULLS LAST, entity LIMIT 30 OFFSET 5", region="Nation_11", limit=30, offset=5)
-def needs(spark, sf_dir, q):
+
+@dataset("opencivitas_fabbisogni", _NEEDS.format(order="difference DESC", offset=5), region="Nation_11", limit=30, offset=5)
+def needs(spark, sf_dir, q, sort: str = "difference", descending: bool = True):
+    """Entities by difference, by a head's share or by code, unknown ones last."""
+    if sort not in ("difference", "per_capita", "entity"):
+        raise QueryError(f"no order by {sort}")
     rows = _region(entity_totals(spark, sf_dir).join(regions(spark, sf_dir), "region"), q.region)
     rows = rows.filter(F.col("entity").cast("string") == q.code) if q.code else rows
     rows = rows.select("entity", (F.col("total_cents") - F.col("title_cents")).alias("difference"), X.per_capita(F.col("total_cents"), F.col("people")).alias("per_capita"))
-    return S.page(rows, S.ordered_by("difference", True, "entity"), *q.page)
+    return S.page(rows, S.ordered_by(sort, descending, "entity"), *q.page)
+
 
+QUERIES["q06_opencivitas_fabbisogni_per_head"] = lambda spark, sf_dir: needs(spark, sf_dir, DatasetQuery("opencivitas_fabbisogni", region="Nation_11", limit=30), "per_capita", False)
+ORACLES["q06_opencivitas_fabbisogni_per_head"] = f"WITH {SQL} {_NEEDS.format(order='per_capita ASC', offset=0)}"
 
-@dataset("opencoesione_progetti", "SELECT region, CAST(sum(total_cents) AS BIGINT) AS cost, CAST(sum(title_cents) AS BIGINT) AS paid, CAST(sum(total_cents) - sum(title_cents) AS BIGINT) AS difference FROM et GROUP BY region")
+
+_COHESION = """+ e AS (SELECT et.*, area FROM et JOIN reg USING (region)), u AS (SELECT 'region' AS dimension, CAST(region AS VARCHAR) AS key, title_cents, total_cents FROM e
+    UNION ALL SELECT 'area', area, title_cents, total_cents FROM e UNION ALL SELECT 'theme', segment, title_cents, total_cents FROM e)
+    SELECT dimension, key, count(*) AS projects, CAST(sum(total_cents) AS BIGINT) AS cost, CAST(sum(title_cents) AS BIGINT) AS paid, CAST(sum(total_cents) - sum(title_cents) AS BIGINT) AS difference FROM u GROUP BY dimension, key"""
+
+
+@dataset("opencoesione_progetti", _COHESION)
 def cohesion(spark, sf_dir, q):
-    return entity_totals(spark, sf_dir).groupBy("region").agg(F.sum("total_cents").alias("cost"), F.sum("title_cents").alias("paid")).withColumn("difference", F.col("cost") - F.col("paid"))
+    """Projects, cost and payments by region, by area and by theme, in one pass."""
+    rows = entity_totals(spark, sf_dir).join(regions(spark, sf_dir), "region").withColumn("region", F.col("region").cast("string"))
+    sums = (F.count(F.lit(1)).alias("projects"), F.sum("total_cents").alias("cost"), F.sum("title_cents").alias("paid"))
+    sets = rows.groupingSets([["region"], ["area"], ["segment"]], "region", "area", "segment").agg(F.grouping_id("region", "area", "segment").alias("which"), *sums)
+    dimension = F.when(F.col("which") == 3, "region").when(F.col("which") == 5, "area").otherwise("theme")
+    return sets.select(dimension.alias("dimension"), F.coalesce("region", "area", "segment").alias("key"), "projects", "cost", "paid", (F.col("cost") - F.col("paid")).alias("difference"))
 
 
 @dataset(
@@ -176,12 +254,24 @@ def bodies(spark, sf_dir, q):
     return S.page(rows.filter(F.lower("name").contains(q.query.lower())) if q.query else rows, [F.asc("entity")], *q.page)
 
 
-@dataset("ipa_struttura", "+ u AS (SELECT DISTINCT supplier, part % 10 AS unit FROM mov WHERE supplier = 3) SELECT unit, CAST(supplier AS BIGINT) AS parent, (SELECT count(*) FROM u) > 4 AS truncated FROM u ORDER BY unit LIMIT 4", code="3", limit=4)
+_STRUCTURE = """+ u AS (SELECT DISTINCT supplier, part % 10 AS unit FROM mov WHERE supplier = 3), o AS (SELECT DISTINCT supplier, part % 7 AS unit FROM mov WHERE supplier = 3)
+    (SELECT 'units' AS list, unit, CAST(supplier AS BIGINT) AS parent, (SELECT count(*) FROM u) AS total, CASE WHEN (SELECT count(*) FROM u) > 4 THEN CAST(4 AS BIGINT) END AS next_offset FROM u ORDER BY unit LIMIT 4)
+    UNION ALL (SELECT 'offices', unit, CAST(supplier AS BIGINT), (SELECT count(*) FROM o), CASE WHEN (SELECT count(*) FROM o) > 4 THEN CAST(4 AS BIGINT) END FROM o ORDER BY unit LIMIT 4)"""
+
+
+@dataset("ipa_struttura", _STRUCTURE, code="3", limit=4)
 def structure(spark, sf_dir, q):
-    """Units of a body with their parent, and whether the page is not all."""
-    units = movements(spark, sf_dir).filter(F.col("supplier") == int(q.code)).select((F.col("part") % 10).alias("unit"), F.col("supplier").alias("parent")).distinct()
+    """Two lists of a body, its units and its offices, each a page with its total and where the next begins."""
+    own = movements(spark, sf_dir).filter(F.col("supplier") == int(q.code))
     offset, limit = q.page
-    return matches(units, S.page(units, [F.asc("unit")], offset, limit), {"truncated": F.count(F.lit(1)) > offset + limit})
+    found = None
+    for name, size in (("units", 10), ("offices", 7)):
+        rows = own.select((F.col("part") % size).alias("unit"), F.col("supplier").alias("parent")).distinct()
+        facts = S.envelope(rows, offset, limit).select("total", "next_offset")
+        # one row
+        part = S.page(rows, [F.asc("unit")], offset, limit).crossJoin(F.broadcast(facts)).withColumn("list", F.lit(name))
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 @dataset("mef_partecipazioni", "SELECT count(*) AS records, count(DISTINCT supplier) AS companies, count(DISTINCT entity) AS administrations, count(*) FILTER (flag = 'A' OR status = 'F') AS any_flag FROM mov")

@@ -5,6 +5,7 @@ Whole files go to executors as binary rows, one file a row; archives and workboo
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import struct
@@ -36,11 +37,31 @@ def delimited(spark: SparkSession, path: str | list[str], columns: list[str], se
     return rows.filter(F.coalesce(*[F.nullif(F.col(f"`{c}`"), F.lit("")) for c in columns]).isNotNull()).select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns])
 
 
+#: Bytes that windows-1252 does not define.
+UNDEFINED = r"[\x81\x8D\x8F\x90\x9D]"
+
+
 def decoded(content: Column) -> Column:
-    """Struct of text and the encoding used: UTF-8 without its mark, else windows-1252."""
-    utf8 = F.is_valid_utf8(content.cast("string"))
-    text = F.when(utf8, F.regexp_replace(content.cast("string"), "^﻿", "")).otherwise(F.translate(F.decode(content, "ISO-8859-1"), C1, CP1252))
-    return F.struct(text.alias("text"), F.when(utf8, "utf-8").otherwise("windows-1252").alias("encoding"))
+    """Struct of text and the encoding used: UTF-8 without its mark, else windows-1252, else (a byte that this lacks) ISO 8859-1."""
+    utf8, latin = F.is_valid_utf8(content.cast("string")), F.decode(content, "ISO-8859-1")
+    other = latin.rlike(UNDEFINED)
+    text = F.when(utf8, F.regexp_replace(content.cast("string"), "^\ufeff", "")).when(other, latin).otherwise(F.translate(latin, C1, CP1252))
+    return F.struct(text.alias("text"), F.when(utf8, "utf-8").when(other, "iso-8859-1").otherwise("windows-1252").alias("encoding"))
+
+
+def line_policy(content: Column) -> Column:
+    """Struct of what a file has that a strict one has not: a byte order mark, carriage returns, an open last line."""
+    latin = F.decode(content, "ISO-8859-1")
+    return F.struct(
+        latin.startswith("\u00ef\u00bb\u00bf").alias("mark"), F.contains(latin, F.lit("\r")).alias("carriage_returns"), ((latin != "") & ~latin.endswith("\n")).alias("open_end")
+    )
+
+
+def not_empty(df: DataFrame, what: str) -> DataFrame:
+    """The same rows; a table without any is an error (a job of its own looks for one)."""
+    if df.isEmpty():
+        raise CheckFailed(f"{what} has no rows")
+    return df
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -76,27 +97,44 @@ def zip_members(archives: DataFrame, pattern: str = "", exactly: int | None = No
 
         for frame in batches:
             for path, raw in zip(frame.path, frame.content):
-                rows = list(opened(path, bytes(raw)))
-                if exactly is not None and len(rows) != exactly:
-                    raise CheckFailed(f"{path}: {len(rows)} members match")
-                for _, name, data in rows if lock else ():
-                    found = {"name": name, "size": len(data), "crc32": zlib.crc32(data), "sha256": hashlib.sha256(data).hexdigest()}
-                    if bad := [k for k in lock if found[k] != lock[k]]:
+                n = 0
+                for row in opened(path, bytes(raw)):  # a member at a time
+                    n += 1
+                    found = {"name": row[1], "size": len(row[2]), "crc32": zlib.crc32(row[2]), "sha256": hashlib.sha256(row[2]).hexdigest()} if lock else {}
+                    if bad := [k for k in lock or () if found[k] != lock[k]]:
                         raise CheckFailed(f"{path}: {', '.join(bad)} differ")
-                yield pd.DataFrame(rows, columns=["path", "member", "content"])
+                    yield pd.DataFrame([row], columns=["path", "member", "content"])
+                if exactly is not None and n != exactly:
+                    raise CheckFailed(f"{path}: {n} members match")
 
     return archives.mapInPandas(run, "path string, member string, content binary")
 
 
 def csv_rows(texts: DataFrame, text_col: str, columns: list[str], sep: str = ",", header: bool = False) -> DataFrame:
-    """Rows of files that are columns of text, without line breaks in quotes; rows of another width have null columns and `malformed`."""
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    lines = texts.select(F.posexplode(F.split(text_col, r"\r?\n")).alias("line", "value")).filter("trim(value) <> ''")
-    if header:
-        lines = lines.filter("line > 0")
-    row = F.from_csv("value", schema, {"sep": sep, "quote": '"', "escape": '"'})
-    width = F.size(F.split(F.regexp_replace("value", '"[^"]*"', ""), re.escape(sep)))
-    return lines.select(row.alias("row"), (width != len(columns)).alias("malformed")).select("row.*", "malformed")
+    """Rows of files that are columns of text, with doubled quotes and line breaks in quotes; rows of another width have null columns and `malformed`.
+
+    header: the first row of each file must be the columns in order, else its job fails. Blank rows go.
+    """
+    schema = ", ".join(f"`{c}` string" for c in columns) + ", malformed boolean"
+
+    def run(batches):
+        for frame in batches:
+            for text in frame.iloc[:, 0]:
+                rows = csv.reader(io.StringIO(text or "", newline=""), delimiter=sep)
+                if header and (names := next(rows, [])) != list(columns):
+                    raise CheckFailed(f"columns: {names} in place of {list(columns)}")
+                out = []
+                for row in rows:
+                    if not any(map(str.strip, row)):
+                        continue
+                    bad = len(row) != len(columns)
+                    out.append((*([None] * len(columns) if bad else row), bad))
+                    if len(out) == 10_000:
+                        yield pd.DataFrame(out, columns=[*columns, "malformed"])
+                        out = []
+                yield pd.DataFrame(out, columns=[*columns, "malformed"])
+
+    return texts.select(text_col).mapInPandas(run, schema)
 
 
 def workbook_rows(books: DataFrame, sheet: str | None = None) -> DataFrame:
@@ -113,6 +151,8 @@ def workbook_rows(books: DataFrame, sheet: str | None = None) -> DataFrame:
                     shared = []
                     if "xl/sharedStrings.xml" in z.namelist():
                         shared = ["".join(t.text or "" for t in si.iter(f"{ns}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{ns}si")]
+                    if sheet is not None and sheet not in (x.get("name") for x in ET.fromstring(z.read("xl/workbook.xml")).iter(f"{ns}sheet")):
+                        raise CheckFailed(f"{path}: no sheet {sheet}")
                     rels = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
                     for s in ET.fromstring(z.read("xl/workbook.xml")).iter(f"{ns}sheet"):
                         if sheet is not None and s.get("name") != sheet:
@@ -140,9 +180,14 @@ def column_number(reference: str) -> int:
 
 
 def odata(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
-    """Rows of an OData envelope (d.results); every field is read as text and cast to its type, unreadable is null."""
+    """Rows of the OData envelopes (d.results) of files."""
+    return envelope_rows(spark.read.text(path, wholetext=True), "value", fields)
+
+
+def envelope_rows(texts: DataFrame, text_col: str, fields: dict[str, str]) -> DataFrame:
+    """Rows of OData envelopes (d.results) in a column of text; every field is read as text and cast to its type, unreadable is null."""
     inner = ", ".join(f"`{f}`: string" for f in fields)
-    rows = spark.read.schema(f"d struct<results: array<struct<{inner}>>>").json(path, multiLine=True).select(F.explode("d.results").alias("r"))
+    rows = texts.select(F.explode(F.from_json(text_col, f"d struct<results: array<struct<{inner}>>>")["d"]["results"]).alias("r"))
     return rows.select(*[F.col(f"r.`{f}`").try_cast(kind).alias(f) for f, kind in fields.items()])
 
 
