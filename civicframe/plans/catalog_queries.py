@@ -52,7 +52,8 @@ def _region(rows: DataFrame, region: str | None) -> DataFrame:
 
 @dataset(
     "siope_comuni",
-    "SELECT region_name, CAST(sum(cents) AS BIGINT) AS cents, count(DISTINCT entity) AS entities FROM mov JOIN ent USING (entity) JOIN reg USING (region) WHERE year = 2000 AND lower(region_name) = 'nation_3' GROUP BY region_name",
+    """SELECT region_name, CAST(sum(cents) AS BIGINT) AS cents, count(DISTINCT entity) AS entities FROM mov JOIN ent USING (entity)
+        JOIN reg USING (region) WHERE year = 2000 AND lower(region_name) = 'nation_3' GROUP BY region_name""",
     year=2000, region="Nation_3",
 )
 def municipal_payments(spark, sf_dir, q):
@@ -64,10 +65,13 @@ def municipal_payments(spark, sf_dir, q):
 
 _GROUPINGS = {"mission": ("flag",), "title": ("status",), "administration": ("flag", "status")}
 _STATE = """+ x AS (SELECT year, flag, status, cents FROM mov WHERE year IN ({year}, {year} - 1) AND month = {month}),
-    u AS (SELECT 'mission' AS grouping, flag AS key, year, cents FROM x UNION ALL SELECT 'title', status, year, cents FROM x UNION ALL SELECT 'administration', flag || ':' || status, year, cents FROM x),
-    c AS (SELECT grouping, key, CAST(sum(cents) FILTER (year = {year}) AS BIGINT) AS cents, CAST(sum(cents) FILTER (year = {year} - 1) AS BIGINT) AS before FROM u GROUP BY grouping, key)
+    u AS (SELECT 'mission' AS grouping, flag AS key, year, cents FROM x UNION ALL SELECT 'title', status, year, cents FROM x UNION ALL
+        SELECT 'administration', flag || ':' || status, year, cents FROM x),
+    c AS (SELECT grouping, key, CAST(sum(cents) FILTER (year = {year}) AS BIGINT) AS cents,
+        CAST(sum(cents) FILTER (year = {year} - 1) AS BIGINT) AS before FROM u GROUP BY grouping, key)
     SELECT grouping, key, cents, before, CAST(round(CAST(cents - before AS DOUBLE) * 100 / before, 6) AS DECIMAL(20,6)) AS difference_pct,
-    CASE WHEN (SELECT count(*) FROM x WHERE year = {year} - 1) = 0 THEN 'no companion release' WHEN before IS NULL THEN 'not in the companion release' END AS warning FROM c WHERE cents IS NOT NULL"""
+    CASE WHEN (SELECT count(*) FROM x WHERE year = {year} - 1) = 0 THEN 'no companion release'
+        WHEN before IS NULL THEN 'not in the companion release' END AS warning FROM c WHERE cents IS NOT NULL"""
 
 
 @dataset("openbdap_spesa_stato", _STATE.format(year=1999, month=6), year=1999, month=6)
@@ -101,11 +105,16 @@ def administration(spark, sf_dir, q):
     return rows.groupBy("flag", "status").agg(F.sum("cents").alias("cents"))
 
 
-_WORK = """+ w AS (SELECT number, CAST(sum(cents) AS BIGINT) AS actual, CAST(coalesce(sum(cents) FILTER (flag <> 'R'), 0) AS BIGINT) AS planned, CAST(coalesce(sum(cents) FILTER (flag = 'A'), 0) AS BIGINT) AS secured,
-        max(day) AS planned_end, CASE WHEN bool_and(status = 'F') THEN 'C' END AS status, count(*) FILTER (flag = 'N') AS open FROM mov WHERE number = {cup} GROUP BY number),
-    s AS (SELECT *, CASE WHEN planned > 0 AND actual > 0 THEN CAST(round(CAST(actual - planned AS DOUBLE) * 10000 / planned, 0) AS BIGINT) END AS change_bp, greatest(actual - secured, 0) AS to_find FROM w)
-    SELECT number, actual, planned, secured, change_bp, open, array_to_string(list_filter([CASE WHEN open = 0 THEN 'data-quality' END, CASE WHEN coalesce(status, '') <> 'C' AND planned_end < DATE '2001-08-31' THEN 'schedule-check' END,
-        CASE WHEN change_bp >= 1000 THEN 'cost-growth' END, CASE WHEN to_find > 0 THEN 'funding-gap' END], lambda x: x IS NOT NULL), ',') AS signals FROM s"""
+_WORK = """+ w AS (SELECT number, CAST(sum(cents) AS BIGINT) AS actual, CAST(coalesce(sum(cents) FILTER (flag <> 'R'), 0) AS BIGINT) AS planned,
+        CAST(coalesce(sum(cents) FILTER (flag = 'A'), 0) AS BIGINT) AS secured,
+        max(day) AS planned_end, CASE WHEN bool_and(status = 'F') THEN 'C' END AS status, count(*) FILTER (flag = 'N') AS open FROM mov
+        WHERE number = {cup} GROUP BY number),
+    s AS (SELECT *, CASE WHEN planned > 0 AND actual > 0 THEN CAST(round(CAST(actual - planned AS DOUBLE) * 10000 / planned,
+        0) AS BIGINT) END AS change_bp, greatest(actual - secured, 0) AS to_find FROM w)
+    SELECT number, actual, planned, secured, change_bp, open, array_to_string(list_filter([CASE WHEN open = 0 THEN 'data-quality' END,
+        CASE WHEN coalesce(status, '') <> 'C' AND planned_end < DATE '2001-08-31' THEN 'schedule-check' END,
+        CASE WHEN change_bp >= 1000 THEN 'cost-growth' END, CASE
+        WHEN to_find > 0 THEN 'funding-gap' END], lambda x: x IS NOT NULL), ',') AS signals FROM s"""
 
 
 @dataset("openbdap_opere_pubbliche", _WORK.format(cup=77), cup="77")
@@ -120,9 +129,11 @@ def public_work(spark, sf_dir, q):
 
 example("q04_openbdap_opere_pubbliche_other", "openbdap_opere_pubbliche", _WORK.format(cup=32), cup="32")
 
-_HEALTH = """+ e AS (SELECT et.*, region_name FROM et JOIN reg USING (region)), n AS (SELECT CAST(sum(title_cents) AS BIGINT) AS title_cents, CAST(sum(total_cents) AS BIGINT) AS total_cents, count(*) AS entities FROM e WHERE {where})
+_HEALTH = """+ e AS (SELECT et.*, region_name FROM et JOIN reg USING (region)), n AS (SELECT CAST(sum(title_cents) AS BIGINT) AS title_cents,
+        CAST(sum(total_cents) AS BIGINT) AS total_cents, count(*) AS entities FROM e WHERE {where})
     {rows}"""
-_HEALTH_PAGE = "SELECT 'entity' AS level, CAST(entity AS VARCHAR) AS code, title_cents, total_cents, CAST(1 AS BIGINT) AS entities, (SELECT entities FROM n) AS matched FROM e WHERE {where} ORDER BY entity LIMIT 20"
+_HEALTH_PAGE = """SELECT 'entity' AS level, CAST(entity AS VARCHAR) AS code, title_cents, total_cents, CAST(1 AS BIGINT) AS entities, (SELECT entities
+        FROM n) AS matched FROM e WHERE {where} ORDER BY entity LIMIT 20"""
 
 
 @dataset(
@@ -151,7 +162,8 @@ def health_accounts(spark, sf_dir, q):
 
 example(
     "q05_openbdap_ssn_conto_economico_nation", "openbdap_ssn_conto_economico",
-    _HEALTH.format(where="true", rows="SELECT 'nation' AS level, 'IT' AS code, title_cents, total_cents, entities, entities AS matched FROM n UNION ALL SELECT 'region', region_name, CAST(sum(title_cents) AS BIGINT), "
+    _HEALTH.format(where="true", rows="""SELECT 'nation' AS level, 'IT' AS code, title_cents, total_cents, entities, entities AS matched FROM n UNION ALL
+        SELECT 'region', region_name, CAST(sum(title_cents) AS BIGINT), """
                    "CAST(sum(total_cents) AS BIGINT), count(*), (SELECT entities FROM n) FROM e GROUP BY region_name"),
 )
 example("q05_openbdap_ssn_conto_economico_entity", "openbdap_ssn_conto_economico", _HEALTH.format(where="entity = 10", rows=_HEALTH_PAGE.format(where="entity = 10")), code="10")
@@ -175,9 +187,11 @@ QUERIES["q06_opencivitas_fabbisogni_per_head"] = lambda spark, sf_dir: needs(spa
 ORACLES["q06_opencivitas_fabbisogni_per_head"] = f"WITH {SQL} {_NEEDS.format(order='per_capita ASC', offset=0)}"
 
 
-_COHESION = """+ e AS (SELECT et.*, area FROM et JOIN reg USING (region)), u AS (SELECT 'region' AS dimension, CAST(region AS VARCHAR) AS key, title_cents, total_cents FROM e
+_COHESION = """+ e AS (SELECT et.*, area FROM et JOIN reg USING (region)), u AS (SELECT 'region' AS dimension, CAST(region AS VARCHAR) AS key,
+        title_cents, total_cents FROM e
     UNION ALL SELECT 'area', area, title_cents, total_cents FROM e UNION ALL SELECT 'theme', segment, title_cents, total_cents FROM e)
-    SELECT dimension, key, count(*) AS projects, CAST(sum(total_cents) AS BIGINT) AS cost, CAST(sum(title_cents) AS BIGINT) AS paid, CAST(sum(total_cents) - sum(title_cents) AS BIGINT) AS difference FROM u GROUP BY dimension, key"""
+    SELECT dimension, key, count(*) AS projects, CAST(sum(total_cents) AS BIGINT) AS cost, CAST(sum(title_cents) AS BIGINT) AS paid,
+        CAST(sum(total_cents) - sum(title_cents) AS BIGINT) AS difference FROM u GROUP BY dimension, key"""
 
 
 @dataset("opencoesione_progetti", _COHESION)
@@ -192,7 +206,8 @@ def cohesion(spark, sf_dir, q):
 
 @dataset(
     "pnrr_asili",
-    "+ p AS (SELECT number, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM mov JOIN ent USING (entity) JOIN reg USING (region) WHERE lower(region_name) = 'nation_2' GROUP BY number) SELECT *, (SELECT count(*) FROM p) AS total FROM p ORDER BY number LIMIT 20",
+    """+ p AS (SELECT number, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM mov JOIN ent USING (entity) JOIN reg USING (region)
+        WHERE lower(region_name) = 'nation_2' GROUP BY number) SELECT *, (SELECT count(*) FROM p) AS total FROM p ORDER BY number LIMIT 20""",
     region="Nation_2", limit=20,
 )
 def projects(spark, sf_dir, q):
@@ -205,14 +220,17 @@ def projects(spark, sf_dir, q):
     return matches(found, S.page(found, [F.asc("number")], *q.page), {"total": F.count(F.lit(1))})
 
 
-@dataset("anac_cig_snapshot", "SELECT flag AS choice, count(*) AS n, CAST(round(CAST(count(*) AS DOUBLE) * 100 / (SELECT count(*) FROM mov WHERE year = 2000), 6) AS DECIMAL(20,6)) AS pct FROM mov WHERE year = 2000 GROUP BY flag", year=2000)
+@dataset("anac_cig_snapshot", """SELECT flag AS choice, count(*) AS n, CAST(round(CAST(count(*) AS DOUBLE) * 100 / (SELECT count(*) FROM mov
+        WHERE year = 2000), 6) AS DECIMAL(20,6)) AS pct FROM mov WHERE year = 2000 GROUP BY flag""", year=2000)
 def contracts(spark, sf_dir, q):
     rows = movements(spark, sf_dir).filter(F.col("year") == q.year)
     whole = rows.agg(F.count(F.lit(1)).alias("whole"))
     return rows.groupBy(F.col("flag").alias("choice")).agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(whole)).select("choice", "n", X.percentage(F.col("n"), F.col("whole")).alias("pct"))
 
 
-@dataset("inps_invalidita_civile", "+ y AS (SELECT region_name, year, CAST(sum(cents) AS BIGINT) AS cents FROM mov JOIN ent USING (entity) JOIN reg USING (region) GROUP BY region_name, year), c AS (SELECT *, cents - lag(cents) OVER (PARTITION BY region_name ORDER BY year) AS change FROM y) SELECT * FROM c WHERE year = 1998 AND lower(region_name) = 'nation_5'", year=1998, region="Nation_5")
+@dataset("inps_invalidita_civile", """+ y AS (SELECT region_name, year, CAST(sum(cents) AS BIGINT) AS cents FROM mov JOIN ent USING (entity) JOIN reg USING (region)
+        GROUP BY region_name, year), c AS (SELECT *, cents - lag(cents) OVER (PARTITION BY region_name ORDER BY year) AS change FROM y) SELECT *
+        FROM c WHERE year = 1998 AND lower(region_name) = 'nation_5'""", year=1998, region="Nation_5")
 def invalidity(spark, sf_dir, q):
     rows = movements(spark, sf_dir).join(entities(spark, sf_dir).select("entity", "region"), "entity").join(regions(spark, sf_dir), "region")
     years = _region(rows, q.region).groupBy("region_name", "year").agg(F.sum("cents").alias("cents"))
@@ -220,7 +238,10 @@ def invalidity(spark, sf_dir, q):
     return found.filter(F.col("year") == q.year) if q.year else found
 
 
-@dataset("cpt_finanza_regionale", "SELECT region_name, year, CAST(coalesce(sum(cents) FILTER (flag = 'N'), 0) AS BIGINT) AS revenue, CAST(coalesce(sum(cents) FILTER (flag <> 'N'), 0) AS BIGINT) AS expenditure, CAST(coalesce(sum(cents) FILTER (flag = 'N'), 0) - coalesce(sum(cents) FILTER (flag <> 'N'), 0) AS BIGINT) AS balance FROM mov JOIN ent USING (entity) JOIN reg USING (region) WHERE year = 1997 GROUP BY region_name, year", year=1997)
+@dataset("cpt_finanza_regionale", """SELECT region_name, year, CAST(coalesce(sum(cents) FILTER (flag = 'N'), 0) AS BIGINT) AS revenue,
+        CAST(coalesce(sum(cents) FILTER (flag <> 'N'), 0) AS BIGINT) AS expenditure, CAST(coalesce(sum(cents) FILTER (flag = 'N'),
+        0) - coalesce(sum(cents) FILTER (flag <> 'N'), 0) AS BIGINT) AS balance FROM mov JOIN ent USING (entity) JOIN reg USING (region)
+        WHERE year = 1997 GROUP BY region_name, year""", year=1997)
 def regional_finance(spark, sf_dir, q):
     rows = movements(spark, sf_dir).join(entities(spark, sf_dir).select("entity", "region"), "entity").join(regions(spark, sf_dir), "region")
     rows = _region(rows.filter(F.col("year") == (q.year or 2000)), q.region)
@@ -228,7 +249,12 @@ def regional_finance(spark, sf_dir, q):
     return rows.groupBy("region_name", "year").agg(part(F.col("flag") == "N").alias("revenue"), part(F.col("flag") != "N").alias("expenditure")).withColumn("balance", F.col("revenue") - F.col("expenditure"))
 
 
-_TAX = "+ s AS (SELECT region_name, entity, name, CASE WHEN balance_cents >= 0 THEN people END AS f, CASE WHEN balance_cents >= 0 AND people IS NOT NULL THEN balance_cents END AS a FROM ent JOIN reg USING (region) WHERE contains(lower(name), '11')) SELECT entity, name, f AS frequency, a AS amount_cents, (SELECT count(*) FROM s) AS matched, (SELECT CAST(coalesce(sum(a) FILTER (f IS NOT NULL), 0) AS BIGINT) FROM s) AS matched_cents, (SELECT count(*) FILTER (f IS NULL OR a IS NULL) FROM s) AS suppressed FROM s ORDER BY lower(name), entity LIMIT 20"
+_TAX = """+ s AS (SELECT region_name, entity, name, CASE WHEN balance_cents >= 0 THEN people END AS f, CASE
+        WHEN balance_cents >= 0 AND people IS NOT NULL THEN balance_cents END AS a FROM ent JOIN reg USING (region)
+        WHERE contains(lower(name), '11')) SELECT entity, name, f AS frequency, a AS amount_cents, (SELECT count(*)
+        FROM s) AS matched, (SELECT CAST(coalesce(sum(a) FILTER (f IS NOT NULL), 0) AS BIGINT)
+        FROM s) AS matched_cents, (SELECT count(*) FILTER (f IS NULL OR a IS NULL) FROM s) AS suppressed FROM s
+        ORDER BY lower(name), entity LIMIT 20"""
 
 
 @dataset("mef_irpef_comunale", _TAX, level="municipality", query="11", limit=20)
@@ -254,9 +280,12 @@ def bodies(spark, sf_dir, q):
     return S.page(rows.filter(F.lower("name").contains(q.query.lower())) if q.query else rows, [F.asc("entity")], *q.page)
 
 
-_STRUCTURE = """+ u AS (SELECT DISTINCT supplier, part % 10 AS unit FROM mov WHERE supplier = 3), o AS (SELECT DISTINCT supplier, part % 7 AS unit FROM mov WHERE supplier = 3)
-    (SELECT 'units' AS list, unit, CAST(supplier AS BIGINT) AS parent, (SELECT count(*) FROM u) AS total, CASE WHEN (SELECT count(*) FROM u) > 4 THEN CAST(4 AS BIGINT) END AS next_offset FROM u ORDER BY unit LIMIT 4)
-    UNION ALL (SELECT 'offices', unit, CAST(supplier AS BIGINT), (SELECT count(*) FROM o), CASE WHEN (SELECT count(*) FROM o) > 4 THEN CAST(4 AS BIGINT) END FROM o ORDER BY unit LIMIT 4)"""
+_STRUCTURE = """+ u AS (SELECT DISTINCT supplier, part % 10 AS unit FROM mov WHERE supplier = 3), o AS (SELECT DISTINCT supplier, part % 7 AS unit
+        FROM mov WHERE supplier = 3)
+    (SELECT 'units' AS list, unit, CAST(supplier AS BIGINT) AS parent, (SELECT count(*) FROM u) AS total, CASE WHEN (SELECT count(*)
+        FROM u) > 4 THEN CAST(4 AS BIGINT) END AS next_offset FROM u ORDER BY unit LIMIT 4)
+    UNION ALL (SELECT 'offices', unit, CAST(supplier AS BIGINT), (SELECT count(*) FROM o), CASE WHEN (SELECT count(*)
+        FROM o) > 4 THEN CAST(4 AS BIGINT) END FROM o ORDER BY unit LIMIT 4)"""
 
 
 @dataset("ipa_struttura", _STRUCTURE, code="3", limit=4)
@@ -274,19 +303,22 @@ def structure(spark, sf_dir, q):
     return found
 
 
-@dataset("mef_partecipazioni", "SELECT count(*) AS records, count(DISTINCT supplier) AS companies, count(DISTINCT entity) AS administrations, count(*) FILTER (flag = 'A' OR status = 'F') AS any_flag FROM mov")
+@dataset("mef_partecipazioni", """SELECT count(*) AS records, count(DISTINCT supplier) AS companies, count(DISTINCT entity) AS administrations,
+        count(*) FILTER (flag = 'A' OR status = 'F') AS any_flag FROM mov""")
 def participations(spark, sf_dir, q):
     anyone = F.exists(F.array(F.col("flag") == "A", F.col("status") == "F"), lambda x: x)
     return movements(spark, sf_dir).agg(F.count(F.lit(1)).alias("records"), F.count_distinct("supplier").alias("companies"), F.count_distinct("entity").alias("administrations"), F.count_if(anyone).alias("any_flag"))
 
 
-@dataset("consulenti_incarichi", "SELECT 'external' AS series, year, count(*) AS n FROM mov WHERE flag = 'A' AND year = 1999 GROUP BY year UNION ALL SELECT 'employee', year, count(*) FROM mov WHERE flag = 'R' AND year = 1999 GROUP BY year", year=1999)
+@dataset("consulenti_incarichi", """SELECT 'external' AS series, year, count(*) AS n FROM mov WHERE flag = 'A' AND year = 1999 GROUP BY year UNION ALL
+        SELECT 'employee', year, count(*) FROM mov WHERE flag = 'R' AND year = 1999 GROUP BY year""", year=1999)
 def appointments(spark, sf_dir, q):
     rows = movements(spark, sf_dir).filter("flag IN ('A', 'R')").select(F.when(F.col("flag") == "A", "external").otherwise("employee").alias("series"), "year")
     return (rows.filter(F.col("year") == q.year) if q.year else rows).groupBy("series", "year").agg(F.count(F.lit(1)).alias("n"))
 
 
-@dataset("parlamento_bilanci", "SELECT status AS chamber, count(*) AS statements FROM (SELECT DISTINCT status, year, month FROM mov WHERE status = 'F' AND year = 2000) GROUP BY status", chamber="F", year=2000)
+@dataset("parlamento_bilanci", """SELECT status AS chamber, count(*) AS statements FROM (SELECT DISTINCT status, year, month FROM mov WHERE status = 'F' AND year = 2000)
+        GROUP BY status""", chamber="F", year=2000)
 def chambers(spark, sf_dir, q):
     """Statements are filtered within their chamber; chambers left without any go."""
     nested = movements(spark, sf_dir).select("status", "year", "month").distinct().groupBy(F.col("status").alias("chamber")).agg(F.collect_list(F.struct("year", "month")).alias("s"))
@@ -298,7 +330,8 @@ def chambers(spark, sf_dir, q):
 _OUT = Q.ORACLES["a26_f15_o05_outliers"][len("WITH ") + len(SQL) :]
 
 
-@dataset("controlli_segnali", f"+ x AS (WITH {SQL}{_OUT}) SELECT entity, region, total_cents, direction FROM x ORDER BY multiple DESC NULLS LAST, distance DESC, entity LIMIT 20", area="spesa-comuni", limit=20)
+@dataset("controlli_segnali", f"""+ x AS (WITH {SQL}{_OUT}) SELECT entity, region, total_cents, direction FROM x
+        ORDER BY multiple DESC NULLS LAST, distance DESC, entity LIMIT 20""", area="spesa-comuni", limit=20)
 def signals(spark, sf_dir, q):
     if q.area and q.area.lower() != "spesa-comuni":
         raise QueryError(f"no screening for {q.area}")
@@ -307,7 +340,8 @@ def signals(spark, sf_dir, q):
     return S.page(rows, order, *q.page).select("entity", "region", "total_cents", "direction")
 
 
-@dataset("registro_fonti", "SELECT supplier, name FROM (SELECT s_suppkey AS supplier, s_name AS name FROM supplier) WHERE contains(lower(name), '9') OR contains(lower(CAST(supplier AS VARCHAR)), '9')", query="9")
+@dataset("registro_fonti", """SELECT supplier, name FROM (SELECT s_suppkey AS supplier, s_name AS name FROM supplier)
+        WHERE contains(lower(name), '9') OR contains(lower(CAST(supplier AS VARCHAR)), '9')""", query="9")
 def sources(spark, sf_dir, q):
     rows = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier"), F.col("s_name").alias("name"))
     return rows.filter(X.contains_folded([F.col("name"), F.col("supplier").cast("string")], q.query)) if q.query else rows

@@ -146,7 +146,8 @@ def people_and_levels(spark, sf_dir):
 @contract(
     "v16_appointments",
     ("series", "year", "assignments", "completed", "managers", "others"),
-    """base AS (SELECT CASE WHEN supplier % 2 = 0 THEN 'external' ELSE 'employee' END AS series, year, count(*) AS assignments, count(*) FILTER (status = 'F') AS completed,
+    """base AS (SELECT CASE WHEN supplier % 2 = 0 THEN 'external' ELSE 'employee' END AS series, year, count(*) AS assignments,
+        count(*) FILTER (status = 'F') AS completed,
         count(*) FILTER (flag = 'A') AS managers, count(*) FILTER (flag <> 'A') AS others FROM mov GROUP BY 1, 2)""",
     (
         Rule("completed_at_most_all", "completed <= assignments"),
@@ -174,10 +175,12 @@ def appointments(spark, sf_dir):
 @contract(
     "v17_stock_and_change",
     ("year", "national", "regional", "stock", "allowances", "pensions", "previous", "change_cents"),
-    """y AS (SELECT year, CAST(sum(cents) AS BIGINT) AS national, count(*) AS stock, count(*) FILTER (flag = 'A') AS allowances, count(*) FILTER (flag <> 'A') AS pensions FROM mov GROUP BY year),
+    """y AS (SELECT year, CAST(sum(cents) AS BIGINT) AS national, count(*) AS stock, count(*) FILTER (flag = 'A') AS allowances,
+        count(*) FILTER (flag <> 'A') AS pensions FROM mov GROUP BY year),
         g AS (SELECT region, year, CAST(sum(cents) AS BIGINT) AS cents FROM mov JOIN ent USING (entity) GROUP BY region, year),
         s AS (SELECT year, CAST(sum(cents) AS BIGINT) AS regional FROM g GROUP BY year),
-        base AS (SELECT *, lag(national) OVER (ORDER BY year) AS previous, national - lag(national) OVER (ORDER BY year) AS change_cents FROM y JOIN s USING (year))""",
+        base AS (SELECT *, lag(national) OVER (ORDER BY year) AS previous, national - lag(national) OVER (ORDER BY year) AS change_cents
+        FROM y JOIN s USING (year))""",
     (
         Rule("regions_are_the_nation", "regional = national"),
         Rule("parts_are_the_stock", "allowances + pensions = stock"),
@@ -206,10 +209,13 @@ def stock_and_change(spark, sf_dir):
     "v18_balances",
     ("region", "year", "revenue", "expenditure", "balance", "people", "head"),
     """p AS (SELECT region, sum(people) AS people FROM ent GROUP BY region),
-        s AS (SELECT region, year, CAST(coalesce(sum(cents) FILTER (flag = 'N'), 0) AS BIGINT) AS revenue, CAST(coalesce(sum(cents) FILTER (flag <> 'N'), 0) AS BIGINT) AS expenditure
+        s AS (SELECT region, year, CAST(coalesce(sum(cents) FILTER (flag = 'N'), 0) AS BIGINT) AS revenue,
+        CAST(coalesce(sum(cents) FILTER (flag <> 'N'), 0) AS BIGINT) AS expenditure
             FROM mov JOIN ent USING (entity) GROUP BY region, year),
-        base AS (SELECT region, year, revenue, expenditure, revenue - expenditure AS balance, CASE WHEN year <> 1996 THEN CAST(people AS BIGINT) END AS people,
-            CASE WHEN year <> 1996 THEN CAST(sign(revenue - expenditure) * ((2 * abs(revenue - expenditure) + people) // (2 * people)) AS BIGINT) END AS head FROM s JOIN p USING (region))""",
+        base AS (SELECT region, year, revenue, expenditure, revenue - expenditure AS balance, CASE
+        WHEN year <> 1996 THEN CAST(people AS BIGINT) END AS people,
+            CASE WHEN year <> 1996 THEN CAST(sign(revenue - expenditure) * ((2 * abs(revenue - expenditure) + people) // (2 * people)) AS
+        BIGINT) END AS head FROM s JOIN p USING (region))""",
     (
         Rule("balance", "balance = revenue - expenditure"),
         Rule("no_head_without_people", "people IS NOT NULL OR head IS NULL"),
@@ -240,9 +246,11 @@ def balances(spark, sf_dir):
 @contract(
     "v19_category_tree",
     ("year", "payments", "category", "label", "paid", "parts", "part_sum", "caveat"),
-    """c AS (SELECT year, title AS category, CAST(sum(cents) AS BIGINT) AS paid, count(DISTINCT flag) AS parts FROM mov JOIN tit USING (part) GROUP BY year, title),
+    """c AS (SELECT year, title AS category, CAST(sum(cents) AS BIGINT) AS paid, count(DISTINCT flag) AS parts FROM mov JOIN tit USING (part)
+        GROUP BY year, title),
         y AS (SELECT year, CAST(sum(cents) AS BIGINT) AS payments FROM mov GROUP BY year),
-        base AS (SELECT year, payments, category, concat('Titolo ', category) AS label, paid, parts, paid AS part_sum, 'only parts' AS caveat FROM c JOIN y USING (year))""",
+        base AS (SELECT year, payments, category, concat('Titolo ', category) AS label, paid, parts, paid AS part_sum,
+        'only parts' AS caveat FROM c JOIN y USING (year))""",
     (
         Rule("components_are_the_category", "abs(part_sum - paid) <= 0"),
         Rule("decomposed_with_caveat", "parts = 0 OR caveat IS NOT NULL"),
@@ -385,28 +393,38 @@ def _changes() -> dict[str, str]:
 def _quantiles_sql(by: str, weight: str, prefix: str) -> str:
     picks = ", ".join(f"min(v) FILTER (cum >= CAST({p} AS DOUBLE) * total) AS {prefix}_{n}" for n, p in A.PROBABILITIES)
     return f"""(SELECT id, {picks} FROM (SELECT id, v, CAST(sum(w) OVER (PARTITION BY id ORDER BY v RANGE UNBOUNDED PRECEDING) AS DOUBLE) AS cum,
-        CAST(sum(w) OVER (PARTITION BY id) AS DOUBLE) AS total FROM (SELECT {by} AS id, title_cents // people AS v, {weight} AS w FROM b WHERE {by} IS NOT NULL)) GROUP BY id)"""
+        CAST(sum(w) OVER (PARTITION BY id) AS DOUBLE) AS total FROM (SELECT {by} AS id, title_cents // people AS v, {weight} AS w FROM b
+        WHERE {by} IS NOT NULL)) GROUP BY id)"""
 
 
 def _groups_sql(kind: str, by: str, ids: str) -> str:
-    return f"""SELECT '{kind}' AS kind, ids.id, count(entity) AS n, CAST(coalesce(sum(people), 0) AS BIGINT) AS group_people, CAST(coalesce(sum(title_cents), 0) AS BIGINT) AS group_title,
-        CAST(coalesce(sum(total_cents), 0) AS BIGINT) AS group_total, CAST(sum(title_cents) AS DOUBLE) / nullif(sum(total_cents), 0) AS group_share,
+    return f"""SELECT '{kind}' AS kind, ids.id, count(entity) AS n, CAST(coalesce(sum(people), 0) AS BIGINT) AS group_people,
+        CAST(coalesce(sum(title_cents), 0) AS BIGINT) AS group_title,
+        CAST(coalesce(sum(total_cents), 0) AS BIGINT) AS group_total, CAST(sum(title_cents) AS DOUBLE) / nullif(sum(total_cents),
+        0) AS group_share,
         {", ".join(f"any_value({p}_{q}) AS {p}_{q}" for p in "mr" for q, _ in A.PROBABILITIES)}
-        FROM ({ids}) ids LEFT JOIN b ON b.{by} = ids.id LEFT JOIN {_quantiles_sql(by, "1", "m")} qm ON qm.id = ids.id LEFT JOIN {_quantiles_sql(by, "people", "r")} qr ON qr.id = ids.id GROUP BY ids.id"""
+        FROM ({ids}) ids LEFT JOIN b ON b.{by} = ids.id LEFT JOIN {_quantiles_sql(by, "1", "m")} qm ON qm.id = ids.id LEFT
+        JOIN {_quantiles_sql(by, "people", "r")} qr ON qr.id = ids.id GROUP BY ids.id"""
 
 
 _BAND = " ".join(f"WHEN {f'people >= {low}' if low is not None else 'true'} {f'AND people < {high}' if high is not None else ''} THEN '{name}'" for name, low, high in A.POPULATION_BANDS)
 _DISTRIBUTION = f"""b AS (SELECT *, CASE {_BAND} END AS band, CASE WHEN {_REGIONAL} THEN CAST(region AS VARCHAR) END AS place FROM et WHERE {_KNOWN}),
     g AS ({_groups_sql("band", "band", "SELECT unnest([" + ", ".join(f"'{b[0]}'" for b in A.POPULATION_BANDS) + "]) AS id")}
         UNION ALL {_groups_sql("region", "place", "SELECT CAST(region AS VARCHAR) AS id FROM reg WHERE " + _REGIONAL)}),
-    c AS (SELECT count(*) AS movements, count(people) AS with_people, count(*) - count(people) AS without_people, count(*) FILTER ({_REGIONAL}) AS with_region,
-        count(*) FILTER (NOT {_REGIONAL}) AS without_region, count(*) FILTER ({_KNOWN} AND {_REGIONAL}) AS with_both, CAST(sum(people) AS BIGINT) AS people,
+    c AS (SELECT count(*) AS movements, count(people) AS with_people, count(*) - count(people) AS without_people,
+        count(*) FILTER ({_REGIONAL}) AS with_region,
+        count(*) FILTER (NOT {_REGIONAL}) AS without_region, count(*) FILTER ({_KNOWN} AND {_REGIONAL}) AS with_both,
+        CAST(sum(people) AS BIGINT) AS people,
         CAST(sum(people) FILTER ({_REGIONAL}) AS BIGINT) AS regional_people, CAST(sum(total_cents) AS BIGINT) AS paid,
-        CAST(coalesce(sum(total_cents) FILTER ({_KNOWN}), 0) AS BIGINT) AS paid_with_people, CAST(coalesce(sum(total_cents) FILTER (NOT {_KNOWN}), 0) AS BIGINT) AS paid_without_people,
+        CAST(coalesce(sum(total_cents) FILTER ({_KNOWN}), 0) AS BIGINT) AS paid_with_people,
+        CAST(coalesce(sum(total_cents) FILTER (NOT {_KNOWN}), 0) AS BIGINT) AS paid_without_people,
         CAST(coalesce(sum(total_cents) FILTER (NOT {_REGIONAL}), 0) AS BIGINT) AS paid_without_region,
-        CAST(coalesce(sum(total_cents) FILTER ({_KNOWN} AND NOT {_REGIONAL}), 0) AS BIGINT) AS paid_people_no_region, CAST(sum(title_cents) AS BIGINT) AS title,
-        CAST(coalesce(sum(title_cents) FILTER (NOT {_KNOWN}), 0) AS BIGINT) AS title_without_people, CAST(coalesce(sum(title_cents) FILTER (NOT {_REGIONAL}), 0) AS BIGINT) AS title_without_region,
-        CAST(coalesce(sum(title_cents) FILTER ({_KNOWN} AND NOT {_REGIONAL}), 0) AS BIGINT) AS title_people_no_region, CAST(sum(title_cents) AS DOUBLE) / sum(total_cents) AS share_all,
+        CAST(coalesce(sum(total_cents) FILTER ({_KNOWN} AND NOT {_REGIONAL}), 0) AS BIGINT) AS paid_people_no_region,
+        CAST(sum(title_cents) AS BIGINT) AS title,
+        CAST(coalesce(sum(title_cents) FILTER (NOT {_KNOWN}), 0) AS BIGINT) AS title_without_people,
+        CAST(coalesce(sum(title_cents) FILTER (NOT {_REGIONAL}), 0) AS BIGINT) AS title_without_region,
+        CAST(coalesce(sum(title_cents) FILTER ({_KNOWN} AND NOT {_REGIONAL}), 0) AS BIGINT) AS title_people_no_region,
+        CAST(sum(title_cents) AS DOUBLE) / sum(total_cents) AS share_all,
         CAST(sum(title_cents) FILTER ({_KNOWN}) AS DOUBLE) / sum(total_cents) FILTER ({_KNOWN}) AS share_covered FROM et),
     k AS (SELECT count(*) AS active, count(*) FILTER ({_REGIONAL}) AS matched FROM ent),
     base AS (SELECT * FROM g, c, k)"""

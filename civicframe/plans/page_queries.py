@@ -17,7 +17,8 @@ KEYS = {"code": "entity", "difference": _DIFFERENCE, "per_capita": _HEAD, "perce
 
 def _sorted_sql(key: str, descending: bool) -> str:
     order = f"{KEYS[key]} {'DESC' if descending else 'ASC'} NULLS LAST, entity"
-    return f"SELECT '{key}' AS sort_key, {str(descending).lower()} AS descending, entity, place FROM (SELECT entity, row_number() OVER (ORDER BY {order}) AS place FROM et) WHERE place <= 15"
+    return f"""SELECT '{key}' AS sort_key, {str(descending).lower()} AS descending, entity, place
+        FROM (SELECT entity, row_number() OVER (ORDER BY {order}) AS place FROM et) WHERE place <= 15"""
 
 
 @query("o01_o02_sort_keys", " UNION ALL ".join(f"({_sorted_sql(k, d)})" for k in KEYS for d in (False, True)))
@@ -40,9 +41,11 @@ def sort_keys(spark, sf_dir):
 
 @query(
     "o03_o04_o08_region_ranking",
-    """+ s AS (SELECT region_name, area, CAST(sum(total_cents) AS BIGINT) AS cents, CAST(sum(CASE WHEN region % 4 <> 0 THEN people END) AS BIGINT) AS people FROM et JOIN reg USING (region) GROUP BY region_name, area, region),
+    """+ s AS (SELECT region_name, area, CAST(sum(total_cents) AS BIGINT) AS cents, CAST(sum(CASE
+        WHEN region % 4 <> 0 THEN people END) AS BIGINT) AS people FROM et JOIN reg USING (region) GROUP BY region_name, area, region),
         h AS (SELECT *, CAST(round(CAST(cents AS DOUBLE) / (people * 100), 0) AS BIGINT) // 20 AS head FROM s)
-        SELECT region_name, head, row_number() OVER (ORDER BY head DESC NULLS LAST, lower(strip_accents(region_name))) AS place, row_number() OVER (ORDER BY lower(region_name)) AS by_name FROM h""",
+        SELECT region_name, head, row_number() OVER (ORDER BY head DESC NULLS LAST, lower(strip_accents(region_name))) AS place,
+        row_number() OVER (ORDER BY lower(region_name)) AS by_name FROM h""",
 )
 def region_ranking(spark, sf_dir):
     """By a head's share, unknown ones last, then by name without case and accents."""
@@ -65,12 +68,14 @@ REQUESTS = ((1, 10, 0, 10), (3, 10, 20, 10), (9999, 50, -5, 900), (0, 7, 7, 0),
 
 
 def _page_sql(i: int, page: int, size: int) -> str:
-    return f"""SELECT {i} AS request, p.page, (SELECT n FROM k) AS total, least({size}, (SELECT n FROM k) - (p.page - 1) * {size}) AS returned, (SELECT n FROM k) > p.page * {size} AS has_more,
+    return f"""SELECT {i} AS request, p.page, (SELECT n FROM k) AS total, least({size}, (SELECT n
+        FROM k) - (p.page - 1) * {size}) AS returned, (SELECT n FROM k) > p.page * {size} AS has_more,
         (SELECT min(entity) FROM o WHERE place > (p.page - 1) * {size} AND place <= p.page * {size}) AS least
         FROM (SELECT least(greatest(1, {page}), greatest(1, CAST(ceil((SELECT n FROM k) / {size}.0) AS BIGINT))) AS page) p"""
 
 
-@query("o09_o12_page_numbers", "+ k AS (SELECT count(*) AS n FROM ent), o AS (SELECT entity, row_number() OVER (ORDER BY people DESC NULLS LAST, entity) AS place FROM ent) " + " UNION ALL ".join(f"({_page_sql(i, p, s)})" for i, (p, s, _, _) in enumerate(REQUESTS)))
+@query("o09_o12_page_numbers", """+ k AS (SELECT count(*) AS n FROM ent), o AS (SELECT entity, row_number() OVER (ORDER BY people DESC NULLS LAST, entity) AS place
+        FROM ent) """ + " UNION ALL ".join(f"({_page_sql(i, p, s)})" for i, (p, s, _, _) in enumerate(REQUESTS)))
 def page_numbers(spark, sf_dir):
     """Pages by number, moved to the last there is, with total, returned and whether there is more."""
     rows = entities(spark, sf_dir).select("entity", "people")
@@ -88,7 +93,8 @@ _CLAMPED = ", ".join(f"({i}, least(greatest({o}, 0), 100000), least(greatest({n}
 @query(
     "o10_o11_o14_offsets",
     f"""+ k AS (SELECT count(*) AS n FROM ent), r(request, first, size) AS (VALUES {_CLAMPED})
-        SELECT request, CAST(first AS BIGINT) AS first, CAST(greatest(least(size, n - first), 0) AS BIGINT) AS returned, n AS total, CAST(CASE WHEN first + size < n THEN first + size END AS BIGINT) AS next_offset,
+        SELECT request, CAST(first AS BIGINT) AS first, CAST(greatest(least(size, n - first), 0) AS BIGINT) AS returned, n AS total,
+        CAST(CASE WHEN first + size < n THEN first + size END AS BIGINT) AS next_offset,
         request IN (0, 1) AS within_bounds FROM r, k""",
 )
 def offsets(spark, sf_dir):
@@ -110,7 +116,8 @@ def offsets(spark, sf_dir):
 # --- lookups over a registry ----------------------------------------------------------------------------------------
 
 
-@query("s12_registry_search", "SELECT p_partkey AS code, p_name AS name FROM part WHERE contains(lower(p_name), 'red') AND p_brand = 'Brand#11' ORDER BY p_name, p_partkey LIMIT 20 OFFSET 3", roles=False)
+@query("s12_registry_search", """SELECT p_partkey AS code, p_name AS name FROM part WHERE contains(lower(p_name), 'red') AND p_brand = 'Brand#11'
+        ORDER BY p_name, p_partkey LIMIT 20 OFFSET 3""", roles=False)
 def registry_search(spark, sf_dir):
     """Full text and exact filters, in order, from an offset."""
     rows = read(spark, sf_dir, "part").filter(X.contains_folded([F.col("p_name")], "RED") & (F.col("p_brand") == "Brand#11"))
@@ -157,7 +164,8 @@ def declared_columns(spark, sf_dir):
 
 @query(
     "k02_change_digest",
-    "SELECT * FROM (VALUES ('same', false), ('order', false), ('ignored', false), ('value', true), ('row', true)) AS v(variant, changed) WHERE (SELECT count(DISTINCT n_name) FROM nation) > 1",
+    """SELECT * FROM (VALUES ('same', false), ('order', false), ('ignored', false), ('value', true), ('row', true)) AS v(variant, changed)
+        WHERE (SELECT count(DISTINCT n_name) FROM nation) > 1""",
     roles=False,
 )
 def change_digest(spark, sf_dir):
@@ -180,9 +188,12 @@ def change_digest(spark, sf_dir):
 
 @query(
     "k06_refresh_skip",
-    """WITH m AS (SELECT s_suppkey AS source, CAST(s_suppkey % 5 AS VARCHAR) AS modified, CASE WHEN s_suppkey % 3 = 0 THEN 'e' END AS etag FROM supplier),
-        o AS (SELECT s_suppkey AS source, CAST(CASE WHEN s_suppkey % 10 = 1 THEN 9 ELSE s_suppkey % 5 END AS VARCHAR) AS modified, CASE WHEN s_suppkey % 4 = 0 THEN 'f' END AS etag FROM supplier WHERE s_suppkey % 20 <> 7)
-        SELECT o.source, m.modified = o.modified AND (o.etag IS NULL OR coalesce(o.etag = m.etag, false)) AS unchanged FROM o JOIN m USING (source)""",
+    """WITH m AS (SELECT s_suppkey AS source, CAST(s_suppkey % 5 AS VARCHAR) AS modified, CASE WHEN s_suppkey % 3 = 0 THEN 'e' END AS etag
+        FROM supplier),
+        o AS (SELECT s_suppkey AS source, CAST(CASE WHEN s_suppkey % 10 = 1 THEN 9 ELSE s_suppkey % 5 END AS VARCHAR) AS modified, CASE
+        WHEN s_suppkey % 4 = 0 THEN 'f' END AS etag FROM supplier WHERE s_suppkey % 20 <> 7)
+        SELECT o.source, m.modified = o.modified AND (o.etag IS NULL OR coalesce(o.etag = m.etag, false)) AS unchanged FROM o
+        JOIN m USING (source)""",
     roles=False,
 )
 def refresh_skip(spark, sf_dir):
@@ -201,7 +212,8 @@ def refresh_skip(spark, sf_dir):
 
 @query(
     "f10_prevalent_keys",
-    "SELECT number, count(*) AS n FROM mov WHERE flag = 'A' GROUP BY number, line HAVING count(*) > 1 UNION ALL SELECT CAST(-1 AS BIGINT), count(DISTINCT number) FROM mov WHERE flag = 'A'",
+    """SELECT number, count(*) AS n FROM mov WHERE flag = 'A' GROUP BY number, line HAVING count(*) > 1 UNION ALL
+        SELECT CAST(-1 AS BIGINT), count(DISTINCT number) FROM mov WHERE flag = 'A'""",
 )
 def prevalent_keys(spark, sf_dir):
     """Keys are checked among the rows whose flag prevails; last, how many those have."""
@@ -215,8 +227,10 @@ _IDENTITY = ("flag", "status", "month_even", "line_one", "title", "segment", "ar
 
 @query(
     "f13_residual_rows",
-    """+ r AS (SELECT mov.*, title, segment, area, month % 2 = 0 AS month_even, line = 1 AS line_one FROM mov JOIN tit USING (part) JOIN ent USING (entity) JOIN reg USING (region))
-        SELECT CASE WHEN flag = 'N' AND status = 'O' AND month_even AND line_one AND title = '1' AND segment = 'BUILDING' AND area = 'ASIA' THEN 'residual' ELSE 'assigned' END AS kind,
+    """+ r AS (SELECT mov.*, title, segment, area, month % 2 = 0 AS month_even, line = 1 AS line_one FROM mov JOIN tit USING (part)
+        JOIN ent USING (entity) JOIN reg USING (region))
+        SELECT CASE WHEN flag = 'N' AND status = 'O' AND month_even AND line_one AND title = '1' AND segment = 'BUILDING' AND area =
+        'ASIA' THEN 'residual' ELSE 'assigned' END AS kind,
         count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM r GROUP BY 1""",
 )
 def residual_rows(spark, sf_dir):
@@ -232,7 +246,8 @@ def residual_rows(spark, sf_dir):
 
 @query(
     "u03_files_without_repeats",
-    "SELECT number, line, count(*) AS files FROM (SELECT DISTINCT number, line, 'a' AS f FROM mov WHERE flag <> 'R' UNION ALL SELECT DISTINCT number, line, 'b' FROM mov WHERE status = 'F') GROUP BY number, line HAVING count(*) > 1",
+    """SELECT number, line, count(*) AS files FROM (SELECT DISTINCT number, line, 'a' AS f FROM mov WHERE flag <> 'R' UNION ALL
+        SELECT DISTINCT number, line, 'b' FROM mov WHERE status = 'F') GROUP BY number, line HAVING count(*) > 1""",
 )
 def repeated_in_files(spark, sf_dir):
     """Keys that more than one file of a union has."""
@@ -243,10 +258,13 @@ def repeated_in_files(spark, sf_dir):
 
 @query(
     "a31_project_totals",
-    """+ t AS (SELECT number, CAST(sum(cents) FILTER (status = 'O') AS BIGINT) AS tenders, CAST(sum(cents) FILTER (flag = 'N') AS BIGINT) AS awards,
-            CAST(sum(cents) FILTER (flag = 'N' AND (number, line, supplier, part) IN (SELECT (number, line, supplier, part) FROM mov WHERE status = 'O')) AS BIGINT) AS linked
+    """+ t AS (SELECT number, CAST(sum(cents) FILTER (status = 'O') AS BIGINT) AS tenders,
+        CAST(sum(cents) FILTER (flag = 'N') AS BIGINT) AS awards,
+            CAST(sum(cents) FILTER (flag = 'N' AND (number, line, supplier, part) IN (SELECT (number, line, supplier, part) FROM mov
+        WHERE status = 'O')) AS BIGINT) AS linked
             FROM mov GROUP BY number)
-        SELECT number, coalesce(tenders, 0) AS tenders, coalesce(awards, 0) AS awards, coalesce(linked, 0) AS linked, coalesce(awards, 0) - coalesce(linked, 0) AS unlinked FROM t""",
+        SELECT number, coalesce(tenders, 0) AS tenders, coalesce(awards, 0) AS awards, coalesce(linked, 0) AS linked, coalesce(awards,
+        0) - coalesce(linked, 0) AS unlinked FROM t""",
 )
 def project_totals(spark, sf_dir):
     """Tenders and awards of every project, and of the awards those that a tender of the project has."""
@@ -263,7 +281,8 @@ def project_totals(spark, sf_dir):
     return found.select("number", *[c.alias(n) for n, c in zero.items()], (zero["awards"] - zero["linked"]).alias("unlinked"))
 
 
-@query("a35_oldest_valid", "SELECT event_type, min(CASE WHEN year(ts) = 2024 AND event_id % 5 <> 0 THEN ts END) AS oldest, count(*) FILTER (event_id % 5 = 0) AS dropped FROM events GROUP BY event_type", roles=False)
+@query("a35_oldest_valid", """SELECT event_type, min(CASE WHEN year(ts) = 2024 AND event_id % 5 <> 0 THEN ts END) AS oldest,
+        count(*) FILTER (event_id % 5 = 0) AS dropped FROM events GROUP BY event_type""", roles=False)
 def oldest_valid(spark, sf_dir):
     """The oldest of the times that can be read; the others are counted."""
     text = F.when(F.col("event_id") % 5 == 0, "not a time").otherwise(F.col("ts").cast("string"))
@@ -274,7 +293,8 @@ def oldest_valid(spark, sf_dir):
 
 @query(
     "w09_increasing_series",
-    """+ y AS (SELECT region, year, CAST(sum(cents) AS BIGINT) AS cents FROM mov JOIN ent USING (entity) WHERE year < 2001 GROUP BY region, year), l AS (SELECT *, lag(cents) OVER (PARTITION BY region ORDER BY year) AS b FROM y)
+    """+ y AS (SELECT region, year, CAST(sum(cents) AS BIGINT) AS cents FROM mov JOIN ent USING (entity) WHERE year < 2001
+        GROUP BY region, year), l AS (SELECT *, lag(cents) OVER (PARTITION BY region ORDER BY year) AS b FROM y)
         SELECT region, count(*) FILTER (b >= cents) = 0 AS increasing FROM l GROUP BY region""",
 )
 def increasing_series(spark, sf_dir):

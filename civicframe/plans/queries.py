@@ -36,7 +36,8 @@ RATIO = "CAST(round(CAST(CAST({n} AS DECIMAL(20,0)) AS DOUBLE) / nullif(CAST({d}
 
 @query(
     "j01_j02_a06_region_totals",
-    """SELECT region_name, CAST(sum(total_cents) AS BIGINT) AS total_cents, CAST(coalesce(sum(total_cents) FILTER (people IS NOT NULL), 0) AS BIGINT) AS cents_with_people,
+    """SELECT region_name, CAST(sum(total_cents) AS BIGINT) AS total_cents, CAST(coalesce(sum(total_cents) FILTER (people IS NOT NULL),
+        0) AS BIGINT) AS cents_with_people,
         CAST(coalesce(sum(people), 0) AS BIGINT) AS people, count(*) AS entities, count(*) FILTER (people IS NULL) AS without_people,
         CAST(round(CAST(sum(total_cents) FILTER (people IS NOT NULL) AS DOUBLE) / (sum(people) * 100), 2) AS DECIMAL(20,2)) AS per_capita
         FROM et JOIN reg USING (region) GROUP BY region_name""",
@@ -54,7 +55,8 @@ def region_totals(spark, sf_dir):
 
 @query(
     "j02_left_join_unmatched",
-    """SELECT coalesce(region_name, 'none') AS region_name, CAST(sum(total_cents) AS BIGINT) AS total_cents FROM et LEFT JOIN (SELECT * FROM reg WHERE area <> 'ASIA') r USING (region) GROUP BY 1""",
+    """SELECT coalesce(region_name, 'none') AS region_name, CAST(sum(total_cents) AS BIGINT) AS total_cents FROM et LEFT JOIN (SELECT * FROM reg
+        WHERE area <> 'ASIA') r USING (region) GROUP BY 1""",
 )
 def left_join_unmatched(spark, sf_dir):
     """Entities of an unknown region stay in the total, apart."""
@@ -78,7 +80,8 @@ def grouping_sets(spark, sf_dir):
 
 @query(
     "a07_a10_coverage",
-    """SELECT count(*) AS movements, count(*) FILTER (people IS NOT NULL) AS with_people, CAST(sum(total_cents) FILTER (people IS NULL) AS BIGINT) AS cents_without_people,
+    """SELECT count(*) AS movements, count(*) FILTER (people IS NOT NULL) AS with_people,
+        CAST(sum(total_cents) FILTER (people IS NULL) AS BIGINT) AS cents_without_people,
         count(*) FILTER (region % 5 <> 0) AS with_region, count(*) FILTER (people IS NOT NULL AND region % 5 <> 0) AS with_both,
         CAST(sum(people) FILTER (region % 5 <> 0) AS BIGINT) AS regional_people, CAST(sum(title_cents) AS BIGINT) AS title_cents FROM et""",
 )
@@ -97,8 +100,10 @@ _BAND_ROWS = ", ".join(f"({i}, '{b[0]}')" for i, b in enumerate(A.POPULATION_BAN
 @query(
     "a08_a09_a11_distribution_bands",
     f"""+ bands(ord, band) AS (VALUES {_BAND_ROWS}), b AS (SELECT *, CASE {_BANDS} END AS band FROM et)
-        SELECT CAST(ord AS INT) AS ord, bands.band, count(entity) AS n, CAST(coalesce(sum(people), 0) AS BIGINT) AS people, CAST(coalesce(sum(title_cents), 0) AS BIGINT) AS title_cents,
-        CAST(coalesce(sum(total_cents), 0) AS BIGINT) AS total_cents, {RATIO.format(n="coalesce(sum(title_cents), 0)", d="sum(total_cents)")} AS share
+        SELECT CAST(ord AS INT) AS ord, bands.band, count(entity) AS n, CAST(coalesce(sum(people), 0) AS BIGINT) AS people,
+        CAST(coalesce(sum(title_cents), 0) AS BIGINT) AS title_cents,
+        CAST(coalesce(sum(total_cents), 0) AS BIGINT) AS total_cents,
+        {RATIO.format(n="coalesce(sum(title_cents), 0)", d="sum(total_cents)")} AS share
         FROM bands LEFT JOIN b ON bands.band = b.band GROUP BY ord, bands.band""",
 )
 def distribution_bands(spark, sf_dir):
@@ -112,7 +117,8 @@ def distribution_bands(spark, sf_dir):
 def _weighted_sql(weight: str) -> str:
     picks = ", ".join(f"min(v) FILTER (cum >= CAST({p} AS DOUBLE) * total) AS {n}" for n, p in A.PROBABILITIES)
     return f"""+ q AS (SELECT region, title_cents AS v, {weight} AS w FROM et WHERE people > 0),
-        r AS (SELECT region, v, CAST(sum(w) OVER (PARTITION BY region ORDER BY v RANGE UNBOUNDED PRECEDING) AS DOUBLE) AS cum, CAST(sum(w) OVER (PARTITION BY region) AS DOUBLE) AS total FROM q)
+        r AS (SELECT region, v, CAST(sum(w) OVER (PARTITION BY region
+        ORDER BY v RANGE UNBOUNDED PRECEDING) AS DOUBLE) AS cum, CAST(sum(w) OVER (PARTITION BY region) AS DOUBLE) AS total FROM q)
         SELECT region, {picks} FROM r GROUP BY region"""
 
 
@@ -132,7 +138,8 @@ _FENCES = """+ q AS (SELECT region, count(balance_cents) AS n, CASE WHEN count(b
         CASE WHEN count(balance_cents) >= 4 THEN quantile_cont(CAST(balance_cents AS DOUBLE), 0.75) END AS q3 FROM ent GROUP BY region)"""
 
 
-@query("a21_a23_a24_fences", _FENCES + " SELECT region, n, CASE WHEN n >= 4 THEN n ELSE 0 END AS evaluated, q1, q3, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower, q3 + 1.5 * (q3 - q1) AS upper FROM q")
+@query("a21_a23_a24_fences", _FENCES + """ SELECT region, n, CASE WHEN n >= 4 THEN n ELSE 0 END AS evaluated, q1, q3, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower,
+        q3 + 1.5 * (q3 - q1) AS upper FROM q""")
 def fences(spark, sf_dir):
     return A.tukey(entities(spark, sf_dir), "region", "balance_cents")
 
@@ -153,9 +160,13 @@ def outlier_screen(spark, sf_dir):
 
 @query(
     "a25_x30_band_sensitivity",
-    """+ b AS (SELECT *, CASE WHEN people IS NULL THEN 'non-disponibile' WHEN people < 1000 THEN 'meno-di-1.000' WHEN people < 5000 THEN '1.000-4.999' WHEN people < 20000 THEN '5.000-19.999' ELSE '20.000-o-piu' END AS band FROM et),
-        q AS (SELECT band, region, count(*) AS n, quantile_cont(CAST(total_cents AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(total_cents AS DOUBLE), 0.75) AS q3 FROM b GROUP BY band, region),
-        f AS (SELECT b.band, count(*) FILTER (n >= 4) AS evaluated, count(*) FILTER (n >= 4 AND (total_cents > q3 + 1.5 * (q3 - q1) OR total_cents < q1 - 1.5 * (q3 - q1))) AS outliers FROM b JOIN q ON b.band = q.band AND b.region = q.region GROUP BY b.band),
+    """+ b AS (SELECT *, CASE WHEN people IS NULL THEN 'non-disponibile' WHEN people < 1000 THEN 'meno-di-1.000'
+        WHEN people < 5000 THEN '1.000-4.999' WHEN people < 20000 THEN '5.000-19.999' ELSE '20.000-o-piu' END AS band FROM et),
+        q AS (SELECT band, region, count(*) AS n, quantile_cont(CAST(total_cents AS DOUBLE), 0.25) AS q1,
+        quantile_cont(CAST(total_cents AS DOUBLE), 0.75) AS q3 FROM b GROUP BY band, region),
+        f AS (SELECT b.band, count(*) FILTER (n >= 4) AS evaluated,
+        count(*) FILTER (n >= 4 AND (total_cents > q3 + 1.5 * (q3 - q1) OR total_cents < q1 - 1.5 * (q3 - q1))) AS outliers FROM b
+        JOIN q ON b.band = q.band AND b.region = q.region GROUP BY b.band),
         o(band) AS (VALUES ('meno-di-1.000'), ('1.000-4.999'), ('5.000-19.999'), ('20.000-o-piu'), ('non-disponibile'))
         SELECT o.band, coalesce(evaluated, 0) AS evaluated, coalesce(outliers, 0) AS outliers FROM o LEFT JOIN f ON o.band = f.band""",
 )
@@ -174,9 +185,11 @@ def band_sensitivity(spark, sf_dir):
 
 @query(
     "w01_f19_x34_month_flows",
-    """+ m AS (SELECT year, month, CAST(sum(cents) AS BIGINT) AS flow FROM mov GROUP BY year, month), o AS (SELECT CAST(max(year) AS INT) AS y, max(day) AS observed FROM mov),
+    """+ m AS (SELECT year, month, CAST(sum(cents) AS BIGINT) AS flow FROM mov
+        GROUP BY year, month), o AS (SELECT CAST(max(year) AS INT) AS y, max(day) AS observed FROM mov),
         l AS (SELECT year, max(month) AS latest FROM m GROUP BY year)
-        SELECT year, month, flow, CAST(sum(flow) OVER (PARTITION BY year ORDER BY month) AS BIGINT) AS cumulative FROM m JOIN l USING (year), o WHERE NOT (year = year(observed) AND month = latest)""",
+        SELECT year, month, flow, CAST(sum(flow) OVER (PARTITION BY year ORDER BY month) AS BIGINT) AS cumulative FROM m
+        JOIN l USING (year), o WHERE NOT (year = year(observed) AND month = latest)""",
 )
 def month_flows(spark, sf_dir):
     """Flows and running totals of the months that are complete."""
@@ -187,10 +200,13 @@ def month_flows(spark, sf_dir):
     return run.crossJoin(F.broadcast(latest_year)).filter(X.completed_month(F.col("year"), F.col("month"), F.col("latest"), F.col("now"))).select("year", "month", "flow", "cumulative")
 
 
-_GAP = """+ m AS (SELECT year, month, CAST(sum(sum(cents)) OVER (PARTITION BY year ORDER BY month) AS BIGINT) AS cumulative FROM mov GROUP BY year, month), g AS (SELECT * FROM m WHERE month <> 3)"""
+_GAP = """+ m AS (SELECT year, month, CAST(sum(sum(cents)) OVER (PARTITION BY year ORDER BY month) AS BIGINT) AS cumulative FROM mov
+        GROUP BY year, month), g AS (SELECT * FROM m WHERE month <> 3)"""
 
 
-@query("w02_gap_safe_flows", _GAP + """ SELECT year, month, cumulative, CASE WHEN month = 1 THEN cumulative WHEN lag(month) OVER w = month - 1 THEN cumulative - lag(cumulative) OVER w END AS flow FROM g WINDOW w AS (PARTITION BY year ORDER BY month)""")
+@query("w02_gap_safe_flows", _GAP + """ SELECT year, month, cumulative, CASE WHEN month = 1 THEN cumulative
+        WHEN lag(month) OVER w = month - 1 THEN cumulative - lag(cumulative) OVER w END AS flow FROM g WINDOW w AS (PARTITION BY year
+        ORDER BY month)""")
 def gap_safe_flows(spark, sf_dir):
     """Cumulative values, March lost, back to flows."""
     months = movements(spark, sf_dir).groupBy("year", "month").agg(F.sum("cents").alias("cents"))
@@ -198,7 +214,8 @@ def gap_safe_flows(spark, sf_dir):
     return S.flows(cumulative, ["year"], "month", "cumulative")
 
 
-@query("w03_missing_months", _GAP + """ SELECT year, CAST(e.month AS INT) AS month FROM (SELECT year, unnest(range(1, max(month) + 1)) AS month FROM g GROUP BY year) e WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.year = e.year AND g.month = e.month)""")
+@query("w03_missing_months", _GAP + """ SELECT year, CAST(e.month AS INT) AS month FROM (SELECT year, unnest(range(1, max(month) + 1)) AS month FROM g GROUP BY year) e
+        WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.year = e.year AND g.month = e.month)""")
 def lost_months(spark, sf_dir):
     months = movements(spark, sf_dir).select("year", "month").distinct().filter("month <> 3")
     return S.missing_months(months, ["year"], "month")
@@ -206,8 +223,10 @@ def lost_months(spark, sf_dir):
 
 @query(
     "w04_x16_yearly_changes",
-    """+ y AS (SELECT region, year, CAST(sum(cents) AS BIGINT) AS cents FROM mov JOIN ent USING (entity) GROUP BY region, year), c AS (SELECT *, lag(cents) OVER (PARTITION BY region ORDER BY year) AS before FROM y)
-        SELECT region, year, cents, cents - before AS change, CASE WHEN before = 0 THEN 0.0 WHEN before IS NOT NULL THEN floor(CAST(cents - before AS DOUBLE) / CAST(before AS DOUBLE) * 1000 + 0.5) / 10 END AS change_pct FROM c""",
+    """+ y AS (SELECT region, year, CAST(sum(cents) AS BIGINT) AS cents FROM mov JOIN ent USING (entity)
+        GROUP BY region, year), c AS (SELECT *, lag(cents) OVER (PARTITION BY region ORDER BY year) AS before FROM y)
+        SELECT region, year, cents, cents - before AS change, CASE WHEN before = 0 THEN 0.0
+        WHEN before IS NOT NULL THEN floor(CAST(cents - before AS DOUBLE) / CAST(before AS DOUBLE) * 1000 + 0.5) / 10 END AS change_pct FROM c""",
 )
 def yearly_changes(spark, sf_dir):
     years = movements(spark, sf_dir).join(entities(spark, sf_dir).select("entity", "region"), "entity").groupBy("region", "year").agg(F.sum("cents").alias("cents"))
@@ -219,26 +238,31 @@ def top_by_value(spark, sf_dir):
     return S.top(entity_totals(spark, sf_dir).select("entity", "total_cents"), [F.desc("total_cents"), F.asc("entity")], 100)
 
 
-@query("w06_top_by_head", "SELECT entity, CAST(round(CAST(total_cents AS DOUBLE) / (people * 100), 2) AS DECIMAL(20,2)) AS per_capita, total_cents FROM et WHERE people IS NOT NULL ORDER BY per_capita DESC, total_cents DESC, entity LIMIT 100")
+@query("w06_top_by_head", """SELECT entity, CAST(round(CAST(total_cents AS DOUBLE) / (people * 100), 2) AS DECIMAL(20,2)) AS per_capita, total_cents FROM et
+        WHERE people IS NOT NULL ORDER BY per_capita DESC, total_cents DESC, entity LIMIT 100""")
 def top_by_head(spark, sf_dir):
     """Ranked over all entities, not over the list by value."""
     rows = entity_totals(spark, sf_dir).filter("people IS NOT NULL").select("entity", X.per_capita(F.col("total_cents"), F.col("people")).alias("per_capita"), "total_cents")
     return S.top(rows, [F.desc("per_capita"), F.desc("total_cents"), F.asc("entity")], 100)
 
 
-@query("w08_j05_keep_latest", "SELECT entity, number, day FROM (SELECT entity, number, day, row_number() OVER (PARTITION BY entity ORDER BY day DESC, number) AS k FROM (SELECT DISTINCT entity, number, day FROM mov)) WHERE k = 1")
+@query("w08_j05_keep_latest", """SELECT entity, number, day FROM (SELECT entity, number, day, row_number() OVER (PARTITION BY entity ORDER BY day DESC, number) AS k
+        FROM (SELECT DISTINCT entity, number, day FROM mov)) WHERE k = 1""")
 def latest_order(spark, sf_dir):
     orders = movements(spark, sf_dir).select("entity", "number", "day").distinct()
     return J.keep_latest(orders, ["entity"], "day", "number")
 
 
-@query("w09_w10_increasing", "+ y AS (SELECT DISTINCT year FROM mov), l AS (SELECT year, lag(year) OVER (ORDER BY year) AS b FROM y) SELECT count(*) FILTER (b >= year) = 0 AS increasing, count(*) AS years FROM l")
+@query("w09_w10_increasing", """+ y AS (SELECT DISTINCT year FROM mov), l AS (SELECT year, lag(year) OVER (ORDER BY year) AS b FROM y)
+        SELECT count(*) FILTER (b >= year) = 0 AS increasing, count(*) AS years FROM l""")
 def increasing_years(spark, sf_dir):
     years = movements(spark, sf_dir).select("year").distinct().withColumn("series", F.lit("all"))
     return S.with_before(years, ["series"], "year", "year").agg(S.increasing(None, "year").alias("increasing"), F.count(F.lit(1)).alias("years"))
 
 
-@query("w11_w12_shares", f"+ s AS (SELECT region, CAST(sum(cents) AS BIGINT) AS cents FROM mov JOIN ent USING (entity) GROUP BY region) SELECT region, cents, {RATIO.format(n='cents', d='(SELECT sum(cents) FROM s)')} AS share, {RATIO.format(n='cents', d='(SELECT max(cents) FROM s)')} AS bar FROM s")
+@query("w11_w12_shares", f"""+ s AS (SELECT region, CAST(sum(cents) AS BIGINT) AS cents FROM mov JOIN ent USING (entity) GROUP BY region)
+        SELECT region, cents, {RATIO.format(n='cents', d='(SELECT sum(cents) FROM s)')} AS share,
+        {RATIO.format(n='cents', d='(SELECT max(cents) FROM s)')} AS bar FROM s""")
 def shares(spark, sf_dir):
     """Share of the total and of the largest; the totals are one broadcast row."""
     sums = movements(spark, sf_dir).join(entities(spark, sf_dir).select("entity", "region"), "entity").groupBy("region").agg(F.sum("cents").alias("cents"))
@@ -251,20 +275,28 @@ def last_five(spark, sf_dir):
     return S.top(movements(spark, sf_dir).groupBy("year").agg(F.sum("cents").alias("cents")), [F.desc("year")], 5)
 
 
-@query("w14_share_intervals", "+ s AS (SELECT title, CAST(sum(cents) AS BIGINT) AS cents FROM mov JOIN tit USING (part) GROUP BY title), c AS (SELECT *, sum(cents) OVER (ORDER BY title) AS up, sum(cents) OVER () AS t FROM s) SELECT title, cents, CAST(round(CAST(up - cents AS DOUBLE) / t, 8) AS DECIMAL(30,8)) AS from_share, CAST(round(CAST(up AS DOUBLE) / t, 8) AS DECIMAL(30,8)) AS to_share FROM c")
+@query("w14_share_intervals", """+ s AS (SELECT title, CAST(sum(cents) AS BIGINT) AS cents FROM mov JOIN tit USING (part)
+        GROUP BY title), c AS (SELECT *, sum(cents) OVER (ORDER BY title) AS up, sum(cents) OVER () AS t FROM s)
+        SELECT title, cents, CAST(round(CAST(up - cents AS DOUBLE) / t, 8) AS DECIMAL(30,8)) AS from_share, CAST(round(CAST(up AS DOUBLE) / t,
+        8) AS DECIMAL(30,8)) AS to_share FROM c""")
 def slices(spark, sf_dir):
     sums = movements(spark, sf_dir).join(titles(spark, sf_dir), "part").groupBy("title").agg(F.sum("cents").alias("cents"))
     return S.share_intervals(sums, "title", "cents")
 
 
-@query("a28_a38_peak_and_mean", "+ m AS (SELECT year, month, CAST(sum(cents) AS BIGINT) AS flow FROM mov GROUP BY year, month) SELECT year, arg_max(month, flow) AS peak_month, CAST(round(CAST(sum(flow) AS DOUBLE) / max(month), 0) AS BIGINT) AS mean_cents FROM m GROUP BY year")
+@query("a28_a38_peak_and_mean", """+ m AS (SELECT year, month, CAST(sum(cents) AS BIGINT) AS flow FROM mov GROUP BY year, month)
+        SELECT year, arg_max(month, flow) AS peak_month, CAST(round(CAST(sum(flow) AS DOUBLE) / max(month), 0) AS BIGINT) AS mean_cents FROM m
+        GROUP BY year""")
 def peak_and_mean(spark, sf_dir):
     """First month of the largest flow; mean as the latest cumulative value over its month."""
     months = movements(spark, sf_dir).groupBy("year", "month").agg(F.sum("cents").alias("flow"))
     return months.groupBy("year").agg(F.max_by("month", F.struct("flow", -F.col("month"))).alias("peak_month"), F.round(F.sum("flow").cast("double") / F.max("month"), 0).cast("bigint").alias("mean_cents"))
 
 
-@query("a29_a37_net_share", f"+ y AS (SELECT year, CAST(sum(cents) AS BIGINT) AS total, CAST(coalesce(sum(cents) FILTER (title = '7'), 0) AS BIGINT) AS passed, CAST(coalesce(sum(cents) FILTER (title = '1'), 0) AS BIGINT) AS one FROM mov JOIN tit USING (part) GROUP BY year) SELECT year, total - passed AS net, {RATIO.format(n='one', d='(total - passed)')} AS share, year = (SELECT max(year) FROM y) AS is_partial FROM y")
+@query("a29_a37_net_share", f"""+ y AS (SELECT year, CAST(sum(cents) AS BIGINT) AS total, CAST(coalesce(sum(cents) FILTER (title = '7'), 0) AS BIGINT) AS passed,
+        CAST(coalesce(sum(cents) FILTER (title = '1'), 0) AS BIGINT) AS one FROM mov JOIN tit USING (part) GROUP BY year)
+        SELECT year, total - passed AS net, {RATIO.format(n='one', d='(total - passed)')} AS share, year = (SELECT max(year)
+        FROM y) AS is_partial FROM y""")
 def net_share(spark, sf_dir):
     """Totals without title 7, the share of title 1, and whether the year is still filling."""
     rows = movements(spark, sf_dir).join(titles(spark, sf_dir), "part")
@@ -287,7 +319,9 @@ def composite_groups(spark, sf_dir):
     return movements(spark, sf_dir).groupBy("flag", "status").agg(F.sum("cents").alias("cents"), F.count(F.lit(1)).alias("n"))
 
 
-@query("a03_f18_unpivoted_sums", "SELECT method, cents FROM (SELECT CAST(sum(CASE WHEN flag = 'A' THEN cents END) AS BIGINT) AS a, CAST(sum(CASE WHEN flag = 'N' THEN cents END) AS BIGINT) AS n, CAST(sum(CASE WHEN flag = 'R' THEN cents END) AS BIGINT) AS r, CAST(0 AS BIGINT) AS z FROM mov) UNPIVOT (cents FOR method IN (a, n, r, z)) WHERE cents > 0")
+@query("a03_f18_unpivoted_sums", """SELECT method, cents FROM (SELECT CAST(sum(CASE WHEN flag = 'A' THEN cents END) AS BIGINT) AS a, CAST(sum(CASE
+        WHEN flag = 'N' THEN cents END) AS BIGINT) AS n, CAST(sum(CASE WHEN flag = 'R' THEN cents END) AS BIGINT) AS r, CAST(0 AS BIGINT) AS z
+        FROM mov) UNPIVOT (cents FOR method IN (a, n, r, z)) WHERE cents > 0""")
 def unpivoted(spark, sf_dir):
     rows = movements(spark, sf_dir).select(*[F.when(F.col("flag") == c.upper(), F.col("cents")).otherwise(0).alias(c) for c in "anr"], F.lit(0).cast("bigint").alias("z"))
     return A.unpivoted_sums(rows, ["a", "n", "r", "z"], "method", "cents")
@@ -304,8 +338,10 @@ _SUPPRESSED = "CASE WHEN balance_cents >= 0 THEN people END AS f, CASE WHEN bala
 @query(
     "a12_a13_u04_suppressed_rollup",
     f"""+ s AS (SELECT area, region, {_SUPPRESSED} FROM ent JOIN reg USING (region))
-        SELECT CAST(grouping_id(area, region) AS BIGINT) AS level, area, region, CAST(coalesce(sum(f) FILTER (f IS NOT NULL AND a IS NOT NULL), 0) AS BIGINT) AS known_frequency,
-        CAST(coalesce(sum(a) FILTER (f IS NOT NULL AND a IS NOT NULL), 0) AS BIGINT) AS known_amount_cents, count(*) FILTER (f IS NULL OR a IS NULL) AS suppressed_rows FROM s GROUP BY ROLLUP (area, region)""",
+        SELECT CAST(grouping_id(area, region) AS BIGINT) AS level, area, region,
+        CAST(coalesce(sum(f) FILTER (f IS NOT NULL AND a IS NOT NULL), 0) AS BIGINT) AS known_frequency,
+        CAST(coalesce(sum(a) FILTER (f IS NOT NULL AND a IS NOT NULL), 0) AS BIGINT) AS known_amount_cents,
+        count(*) FILTER (f IS NULL OR a IS NULL) AS suppressed_rows FROM s GROUP BY ROLLUP (area, region)""",
 )
 def suppressed_rollup(spark, sf_dir):
     """Entity to region to area to all, with withheld rows counted at every level."""
@@ -314,7 +350,8 @@ def suppressed_rollup(spark, sf_dir):
     return rows.rollup("area", "region").agg(F.grouping_id("area", "region").cast("bigint").alias("level"), *A.suppressed(F.col("f"), F.col("a")))
 
 
-@query("a14_a15_distincts", "SELECT count(DISTINCT supplier) AS suppliers, count(DISTINCT entity) AS entities, (SELECT count(*) FROM (SELECT DISTINCT nullif(flag, 'N') AS f, nullif(status, 'O') AS s FROM mov)) AS pairs FROM mov")
+@query("a14_a15_distincts", """SELECT count(DISTINCT supplier) AS suppliers, count(DISTINCT entity) AS entities, (SELECT count(*)
+        FROM (SELECT DISTINCT nullif(flag, 'N') AS f, nullif(status, 'O') AS s FROM mov)) AS pairs FROM mov""")
 def distincts(spark, sf_dir):
     """Exact; a struct keeps pairs with nulls."""
     pair = F.struct(F.nullif("flag", F.lit("N")), F.nullif("status", F.lit("O")))
@@ -340,7 +377,8 @@ _AUDIT = {
 }
 
 
-@query("a17_a18_f11_f16_audit", f"SELECT count(*) AS records, {', '.join(f'count(*) FILTER ({sql}) AS {n}' for n, (sql, _) in _AUDIT.items())}, CAST(round(CAST(count(*) FILTER (l_returnflag = 'A') AS DOUBLE) * 100 / count(*), 6) AS DECIMAL(20,6)) AS direct_pct FROM lineitem", roles=False)
+@query("a17_a18_f11_f16_audit", f"""SELECT count(*) AS records, {', '.join(f'count(*) FILTER ({sql}) AS {n}' for n, (sql, _) in _AUDIT.items())},
+        CAST(round(CAST(count(*) FILTER (l_returnflag = 'A') AS DOUBLE) * 100 / count(*), 6) AS DECIMAL(20,6)) AS direct_pct FROM lineitem""", roles=False)
 def audit(spark, sf_dir):
     """All counters in one pass over four columns."""
     counters = [F.count_if(c()).alias(n) for n, (_, c) in _AUDIT.items()]
@@ -362,7 +400,9 @@ def class_breaks(spark, sf_dir):
 
 @query(
     "a27_j14_areas",
-    "SELECT area, CAST(sum(total_cents) AS BIGINT) AS cents, CAST(nullif(sum(people), 0) AS BIGINT) AS people, count(DISTINCT region) AS regions, CAST(round(CAST(sum(total_cents) AS DOUBLE) / (sum(people) * 100), 2) AS DECIMAL(20,2)) AS per_capita FROM et JOIN reg USING (region) GROUP BY area",
+    """SELECT area, CAST(sum(total_cents) AS BIGINT) AS cents, CAST(nullif(sum(people), 0) AS BIGINT) AS people,
+        count(DISTINCT region) AS regions, CAST(round(CAST(sum(total_cents) AS DOUBLE) / (sum(people) * 100), 2) AS DECIMAL(20,2)) AS per_capita
+        FROM et JOIN reg USING (region) GROUP BY area""",
 )
 def areas(spark, sf_dir):
     """Ratio of sums, not mean of ratios; every region must have an area."""
@@ -371,18 +411,21 @@ def areas(spark, sf_dir):
     return found.withColumn("per_capita", X.per_capita(F.col("cents"), F.col("people")))
 
 
-@query("a30_null_totals", "SELECT CAST(coalesce(sum(people), 0) AS BIGINT) AS people, CAST(coalesce(sum(CASE WHEN balance_cents > 10000000 THEN balance_cents END), 0) AS BIGINT) AS large FROM ent")
+@query("a30_null_totals", """SELECT CAST(coalesce(sum(people), 0) AS BIGINT) AS people, CAST(coalesce(sum(CASE
+        WHEN balance_cents > 10000000 THEN balance_cents END), 0) AS BIGINT) AS large FROM ent""")
 def null_totals(spark, sf_dir):
     return entities(spark, sf_dir).agg(F.coalesce(F.sum("people"), F.lit(0)).alias("people"), F.coalesce(F.sum(F.when(F.col("balance_cents") > 10000000, F.col("balance_cents"))), F.lit(0)).alias("large"))
 
 
-@query("a34_a35_a36_latest", "SELECT event_type, max(ts) AS latest, min(ts) AS oldest, quantile_disc(event_id, 0.95) AS p95, quantile_cont(CAST(event_id AS DOUBLE), 0.5) AS middle FROM events GROUP BY event_type", roles=False)
+@query("a34_a35_a36_latest", """SELECT event_type, max(ts) AS latest, min(ts) AS oldest, quantile_disc(event_id, 0.95) AS p95, quantile_cont(CAST(event_id AS DOUBLE),
+        0.5) AS middle FROM events GROUP BY event_type""", roles=False)
 def latest(spark, sf_dir):
     rank = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY event_id)").cast("bigint")
     return read(spark, sf_dir, "events").groupBy("event_type").agg(F.max("ts").alias("latest"), F.min("ts").alias("oldest"), rank.alias("p95"), F.median("event_id").alias("middle"))
 
 
-@query("a32_differences", "+ y AS (SELECT year, CAST(sum(cents) FILTER (flag = 'A') AS BIGINT) AS v, CAST(nullif(sum(cents) FILTER (flag = 'R'), 0) AS BIGINT) AS r FROM mov GROUP BY year) SELECT year, CAST(round(CAST(v - r AS DOUBLE) * 100 / r, 6) AS DECIMAL(20,6)) AS difference_pct FROM y")
+@query("a32_differences", """+ y AS (SELECT year, CAST(sum(cents) FILTER (flag = 'A') AS BIGINT) AS v, CAST(nullif(sum(cents) FILTER (flag = 'R'), 0) AS BIGINT) AS r
+        FROM mov GROUP BY year) SELECT year, CAST(round(CAST(v - r AS DOUBLE) * 100 / r, 6) AS DECIMAL(20,6)) AS difference_pct FROM y""")
 def differences(spark, sf_dir):
     sums = movements(spark, sf_dir).groupBy("year").agg(F.sum(F.when(F.col("flag") == "A", F.col("cents"))).alias("v"), F.nullif(F.sum(F.when(F.col("flag") == "R", F.col("cents"))), F.lit(0)).alias("r"))
     return sums.select("year", X.percentage(F.col("v") - F.col("r"), F.col("r")).alias("difference_pct"))
@@ -401,13 +444,16 @@ def checked(spark, sf_dir):
     return J.checked_lookup(entities(spark, sf_dir), regions(spark, sf_dir), "region").groupBy("segment", "region_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j07_u01_key_sets", "SELECT coalesce(a.entity, b.entity) AS entity, CASE WHEN a.entity IS NULL THEN 'right' ELSE 'left' END AS only_in FROM (SELECT DISTINCT entity FROM mov WHERE year = 1999) a FULL JOIN (SELECT DISTINCT entity FROM mov WHERE year = 2000) b ON a.entity = b.entity WHERE a.entity IS NULL OR b.entity IS NULL")
+@query("j07_u01_key_sets", """SELECT coalesce(a.entity, b.entity) AS entity, CASE WHEN a.entity IS NULL THEN 'right' ELSE 'left' END AS only_in
+        FROM (SELECT DISTINCT entity FROM mov WHERE year = 1999) a FULL JOIN (SELECT DISTINCT entity FROM mov
+        WHERE year = 2000) b ON a.entity = b.entity WHERE a.entity IS NULL OR b.entity IS NULL""")
 def key_sets(spark, sf_dir):
     rows = movements(spark, sf_dir)
     return J.same_keys(rows.filter("year = 1999"), rows.filter("year = 2000"), ["entity"])
 
 
-@query("j08_year_guarded", "SELECT year, region, CAST(sum(cents) AS BIGINT) AS cents, CASE WHEN year = 2000 THEN CAST(max(p) AS BIGINT) END AS people FROM mov JOIN ent USING (entity) JOIN (SELECT region AS r, sum(people) AS p FROM ent GROUP BY region) ON region = r GROUP BY year, region")
+@query("j08_year_guarded", """SELECT year, region, CAST(sum(cents) AS BIGINT) AS cents, CASE WHEN year = 2000 THEN CAST(max(p) AS BIGINT) END AS people FROM mov
+        JOIN ent USING (entity) JOIN (SELECT region AS r, sum(people) AS p FROM ent GROUP BY region) ON region = r GROUP BY year, region""")
 def year_guarded(spark, sf_dir):
     """People join only the year that they were counted in."""
     people = entities(spark, sf_dir).groupBy("region").agg(F.sum("people").alias("people")).withColumn("year", F.lit(2000))
@@ -439,7 +485,8 @@ def unlinked_awards(spark, sf_dir):
     return J.null_safe(awards, tenders, ["cup"], ["cig", "user"], "left_anti").groupBy("cup").agg(F.count(F.lit(1)).alias("unlinked"))
 
 
-@query("j11_j13_composite_lookup", "+ c AS (SELECT * FROM (VALUES (0, 'NATION_0', 'a'), (1, 'WRONG', 'b')) AS v(code, label, identity)) SELECT region, region_name, identity FROM reg LEFT JOIN c ON region = code AND trim(region_name) = label")
+@query("j11_j13_composite_lookup", """+ c AS (SELECT * FROM (VALUES (0, 'NATION_0', 'a'), (1, 'WRONG', 'b')) AS v(code, label, identity)) SELECT region, region_name, identity
+        FROM reg LEFT JOIN c ON region = code AND trim(region_name) = label""")
 def composite_lookup(spark, sf_dir):
     """Code and label must both match, else there is no identity."""
     curated = spark.createDataFrame([(0, "NATION_0", "a"), (1, "WRONG", "b")], "code int, label string, identity string")
@@ -447,7 +494,10 @@ def composite_lookup(spark, sf_dir):
     return found.join(curated, (F.col("region") == F.col("code")) & (F.trim("region_name") == F.col("label")), "left").select("region", "region_name", "identity")
 
 
-@query("j17_v10_v11_reconcile", "+ r AS (SELECT region, CAST(sum(balance_cents) AS BIGINT) AS c FROM ent GROUP BY region), p AS (SELECT region, CAST(sum(balance_cents) + CASE WHEN region = 3 THEN 1 ELSE 0 END AS BIGINT) AS c FROM ent WHERE region <> 7 GROUP BY region) SELECT coalesce(r.region, p.region) AS region, r.c AS recomputed, p.c AS published, r.c IS NOT DISTINCT FROM p.c AS ok FROM r FULL JOIN p ON r.region = p.region")
+@query("j17_v10_v11_reconcile", """+ r AS (SELECT region, CAST(sum(balance_cents) AS BIGINT) AS c FROM ent GROUP BY region), p AS (SELECT region, CAST(sum(balance_cents) +
+        CASE WHEN region = 3 THEN 1 ELSE 0 END AS BIGINT) AS c FROM ent WHERE region <> 7 GROUP BY region)
+        SELECT coalesce(r.region, p.region) AS region, r.c AS recomputed, p.c AS published, r.c IS NOT DISTINCT FROM p.c AS ok FROM r FULL
+        JOIN p ON r.region = p.region""")
 def reconcile(spark, sf_dir):
     """Detail against a published table with one wrong and one missing row."""
     detail = entities(spark, sf_dir).groupBy("region").agg(F.sum("balance_cents").alias("cents"))
@@ -467,7 +517,8 @@ def set_minus(spark, sf_dir):
     return entities(spark, sf_dir).select("entity").subtract(movements(spark, sf_dir).select("entity"))
 
 
-@query("u03_u05_u06_union", "SELECT source, count(DISTINCT year) AS years, count(*) AS n FROM (SELECT 'a' AS source, year FROM mov WHERE flag = 'A' UNION ALL SELECT 'r' AS source, year FROM mov WHERE flag = 'R') GROUP BY source")
+@query("u03_u05_u06_union", """SELECT source, count(DISTINCT year) AS years, count(*) AS n FROM (SELECT 'a' AS source, year FROM mov WHERE flag = 'A' UNION ALL
+        SELECT 'r' AS source, year FROM mov WHERE flag = 'R') GROUP BY source""")
 def union_all(spark, sf_dir):
     rows = movements(spark, sf_dir)
     parts = rows.filter("flag = 'A'").select(F.lit("a").alias("source"), "year").unionByName(rows.filter("flag = 'R'").select(F.lit("r").alias("source"), "year"))
@@ -508,14 +559,16 @@ def checks(spark, sf_dir):
 # --- shapes, search, scalars -----------------------------------------------------------------------------------------
 
 
-@query("p09_p10_pivot", "SELECT supplier, " + ", ".join(f"CAST(coalesce(sum(cents) FILTER (flag = '{f}'), 0) AS BIGINT) AS {f.lower()}, CAST(CASE WHEN count(*) FILTER (flag = '{f}') = 0 THEN 1 ELSE 0 END AS INT) AS {f.lower()}_missing" for f in "ANR") + " FROM mov GROUP BY supplier")
+@query("p09_p10_pivot", "SELECT supplier, " + ", ".join(f"""CAST(coalesce(sum(cents) FILTER (flag = '{f}'), 0) AS BIGINT) AS {f.lower()}, CAST(CASE
+        WHEN count(*) FILTER (flag = '{f}') = 0 THEN 1 ELSE 0 END AS INT) AS {f.lower()}_missing""" for f in "ANR") + " FROM mov GROUP BY supplier")
 def pivot(spark, sf_dir):
     """Long to wide over a fixed list, zero by default and with a flag for what was missing."""
     wide = movements(spark, sf_dir).groupBy("supplier").pivot("flag", list("ANR")).agg(F.sum("cents"))
     return wide.select("supplier", *[x for f in "ANR" for x in (F.coalesce(f, F.lit(0)).alias(f.lower()), F.col(f).isNull().cast("int").alias(f"{f.lower()}_missing"))])
 
 
-@query("p02_j09_o06_d08_trace", "SELECT o_orderkey AS number, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents, string_agg(supplier, ',' ORDER BY CAST(supplier AS VARCHAR), CAST(line AS VARCHAR)) AS suppliers FROM orders JOIN mov ON o_orderkey = number GROUP BY o_orderkey")
+@query("p02_j09_o06_d08_trace", """SELECT o_orderkey AS number, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents, string_agg(supplier, ','
+        ORDER BY CAST(supplier AS VARCHAR), CAST(line AS VARCHAR)) AS suppliers FROM orders JOIN mov ON o_orderkey = number GROUP BY o_orderkey""")
 def trace(spark, sf_dir):
     """Parents with an ordered array of children, flattened again for comparison."""
     lines = movements(spark, sf_dir).select("number", "supplier", "line", "cents")
@@ -525,7 +578,8 @@ def trace(spark, sf_dir):
     return tree.select("number", F.size("lines").cast("bigint").alias("n"), total.alias("cents"), F.array_join(F.transform("lines", lambda x: x["supplier"].cast("string")), ",").alias("suppliers"))
 
 
-@query("f06_f08_nested_filters", "SELECT number, count(*) FILTER (flag = 'R') AS kept FROM mov GROUP BY number HAVING count(*) FILTER (flag = 'R') > 0 AND bool_or(supplier % 7 = 0)")
+@query("f06_f08_nested_filters", """SELECT number, count(*) FILTER (flag = 'R') AS kept FROM mov GROUP BY number
+        HAVING count(*) FILTER (flag = 'R') > 0 AND bool_or(supplier % 7 = 0)""")
 def nested_filters(spark, sf_dir):
     """Children are filtered, parents left empty go; another condition on any child."""
     lines = movements(spark, sf_dir).groupBy("number").agg(F.collect_list(F.struct("flag", "supplier")).alias("lines"))
@@ -541,7 +595,8 @@ def zipped(spark, sf_dir):
     return arrays.select("region", F.explode(F.arrays_zip("years", "amounts")).alias("z")).filter("z.years IN (1999, 2000)").select("region", F.col("z.years").alias("year"), F.col("z.amounts").alias("cents"))
 
 
-@query("f01_f05_f07_equality", "SELECT entity FROM ent JOIN reg USING (region) WHERE lower(region_name) = lower('NATION_0') AND (CAST(entity AS VARCHAR) LIKE '1%' OR name = 'Customer#000000002')")
+@query("f01_f05_f07_equality", """SELECT entity FROM ent JOIN reg USING (region) WHERE lower(region_name) = lower('NATION_0') AND (CAST(entity AS VARCHAR) LIKE '1%' OR
+        name = 'Customer#000000002')""")
 def equality(spark, sf_dir):
     rows = entities(spark, sf_dir).join(regions(spark, sf_dir), "region")
     return rows.filter((F.lower("region_name") == F.lower(F.lit("NATION_0"))) & (F.col("entity").cast("string").startswith("1") | (F.col("name") == "Customer#000000002"))).select("entity")
@@ -554,7 +609,8 @@ def search(spark, sf_dir):
     return docs.filter(X.contains_folded([F.col("text")], "ÉCION") | X.contains_folded([F.col("source")], "SRC7")).select("doc_id")
 
 
-@query("f12_f13_intervals", "SELECT count(*) FILTER (day <= DATE '2000-12-31' AND day + 30 >= DATE '2000-01-01') AS active, count(*) FILTER (flag = 'N' AND status = 'F') AS residual FROM mov")
+@query("f12_f13_intervals", """SELECT count(*) FILTER (day <= DATE '2000-12-31' AND day + 30 >= DATE '2000-01-01') AS active,
+        count(*) FILTER (flag = 'N' AND status = 'F') AS residual FROM mov""")
 def intervals(spark, sf_dir):
     """Validity intervals that overlap a year; rows of a residual identity."""
     active = (F.col("day") <= F.lit("2000-12-31").cast("date")) & (F.date_add("day", 30) >= F.lit("2000-01-01").cast("date"))
@@ -566,7 +622,8 @@ def scan_filters(spark, sf_dir):
     return movements(spark, sf_dir).filter("flag = 'R' AND supplier <> 5").groupBy("supplier").agg(F.sum("cents").alias("cents"))
 
 
-@query("f17_s19_malformed", "SELECT count(*) AS records, count(*) FILTER (TRY_CAST(json_extract_string(props, '$.k') AS INT) IS NULL) AS malformed, CAST(sum(TRY_CAST(json_extract_string(props, '$.k') AS INT)) AS BIGINT) AS k FROM events", roles=False)
+@query("f17_s19_malformed", """SELECT count(*) AS records, count(*) FILTER (TRY_CAST(json_extract_string(props, '$.k') AS INT) IS NULL) AS malformed,
+        CAST(sum(TRY_CAST(json_extract_string(props, '$.k') AS INT)) AS BIGINT) AS k FROM events""", roles=False)
 def malformed(spark, sf_dir):
     """Unreadable rows are counted and skipped."""
     k = F.get_json_object("props", "$.k").try_cast("int")
@@ -585,7 +642,10 @@ def name_order(spark, sf_dir):
 
 @query(
     "p04_p05_p06_derived",
-    f"+ s AS (SELECT region, CAST(sum(total_cents) AS BIGINT) AS cost, CAST(sum(title_cents) AS BIGINT) AS paid, count(*) AS n FROM et GROUP BY region) SELECT region, coalesce({RATIO.format(n='paid', d='cost')}, 0) AS ratio, cost - paid AS difference, CAST(floor(CAST(cost AS DOUBLE) / n + 0.5) AS BIGINT) AS mean_cents, coalesce({RATIO.format(n='cost', d='(SELECT sum(cost) FROM s)')}, 0) AS share FROM s",
+    f"""+ s AS (SELECT region, CAST(sum(total_cents) AS BIGINT) AS cost, CAST(sum(title_cents) AS BIGINT) AS paid, count(*) AS n FROM et
+        GROUP BY region) SELECT region, coalesce({RATIO.format(n='paid', d='cost')}, 0) AS ratio, cost - paid AS difference,
+        CAST(floor(CAST(cost AS DOUBLE) / n + 0.5) AS BIGINT) AS mean_cents, coalesce({RATIO.format(n='cost', d='(SELECT sum(cost) FROM s)')},
+        0) AS share FROM s""",
 )
 def derived(spark, sf_dir):
     """Shares and ratios are 0 on a zero base, means are null."""
@@ -597,14 +657,17 @@ def derived(spark, sf_dir):
     )
 
 
-@query("p01_p03_p07_projection", "SELECT entity, CASE WHEN people IS NULL THEN 'partial' ELSE 'complete' END AS state, CAST(len(list_distinct(list_filter([segment, nullif(name, 'Customer#000000001'), segment], lambda x: x IS NOT NULL))) AS INT) AS parts FROM ent")
+@query("p01_p03_p07_projection", """SELECT entity, CASE WHEN people IS NULL THEN 'partial' ELSE 'complete' END AS state, CAST(len(list_distinct(list_filter([segment,
+        nullif(name, 'Customer#000000001'), segment], lambda x: x IS NOT NULL))) AS INT) AS parts FROM ent""")
 def projection(spark, sf_dir):
     """Repeated columns to an array without blanks and repetitions; complete or partial."""
     parts = F.array_distinct(F.array_compact(F.array(F.col("segment"), F.nullif("name", F.lit("Customer#000000001")), F.col("segment"))))
     return entities(spark, sf_dir).select("entity", F.when(F.col("people").isNull(), "partial").otherwise("complete").alias("state"), F.size(parts).alias("parts"))
 
 
-@query("p11_buckets", "+ b AS (SELECT * FROM (VALUES ('1', 'current'), ('2', 'capital'), ('3', 'capital'), ('4', 'loans')) AS v(title, bucket)) SELECT coalesce(bucket, 'other') AS bucket, CAST(sum(cents) AS BIGINT) AS cents FROM mov JOIN tit USING (part) LEFT JOIN b USING (title) GROUP BY 1")
+@query("p11_buckets", """+ b AS (SELECT * FROM (VALUES ('1', 'current'), ('2', 'capital'), ('3', 'capital'), ('4', 'loans')) AS v(title, bucket))
+        SELECT coalesce(bucket, 'other') AS bucket, CAST(sum(cents) AS BIGINT) AS cents FROM mov JOIN tit USING (part) LEFT JOIN b USING (title)
+        GROUP BY 1""")
 def buckets(spark, sf_dir):
     names = spark.createDataFrame([("1", "current"), ("2", "capital"), ("3", "capital"), ("4", "loans")], "title string, bucket string")
     sums = movements(spark, sf_dir).join(titles(spark, sf_dir), "part").groupBy("title").agg(F.sum("cents").alias("cents"))
@@ -617,7 +680,11 @@ VARIANTS = (("prudent", "0.25", "0.02", "0.01", "0.05", "0.1"), ("central", "0.5
 _V = ", ".join(f"('{v[0]}', {v[1]}::DECIMAL(9,4) * {v[2]}::DECIMAL(9,4), {v[3]}::DECIMAL(9,4), {v[4]}::DECIMAL(9,4), {v[5]}::DECIMAL(9,4))" for v in VARIANTS)
 
 
-@query("p12_scenario", f"WITH v(id, a, b, c, d) AS (VALUES {_V}), x AS (SELECT id, round(59.7721::DECIMAL(12,6) * a, 9) AS procurement, round(108.6::DECIMAL(12,6) * b, 9) AS tax, round(0.568::DECIMAL(12,6) * c, 9) AS healthcare, round(0.250546::DECIMAL(12,6) * d, 9) AS debt FROM v) SELECT id, CAST(procurement AS DECIMAL(20,9)) AS procurement, CAST(tax AS DECIMAL(20,9)) AS tax, CAST(healthcare AS DECIMAL(20,9)) AS healthcare, CAST(debt AS DECIMAL(20,9)) AS debt, CAST(procurement + tax + healthcare + debt AS DECIMAL(20,9)) AS annual FROM x", roles=False)
+@query("p12_scenario", f"""WITH v(id, a, b, c, d) AS (VALUES {_V}), x AS (SELECT id, round(59.7721::DECIMAL(12,6) * a, 9) AS procurement,
+        round(108.6::DECIMAL(12,6) * b, 9) AS tax, round(0.568::DECIMAL(12,6) * c, 9) AS healthcare, round(0.250546::DECIMAL(12,6) * d,
+        9) AS debt FROM v) SELECT id, CAST(procurement AS DECIMAL(20,9)) AS procurement, CAST(tax AS DECIMAL(20,9)) AS tax,
+        CAST(healthcare AS DECIMAL(20,9)) AS healthcare, CAST(debt AS DECIMAL(20,9)) AS debt,
+        CAST(procurement + tax + healthcare + debt AS DECIMAL(20,9)) AS annual FROM x""", roles=False)
 def scenario(spark, sf_dir):
     """One row of bases crossed with three variants."""
     bases = spark.createDataFrame([tuple(b for _, b in BASES)], ", ".join(f"{n} string" for n, _ in BASES))
@@ -641,11 +708,16 @@ _ROWS = ", ".join(f"('{t}')" for t in _LITERALS)
 
 @query(
     "x01_x06_x07_x11_numbers",
-    f"""WITH t(s) AS (VALUES {_ROWS}), n AS (SELECT s, replace(replace(replace(s, ' ', ''), '.', ''), ',', '.') AS i, regexp_replace(s, '[€\\s]', '', 'g') AS g FROM t)
+    f"""WITH t(s) AS (VALUES {_ROWS}), n AS (SELECT s, replace(replace(replace(s, ' ', ''), '.', ''), ',', '.') AS i, regexp_replace(s, '[€\\s]',
+        '', 'g') AS g FROM t)
         SELECT s, CASE WHEN TRY_CAST(i AS DOUBLE) > 1 THEN CAST(round_even(TRY_CAST(i AS DOUBLE), 0) AS BIGINT) END AS people,
-        CASE WHEN regexp_matches(s, '^\\d[\\d.]*(,\\d+)?$') THEN CAST(round(TRY_CAST(replace(replace(s, '.', ''), ',', '.') AS DECIMAL(30,6)) * 100, 0) AS BIGINT) END AS italian,
-        CAST(round(TRY_CAST(CASE WHEN regexp_matches(g, '^\\d{{1,3}}(\\.\\d{{3}})+(,\\d+)?$') THEN replace(replace(g, '.', ''), ',', '.') WHEN regexp_matches(g, '^\\d+(,\\d+)?$') THEN replace(g, ',', '.') WHEN regexp_matches(g, '^\\d+\\.(\\d{{1,2}}|\\d{{4,}})$') THEN g END AS DECIMAL(30,6)) * 100, 0) AS BIGINT) AS grouped,
-        CASE WHEN regexp_matches(s, '^\\d+(,\\d+)?$') THEN CAST(round(TRY_CAST(replace(s, ',', '.') AS DECIMAL(28,8)) * 100000000, 0) AS BIGINT) END AS millions,
+        CASE WHEN regexp_matches(s, '^\\d[\\d.]*(,\\d+)?$') THEN CAST(round(TRY_CAST(replace(replace(s, '.', ''), ',',
+        '.') AS DECIMAL(30,6)) * 100, 0) AS BIGINT) END AS italian,
+        CAST(round(TRY_CAST(CASE WHEN regexp_matches(g, '^\\d{{1,3}}(\\.\\d{{3}})+(,\\d+)?$') THEN replace(replace(g, '.', ''), ',', '.')
+        WHEN regexp_matches(g, '^\\d+(,\\d+)?$') THEN replace(g, ',', '.')
+        WHEN regexp_matches(g, '^\\d+\\.(\\d{{1,2}}|\\d{{4,}})$') THEN g END AS DECIMAL(30,6)) * 100, 0) AS BIGINT) AS grouped,
+        CASE WHEN regexp_matches(s, '^\\d+(,\\d+)?$') THEN CAST(round(TRY_CAST(replace(s, ',', '.') AS DECIMAL(28,8)) * 100000000,
+        0) AS BIGINT) END AS millions,
         CASE WHEN regexp_matches(s, '^-?\\d+\\.\\d{{2}}$') THEN CAST(TRY_CAST(s AS DECIMAL(20,2)) * 100 AS BIGINT) END AS exact FROM n""",
     roles=False,
 )
@@ -659,8 +731,11 @@ def numbers(spark, sf_dir):
 @query(
     "x02_x18_x20_x22_x25_text",
     f"""WITH t(s) AS (VALUES {_ROWS}) SELECT s, coalesce(nullif(regexp_extract(s, '\\d'), ''), '?') AS digit,
-        CASE WHEN trim(regexp_replace(s, '\\s+', ' ', 'g')) <> '' AND NOT regexp_matches(trim(s), '^#+$') THEN trim(regexp_replace(s, '\\s+', ' ', 'g')) END AS compact,
-        CASE WHEN coalesce(TRY_STRPTIME(trim(s), '%d/%m/%Y'), TRY_STRPTIME(trim(s), '%Y-%m-%d')) > DATE '1900-01-01' THEN CAST(coalesce(TRY_STRPTIME(trim(s), '%d/%m/%Y'), TRY_STRPTIME(trim(s), '%Y-%m-%d')) AS DATE) END AS day,
+        CASE WHEN trim(regexp_replace(s, '\\s+', ' ', 'g')) <> '' AND NOT regexp_matches(trim(s), '^#+$') THEN trim(regexp_replace(s,
+        '\\s+', ' ', 'g')) END AS compact,
+        CASE WHEN coalesce(TRY_STRPTIME(trim(s), '%d/%m/%Y'), TRY_STRPTIME(trim(s),
+        '%Y-%m-%d')) > DATE '1900-01-01' THEN CAST(coalesce(TRY_STRPTIME(trim(s), '%d/%m/%Y'), TRY_STRPTIME(trim(s),
+        '%Y-%m-%d')) AS DATE) END AS day,
         regexp_replace(trim(s), '^\\[|\\]$', '', 'g') AS tax, CASE WHEN length(s) < 6 THEN lpad(s, 6, '0') ELSE s END AS istat FROM t""",
     roles=False,
 )
@@ -670,19 +745,25 @@ def texts(spark, sf_dir):
     return t.select("s", X.title_digit(s).alias("digit"), X.compact_text(s).alias("compact"), X.flexible_date(s).alias("day"), X.tax_code(s).alias("tax"), X.istat_code(s).alias("istat"))
 
 
-@query("x33_x36_freshness", "SELECT event_id, CASE WHEN ts IS NULL THEN 'unknown' WHEN date_diff('second', ts, TIMESTAMP '2024-01-20 00:00:00') < -300 THEN 'unknown' WHEN date_diff('second', ts, TIMESTAMP '2024-01-20 00:00:00') > 86400 THEN 'stale' ELSE 'fresh' END AS state, ['gennaio','febbraio','marzo','aprile','maggio','giugno','luglio','agosto','settembre','ottobre','novembre','dicembre'][month(ts)] AS month_name FROM events", roles=False)
+@query("x33_x36_freshness", """SELECT event_id, CASE WHEN ts IS NULL THEN 'unknown' WHEN date_diff('second', ts, TIMESTAMP '2024-01-20 00:00:00') < -300 THEN 'unknown'
+        WHEN date_diff('second', ts, TIMESTAMP '2024-01-20 00:00:00') > 86400 THEN 'stale' ELSE 'fresh' END AS state,
+        ['gennaio','febbraio','marzo','aprile','maggio','giugno','luglio','agosto','settembre','ottobre','novembre','dicembre'][month(ts)] AS
+        month_name FROM events""", roles=False)
 def fresh(spark, sf_dir):
     now = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
     rows = read(spark, sf_dir, "events")
     return rows.select("event_id", X.freshness(F.col("ts").cast("timestamp_ntz"), now, F.lit(86400)).alias("state"), X.month_name(F.month("ts")).alias("month_name"))
 
 
-@query("x14_x15_x38_basis_points", "+ y AS (SELECT region, CAST(sum(total_cents) AS BIGINT) AS v, CAST(sum(title_cents) AS BIGINT) AS b FROM et GROUP BY region) SELECT region, CAST(round(CAST(v AS DOUBLE) * 10000 / nullif(b, 0), 0) AS BIGINT) AS bp FROM y")
+@query("x14_x15_x38_basis_points", """+ y AS (SELECT region, CAST(sum(total_cents) AS BIGINT) AS v, CAST(sum(title_cents) AS BIGINT) AS b FROM et GROUP BY region)
+        SELECT region, CAST(round(CAST(v AS DOUBLE) * 10000 / nullif(b, 0), 0) AS BIGINT) AS bp FROM y""")
 def points(spark, sf_dir):
     return entity_totals(spark, sf_dir).groupBy("region").agg(F.sum("total_cents").alias("v"), F.sum("title_cents").alias("b")).select("region", X.basis_points(F.col("v"), F.col("b")).alias("bp"))
 
 
-@query("r01_s10_release", "+ c AS (SELECT year, month, CASE WHEN month = 12 THEN 'consuntivo' ELSE 'mensile' END AS kind FROM mov GROUP BY year, month) SELECT year, month, kind FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY (kind = 'consuntivo') DESC, month DESC) AS k FROM c) WHERE k = 1")
+@query("r01_s10_release", """+ c AS (SELECT year, month, CASE WHEN month = 12 THEN 'consuntivo' ELSE 'mensile' END AS kind FROM mov GROUP BY year, month)
+        SELECT year, month, kind FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY (kind = 'consuntivo') DESC, month DESC) AS k
+        FROM c) WHERE k = 1""")
 def releases(spark, sf_dir):
     """For each year the final account where there is one, else the latest month."""
     found = movements(spark, sf_dir).select("year", "month").distinct().withColumn("kind", F.when(F.col("month") == 12, "consuntivo").otherwise("mensile"))

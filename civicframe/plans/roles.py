@@ -48,15 +48,18 @@ def entity_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same roles in SQL, as common table expressions.
 SQL = """
-mov AS (SELECT l_orderkey AS number, l_linenumber AS line, l_suppkey AS supplier, l_partkey AS part, l_returnflag AS flag, l_linestatus AS status,
+mov AS (SELECT l_orderkey AS number, l_linenumber AS line, l_suppkey AS supplier, l_partkey AS part, l_returnflag AS flag,
+        l_linestatus AS status,
     CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)) * 100, 0) AS BIGINT) AS cents, o_custkey AS entity,
     CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) AS INT) AS month, CAST(o_orderdate AS DATE) AS day
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 tit AS (SELECT p_partkey AS part, coalesce(nullif(regexp_extract(p_brand, '#.*?(\\d)', 1), ''), '?') AS title FROM part),
 ent AS (SELECT c_custkey AS entity, c_name AS name, c_nationkey AS region, c_mktsegment AS segment,
-    CASE WHEN c_acctbal > 1 THEN CAST(floor(c_acctbal) AS BIGINT) END AS people, CAST(round(CAST(c_acctbal AS DECIMAL(18,2)) * 100, 0) AS BIGINT) AS balance_cents FROM customer),
+    CASE WHEN c_acctbal > 1 THEN CAST(floor(c_acctbal) AS BIGINT) END AS people, CAST(round(CAST(c_acctbal AS DECIMAL(18,2)) * 100,
+        0) AS BIGINT) AS balance_cents FROM customer),
 reg AS (SELECT n_nationkey AS region, n_name AS region_name, r_name AS area FROM nation JOIN region ON n_regionkey = r_regionkey),
-tot AS (SELECT entity, CAST(sum(cents) AS BIGINT) AS total_cents, CAST(coalesce(sum(cents) FILTER (title = '1'), 0) AS BIGINT) AS title_cents
+tot AS (SELECT entity, CAST(sum(cents) AS BIGINT) AS total_cents, CAST(coalesce(sum(cents) FILTER (title = '1'),
+        0) AS BIGINT) AS title_cents
     FROM mov JOIN tit USING (part) GROUP BY entity),
 et AS (SELECT * FROM tot JOIN ent USING (entity))
 """

@@ -41,7 +41,8 @@ _WORDS = ("città", "prezzo € 5", "naïve “x”", "plain", "")
 
 @query(
     "s03_s04_encodings",
-    "SELECT * FROM (VALUES ('città', 'utf-8', 'utf-8'), ('prezzo € 5', 'utf-8', 'utf-8'), ('naïve “x”', 'utf-8', 'utf-8'), ('plain', 'utf-8', 'utf-8'), ('', 'utf-8', 'utf-8'),"
+    """SELECT * FROM (VALUES ('città', 'utf-8', 'utf-8'), ('prezzo € 5', 'utf-8', 'utf-8'), ('naïve “x”', 'utf-8', 'utf-8'), ('plain', 'utf-8',
+        'utf-8'), ('', 'utf-8', 'utf-8'),"""
     " ('città', 'windows-1252', 'windows-1252'), ('prezzo € 5', 'windows-1252', 'windows-1252'), ('naïve “x”', 'windows-1252', 'windows-1252'), ('plain', 'windows-1252', 'utf-8'), ('', 'windows-1252', 'utf-8'),"
     " ('città' || chr(129), 'iso-8859-1', 'iso-8859-1')) AS v(text, written, encoding)",
     roles=False,
@@ -58,7 +59,8 @@ def encodings(spark, sf_dir):
 
 @query(
     "v03_line_policy",
-    "SELECT * FROM (VALUES ('strict', false, false, false), ('mark', true, false, false), ('returns', false, true, false), ('open', false, false, true), ('empty', false, false, false)) AS v(name, mark, carriage_returns, open_end)",
+    """SELECT * FROM (VALUES ('strict', false, false, false), ('mark', true, false, false), ('returns', false, true, false), ('open', false,
+        false, true), ('empty', false, false, false)) AS v(name, mark, carriage_returns, open_end)""",
     roles=False,
 )
 def line_policy(spark, sf_dir):
@@ -111,7 +113,8 @@ def _workbook(texts: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@query("s09_workbook", "SELECT CAST(row_number() OVER (ORDER BY n_name) AS BIGINT) AS row, CAST(row_number() OVER (ORDER BY n_name) - 1 AS VARCHAR) AS number, n_name AS shared, n_name AS own FROM nation", roles=False)
+@query("s09_workbook", """SELECT CAST(row_number() OVER (ORDER BY n_name) AS BIGINT) AS row, CAST(row_number() OVER (ORDER BY n_name) - 1 AS VARCHAR) AS number,
+        n_name AS shared, n_name AS own FROM nation""", roles=False)
 def workbook(spark, sf_dir):
     """Numbers, shared and inline texts of a sheet, by column."""
     names = read(spark, sf_dir, "nation").agg(F.array_join(F.array_sort(F.collect_list("n_name")), "\n").alias("text"))  # a file of a few rows
@@ -170,7 +173,8 @@ def _table(names: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@query("s22_shapes", "SELECT n_nationkey + 1 AS side, CAST((n_nationkey + 1) * (n_nationkey + 1) AS DOUBLE) AS area, CAST((n_nationkey + 1) * (n_nationkey + 1) AS DOUBLE) / 16 AS hole, CAST(2 AS INT) AS rings FROM nation", roles=False)
+@query("s22_shapes", """SELECT n_nationkey + 1 AS side, CAST((n_nationkey + 1) * (n_nationkey + 1) AS DOUBLE) AS area,
+        CAST((n_nationkey + 1) * (n_nationkey + 1) AS DOUBLE) / 16 AS hole, CAST(2 AS INT) AS rings FROM nation""", roles=False)
 def shapes(spark, sf_dir):
     """Rings of polygons, and their areas."""
     from civicframe.functions.scalars import polygon_area
@@ -181,7 +185,8 @@ def shapes(spark, sf_dir):
     return rings.select("side", F.round(polygon_area(F.col("parts")[0]), 9).alias("area"), F.round(polygon_area(F.col("parts")[1]), 9).alias("hole"), F.size("parts").alias("rings"))
 
 
-@query("s22_tables", "SELECT n_name AS path, CAST(k AS INT) AS number, CASE WHEN k = 1 THEN n_name ELSE lower(n_name) END AS name, CAST(length(n_name) AS INT) AS size FROM nation, (VALUES (1), (2)) AS v(k)", roles=False)
+@query("s22_tables", """SELECT n_name AS path, CAST(k AS INT) AS number, CASE
+        WHEN k = 1 THEN n_name ELSE lower(n_name) END AS name, CAST(length(n_name) AS INT) AS size FROM nation, (VALUES (1), (2)) AS v(k)""", roles=False)
 def tables(spark, sf_dir):
     """Rows of dBase tables."""
     files = read(spark, sf_dir, "nation").select(F.col("n_name").alias("path"), _table(F.col("n_name")).alias("content"))

@@ -54,11 +54,14 @@ _EUROS = "CAST(trunc(n / 100) AS BIGINT)"
 
 @query(
     "x03_euro_and_head",
-    """WITH t AS (SELECT p_partkey AS k, CAST(p_partkey * 37 - 5000 AS BIGINT) AS n, CASE WHEN p_partkey % 9 > 1 THEN CAST(p_partkey % 9 * 100 AS BIGINT) WHEN p_partkey % 9 = 1 THEN 0 END AS people FROM part),
-        h AS (SELECT *, CASE WHEN people > 0 THEN n // people - CASE WHEN n < 0 AND n % people <> 0 AND n // people * people > n THEN 1 ELSE 0 END END AS low FROM t),
+    """WITH t AS (SELECT p_partkey AS k, CAST(p_partkey * 37 - 5000 AS BIGINT) AS n, CASE
+        WHEN p_partkey % 9 > 1 THEN CAST(p_partkey % 9 * 100 AS BIGINT) WHEN p_partkey % 9 = 1 THEN 0 END AS people FROM part),
+        h AS (SELECT *, CASE WHEN people > 0 THEN n // people - CASE
+        WHEN n < 0 AND n % people <> 0 AND n // people * people > n THEN 1 ELSE 0 END END AS low FROM t),
         r AS (SELECT *, n - low * people AS rest FROM h)
         SELECT k, CAST(CAST(n AS DECIMAL(20,0)) / 100 AS DECIMAL(20,2)) AS euros,
-        CAST(CAST(low + CASE WHEN 2 * rest > people OR 2 * rest = people AND low % 2 <> 0 THEN 1 ELSE 0 END AS DECIMAL(20,0)) / 100 AS DECIMAL(20,2)) AS head FROM r""",
+        CAST(CAST(low + CASE WHEN 2 * rest > people OR 2 * rest = people AND low % 2 <> 0 THEN 1 ELSE 0 END AS DECIMAL(20,0)) / 100 AS
+        DECIMAL(20,2)) AS head FROM r""",
     roles=False,
 )
 def euro_and_head(spark, sf_dir):
@@ -105,7 +108,8 @@ def decimals(s: Column) -> dict:
 @query(
     "x15_x16_rounding",
     """WITH t AS (SELECT p_partkey AS k, CAST(p_partkey * 5 - 777 AS BIGINT) AS n, CAST(p_partkey % 7 AS BIGINT) AS d FROM part)
-        SELECT k, CAST(CASE WHEN d > 0 THEN sign(n) * ((2 * abs(n) + d) // (2 * d)) END AS BIGINT) AS away, CASE WHEN d > 0 THEN CAST(floor(CAST(n AS DOUBLE) / d + 0.5) AS BIGINT) END AS up FROM t""",
+        SELECT k, CAST(CASE WHEN d > 0 THEN sign(n) * ((2 * abs(n) + d) // (2 * d)) END AS BIGINT) AS away, CASE
+        WHEN d > 0 THEN CAST(floor(CAST(n AS DOUBLE) / d + 0.5) AS BIGINT) END AS up FROM t""",
     roles=False,
 )
 def rounding(spark, sf_dir):
@@ -141,7 +145,8 @@ def dates(s: Column) -> dict:
 HEADERS = ("﻿Cod. Ente ", "  ANNO", "a  b\tc", "già_fatto", "")
 
 
-@query("x23_headers", f"WITH t(s) AS (VALUES {_quoted(HEADERS)}) SELECT s, regexp_replace(lower(trim(regexp_replace(replace(s, chr(65279), ''), '\\s+', ' ', 'g'))), ' ', '_', 'g') AS name FROM t", roles=False)
+@query("x23_headers", f"""WITH t(s) AS (VALUES {_quoted(HEADERS)}) SELECT s, regexp_replace(lower(trim(regexp_replace(replace(s, chr(65279), ''), '\\s+', ' ',
+        'g'))), ' ', '_', 'g') AS name FROM t""", roles=False)
 def headers(spark, sf_dir):
     """Names of columns as a reader makes them."""
     return spark.createDataFrame([(h, X.header_name(h)) for h in HEADERS], "s string, name string")
@@ -149,7 +154,9 @@ def headers(spark, sf_dir):
 
 @query(
     "x28_names",
-    "WITH t(s, name) AS (VALUES ('COMUNE DI REGGIO NELL''EMILIA', 'Reggio Nell''Emilia'), ('SAN DONA'' DI PIAVE', 'San Dona'' di Piave'), ('comune di  PRESICCE-ACQUARICA', 'Presicce-Acquarica'), ('L''AQUILA', 'L''Aquila'), ('CITTÀ DELLA PIEVE', 'Città della Pieve'), ('DI DI', 'Di di')) SELECT s, name FROM t",
+    """WITH t(s, name) AS (VALUES ('COMUNE DI REGGIO NELL''EMILIA', 'Reggio Nell''Emilia'), ('SAN DONA'' DI PIAVE', 'San Dona'' di Piave'),
+        ('comune di  PRESICCE-ACQUARICA', 'Presicce-Acquarica'), ('L''AQUILA', 'L''Aquila'), ('CITTÀ DELLA PIEVE', 'Città della Pieve'),
+        ('DI DI', 'Di di')) SELECT s, name FROM t""",
     roles=False,
 )
 def names(spark, sf_dir):
@@ -199,9 +206,12 @@ def folded_search(spark, sf_dir):
 
 @query(
     "x29_implied_people",
-    """WITH t AS (SELECT c_custkey AS k, CAST(floor(c_acctbal) AS BIGINT) AS total, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey % 7 END AS each, c_custkey % 5 AS other FROM customer),
-        r AS (SELECT k, CASE WHEN total > 0 AND each > 0 THEN CAST(total AS DOUBLE) / each END AS a, CASE WHEN total > 0 AND other > 0 THEN CAST(2 * total AS DOUBLE) / other END AS b FROM t)
-        SELECT k, CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN greatest(1, CAST(floor((coalesce(a, 0.0) + coalesce(b, 0.0)) / (CASE WHEN a IS NULL THEN 0 ELSE 1 END + CASE WHEN b IS NULL THEN 0 ELSE 1 END) + 0.5) AS BIGINT)) END AS people FROM r""",
+    """WITH t AS (SELECT c_custkey AS k, CAST(floor(c_acctbal) AS BIGINT) AS total, CASE
+        WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey % 7 END AS each, c_custkey % 5 AS other FROM customer),
+        r AS (SELECT k, CASE WHEN total > 0 AND each > 0 THEN CAST(total AS DOUBLE) / each END AS a, CASE
+        WHEN total > 0 AND other > 0 THEN CAST(2 * total AS DOUBLE) / other END AS b FROM t)
+        SELECT k, CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN greatest(1, CAST(floor((coalesce(a, 0.0) + coalesce(b, 0.0)) / (CASE
+        WHEN a IS NULL THEN 0 ELSE 1 END + CASE WHEN b IS NULL THEN 0 ELSE 1 END) + 0.5) AS BIGINT)) END AS people FROM r""",
     roles=False,
 )
 def implied(spark, sf_dir):
@@ -214,10 +224,14 @@ def implied(spark, sf_dir):
 @query(
     "x37_x38_work_signals",
     """+ w AS (SELECT number, CAST(sum(cents) AS BIGINT) AS actual, CAST(coalesce(sum(cents) FILTER (flag <> 'R'), 0) AS BIGINT) AS planned,
-            CAST(coalesce(sum(cents) FILTER (flag = 'A'), 0) AS BIGINT) AS secured, max(day) AS planned_end, CASE WHEN bool_and(status = 'F') THEN 'C' END AS status, count(*) FILTER (flag = 'N') AS n FROM mov GROUP BY number),
-        s AS (SELECT *, CASE WHEN planned > 0 AND actual > 0 THEN CAST(round(CAST(actual - planned AS DOUBLE) * 10000 / planned, 0) AS BIGINT) END AS change_bp, greatest(actual - secured, 0) AS to_find FROM w)
-        SELECT number, secured, planned, actual, change_bp, array_to_string(list_filter([CASE WHEN n = 7 THEN 'data-quality' END, CASE WHEN coalesce(status, '') <> 'C' AND planned_end < DATE '1999-01-01' THEN 'schedule-check' END,
-            CASE WHEN change_bp >= 1000 THEN 'cost-growth' END, CASE WHEN to_find > 0 THEN 'funding-gap' END], lambda x: x IS NOT NULL), ',') AS signals FROM s""",
+            CAST(coalesce(sum(cents) FILTER (flag = 'A'), 0) AS BIGINT) AS secured, max(day) AS planned_end, CASE
+        WHEN bool_and(status = 'F') THEN 'C' END AS status, count(*) FILTER (flag = 'N') AS n FROM mov GROUP BY number),
+        s AS (SELECT *, CASE WHEN planned > 0 AND actual > 0 THEN CAST(round(CAST(actual - planned AS DOUBLE) * 10000 / planned,
+        0) AS BIGINT) END AS change_bp, greatest(actual - secured, 0) AS to_find FROM w)
+        SELECT number, secured, planned, actual, change_bp, array_to_string(list_filter([CASE WHEN n = 7 THEN 'data-quality' END, CASE
+        WHEN coalesce(status, '') <> 'C' AND planned_end < DATE '1999-01-01' THEN 'schedule-check' END,
+            CASE WHEN change_bp >= 1000 THEN 'cost-growth' END, CASE
+        WHEN to_find > 0 THEN 'funding-gap' END], lambda x: x IS NOT NULL), ',') AS signals FROM s""",
 )
 def public_works(spark, sf_dir):
     """Funding, planned and actual cost of every work, and what to look at."""
@@ -231,9 +245,12 @@ def public_works(spark, sf_dir):
 @query(
     "x39_formats",
     """WITH t(v, exact, own, like_billions, pct) AS (VALUES
-        (0.0, '0 €', '0 €', '0,00 mld €', '0,0%'), (1234.5, '1.235 €', '1.235 €', '0,00 mld €', '1.234,5%'), (-999999.0, '-999.999 €', '-999.999 €', '-0,00 mld €', '-999.999,0%'),
-        (1000000.0, '1.000.000 €', '1,0 mln €', '0,00 mld €', '1.000.000,0%'), (-2550000.0, '-2.550.000 €', '-2,6 mln €', '-0,00 mld €', '-2.550.000,0%'),
-        (1234567890.0, '1.234.567.890 €', '1,23 mld €', '1,23 mld €', '1.234.567.890,0%'), (1500000000000.0, '1.500.000.000.000 €', '1.500,00 mld €', '1.500,00 mld €', '1.500.000.000.000,0%'))
+        (0.0, '0 €', '0 €', '0,00 mld €', '0,0%'), (1234.5, '1.235 €', '1.235 €', '0,00 mld €', '1.234,5%'), (-999999.0, '-999.999 €',
+        '-999.999 €', '-0,00 mld €', '-999.999,0%'),
+        (1000000.0, '1.000.000 €', '1,0 mln €', '0,00 mld €', '1.000.000,0%'), (-2550000.0, '-2.550.000 €', '-2,6 mln €', '-0,00 mld €',
+        '-2.550.000,0%'),
+        (1234567890.0, '1.234.567.890 €', '1,23 mld €', '1,23 mld €', '1.234.567.890,0%'), (1500000000000.0, '1.500.000.000.000 €',
+        '1.500,00 mld €', '1.500,00 mld €', '1.500.000.000.000,0%'))
         SELECT CAST(v AS DOUBLE) AS v, exact, own, like_billions, pct FROM t""",
     roles=False,
 )
@@ -252,7 +269,8 @@ def digests(spark, sf_dir):
     return read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("region"), F.sha2("n_name", 256).alias("sha"), json.alias("json"), F.sha2(json, 256).alias("json_sha"))
 
 
-@query("x40_crc32", "WITH t(s, crc) AS (VALUES ('123456789', 3421780262), ('', 0), ('a', 3904355907), ('The quick brown fox jumps over the lazy dog', 1095738169)) SELECT s, CAST(crc AS BIGINT) AS crc FROM t", roles=False)
+@query("x40_crc32", """WITH t(s, crc) AS (VALUES ('123456789', 3421780262), ('', 0), ('a', 3904355907), ('The quick brown fox jumps over the lazy dog',
+        1095738169)) SELECT s, CAST(crc AS BIGINT) AS crc FROM t""", roles=False)
 def checksums(spark, sf_dir):
     """Known checksums."""
     rows = [("123456789",), ("",), ("a",), ("The quick brown fox jumps over the lazy dog",)]
@@ -261,7 +279,8 @@ def checksums(spark, sf_dir):
 
 @query(
     "x42_geometry",
-    "WITH t(id, area, points) AS (VALUES ('square', 4.0, 4), ('triangle', 6.0, 3), ('noisy', 99.0, 4), ('line', 0.0, 2)) SELECT id, CAST(area AS DOUBLE) AS area, CAST(points AS INT) AS points FROM t",
+    """WITH t(id, area, points) AS (VALUES ('square', 4.0, 4), ('triangle', 6.0, 3), ('noisy', 99.0, 4), ('line', 0.0, 2))
+        SELECT id, CAST(area AS DOUBLE) AS area, CAST(points AS INT) AS points FROM t""",
     roles=False,
 )
 def geometry(spark, sf_dir):
@@ -274,7 +293,8 @@ def geometry(spark, sf_dir):
     return table.select("id", F.round(X.polygon_area(F.col("ring")), 6).alias("area"), F.size(simplified(F.col("ring"), 0.5)).alias("points"))
 
 
-@query("x43_availability", "SELECT DISTINCT year, CASE WHEN year IN (1996, 1998, 2000) THEN 'available' WHEN year >= 2000 THEN 'not-yet-published' ELSE 'not-collected' END AS state FROM mov")
+@query("x43_availability", """SELECT DISTINCT year, CASE WHEN year IN (1996, 1998, 2000) THEN 'available'
+        WHEN year >= 2000 THEN 'not-yet-published' ELSE 'not-collected' END AS state FROM mov""")
 def available(spark, sf_dir):
     return movements(spark, sf_dir).select("year").distinct().select("year", X.availability(F.col("year"), [1996, 1998, 2000], 2000).alias("state"))
 
@@ -317,10 +337,15 @@ DIMENSIONS = {"missions": ("Pagamenti per missione", "MIS"), "titles": ("Pagamen
 
 @query(
     "x35_s10_release_identity",
-    """+ d(dimension, prefix, suffix) AS (VALUES ('missions', 'Pagamenti per missione', 'MIS'), ('titles', 'Pagamenti per titolo', 'TIT')), p AS (SELECT DISTINCT year, month FROM mov WHERE year >= 2000),
-        t AS (SELECT d.*, year, month, CASE WHEN month = 12 THEN year || ' - ' || prefix || ' Consuntivo' WHEN month = 5 THEN year || '/' || month || ' - ' || prefix ELSE year || '/' || lpad(CAST(month AS VARCHAR), 2, '0') || ' - ' || prefix END AS title FROM p, d)
-        SELECT title, dimension, CASE WHEN month = 12 THEN 'consuntivo' WHEN month <> 5 THEN 'mensile' END AS kind, CASE WHEN month <> 5 THEN year END AS year, CASE WHEN month NOT IN (5, 12) THEN month END AS month,
-        CASE WHEN month = 12 THEN 'PBS_SPE_RND_' || suffix || '_001' WHEN month <> 5 THEN 'PBS_SPE_M' || lpad(CAST(month AS VARCHAR), 2, '0') || '_' || suffix || '_001' END AS code FROM t""",
+    """+ d(dimension, prefix, suffix) AS (VALUES ('missions', 'Pagamenti per missione', 'MIS'), ('titles', 'Pagamenti per titolo', 'TIT')),
+        p AS (SELECT DISTINCT year, month FROM mov WHERE year >= 2000),
+        t AS (SELECT d.*, year, month, CASE WHEN month = 12 THEN year || ' - ' || prefix || ' Consuntivo'
+        WHEN month = 5 THEN year || '/' || month || ' - ' || prefix ELSE year || '/' || lpad(CAST(month AS VARCHAR), 2,
+        '0') || ' - ' || prefix END AS title FROM p, d)
+        SELECT title, dimension, CASE WHEN month = 12 THEN 'consuntivo' WHEN month <> 5 THEN 'mensile' END AS kind, CASE
+        WHEN month <> 5 THEN year END AS year, CASE WHEN month NOT IN (5, 12) THEN month END AS month,
+        CASE WHEN month = 12 THEN 'PBS_SPE_RND_' || suffix || '_001'
+        WHEN month <> 5 THEN 'PBS_SPE_M' || lpad(CAST(month AS VARCHAR), 2, '0') || '_' || suffix || '_001' END AS code FROM t""",
 )
 def release_identity(spark, sf_dir):
     """Titles of releases, of which those of May are malformed, parsed to kind and period, and the product code of each."""
@@ -347,9 +372,11 @@ REGISTRY = (
 
 @query(
     "s21_x41_registry",
-    f"""WITH t(document, series, type, number, title, presented) AS (VALUES {", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in REGISTRY)}),
+    f"""WITH t(document, series, type, number, title,
+        presented) AS (VALUES {", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in REGISTRY)}),
         o AS (SELECT *, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS name FROM t WHERE trim(series) = 'VIII' AND trim(type) = 'D')
-        SELECT DISTINCT CASE WHEN lower(name) LIKE 'rendiconto%' THEN 'account' ELSE 'budget' END AS kind, CAST(right(name, 4) AS INT) AS year, CAST(number AS INT) AS number, document, CAST(presented AS DATE) AS presented FROM o""",
+        SELECT DISTINCT CASE WHEN lower(name) LIKE 'rendiconto%' THEN 'account' ELSE 'budget' END AS kind, CAST(right(name,
+        4) AS INT) AS year, CAST(number AS INT) AS number, document, CAST(presented AS DATE) AS presented FROM o""",
     roles=False,
 )
 def registry(spark, sf_dir):
@@ -361,8 +388,11 @@ def registry(spark, sf_dir):
 
 @query(
     "j12_companion_guard",
-    """+ r AS (SELECT DISTINCT year, month, CASE WHEN month = 12 THEN 'consuntivo' ELSE 'mensile' END AS kind FROM mov WHERE flag = 'A'), s AS (SELECT DISTINCT year, month, CASE WHEN month >= 11 THEN 'consuntivo' ELSE 'mensile' END AS kind FROM mov WHERE flag = 'R')
-        SELECT r.year, r.month, CASE WHEN s.year IS NULL THEN 'missing' WHEN s.kind <> r.kind THEN 'other kind' ELSE 'companion' END AS state FROM r LEFT JOIN s ON r.year = s.year AND r.month = s.month""",
+    """+ r AS (SELECT DISTINCT year, month, CASE WHEN month = 12 THEN 'consuntivo' ELSE 'mensile' END AS kind FROM mov
+        WHERE flag = 'A'), s AS (SELECT DISTINCT year, month, CASE WHEN month >= 11 THEN 'consuntivo' ELSE 'mensile' END AS kind FROM mov
+        WHERE flag = 'R')
+        SELECT r.year, r.month, CASE WHEN s.year IS NULL THEN 'missing'
+        WHEN s.kind <> r.kind THEN 'other kind' ELSE 'companion' END AS state FROM r LEFT JOIN s ON r.year = s.year AND r.month = s.month""",
 )
 def companions(spark, sf_dir):
     """A release joins another dimension's only when kind, year and month are the same."""
@@ -382,8 +412,10 @@ SUBDIVISIONS = ("21", "23", "25", "32", "34", "36", "42", "45", "52", "55", "57"
 
 @query(
     "j13_j15_region_codes",
-    f"""+ m(iso, code) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in zip(SUBDIVISIONS, REGION_CODES))}), h AS (SELECT entity, 'it-' || CAST(entity % 100 AS VARCHAR) AS header FROM ent)
-        SELECT entity, code, CASE WHEN code <> '04' THEN 'regione-' || code END AS anchor FROM h LEFT JOIN m ON m.iso = upper(substr(header, 4))""",
+    f"""+ m(iso, code) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in zip(SUBDIVISIONS, REGION_CODES))}), h AS (SELECT entity,
+        'it-' || CAST(entity % 100 AS VARCHAR) AS header FROM ent)
+        SELECT entity, code, CASE WHEN code <> '04' THEN 'regione-' || code END AS anchor FROM h LEFT
+        JOIN m ON m.iso = upper(substr(header, 4))""",
 )
 def region_codes(spark, sf_dir):
     """Subdivision to region; a region that is two territories elsewhere has no single anchor."""

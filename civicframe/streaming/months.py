@@ -61,5 +61,6 @@ def streamed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"stream_days": streamed_days}
 ORACLES = {
-    "stream_days": "SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100, 0) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1, 2"
+    "stream_days": """SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100,
+        0) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1, 2"""
 }
