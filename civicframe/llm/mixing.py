@@ -124,9 +124,11 @@ def _level_sql(name: str, source: str, keys: tuple[str, ...], weight: str) -> st
     return f"""
         {name}_n AS ({source}),
         {name}_w AS (SELECT *, CAST({weight} AS HUGEINT) AS w FROM {name}_n),
-        {name}_f AS (SELECT *, coalesce(sum(cap) OVER {over}, 0) AS before, coalesce(sum(w) OVER {over}, 0) AS w_before, sum(w) OVER (PARTITION BY {parent}) AS w_all FROM {name}_w),
+        {name}_f AS (SELECT *, coalesce(sum(cap) OVER {over}, 0) AS before, coalesce(sum(w) OVER {over}, 0) AS w_before,
+        sum(w) OVER (PARTITION BY {parent}) AS w_all FROM {name}_w),
         {name}_s AS (SELECT *, cap * (w_all - w_before) <= (budget - before) * w AS filled FROM {name}_f),
-        {name} AS (SELECT {", ".join(keys)}, CASE WHEN filled THEN cap ELSE ((budget - coalesce(sum(cap) FILTER (filled) OVER (PARTITION BY {parent}), 0)) * w)
+        {name} AS (SELECT {", ".join(keys)},
+        CASE WHEN filled THEN cap ELSE ((budget - coalesce(sum(cap) FILTER (filled) OVER (PARTITION BY {parent}), 0)) * w)
             // (w_all - coalesce(sum(w) FILTER (filled) OVER (PARTITION BY {parent}), 0)) END AS budget FROM {name}_s)"""
 
 
@@ -135,11 +137,14 @@ ORACLE = {
         WITH d AS (SELECT doc_id, coalesce('domain' || (TRY_CAST(regexp_extract(source, '(\d+)$', 1) AS INT) % 4), 'unknown') AS domain,
             coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
             coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens FROM documents),
-        leaf AS (SELECT domain, lang, source, CAST(sum(tokens) AS HUGEINT) AS tokens, CAST(sum(tokens) * {MAX_EPOCHS} AS HUGEINT) AS cap FROM d GROUP BY ALL),
+        leaf AS (SELECT domain, lang, source, CAST(sum(tokens) AS HUGEINT) AS tokens, CAST(sum(tokens) * {MAX_EPOCHS} AS HUGEINT) AS cap
+        FROM d GROUP BY ALL),
         {_level_sql("l1", f"SELECT domain, CAST(sum(cap) AS HUGEINT) AS cap, (SELECT CAST(sum(tokens) AS HUGEINT) * {BUDGET_PERMILLE} // 1000 FROM leaf) AS budget FROM leaf GROUP BY domain", ("domain",), "CASE domain WHEN 'domain0' THEN 4 WHEN 'domain1' THEN 3 WHEN 'domain2' THEN 2 ELSE 1 END")},
         {_level_sql("l2", "SELECT domain, lang, CAST(sum(cap) AS HUGEINT) AS cap, any_value(budget) AS budget FROM leaf JOIN l1 USING (domain) GROUP BY domain, lang", ("domain", "lang"), "CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END")},
         {_level_sql("l3", "SELECT domain, lang, source, cap, budget FROM leaf JOIN l2 USING (domain, lang)", ("domain", "lang", "source"), "1")},
-        b AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole, CASE WHEN tokens > 0 THEN budget % tokens ELSE budget END AS rest FROM leaf JOIN l3 USING (domain, lang, source)),
+        b AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole, CASE
+        WHEN tokens > 0 THEN budget % tokens ELSE budget END AS rest FROM leaf JOIN l3 USING (domain, lang, source)),
         k AS (SELECT *, md5('{SEED}:' || whole || ':' || doc_id) AS key FROM d JOIN b USING (domain, lang, source))
-        SELECT doc_id, domain, lang, source, tokens, CAST(whole + CAST(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, doc_id, tokens ROWS UNBOUNDED PRECEDING) <= rest AS INT) AS BIGINT) AS copies FROM k"""
+        SELECT doc_id, domain, lang, source, tokens, CAST(whole + CAST(sum(tokens) OVER (PARTITION BY domain, lang, source
+        ORDER BY key, doc_id, tokens ROWS UNBOUNDED PRECEDING) <= rest AS INT) AS BIGINT) AS copies FROM k"""
 }
