@@ -26,6 +26,7 @@ any length are read whole; an empty table gives none. Other columns are not look
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,8 @@ K, WORDS, HASHES, ENOUGH, OPEN, SIMILARITY = 5, 50, 4, 2, 2, 0.8
 LEAST, STEP = WORDS - K + 1, 32
 #: Shingles by which the context of an open window is away from it.
 AWAY = 11
+#: Candidates of two stretches that are compared one by one.
+TRIES = 40
 #: Weight of a mismatch when a passage must have none.
 STRICT = 1 << 40
 #: Offsets between two texts that count as one alignment.
@@ -356,47 +359,88 @@ def _runs(a: np.ndarray, b: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, n
     new = np.flatnonzero(np.append(True, (np.diff(at) != 1) | (np.diff(place) != 1)))
     x, u, n = at[new], place[new], np.diff(np.append(new, len(at)))
     if len(x) > 1 and (u[1:] < (u + n)[:-1]).any():
-        best, came = n.copy(), np.full(len(x), -1)
-        for i in range(1, len(x)):
-            before = np.where((u + n)[:i] <= u[i], best[:i], 0)
-            j = int(before.argmax())
-            if before[j]:
-                best[i], came[i] = n[i] + before[j], j
-        chain, i = [], int(best.argmax())
-        while i >= 0:
-            chain.append(i)
-            i = came[i]
-        chain.reverse()
+        chain = _heaviest(u.tolist(), n.tolist())
         x, u, n = x[chain], u[chain], n[chain]
     return x, u, n
 
 
+def _heaviest(begins: list[int], sizes: list[int]) -> list[int]:
+    """The chain of runs, in their order, of which each begins where or after the one before ends, with the largest sum of sizes."""
+    ends, weights, last, came = [], [], [], [-1] * len(begins)  # of the best chains by where they end, weights rising
+    for i, (u, n) in enumerate(zip(begins, sizes)):
+        at = bisect_right(ends, u) - 1
+        if at >= 0:
+            came[i] = last[at]
+        weight, to = (weights[at] if at >= 0 else 0) + n, bisect_right(ends, u + n)
+        if to and weights[to - 1] >= weight:
+            continue
+        if to and ends[to - 1] == u + n:
+            to -= 1
+        stop = to
+        while stop < len(ends) and weights[stop] <= weight:
+            stop += 1
+        ends[to:stop], weights[to:stop], last[to:stop] = [u + n], [weight], [i]
+    chain, i = [], last[-1]
+    while i >= 0:
+        chain.append(i)
+        i = came[i]
+    return chain[::-1]
+
+
 def _bridged(a: np.ndarray, b: np.ndarray, here: np.ndarray) -> list[tuple[int, int, int, int, float]]:
     """The longest similar part from the begin of a run to the end of one, then those left and right of it, in order."""
-    least = LEAST
-    if here.sum() < SIMILARITY * least:
-        return []
     x, u, n = _runs(a, b, here)
     y, v = x + n, u + n
     if y[-1] - x[0] >= LEAST and v[-1] - u[0] >= LEAST and (whole := _similarity(a[x[0] : y[-1]], b[u[0] : v[-1]])) >= SIMILARITY:
         return [(int(x[0]), int(y[-1]), int(u[0]), int(v[-1]), whole)]
+    if len(x) == 1:
+        return []
+    # from all candidates that may be similar (by what is common at most and differs at least) the longest first
+    hits, mine, theirs = (np.append(0, np.cumsum(c)) for c in (here, _firsts(a), _firsts(b)))
+    lengths, left, right = [], [], []
+    for p in range(len(x)):
+        common = hits[y[p:]] - hits[x[p]]
+        able = SIMILARITY * (np.maximum(mine[y[p:]] - mine[x[p]], common) + np.maximum(theirs[v[p:]] - theirs[u[p]], common) - common) <= common
+        q = np.flatnonzero(able & (y[p:] - x[p] >= LEAST) & (v[p:] - u[p] >= LEAST)) + p
+        lengths.append(y[q] - x[p])
+        left.append(np.full(len(q), p))
+        right.append(q)
+    left, right = np.concatenate(left), np.concatenate(right)
+    order = np.lexsort((right, left, -np.concatenate(lengths)))
+    left, right = left[order], right[order]
+    taken, failed, at = [], 0, 0
+    while at < len(left):
+        p, q = int(left[at]), int(right[at])
+        similarity = _similarity(a[x[p] : y[q]], b[u[p] : v[q]])
+        at += 1
+        if similarity >= SIMILARITY:
+            taken.append((p, q, similarity))
+            apart = (right[at:] < p) | (left[at:] > q)
+            left, right, at = left[at:][apart], right[at:][apart], 0
+        else:
+            failed += 1
+            if failed == TRIES:  # many repetitions: those of one begin together
+                sure = _sure(a, b, x, y, u, v, left[at:], right[at:])
+                left, right, at = left[at:][sure], right[at:][sure], 0
+    return [(int(x[p]), int(y[q]), int(u[p]), int(v[q]), s) for p, q, s in sorted(taken)]
+
+
+def _firsts(a: np.ndarray) -> np.ndarray:
+    """Which elements are there for the first time."""
     first = np.zeros(len(a), bool)
     first[np.unique(a, return_index=True)[1]] = True
-    hits, misses = np.append(0, np.cumsum(here)), np.append(0, np.cumsum(~here & first))
-    similar = {}
-    for p in range(len(x)):
-        got, missed = hits[y[p:]] - hits[x[p]], misses[y[p:]] - misses[x[p]]
-        able = np.flatnonzero((got >= SIMILARITY * (got + missed)) & (y[p:] - x[p] >= least) & (v[p:] - u[p] >= least))
-        if len(able):
-            ends = slice(p, p + able[-1] + 1)
-            s = _similarities(a[x[p] : y[ends][-1]], b[u[p] : v[ends][-1]], y[ends] - x[p], v[ends] - u[p])
-            for q in able[s[able] >= SIMILARITY]:
-                similar[p, p + int(q)] = float(s[q])
-    taken: list[tuple[int, int]] = []
-    for p, q in sorted(similar, key=lambda k: (x[k[0]] - y[k[1]], k)):
-        if all(q < c or p > d for c, d in taken):
-            taken.append((p, q))
-    return [(int(x[p]), int(y[q]), int(u[p]), int(v[q]), similar[p, q]) for p, q in sorted(taken)]
+    return first
+
+
+def _sure(a, b, x, y, u, v, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which candidates are similar."""
+    sure = np.zeros(len(left), bool)
+    for p in np.unique(left).tolist():
+        of = np.flatnonzero(left == p)
+        of = of[np.argsort(right[of])]
+        q = right[of]
+        sure[of] = _similarities(a[x[p] : y[q[-1]]], b[u[p] : v[q[-1]]], y[q] - x[p], v[q] - u[p]) >= SIMILARITY
+    return sure
 
 
 def _similarities(a: np.ndarray, b: np.ndarray, ends: np.ndarray, other_ends: np.ndarray) -> np.ndarray:

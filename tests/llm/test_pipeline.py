@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from civicframe.llm.ngram_join import jaccard_components
@@ -41,6 +42,27 @@ def test_stages(spark, folder):
     assert "text" not in final.columns and final.count() == docs.count()
 
 
+CLASHING = ("gone", "drop_id", "toxicity", "run", "norm", "part", "head", "own_0", "taken_id", "copy", "rep", "component_id", "segmentations", "row_key", "budget")
+
+
+def test_stages_with_odd_rows_and_clashing_names(spark, folder):
+    rows = [(1, "river stone " * 30, "en", "src1", 1), (1, "river stone " * 30, "en", "src1", 1), (2, None, None, None, None), (3, "", "en", "src1", 0), (None, "no identifier at all", "de", "src2", 2), (4, "w" * 50_000, "en", "src3", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in CLASHING:
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        expected = docs.columns if name != "encoding" else [c for c in docs.columns if c != "text"] + ["segmentations_"]
+        assert out.columns == expected, name
+        got = out.collect()
+        assert all(r[c] == f"own {c}" for r in got for c in CLASHING), name
+        if name in ("toxicity", "near_dedup", "encoding"):
+            assert len(got) == 6, name
+        if name == "exact_dedup":
+            assert sorted((r.doc_id or -1) for r in got) == [-1, 1, 2, 4]
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+
+
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
 
