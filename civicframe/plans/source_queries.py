@@ -30,7 +30,7 @@ def _as_csv(rows: DataFrame, tail: str = "") -> DataFrame:
     return lines.select(F.concat(F.lit("code,label\r\n"), F.array_join("lines", "\r\n"), F.lit(tail)).alias("text"))
 
 
-@query("s01_s02_v02_delimited", f"WITH r AS ({_ROWS}) SELECT code, label, false AS malformed FROM r UNION ALL SELECT NULL, NULL, true", roles=False)
+@query("s01_s02_v02_delimited", f"WITH r AS ({_ROWS}) SELECT code, label, false AS malformed FROM r UNION ALL SELECT 'a', 'b', true", roles=False)
 def delimited(spark, sf_dir):
     """Quotes, separators and line breaks in cells; a row of another width is marked."""
     return R.csv_rows(_as_csv(_nations(spark, sf_dir), "\r\n\r\na,b,c\r\n"), "text", ["code", "label"], header=True)

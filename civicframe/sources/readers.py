@@ -111,7 +111,7 @@ def zip_members(archives: DataFrame, pattern: str = "", exactly: int | None = No
 
 
 def csv_rows(texts: DataFrame, text_col: str, columns: list[str], sep: str = ",", header: bool = False) -> DataFrame:
-    """Rows of files that are columns of text, with doubled quotes and line breaks in quotes; rows of another width have null columns and `malformed`.
+    """Rows of files that are columns of text, with doubled quotes and line breaks in quotes; rows of another width are `malformed`: what they lack is null, what they have too much goes.
 
     header: the first row of each file must be the columns in order, else its job fails. Blank rows go.
     """
@@ -127,8 +127,7 @@ def csv_rows(texts: DataFrame, text_col: str, columns: list[str], sep: str = ","
                 for row in rows:
                     if not any(map(str.strip, row)):
                         continue
-                    bad = len(row) != len(columns)
-                    out.append((*([None] * len(columns) if bad else row), bad))
+                    out.append((*(row + [None] * len(columns))[: len(columns)], len(row) != len(columns)))
                     if len(out) == 10_000:
                         yield pd.DataFrame(out, columns=[*columns, "malformed"])
                         out = []

@@ -83,6 +83,26 @@ def test_json_envelopes_and_links(spark, tmp_path):
     assert R.page_links(pages, "h", "csv$").agg(F.max_by("link", "year")).first()[0] == "/f/2024/a.csv"
 
 
+def test_refusals(spark, tmp_path):
+    """What a reader must not take."""
+    fields = "document string, series string, type string, number string, title string, presented string"
+    good = ("u/1", "VIII", "D", "2", "Rendiconto delle entrate e delle spese del Senato per l'anno finanziario 2021", "2022-07-01")
+    assert R.registry_documents(spark.createDataFrame([good], fields), "VIII", "D").count() == 1
+    for at, value in ((4, "Altro"), (3, " "), (5, "")):
+        bad = spark.createDataFrame([tuple(value if i == at else x for i, x in enumerate(good))], fields)
+        with pytest.raises(Exception, match="registry"):
+            R.registry_documents(bad, "VIII", "D").collect()
+    texts = spark.createDataFrame([("b,a\n1,2\n",)], "t string")
+    with pytest.raises(Exception, match="columns"):
+        R.csv_rows(texts, "t", ["a", "b"], header=True).collect()
+    book = spark.createDataFrame([("p", bytearray(zipped(**{"xl/workbook__xml": b"<w/>", "xl/_rels/workbook__xml__rels": b"<r/>"})))], "path string, content binary")
+    with pytest.raises(Exception, match="no sheet"):
+        R.workbook_rows(book, "Missing").collect()
+    with pytest.raises(CheckFailed):
+        R.not_empty(texts.limit(0), "dump")
+    assert R.not_empty(texts, "dump") is texts
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", "t1")], "k int, v string, at string")
     target = str(tmp_path / "t")
