@@ -311,8 +311,8 @@ def _least_of(bound: float, drawn: float) -> float:
 
 
 class Sampler:
-    def __init__(self, vocabulary: dict, k: int, seed: int):
-        self.v, self.k, self.seed = vocabulary, k, seed
+    def __init__(self, vocabulary: dict, k: int, seed: int, kept: int | None = None):
+        self.v, self.k, self.seed, self.kept = vocabulary, k, seed, kept or KEPT
         self.pattern = re.compile(vocabulary["pattern"])
         self._forget()
 
@@ -338,7 +338,7 @@ class Sampler:
 
     def sample(self, texts: list[str], keys: list[int]) -> list[list[tuple]]:
         """For each text up to k (ids, log-probability, inclusion), best perturbed value first."""
-        if self.lattices.size() > KEPT:
+        if self.lattices.size() > self.kept:
             self._forget()
         fresh: list = []
         split = [self._split(t, fresh) for t in texts]
@@ -531,11 +531,12 @@ def _round_trips(found: list[list[tuple]], texts: pa.Array, v: dict) -> pa.Array
 
 def sample_segmentations(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SAMPLES, seed: int = SEED, alpha: float = ALPHA,
-    model: str = MODEL, out: str = "segmentations", keep_text: bool = True, check: str | None = None,
+    model: str = MODEL, out: str = "segmentations", keep_text: bool = True, check: str | None = None, kept: int | None = None,
 ) -> DataFrame:
     """Adds the column out (SAMPLED): up to k distinct segmentations, in the order of their perturbed values.
 
-    check names a boolean column for whether decoding each of them gives the text (null: empty) back.
+    check names a boolean column for whether decoding each of them gives the text (null: empty) back. kept bounds the
+    bytes of lattices that a worker keeps; more of them save time where workers have the memory, and change no result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model, alpha))
     own = [c for c in docs.columns if keep_text or c != text_col]
@@ -546,7 +547,7 @@ def sample_segmentations(
         schema = schema.add(names[1], "boolean")
 
     def run(batches):
-        sampler = Sampler(shared.value, k, seed)
+        sampler = Sampler(shared.value, k, seed, kept)
         for batch in batches:
             for part in by_bytes(batch, len(own) + 1, AT_ONCE):
                 texts = pc.fill_null(part.column(len(own) + 1), "")
@@ -582,7 +583,7 @@ def decoded(df: DataFrame, ids_col: str, out: str = "decoded", model: str = MODE
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     s = F.col("segmentations")
-    return sample_segmentations(docs, keep_text=False, check="round_trip").select(
+    return sample_segmentations(docs, keep_text=False, check="round_trip", kept=4 * KEPT).select(
         "doc_id", F.size(s).alias("n_samples"),
         F.transform(s, lambda x: F.size(x["ids"]).cast("long")).alias("n_pieces"),
         F.transform(s, lambda x: F.round(x["log_prob"], 4)).alias("log_prob"),
