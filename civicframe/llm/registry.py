@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from civicframe.llm import exact_dedup, html_extract, language_id, media, mixing, ngram_join, substring_dedup, subword_sampling, toxicity, url_filters
+from civicframe.llm import exact_dedup, html_extract, language_id, media, mixing, ngram_join, periodic_runs, substring_dedup, subword_sampling, toxicity, url_filters
 
-MODULES = (exact_dedup, html_extract, language_id, media, mixing, ngram_join, substring_dedup, subword_sampling, toxicity, url_filters)
+MODULES = (exact_dedup, html_extract, language_id, media, mixing, ngram_join, periodic_runs, substring_dedup, subword_sampling, toxicity, url_filters)
 
 
 def queries() -> dict:
