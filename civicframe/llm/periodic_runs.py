@@ -167,12 +167,17 @@ def strongest(runs: Column) -> Column:
 def planted(id_col: Column, text: Column) -> Column:
     """The text, or for one identifier in ten by its hash the text with a period planted from one of its words on."""
     h = F.crc32(F.encode(id_col.cast("string"), "UTF-8"))
-    words = F.regexp_extract_all(text, F.lit(WORD), 0)
-    g, n = F.floor(h / 10), F.size(words)
-    a = F.pmod(g, n).cast("int")
-    p = (F.lit(1) + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
-    periodic = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, a + F.pmod(i - a, p))))
-    return F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), F.array_join(periodic, " ")).otherwise(text)
+    g = F.floor(h / 10)
+
+    def periodic(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n).cast("int")
+        p = (F.lit(1) + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+        return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, a + F.pmod(i - a, p)))), " ")
+
+    # a variable of its own, so that the text is split once
+    made = F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(WORD), 0)), periodic), F.lit(0))
+    return F.when((F.pmod(h, F.lit(10)) == 0) & text.rlike(WORD), made).otherwise(text)
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
