@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from civicframe.llm import exact_dedup, html_extract, language_id, lexical_search, media, mixing, ngram_join, periodic_runs, substring_dedup, subword_sampling, toxicity, url_filters
+from civicframe.llm import exact_dedup, html_extract, language_id, lexical_search, media, mixing, ngram_join, periodic_runs, substring_dedup, subword_sampling, toxicity, url_filters, warc
 
-MODULES = (exact_dedup, html_extract, language_id, lexical_search, media, mixing, ngram_join, periodic_runs, substring_dedup, subword_sampling, toxicity, url_filters)
+MODULES = (exact_dedup, html_extract, language_id, lexical_search, media, mixing, ngram_join, periodic_runs, substring_dedup, subword_sampling, toxicity, url_filters, warc)
 
 
 def queries() -> dict:
