@@ -19,12 +19,14 @@ empty table. Other columns stay; if the new column's name is taken it gets a _ b
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from civicframe.llm.common import WORD, free_name, table
+from civicframe.llm.common import free_name, table
 
 #: A run's least length in words, and in periods.
 LEAST, TIMES = 24, 3
@@ -164,24 +166,24 @@ def strongest(runs: Column) -> Column:
     return F.aggregate(runs, none, lambda a, x: F.when(better(a, x), x).otherwise(a))
 
 
-def planted(id_col: Column, text: Column) -> Column:
+@F.arrow_udf(T.BinaryType())
+def planted(ids: pa.Array, texts: pa.Array) -> pa.Array:
     """The text, or for one identifier in ten by its hash the text with a period planted from one of its words on."""
-    h = F.crc32(F.encode(id_col.cast("string"), "UTF-8"))
-    g = F.floor(h / 10)
-
-    def periodic(words: Column) -> Column:
-        n = F.size(words)
-        a = F.pmod(g, n).cast("int")
-        p = (F.lit(1) + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
-        return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, a + F.pmod(i - a, p)))), " ")
-
-    # a variable of its own, so that the text is split once
-    made = F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(WORD), 0)), periodic), F.lit(0))
-    return F.when((F.pmod(h, F.lit(10)) == 0) & text.rlike(WORD), made).otherwise(text)
+    out = []
+    for own, value in zip(ids, texts):
+        own, value = own.as_py(), value.as_py()
+        h = zlib.crc32(own.encode()) if own is not None else 1
+        if h % 10 == 0 and (words := (value or b"").split()):
+            a = h // 10 % len(words)
+            p = 1 + (len(words) - a) // (3 + h // 10 % 8)
+            tail = words[a : a + p]
+            value = b" ".join(words[:a] + (tail * ((len(words) - a) // p + 1))[: len(words) - a])
+        out.append(value)
+    return pa.array(out, pa.binary())
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted(F.col("doc_id").cast("string"), F.col("text").cast("binary")).alias("text"))
     found = with_runs(docs, F.col("text")).select("doc_id", "periodic.*").withColumn("best", strongest(F.col("runs")))
     lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
     listed = F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
