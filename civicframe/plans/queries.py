@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from civicframe.functions import scalars as X
 from civicframe.operators import aggregates as A, contracts as V, joins as J, series as S
-from civicframe.plans.roles import SQL, entities, entity_totals, movements, read, regions, titles
+from civicframe.plans.roles import SQL, entities, entity_totals, movements, payments_cube, read, regions, titles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,11 +71,17 @@ def left_join_unmatched(spark, sf_dir):
         GROUP BY GROUPING SETS ((entity), (entity, title), (region), (title), (month))""",
 )
 def grouping_sets(spark, sf_dir):
-    """One pass: by entity, entity and title, region, title, month."""
-    rows = movements(spark, sf_dir).join(titles(spark, sf_dir), "part").join(entities(spark, sf_dir).select("entity", "region"), "entity")
-    base = rows.groupBy("entity", "title", "region", "month").agg(F.sum("cents").alias("cents"))
-    sets = [["entity"], ["entity", "title"], ["region"], ["title"], ["month"]]
-    return base.groupingSets(sets, "entity", "title", "region", "month").agg(F.grouping_id("entity", "title", "region", "month").cast("bigint").alias("level"), F.sum("cents").alias("cents"))
+    """By entity, entity and title, region, title, month: each from the coarsest stored level that has its keys."""
+    cube = payments_cube(spark, sf_dir)
+    by_entity = cube.sums(["entity", "title"]).join(entities(spark, sf_dir).select("entity", "region"), "entity")
+    null = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    kinds = dict(by_entity.dtypes) | {"month": "int"}
+    found = None
+    for level, keys, rows in ((7, ["entity"], by_entity), (3, ["entity", "title"], by_entity), (13, ["region"], by_entity), (11, ["title"], cube.sums(["title"])), (14, ["month"], cube.sums(["month"]))):
+        part = rows.groupBy(*keys).agg(F.sum("cents").alias("cents"))
+        part = part.select(F.lit(level).cast("bigint").alias("level"), *[F.col(c) if c in keys else null(c, kinds[c]) for c in ("entity", "title", "region", "month")], "cents")
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 @query(

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from civicframe.functions.scalars import cents, title_digit
+from civicframe.operators.cube import Cube, Level
+from civicframe.sources.shared import shared_folder
+from civicframe.sources.sinks import Folder
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,11 +42,28 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.join(area, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("region"), F.col("n_name").alias("region_name"), F.col("r_name").alias("area"))
 
 
+#: Stored levels of payments, the finest first.
+LEVELS = (Level("payments", ("year", "month", "entity", "title"), "year"), Level("entity_title", ("entity", "title")), Level("entity_year", ("entity", "year")), Level("title_month", ("title", "year", "month")))
+_cubes: dict[tuple[str, str], tuple[tuple, Cube]] = {}
+
+
+def payments_cube(spark: SparkSession, sf_dir: str) -> Cube:
+    """Sums and counts of payments at some levels, written once for an application and the state that the tables are in."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    state = tuple(Folder(spark, f"{sf_dir}/{t}.parquet").state() for t in ("lineitem", "orders", "part"))
+    known = _cubes.get(key)
+    if known is None or known[0] != state or not all(Folder(spark, f"{known[1].path}/{level.name}/_SUCCESS").exists() for level in LEVELS):
+        rows = movements(spark, sf_dir).join(titles(spark, sf_dir), "part")
+        cube = Cube.build(rows, shared_folder(spark, "payments"), list(LEVELS), {"cents": F.sum("cents"), "lines": F.count(F.lit(1))})
+        known = _cubes[key] = (state, cube)
+    return known[1]
+
+
 def entity_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per entity with movements: total_cents, title_cents (title 1), joined with the entity."""
-    paid = movements(spark, sf_dir).join(titles(spark, sf_dir), "part")
-    sums = paid.groupBy("entity").agg(F.sum("cents").alias("total_cents"), F.coalesce(F.sum(F.when(F.col("title") == "1", F.col("cents"))), F.lit(0)).alias("title_cents"))
-    return sums.join(entities(spark, sf_dir), "entity")
+    title = F.coalesce(F.sum(F.when(F.col("title") == "1", F.col("cents"))), F.lit(0)).cast("bigint")
+    sums = payments_cube(spark, sf_dir).sums(["entity"], needs=("title",), also={"title_cents": title})
+    return sums.select("entity", F.col("cents").alias("total_cents"), "title_cents").join(entities(spark, sf_dir), "entity")
 
 
 #: The same roles in SQL, as common table expressions.

@@ -183,6 +183,8 @@ def month_numbers(s: Column) -> dict:
     return {"number": X.month_number(s), "name": X.month_name(F.length(s))}
 
 
+#: The search key of a column in SQL.
+FOLD_SQL = r"trim(regexp_replace(strip_accents(lower(translate({0}, '’‘´`–—', '''''''''--'))), '\s+', ' ', 'g'))"
 _FOLD = "strip_accents(lower(translate(s, '’‘´`–—', '''''''''--')))"
 
 

@@ -29,6 +29,12 @@ class Folder:
     def exists(self) -> bool:
         return self.system.exists(self.at)
 
+    def state(self) -> tuple[int, int, int]:
+        """Bytes, files and the last change of a file or a folder of files."""
+        inside = self.system.getContentSummary(self.at)
+        times = [f.getModificationTime() for f in self.system.listStatus(self.at)]
+        return inside.getLength(), inside.getFileCount(), max(times, default=0)
+
     def rename(self, to: str) -> None:
         if not self.system.rename(self.at, self.spark._jvm.org.apache.hadoop.fs.Path(to)):
             raise OSError(f"{self.path} cannot become {to}")
