@@ -5,10 +5,10 @@ The batch side has only periods that still fill; these are extensions of the sam
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from civicframe.sources.shared import shared_folder
+
 
 def window_totals(events: DataFrame, size: str = "1 day", late: str = "2 days") -> DataFrame:
     """Events and values by window and type; windows close when the watermark has passed."""
@@ -38,16 +38,10 @@ def upsert(target: str, keys: list[str]):
     return apply
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, or one of our own where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named or spark.conf.get('spark.sql.warehouse.dir')}/days-{uuid.uuid4().hex}"
-
-
 def streamed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table read as a stream to its end: every trigger writes the windows that it has changed, the last of each counts."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    where = shared_folder(spark)
+    where = shared_folder(spark, "days")
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as the table may be one file
 
     def keep(batch: DataFrame, epoch: int) -> None:
