@@ -7,15 +7,16 @@ text is the core's subtree and, beside its path, every subtree that reaches the
 headings that stand right before one.
 
 Tags and names only add to that. What is no content whatever its density leaves before counting: by
-element (scripts, menus, forms ...), role, being hidden, or as a list of reader comments (COMMENTS),
-which is as dense as an article. A word of boilerplate in a class or id makes a node's density count
+element (scripts, menus, forms ...), role, being hidden, or as a list of reader comments (COMMENTS, and
+names with such a part, as in post-comments), which is as dense as an article. A word of boilerplate in a class or id makes a node's density count
 HINTED of what it is, and beside the path it is never taken; article and main count 1 / HINTED, and in
 one that holds the core what lies below the threshold stays, unless it is mostly links. Within the main
 text a node leaves if a whole class or id names boilerplate and it is mostly links or holds a form, or
 names an advert or the like (ADVERTS) and stays below the threshold.
 
 Null or empty html, and pages without text, give an empty text. Of equal sums the outer node counts,
-of these the first on the page. Unclosed tags end with their parents or the page; a tag cut off at the
+of these the first on the page. Comments end as HTML has it: <!--> and <!---> are empty ones, and --!> ends
+one too. Only void elements close themselves, whatever slash a tag ends with. Unclosed tags end with their parents or the page; a tag cut off at the
 end of the page is dropped. Work grows with the length of a page, not with its depth. Equal pages give
 equal texts, repeated rows repeated ones, an empty table an empty table. Extra columns stay; if the
 new column's name is taken it gets a _ behind it.
@@ -62,11 +63,13 @@ ADVERTS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr newsletter subscribe subscription "
     "paywall sidebar menu nav navbar navigation breadcrumb breadcrumbs footer widget popup modal overlay login signup toolbar pagination pager skip".split()
 )
+#: Parts of such names that say the same in longer ones, those that do so only outside an article, and first parts that say otherwise.
+COMMENT_PARTS, COMMENT_OUTSIDE, COMMENT_DENIED = frozenset("comments commentlist disqus".split()), frozenset(["comment"]), frozenset("no has with without".split())
 #: What the density of a node with a word of boilerplate in its class or id counts.
 HINTED = 0.25
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|iframe|svg)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|template|noscript|textarea|iframe|svg)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -99,11 +102,21 @@ def _dropped(tag: str, attrs: str, up: Node) -> bool:
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name == "role" and value in DROP_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 return True
-            if name in ("class", "id") and tag not in ROOTS and not COMMENTS.isdisjoint(value.split()):
+            if name in ("class", "id") and tag not in ROOTS and any(_of_comments(w, up.inside) for w in value.split()):
                 return True
     return False
 
 
+def _of_comments(word: str, inside: bool) -> bool:
+    """Whether a class or id names reader comments, whole or by a part of it."""
+    if word in COMMENTS:
+        return True
+    if "comment" not in word and "disqus" not in word:
+        return False
+    parts = re.split(r"[-_]+", word)
+    return parts[0] not in COMMENT_DENIED and (not COMMENT_PARTS.isdisjoint(parts) or not inside and not COMMENT_OUTSIDE.isdisjoint(parts))
+
+
 def _hints(node: Node, attrs: str) -> None:
     """What class and id say about a node; it only weighs with the densities."""
     for m in ATTR.finditer(attrs):
@@ -157,7 +170,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str | None]]]:
         now.kids.append(node)
         if tag == "br":
             out.append((now, " "))
-        if tag not in VOID and not m[4].endswith("/"):
+        if tag not in VOID:
             now = node
             opened[tag] += 1
     if at < len(page):

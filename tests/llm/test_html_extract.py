@@ -143,3 +143,43 @@ def test_column(spark):
     assert got[1].text == "t" and got[1].text_ == 5 and got[2].text__ == "" and len(got[3].text__) == 199_999
     assert len(rows) == 4 and len({r.text__ for r in rows}) == 3
     assert extract_text(df.limit(0)).count() == 0
+
+
+def test_empty_comments_hide_nothing():
+    two = "<p>One paragraph with quite a few words in it, so that it counts as text.</p><p>Another one that is about as long as the first was.</p>"
+    want = main_text(f"<div>{two}</div>")
+    assert want.count("paragraph") == 1 and want.count("\n\n") == 1
+    for comment in ("<!-->", "<!--->", "<!---->", "<!-- x --!>", "<!-- > -- -->", "<!--->-->"):
+        got = main_text(f"<div>{comment}{two}</div>")
+        assert got.replace("-->\n\n", "") == want, comment
+    assert main_text(f"<div>{two}<!-- open {two}</div>") == want
+
+
+def test_only_void_elements_close_themselves():
+    text = "Words of a paragraph that go on and on until they are enough. " * 3
+    page = f"<body><div><p>{text}</p><p>{text}<a href=http://x.com/>a link</a> and more.</p><br/><hr/><p>{text}</p></div></body>"
+    assert "a link and more." in main_text(page) and main_text(page).count("Words of") == 9
+    assert main_text(page) == main_text(page.replace("href=http://x.com/", 'href="http://x.com/"'))
+
+
+def test_reader_comments_by_parts_of_names():
+    text = "The article has a long paragraph of text that nobody would take for anything else at all. " * 4
+    said = "<div class=c><p>Reader one says that this was a very good article and thanks the author for it.</p></div>" * 6
+    for name in ("post-comments", "comments", "entry_comments", "article-comments-list", "disqus_box"):
+        got = main_text(f"<body><article><p>{text}</p><p>{text}</p><div class='{name}'>{said}</div></article></body>")
+        assert "Reader" not in got and got.count("The article") == 8, name
+    outside = main_text(f"<body><article><p>{text}</p><p>{text}</p></article><div id='comment-17'>{said}</div></body>")
+    assert "Reader" not in outside and outside.count("The article") == 8
+    kept = main_text(f"<body><article class='has-comments'><div class='no-comments'><p>{text}</p><p>{text}</p></div></article></body>")
+    assert kept.count("The article") == 8
+
+
+def test_the_query_has_its_columns(spark):
+    from civicframe.llm.html_extract import op8_html_extraction
+
+    df = op8_html_extraction(spark, "/root/testdata/sf0.001")
+    assert dict(df.dtypes) == {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"}
+    rows, pages = df.collect(), spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    assert len(rows) == len(pages)
+    html = {p.page_id: (p.url, p.html) for p in pages}
+    assert all((r.url, r.text, r.n_chars) == (html[r.page_id][0], main_text(html[r.page_id][1]), len(r.text)) for r in rows)
