@@ -4,12 +4,12 @@ Splitters sampled from the rows cut the order of the normalised bytes into range
 range in one shuffle, each range is sorted externally, and each row is compared in full with the one
 before it. The sort key is (first KEY characters, SHA-256, identifier), so that a splitter stays small
 however long the texts are. As the identifier is part of the key, splitters may fall inside a group of
-copies, so no group has to fit into one task. A run of equals that a border of ranges cuts is joined
+copies, so no group has to fit into one task. Splitters go out once, as a row that is broadcast. A run of equals that a border of ranges cuts is joined
 again from the first and last row of each range, compared in full: two rows for each range, however
 large the group.
 
 Nulls count as empty text. Rows with the same identifier and text are copies of each other; one of
-them stays. A null identifier sorts first and never is a keep_id unless all of a group's are null.
+them stays. A null identifier is the largest: it stays only where all of its group's are null.
 An empty table gives an empty table. Columns that clash with working columns are kept untouched.
 """
 
@@ -40,18 +40,19 @@ def splitters(rows: DataFrame, key: list[str], id_col: str, ranges: int) -> list
     return [tuple(r) for r in found[step::step]]
 
 
-def range_of(key: Column, cuts: list, kind: str) -> Column:
-    """How many of the sorted cuts are not above the key: first among every so many of them, then among those between."""
+def placed_in_ranges(rows: DataFrame, key: Column, cuts: list, kind: str, part: str) -> DataFrame:
+    """rows with part, how many of the sorted cuts are not above the key: first among every so many of them, then among those between."""
     if not cuts:
-        return F.lit(0)
+        return rows.withColumn(part, F.lit(0))
     step = max(1, math.isqrt(len(cuts)))
-
-    def listed(some: list) -> Column:
-        return F.array(*[F.struct(*map(F.lit, c)).cast(kind) for c in some])
-
-    outer = F.size(F.filter(listed(cuts[::step]), lambda c: c <= key))
-    inner = F.filter(F.element_at(F.array(*[listed(cuts[i : i + step]) for i in range(0, len(cuts), step)]), outer), lambda c: c <= key)
-    return F.when(outer == 0, F.lit(0)).otherwise((outer - 1) * step + F.size(inner))
+    outer, inner = free_name(rows, "outer", "inner")
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    # one row of at most MOST_RANGES splitters
+    table_ = rows.sparkSession.createDataFrame([([g[0] for g in groups], groups)], f"{outer} array<{kind}>, {inner} array<array<{kind}>>")
+    at = F.size(F.filter(F.col(outer), lambda c: c <= key))
+    within = F.filter(F.element_at(F.col(inner), at), lambda c: c <= key)
+    place = F.when(at == 0, F.lit(0)).otherwise((at - 1) * step + F.size(within))
+    return rows.crossJoin(F.broadcast(table_)).select(*[F.col(f"`{c}`") for c in rows.columns], place.alias(part))
 
 
 def content_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = True) -> DataFrame:
@@ -61,13 +62,13 @@ def content_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (of the normalised text). With carry the other columns stay, else the identifier and, of first and last rows, the
     normalised text as border.
     """
-    run, norm, start, sha, part, head, n, first, last = free_name(df, "run", "norm", "start", "sha", "part", "head", "n", "first", "last")
-    key = [start, sha, id_col]
+    run, norm, start, sha, none, part, head, n, first, last = free_name(df, "run", "norm", "start", "sha", "none", "part", "head", "n", "first", "last")
+    key = [start, sha, none, id_col]
     own = [F.col(f"`{c}`") for c in df.columns] if carry else [F.col(id_col)]
-    rows = df.select(*own, normalised(F.col(text_col)).alias(norm)).withColumn(start, F.substring(norm, 1, KEY)).withColumn(sha, F.sha2(norm, 256))
+    rows = df.select(*own, normalised(F.col(text_col)).alias(norm)).withColumn(start, F.substring(norm, 1, KEY)).withColumn(sha, F.sha2(norm, 256)).withColumn(none, F.col(f"`{id_col}`").isNull())
     cuts = splitters(rows, key, id_col, min(MOST_RANGES, RANGES * shuffle_partitions(df.sparkSession)))
-    kind = f"struct<a: string, b: string, c: {df.schema[id_col].dataType.simpleString()}>"
-    placed = rows.withColumn(part, range_of(F.struct(*key).cast(kind), cuts, kind)).repartition(F.col(part))
+    kind = f"struct<a: string, b: string, c: boolean, d: {df.schema[id_col].dataType.simpleString()}>"
+    placed = placed_in_ranges(rows, F.struct(*key).cast(kind), cuts, kind, part).repartition(F.col(part))
     order = W.partitionBy(part).orderBy(*key)
     before = F.lag(norm).over(order)
     runs = (

@@ -2,7 +2,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from civicframe.llm.exact_dedup import distinct_texts, exact_dedup, range_of
+from civicframe.llm.exact_dedup import distinct_texts, exact_dedup, placed_in_ranges
 
 SCHEMA = "doc_id long, text string, run string, Norm int"
 
@@ -52,10 +52,35 @@ def test_range_numbers(spark):
     df = spark.createDataFrame([("a", "z", 9), ("b", "x", None), ("b", "x", 3), ("b", "x", 4), ("c", "a", 0), ("d", "y", 2), ("e", "", 0)], "a string, b string, c long")
     kind = "struct<a: string, b: string, c: bigint>"
     for k in range(len(cuts) + 1):
-        got = [r.n for r in df.select(range_of(F.struct("a", "b", "c").cast(kind), cuts[:k], kind).alias("n")).collect()]
+        got = [r.n for r in placed_in_ranges(df, F.struct("a", "b", "c").cast(kind), cuts[:k], kind, "n").collect()]
         assert got == [min(k, n) for n in (0, 0, 1, 1, 3, 5, 5)]
 
 
+def test_what_stays_is_what_is_named(spark):
+    """kept and keep_id agree for null identifiers, also where borders of ranges cut the group."""
+    few = spark.createDataFrame([(None, "a"), (1, "a"), (2, "a"), (None, "b"), (None, "b")], "doc_id long, text string")
+    many = spark.range(3000).selectExpr("IF(id % 2 = 0, NULL, id) AS doc_id", "IF(id % 3 = 0, 'same', concat('t', id % 50)) AS text")
+    for df in (few, many.repartition(7)):
+        got = exact_dedup(df).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r.text_sha256, []).append(r)
+        for rows in by.values():
+            (stays,) = [r for r in rows if r.kept]
+            least = min((r.doc_id for r in rows if r.doc_id is not None), default=None)
+            assert {r.keep_id for r in rows} == {least} == {stays.doc_id}
+        kept = distinct_texts(df).collect()
+        assert sorted(map(str, (r.doc_id for r in kept))) == sorted(str(r.doc_id) for r in got if r.kept) and len(kept) == len(by)
+
+
+def test_splitters_are_not_in_the_plan(spark):
+    df = spark.range(4000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    from civicframe.llm.exact_dedup import content_runs
+
+    plan = content_runs(df)._jdf.queryExecution().analyzed().toString()
+    assert len(plan) < 20_000
+
+
 def test_stage_keeps_columns(spark):
     kept = distinct_texts(docs(spark))
     assert kept.columns == ["doc_id", "text", "run", "Norm"] and kept.count() == 6
