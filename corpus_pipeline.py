@@ -28,7 +28,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest identifier stays.
 
     Null counts as empty, so of null, empty and white-space texts one stays for each normal form; of rows that share
-    identifier and text one stays; a null identifier is the smallest.
+    identifier and text one stays; a null identifier is the largest.
     """
     return distinct_texts(docs)
 
