@@ -3,8 +3,9 @@
 A rule (action, host, path) fits its host and all subdomains when the url's path starts with the
 rule's; the longest host+path wins and, at equal length, allow. Pages that no rule fits take the
 decision of their aliases: urls with the same normal form, and urls that redirects or canonical
-links join, directly or over others (distributed connected components). In such a class an explicit
-allow goes before a block; a class without any rule is allowed.
+links join, directly or over others (distributed connected components). Targets of links are judged by
+the rules too, whether or not the table has a page for them. In such a class an explicit allow goes
+before a block; a class without any rule is allowed.
 
 All canonical links and refreshes of a page count, with character references decoded, and are resolved
 against the page or its base; those in comments or scripts do not. Null urls and urls without '://'
@@ -22,7 +23,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from civicframe.llm.common import table
+from civicframe.llm.common import table, written
 from civicframe.llm.html_extract import ATTR, TOKEN
 from civicframe.llm.components import connected_components
 
@@ -113,14 +114,16 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     url = F.col(url_col)
     base = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), normal_form(url).alias("form"))
     judged = with_rule(base, rules)
-    links = (
+    targets = (
         pages.filter((F.instr(url, "://") > 0) & F.col(html_col).rlike("(?i)canonical|refresh"))
         .select(normal_form(url).alias("u"), F.explode(link_targets(url, F.col(html_col))).alias("target"))
-        .select("u", normal_form(F.col("target")).alias("v")).filter("u <> v")
     )
-    alias = connected_components(links)
+    # links are parsed once: for the edges, and for the rules that fit their targets
+    links = written(targets.select("u", normal_form(F.col("target")).alias("v"), host_of(F.col("target")).alias("host"), path_of(F.col("target")).alias("path")).filter("u <> v").distinct(), "links")
+    alias = connected_components(links.select("u", "v"))
+    linked = with_rule(links.select("host", "path", F.col("v").alias("form")), rules)
     forms = (
-        judged.filter("form IS NOT NULL").groupBy("form")
+        judged.select("form", "action").unionByName(linked.select("form", "action")).filter("form IS NOT NULL").groupBy("form")
         .agg(F.max(F.expr("action = 'allow'")).alias("a"), F.max(F.expr("action = 'block'")).alias("b"))
         .join(alias, F.col("form") == F.col("node"), "left")
         .select("form", F.coalesce("component", "form").alias("alias_class"), "a", "b")

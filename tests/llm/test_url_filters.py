@@ -41,6 +41,59 @@ def test_links_are_decoded_and_resolved(spark):
     assert [got[i].verdict for i in range(13)] == ["block"] * 6 + ["allow", "block", "block", "allow", "allow", "block", "block"]
 
 
+def test_targets_without_a_page_are_judged(spark):
+    link = lambda to: f'<link rel="canonical" href="{to}">'
+    pages = [
+        ("http://a.com/x", link("http://foo.net/y")), ("http://d.com/1", link("http://c.net/")), ("http://e.com/", link("http://c.net/")), ("http://f.com/", link("http://x.org/fr/") + link("http://c.net/z")),
+        ("http://g.com/", link("http://neutral.it/")), ("http://h.com/", link("http://g.com/")), ("http://i.com/", link("http://other.it/") + link("http://example.com/de/")), ("http://j.com/", link("http://other.it")),
+    ]
+    got = run(spark, pages)
+    assert [got[i].verdict for i in range(8)] == ["block", "block", "block", "allow", "allow", "allow", "block", "block"]
+    assert all(got[i].rule is None for i in range(8))
+    twice = run(spark, [("http://a.com/x", None), ("http://a.com/x", link("http://foo.net/y"))])
+    assert [twice[i].verdict for i in range(2)] == ["block", "block"]
+
+
+def test_ten_thousand_linked_pages_against_union_find(spark):
+    """Decisions over chains, stars and redirects out of the table, as a plain union-find gives them."""
+    import random
+
+    rng = random.Random(9)
+    hosts = [f"h{i}.it" for i in range(3000)] + [f"b{i}.net" for i in range(40)] + [f"o{i}.org" for i in range(20)]
+    address = lambda: f"http://{rng.choice(hosts)}/{rng.choice(['fr/', 'en/', ''])}{rng.randrange(4)}"
+    pages = []
+    for i in range(10_000):
+        to = "http://hub.it/0" if i % 97 == 0 else address() if rng.random() < 0.3 else None
+        pages.append((address(), f'<meta http-equiv=refresh content="0;url={to}">' if to and i % 2 else f'<link rel=canonical href="{to}">' if to else None))
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def own(url):
+        host, _, path = url.partition("://")[2].partition("/")
+        if host.endswith(".org") and path.startswith("fr/"):
+            return "allow"
+        return "block" if host.endswith(".net") else None
+
+    links = [(u, h.split("url=")[1].split('"')[0] if "url=" in h else h.split('href="')[1].split('"')[0]) for u, h in pages if h]
+    for u, v in links:
+        root[find(u)] = find(v)
+    said = {}
+    for url in {u for u, _ in pages} | {v for _, v in links}:
+        said.setdefault(find(url), set()).add(own(url))
+    got = run(spark, pages)
+    assert len(got) == len(pages)
+    for i, (u, _) in enumerate(pages):
+        of = said[find(u)]
+        assert got[i].verdict == (own(u) or ("allow" if "allow" in of else "block" if "block" in of else "allow"))
+    assert sum(own(u) is None and got[i].verdict == "block" for i, (u, _) in enumerate(pages)) > 100
+
+
 def test_empty_tables(spark):
     assert filter_urls(spark.createDataFrame([], "page_id long, url string, html string, rule int, form string")).count() == 0
 
