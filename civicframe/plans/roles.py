@@ -59,13 +59,20 @@ def payments_cube(spark: SparkSession, sf_dir: str) -> Cube:
     return known[1]
 
 
-def entity_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per entity with movements: total_cents, title_cents (title 1), joined with the entity."""
+def entity_totals(spark: SparkSession, sf_dir: str, year: int | None = None) -> DataFrame:
+    """One row per entity with movements (of a year): total_cents, title_cents (title 1), joined with the entity."""
     title = F.coalesce(F.sum(F.when(F.col("title") == "1", F.col("cents"))), F.lit(0)).cast("bigint")
-    sums = payments_cube(spark, sf_dir).sums(["entity"], needs=("title",), also={"title_cents": title})
+    where, needs = (None, ("title",)) if year is None else (F.col("year") == year, ("title", "year"))
+    sums = payments_cube(spark, sf_dir).sums(["entity"], where, needs, {"title_cents": title})
     return sums.select("entity", F.col("cents").alias("total_cents"), "title_cents").join(entities(spark, sf_dir), "entity")
 
 
+def available_years(spark: SparkSession, sf_dir: str) -> dict[int, int]:
+    """Years with payments, each with its last month."""
+    months = payments_cube(spark, sf_dir).sums(["year", "month"], needs=("title",))
+    return {r.year: r.month for r in months.groupBy("year").agg(F.max("month").alias("month")).collect()}
+
+
 #: The same roles in SQL, as common table expressions.
 SQL = """
 mov AS (SELECT l_orderkey AS number, l_linenumber AS line, l_suppkey AS supplier, l_partkey AS part, l_returnflag AS flag,
