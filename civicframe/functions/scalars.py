@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 SAFE_INTEGER = 9007199254740991
+#: The names of months.
 MONTHS = ("gennaio", "febbraio", "marzo", "aprile", "maggio", "giugno", "luglio", "agosto", "settembre", "ottobre", "novembre", "dicembre")
 
 
@@ -160,6 +161,11 @@ def header_name(name: str) -> str:
     return "_".join(name.replace("﻿", "").strip().lower().split())
 
 
+def header_key(text: Column) -> Column:
+    """The same for names in a column."""
+    return F.replace(F.lower(F.trim(F.regexp_replace(F.replace(text, F.lit("\ufeff"), F.lit("")), r"\s+", " "))), F.lit(" "), F.lit("_"))
+
+
 def cup(text: Column) -> Column:
     code = F.upper(F.trim(text))
     return F.when(code.rlike(r"^[A-Z0-9]{15}$"), code)
@@ -218,6 +224,7 @@ def implied_population(pairs: list[tuple[Column, Column]]) -> Column:
 
 
 def population_band(people: Column) -> Column:
+    """Labels and borders of the five bands."""
     return F.when(people.isNull(), "non-disponibile").when(people < 1000, "meno-di-1.000").when(people < 5000, "1.000-4.999").when(people < 20000, "5.000-19.999").otherwise("20.000-o-piu")
 
 
@@ -298,7 +305,7 @@ def territorial_level(code: Column, asked: Column) -> Column:
 
 
 def release_of(title: Column, prefix: str) -> Column:
-    """Struct kind, year, month of a release's title: '2024/03 - prefix' or '2024 - prefix Consuntivo'; else of nulls."""
+    """Struct kind, year, month of a release's title, by fixed patterns: '2024/03 - prefix' or '2024 - prefix Consuntivo'; else of nulls."""
     final, monthly = rf"^(20\d\d) - {prefix} Consuntivo$", rf"^(20\d\d)/(0[1-9]|1[0-2]) - {prefix}$"
     year = F.coalesce(F.nullif(F.regexp_extract(title, final, 1), F.lit("")), F.nullif(F.regexp_extract(title, monthly, 1), F.lit("")))
     kind = F.when(title.rlike(final), "consuntivo").when(title.rlike(monthly), "mensile")
@@ -307,7 +314,7 @@ def release_of(title: Column, prefix: str) -> Column:
 
 
 def product_code(kind: Column, month: Column, suffix: str) -> Column:
-    """Code under which a release is published; null without a kind, or a month where it needs one."""
+    """Code (fixed values) under which a release is published; null without a kind, or a month where it needs one."""
     monthly = F.concat(F.lit("PBS_SPE_M"), F.lpad(month.cast("string"), 2, "0"), F.lit(f"_{suffix}_001"))
     return F.when(kind == "consuntivo", F.lit(f"PBS_SPE_RND_{suffix}_001")).when(kind == "mensile", monthly)
 

@@ -47,22 +47,21 @@ def band_table(spark, bands=POPULATION_BANDS) -> DataFrame:
 def weighted_nearest_rank(df: DataFrame, keys: list[str], value: str, weight: str, probabilities=PROBABILITIES) -> DataFrame:
     """For each group the first value, in order, whose cumulative weight reaches p times the total.
 
-    Values are summed up by distinct value first, so a window sees each value of a group once.
+    Weights are summed up by distinct value and by ranges of values first, so no task sorts all values of a group.
     Rows without value or positive weight do not count; a group of none has no row.
     """
-    sums = df.filter(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(*keys, value).agg(F.sum(weight).alias("w"))
-    order, all_ = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*keys)
-    run = sums.withColumn("cum", F.sum("w").over(order).cast("double")).withColumn("total", F.sum("w").over(all_).cast("double"))
-    return run.groupBy(*keys).agg(*[F.min(F.when(F.col("cum") >= F.lit(p) * F.col("total"), F.col(value))).alias(n) for n, p in probabilities])
+    found = ranks(df.filter(F.col(weight) > 0), keys, value, weight=weight)
+    reach = lambda p: F.col("upto").cast("double") >= F.lit(p) * F.col("n").cast("double")
+    return found.groupBy(*keys).agg(*[F.min(F.when(reach(p), F.col(value))).alias(n) for n, p in probabilities])
 
 
-def ranks(df: DataFrame, by: list[str], value: str, parts: int = 64) -> DataFrame:
-    """by, value, upto (rows of the group up to the value) and n (rows of the group), for every distinct value.
+def ranks(df: DataFrame, by: list[str], value: str, parts: int = 64, weight: str | None = None) -> DataFrame:
+    """by, value, upto (rows, or weights, of the group up to the value) and n (of the whole group), for every distinct value.
 
     Nulls do not count. Values fall into ranges between approximate quantiles, and running counts go over the ranges'
     sums first, so that no task sorts all values of a group.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c__"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("c__"))
     cuts = counts.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000).alias("cuts__"))
     # one row
     placed = counts.crossJoin(F.broadcast(cuts)).withColumn("part__", F.size(F.filter("cuts__", lambda c: c < F.col(value)))).drop("cuts__")
@@ -74,7 +73,7 @@ def ranks(df: DataFrame, by: list[str], value: str, parts: int = 64) -> DataFram
     return placed.join(sums.drop("s__"), [*by, "part__"]).select(*by, value, upto.alias("upto"), "n")
 
 
-def _at_rank(rank: Column, value: str) -> Column:
+def at_rank(rank: Column, value: str) -> Column:
     """Aggregate: the value at a rank counted from 0."""
     return F.min(F.when(F.col("upto") > rank, F.col(value)))
 
@@ -85,7 +84,7 @@ def linear_quantiles(df: DataFrame, by: list[str], value: str, probabilities: di
     for name, p in probabilities.items():
         place = (F.col("n") - 1) * F.lit(p)
         low = F.floor(place)
-        picks += [_at_rank(low, value).alias(f"{name}_a"), _at_rank(F.least(low + 1, F.col("n") - 1), value).alias(f"{name}_b")]
+        picks += [at_rank(low, value).alias(f"{name}_a"), at_rank(F.least(low + 1, F.col("n") - 1), value).alias(f"{name}_b")]
     found = ranks(df, by, value).groupBy(*by, "n").agg(*picks)
 
     def between(name: str, p: float) -> Column:
@@ -97,7 +96,7 @@ def linear_quantiles(df: DataFrame, by: list[str], value: str, probabilities: di
 
 def floor_index_breaks(df: DataFrame, value: str, fractions=(0.2, 0.4, 0.6, 0.8), by: list[str] | None = None) -> DataFrame:
     """Class breaks values[min(n - 1, floor(n f))] of the values without nulls, of all rows or by group; one row of nulls where there is no row."""
-    picks = [_at_rank(F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(f))), value).alias(f"break_{i + 1}") for i, f in enumerate(fractions)]
+    picks = [at_rank(F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(f))), value).alias(f"break_{i + 1}") for i, f in enumerate(fractions)]
     return ranks(df, by or [], value).groupBy(*(by or [])).agg(*picks)
 
 

@@ -41,6 +41,16 @@ def headers(df: DataFrame, expected: list[str], exact: bool = True) -> None:
         raise CheckFailed(f"columns: missing {missing}, found {df.columns}")
 
 
+def header_state(line: Column, sep: str, expected: list[str]) -> Column:
+    """Struct of what a file's first line has against the expected order: missing and unknown columns, doubled, exact. Case and outer spaces do not count."""
+    cells = F.transform(F.split(line, f"[{sep}]"), lambda c: F.lower(F.trim(c)))
+    want = F.array(*map(F.lit, expected))
+    return F.struct(
+        F.filter(want, lambda c: ~F.array_contains(cells, c)).alias("missing"), F.filter(cells, lambda c: ~F.array_contains(want, c)).alias("unknown"),
+        (F.size(cells) > F.size(F.array_distinct(cells))).alias("doubled"), (cells == want).alias("exact"),
+    )
+
+
 def always(condition: Column) -> Column:
     """Holds for every row; null counts as failure."""
     return F.count_if(~F.coalesce(condition, F.lit(False))) == 0

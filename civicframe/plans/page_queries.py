@@ -30,13 +30,13 @@ def sort_keys(spark, sf_dir):
         "code": F.col("entity"), "difference": difference, "per_capita": X.per_capita(F.col("total_cents"), F.col("people")),
         "percent": F.when(F.col("title_cents") > 0, X.percentage(difference, F.col("title_cents"))),
     }
-    found = None
-    for name, key in keys.items():
-        for descending in (False, True):
-            part = S.top(rows.select("entity", key.alias("k")), S.ordered_by("k", descending, "entity"), 15)
-            part = S.numbered(part, S.ordered_by("k", descending, "entity")).select(F.lit(name).alias("sort_key"), F.lit(descending).alias("descending"), "entity", "place")
-            found = part if found is None else found.unionByName(part)
-    return found
+    from pyspark.sql import Window as W
+
+    # both directions of every key as rows of their own: nulls last, descending keys turned
+    sides = [F.struct(F.lit(n).alias("sort_key"), F.lit(d).alias("descending"), (-k if d else k).cast("decimal(30,6)").alias("k")) for n, k in keys.items() for d in (False, True)]
+    spread = rows.select("entity", F.explode(F.array(*sides)).alias("x")).select("x.*", "entity")
+    place = F.row_number().over(W.partitionBy("sort_key", "descending").orderBy(F.col("k").asc_nulls_last(), "entity"))
+    return spread.withColumn("place", place).filter("place <= 15").select("sort_key", "descending", "entity", F.col("place").cast("bigint").alias("place"))
 
 
 @query(
@@ -150,22 +150,48 @@ def equals_top(spark, sf_dir):
 
 @query(
     "s17_declared_columns",
-    "SELECT name, type, present FROM (VALUES ('n_name', 'string', true), ('n_nationkey', 'int', true), ('n_missing', 'string', false)) AS v(name, type, present)",
+    """SELECT 'n_name' AS name, 'string' AS type, max(typeof(n_name)) = 'VARCHAR' AS present FROM nation UNION ALL SELECT 'n_nationkey', 'int', max(typeof(CAST(n_nationkey AS INT))) = 'INTEGER' FROM nation
+        UNION ALL SELECT 'n_regionkey', 'string', max(typeof(n_regionkey)) = 'VARCHAR' FROM nation UNION ALL SELECT 'n_missing', 'string', count(*) > 0 FROM duckdb_columns() WHERE column_name = 'n_missing'""",
     roles=False,
 )
 def declared_columns(spark, sf_dir):
-    """Declared columns against those of a table; one of them is not there."""
-    nation = read(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").cast("int").alias("n_nationkey"))
-    return S.declared(nation, {"n_name": "string", "n_nationkey": "int", "n_missing": "string"})
+    """Declared columns against those of a table; one of them is of another type, one is not there."""
+    nation = read(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_regionkey")
+    return S.declared(nation, {"n_name": "string", "n_nationkey": "int", "n_regionkey": "string", "n_missing": "string"})
+
+
+_LAYOUT = ("code", "year", "amount", "note")
+_FOUND = """CASE i % 7 WHEN 0 THEN 'code;year;amount;note' WHEN 1 THEN 'code;amount;year;note' WHEN 2 THEN 'code;year;amount' WHEN 3 THEN 'code;year;amount;note;x' || CAST(i AS STRING)
+    WHEN 4 THEN 'code;year;amount;note;year' WHEN 5 THEN ' Code ;YEAR;amount;note' ELSE 'x' || CAST(i AS STRING) || ';year;amount;note' END"""
+
+
+@query(
+    "v01_header_states",
+    f"""WITH t AS (SELECT i, list_transform(string_split({_FOUND}, ';'), lambda c: lower(trim(c))) AS cells FROM (SELECT s_suppkey AS i FROM supplier)), e AS (SELECT {list(_LAYOUT)} AS want)
+        SELECT i, array_to_string(list_filter(want, lambda c: NOT list_contains(cells, c)), ',') AS missing,
+        array_to_string(list_filter(cells, lambda c: NOT list_contains(want, c)), ',') AS unknown, length(cells) > list_unique(cells) AS doubled, cells = want AS exact FROM t, e""",
+    roles=False,
+)
+def header_states(spark, sf_dir):
+    """A header for each supplier against the declared order of columns: what is missing, unknown or doubled, and whether it is exactly that."""
+    from civicframe.operators.contracts import header_state
+
+    found = header_state(F.expr(_FOUND), ";", list(_LAYOUT))
+    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i")).select("i", found.alias("h")).select("i", F.array_join("h.missing", ",").alias("missing"), F.array_join("h.unknown", ",").alias("unknown"), "h.doubled", "h.exact")
 
 
 # --- changes --------------------------------------------------------------------------------------------------------
 
 
+_DIFFERS = "EXISTS ((SELECT * FROM {0} EXCEPT ALL SELECT * FROM own) UNION ALL (SELECT * FROM own EXCEPT ALL SELECT * FROM {0}))"
+
+
 @query(
     "k02_change_digest",
-    """SELECT * FROM (VALUES ('same', false), ('order', false), ('ignored', false), ('value', true), ('row', true)) AS v(variant, changed)
-        WHERE (SELECT count(DISTINCT n_name) FROM nation) > 1""",
+    f"""WITH own AS (SELECT n_nationkey, n_name FROM nation), sorted AS (SELECT n_nationkey, n_name FROM nation ORDER BY n_name DESC),
+        altered AS (SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'other' ELSE n_name END AS n_name FROM nation), fewer AS (SELECT * FROM own WHERE n_nationkey <> 3)
+        SELECT 'same' AS variant, {_DIFFERS.format('own')} AS changed UNION ALL SELECT 'order', {_DIFFERS.format('sorted')} UNION ALL SELECT 'ignored', {_DIFFERS.format('own')}
+        UNION ALL SELECT 'value', {_DIFFERS.format('altered')} UNION ALL SELECT 'row', {_DIFFERS.format('fewer')}""",
     roles=False,
 )
 def change_digest(spark, sf_dir):
@@ -269,16 +295,14 @@ def repeated_in_files(spark, sf_dir):
 def project_totals(spark, sf_dir):
     """Tenders and awards of every project, and of the awards those that a tender of the project has."""
     rows = movements(spark, sf_dir).select("number", "line", "supplier", "part", "cents", "status", "flag")
-    tenders = rows.filter("status = 'O'")
-    awards = rows.filter("flag = 'N'")
-    linked = J.null_safe(awards, tenders, ["number"], ["line", "supplier", "part"], "left_semi")
-
-    def total(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("number").agg(F.sum("cents").alias(name))
-
-    found = rows.select("number").distinct().join(total(tenders, "tenders"), "number", "left").join(total(awards, "awards"), "number", "left").join(total(linked, "linked"), "number", "left")
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("tenders", "awards", "linked")}
-    return found.select("number", *[c.alias(n) for n, c in zero.items()], (zero["awards"] - zero["linked"]).alias("unlinked"))
+    key = ["number", "line", "supplier", "part"]
+    # lines of one key are summed up with whether a tender has it, then those of a project: one scan
+    tender, award = F.col("status") == "O", F.col("flag") == "N"
+    part = lambda c, n: F.coalesce(F.sum(F.when(c, F.col("cents"))), F.lit(0)).alias(n)
+    by_key = rows.groupBy(*key).agg(part(tender, "tenders"), part(award, "awards"), F.bool_or(tender & F.coalesce("line", "supplier", "part").isNotNull()).alias("known"))
+    linked = F.coalesce(F.sum(F.when(F.col("known"), F.col("awards"))), F.lit(0))
+    found = by_key.groupBy("number").agg(F.sum("tenders").alias("tenders"), F.sum("awards").alias("awards"), linked.alias("linked"))
+    return found.select("number", "tenders", "awards", "linked", (F.col("awards") - F.col("linked")).alias("unlinked"))
 
 
 @query("a35_oldest_valid", """SELECT event_type, min(CASE WHEN year(ts) = 2024 AND event_id % 5 <> 0 THEN ts END) AS oldest,

@@ -426,8 +426,12 @@ def null_totals(spark, sf_dir):
 @query("a34_a35_a36_latest", """SELECT event_type, max(ts) AS latest, min(ts) AS oldest, quantile_disc(event_id, 0.95) AS p95, quantile_cont(CAST(event_id AS DOUBLE),
         0.5) AS middle FROM events GROUP BY event_type""", roles=False)
 def latest(spark, sf_dir):
-    rank = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY event_id)").cast("bigint")
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.max("ts").alias("latest"), F.min("ts").alias("oldest"), rank.alias("p95"), F.median("event_id").alias("middle"))
+    """Times by type, and over the ordered identifiers the value that 95 percent reach and the middle; no task sorts a whole type."""
+    rows = read(spark, sf_dir, "events")
+    place = F.ceil(F.lit(0.95) * F.col("n")) - 1
+    middle = [A.at_rank(F.floor((F.col("n") - 1) / 2), "event_id"), A.at_rank(F.ceil((F.col("n") - 1) / 2), "event_id")]
+    ordered = A.ranks(rows, ["event_type"], "event_id").groupBy("event_type").agg(A.at_rank(place, "event_id").alias("p95"), ((middle[0] + middle[1]) / 2).alias("middle"))
+    return rows.groupBy("event_type").agg(F.max("ts").alias("latest"), F.min("ts").alias("oldest")).join(ordered, "event_type")
 
 
 @query("a32_differences", """+ y AS (SELECT year, CAST(sum(cents) FILTER (flag = 'A') AS BIGINT) AS v, CAST(nullif(sum(cents) FILTER (flag = 'R'), 0) AS BIGINT) AS r
@@ -684,20 +688,24 @@ def buckets(spark, sf_dir):
 BASES = (("procurement", "59.7721"), ("tax", "108.6"), ("healthcare", "0.568"), ("debt", "0.250546"))
 VARIANTS = (("prudent", "0.25", "0.02", "0.01", "0.05", "0.1"), ("central", "0.5", "0.025", "0.03", "0.1", "0.2"), ("ambitious", "1", "0.025", "0.05", "0.15", "0.3"))
 _V = ", ".join(f"('{v[0]}', {v[1]}::DECIMAL(9,4) * {v[2]}::DECIMAL(9,4), {v[3]}::DECIMAL(9,4), {v[4]}::DECIMAL(9,4), {v[5]}::DECIMAL(9,4))" for v in VARIANTS)
+_BASE = "CAST(CAST(coalesce(sum(cents) FILTER (title = '{0}'), 0) // 100 AS BIGINT) / 1000000.0 AS DECIMAL(12,6)) AS {1}"
 
 
-@query("p12_scenario", f"""WITH v(id, a, b, c, d) AS (VALUES {_V}), x AS (SELECT id, round(59.7721::DECIMAL(12,6) * a, 9) AS procurement,
-        round(108.6::DECIMAL(12,6) * b, 9) AS tax, round(0.568::DECIMAL(12,6) * c, 9) AS healthcare, round(0.250546::DECIMAL(12,6) * d,
-        9) AS debt FROM v) SELECT id, CAST(procurement AS DECIMAL(20,9)) AS procurement, CAST(tax AS DECIMAL(20,9)) AS tax,
+@query("p12_scenario", f"""+ v(id, a, b, c, d) AS (VALUES {_V}), s AS (SELECT region, {", ".join(_BASE.format(i + 1, n) for i, (n, _) in enumerate(BASES))} FROM mov JOIN tit USING (part) JOIN ent USING (entity)
+        GROUP BY region), x AS (SELECT region, id, round(procurement * a, 9) AS procurement, round(tax * b, 9) AS tax, round(healthcare * c, 9) AS healthcare, round(debt * d, 9) AS debt FROM v, s)
+        SELECT region, id, CAST(procurement AS DECIMAL(20,9)) AS procurement, CAST(tax AS DECIMAL(20,9)) AS tax,
         CAST(healthcare AS DECIMAL(20,9)) AS healthcare, CAST(debt AS DECIMAL(20,9)) AS debt,
-        CAST(procurement + tax + healthcare + debt AS DECIMAL(20,9)) AS annual FROM x""", roles=False)
+        CAST(procurement + tax + healthcare + debt AS DECIMAL(20,9)) AS annual FROM x""")
 def scenario(spark, sf_dir):
-    """One row of bases crossed with three variants."""
-    bases = spark.createDataFrame([tuple(b for _, b in BASES)], ", ".join(f"{n} string" for n, _ in BASES))
+    """Each region's payments of four titles, in millions, as bases crossed with three variants."""
+    paid = movements(spark, sf_dir).join(titles(spark, sf_dir), "part").join(entities(spark, sf_dir).select("entity", "region"), "entity")
+    millions = lambda t: (F.floor(F.coalesce(F.sum(F.when(F.col("title") == t, F.col("cents"))), F.lit(0)) / 100).cast("decimal(18,0)") / 1000000).cast("decimal(12,6)")
+    bases = paid.groupBy("region").agg(*[millions(str(i + 1)).alias(n) for i, (n, _) in enumerate(BASES)])
     variants = spark.createDataFrame(list(VARIANTS), "id string, audited string, efficiency string, taxed string, health string, prevented string")
     number = lambda c: F.col(c).cast("decimal(12,6)")
     part = lambda n, *rates: F.round(_product(number(n), *map(number, rates)), 9).cast("decimal(20,9)").alias(n)
-    found = variants.crossJoin(F.broadcast(bases)).select("id", part("procurement", "audited", "efficiency"), part("tax", "taxed"), part("healthcare", "health"), part("debt", "prevented"))
+    # three variants
+    found = bases.crossJoin(F.broadcast(variants)).select("region", "id", part("procurement", "audited", "efficiency"), part("tax", "taxed"), part("healthcare", "health"), part("debt", "prevented"))
     return found.withColumn("annual", (F.col("procurement") + F.col("tax") + F.col("healthcare") + F.col("debt")).cast("decimal(20,9)"))
 
 
@@ -708,49 +716,6 @@ def _product(*xs):
     return out
 
 
-_LITERALS = ("", "1", "1,5", "1.234,56", "€ 1.000", "12.5", "-3,25", "abc", "00000125", "1.5", "###", " a  b ", "12,34567", "-7.00", "31/12/2020", "2020-02-30", "00/01/1900", "2020-02-29", "[123]", "42")
-_ROWS = ", ".join(f"('{t}')" for t in _LITERALS)
-
-
-@query(
-    "x01_x06_x07_x11_numbers",
-    f"""WITH t(s) AS (VALUES {_ROWS}), n AS (SELECT s, replace(replace(replace(s, ' ', ''), '.', ''), ',', '.') AS i, regexp_replace(s, '[€\\s]',
-        '', 'g') AS g FROM t)
-        SELECT s, CASE WHEN TRY_CAST(i AS DOUBLE) > 1 THEN CAST(round_even(TRY_CAST(i AS DOUBLE), 0) AS BIGINT) END AS people,
-        CASE WHEN regexp_matches(s, '^\\d[\\d.]*(,\\d+)?$') THEN CAST(round(TRY_CAST(replace(replace(s, '.', ''), ',',
-        '.') AS DECIMAL(30,6)) * 100, 0) AS BIGINT) END AS italian,
-        CAST(round(TRY_CAST(CASE WHEN regexp_matches(g, '^\\d{{1,3}}(\\.\\d{{3}})+(,\\d+)?$') THEN replace(replace(g, '.', ''), ',', '.')
-        WHEN regexp_matches(g, '^\\d+(,\\d+)?$') THEN replace(g, ',', '.')
-        WHEN regexp_matches(g, '^\\d+\\.(\\d{{1,2}}|\\d{{4,}})$') THEN g END AS DECIMAL(30,6)) * 100, 0) AS BIGINT) AS grouped,
-        CASE WHEN regexp_matches(s, '^\\d+(,\\d+)?$') THEN CAST(round(TRY_CAST(replace(s, ',', '.') AS DECIMAL(28,8)) * 100000000,
-        0) AS BIGINT) END AS millions,
-        CASE WHEN regexp_matches(s, '^-?\\d+\\.\\d{{2}}$') THEN CAST(TRY_CAST(s AS DECIMAL(20,2)) * 100 AS BIGINT) END AS exact FROM n""",
-    roles=False,
-)
-def numbers(spark, sf_dir):
-    """Number grammars over a table of literals."""
-    t = spark.createDataFrame([(s,) for s in _LITERALS], "s string")
-    s = F.col("s")
-    return t.select("s", X.population(s).alias("people"), X.italian_cents(s).alias("italian"), X.grouped_cents(s).alias("grouped"), X.millions_to_cents(s).alias("millions"), X.exact_cents(s).alias("exact"))
-
-
-@query(
-    "x02_x18_x20_x22_x25_text",
-    f"""WITH t(s) AS (VALUES {_ROWS}) SELECT s, coalesce(nullif(regexp_extract(s, '\\d'), ''), '?') AS digit,
-        CASE WHEN trim(regexp_replace(s, '\\s+', ' ', 'g')) <> '' AND NOT regexp_matches(trim(s), '^#+$') THEN trim(regexp_replace(s,
-        '\\s+', ' ', 'g')) END AS compact,
-        CASE WHEN coalesce(TRY_STRPTIME(trim(s), '%d/%m/%Y'), TRY_STRPTIME(trim(s),
-        '%Y-%m-%d')) > DATE '1900-01-01' THEN CAST(coalesce(TRY_STRPTIME(trim(s), '%d/%m/%Y'), TRY_STRPTIME(trim(s),
-        '%Y-%m-%d')) AS DATE) END AS day,
-        regexp_replace(trim(s), '^\\[|\\]$', '', 'g') AS tax, CASE WHEN length(s) < 6 THEN lpad(s, 6, '0') ELSE s END AS istat FROM t""",
-    roles=False,
-)
-def texts(spark, sf_dir):
-    t = spark.createDataFrame([(s,) for s in _LITERALS], "s string")
-    s = F.col("s")
-    return t.select("s", X.title_digit(s).alias("digit"), X.compact_text(s).alias("compact"), X.flexible_date(s).alias("day"), X.tax_code(s).alias("tax"), X.istat_code(s).alias("istat"))
-
-
 @query("x33_x36_freshness", """SELECT event_id, CASE WHEN ts IS NULL THEN 'unknown' WHEN date_diff('second', ts, TIMESTAMP '2024-01-20 00:00:00') < -300 THEN 'unknown'
         WHEN date_diff('second', ts, TIMESTAMP '2024-01-20 00:00:00') > 86400 THEN 'stale' ELSE 'fresh' END AS state,
         ['gennaio','febbraio','marzo','aprile','maggio','giugno','luglio','agosto','settembre','ottobre','novembre','dicembre'][month(ts)] AS

@@ -14,59 +14,66 @@ from civicframe.plans.queries import query
 from civicframe.plans.roles import read
 from civicframe.sources import readers as R
 
-_ROWS = "SELECT CAST(n_nationkey AS VARCHAR) AS code, 'say \"' || n_name || '\", ' || n_regionkey || chr(10) || 'end' AS label FROM nation"
+#: Rows of a file.
+FILE_ROWS = 400
+_ROWS = f"""SELECT CAST(floor(c_custkey / {FILE_ROWS}) AS BIGINT) AS file, CAST(c_custkey AS VARCHAR) AS code, 'say "' || c_name || '", ' || c_nationkey || chr(10) || 'end' AS label FROM customer"""
 
 
-def _nations(spark, sf_dir) -> DataFrame:
-    """code and a label with quotes, the separator and a line break."""
-    label = F.concat(F.lit('say "'), "n_name", F.lit('", '), F.col("n_regionkey").cast("string"), F.lit("\nend"))
-    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("code"), label.alias("label"))
+def _customers(spark, sf_dir) -> DataFrame:
+    """file, code and a label with quotes, the separator and a line break; a file has at most FILE_ROWS rows, and there are as many files as it takes."""
+    label = F.concat(F.lit('say "'), "c_name", F.lit('", '), F.col("c_nationkey").cast("string"), F.lit("\nend"))
+    return read(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / FILE_ROWS).alias("file"), F.col("c_custkey").cast("string").alias("code"), label.alias("label"))
 
 
 def _as_csv(rows: DataFrame, tail: str = "") -> DataFrame:
-    """One file (a row of text) of all rows, with a header."""
+    """file and text: the rows of each file, with a header."""
     line = F.concat_ws(",", "code", F.concat(F.lit('"'), F.replace("label", F.lit('"'), F.lit('""')), F.lit('"')))
-    lines = rows.agg(F.array_sort(F.collect_list(line)).alias("lines"))  # a file of a few rows
-    return lines.select(F.concat(F.lit("code,label\r\n"), F.array_join("lines", "\r\n"), F.lit(tail)).alias("text"))
+    lines = rows.groupBy("file").agg(F.array_sort(F.collect_list(line)).alias("lines"))  # FILE_ROWS at most
+    return lines.select("file", F.concat(F.lit("code,label\r\n"), F.array_join("lines", "\r\n"), F.lit(tail)).alias("text"))
 
 
-@query("s01_s02_v02_delimited", f"WITH r AS ({_ROWS}) SELECT code, label, false AS malformed FROM r UNION ALL SELECT 'a', 'b', true", roles=False)
+@query("s01_s02_v02_delimited", f"WITH r AS ({_ROWS}) SELECT code, label, false AS malformed FROM r UNION ALL SELECT 'a', 'b', true FROM (SELECT DISTINCT file FROM r)", roles=False)
 def delimited(spark, sf_dir):
-    """Quotes, separators and line breaks in cells; a row of another width is marked."""
-    return R.csv_rows(_as_csv(_nations(spark, sf_dir), "\r\n\r\na,b,c\r\n"), "text", ["code", "label"], header=True)
+    """Quotes, separators and line breaks in cells; a row of another width is marked. Many files, read by as many tasks as there are."""
+    return R.csv_rows(_as_csv(_customers(spark, sf_dir), "\r\n\r\na,b,c\r\n").repartition("file"), "text", ["code", "label"], header=True)
 
 
-_WORDS = ("città", "prezzo € 5", "naïve “x”", "plain", "")
+_SAID = "CASE i % 4 WHEN 0 THEN 'città ' || n WHEN 1 THEN 'prezzo € ' || n || ' “x”' WHEN 2 THEN 'città ' || n || chr(129) ELSE n END"
 
 
 @query(
     "s03_s04_encodings",
-    """SELECT * FROM (VALUES ('città', 'utf-8', 'utf-8'), ('prezzo € 5', 'utf-8', 'utf-8'), ('naïve “x”', 'utf-8', 'utf-8'), ('plain', 'utf-8',
-        'utf-8'), ('', 'utf-8', 'utf-8'),"""
-    " ('città', 'windows-1252', 'windows-1252'), ('prezzo € 5', 'windows-1252', 'windows-1252'), ('naïve “x”', 'windows-1252', 'windows-1252'), ('plain', 'windows-1252', 'utf-8'), ('', 'windows-1252', 'utf-8'),"
-    " ('città' || chr(129), 'iso-8859-1', 'iso-8859-1')) AS v(text, written, encoding)",
+    f"""WITH t AS (SELECT i, {_SAID} AS text FROM (SELECT p_partkey AS i, p_name AS n FROM part))
+        SELECT i, text, CASE i % 4 WHEN 1 THEN CASE WHEN i % 3 = 0 THEN 'utf-8' ELSE 'windows-1252' END WHEN 2 THEN CASE WHEN i % 3 = 0 THEN 'utf-8' ELSE 'iso-8859-1' END
+            WHEN 3 THEN 'utf-8' ELSE CASE WHEN i % 3 = 0 THEN 'utf-8' ELSE 'windows-1252' END END AS encoding FROM t""",
     roles=False,
 )
 def encodings(spark, sf_dir):
-    """Bytes of three encodings, read back by the chain."""
-    rows = [(w, "utf-8", bytearray(("﻿" + w).encode() if i % 2 else w.encode())) for i, w in enumerate(_WORDS)]
-    rows += [(w, "windows-1252", bytearray(w.encode("cp1252"))) for w in _WORDS]
-    rows += [("città\x81", "iso-8859-1", bytearray("città\x81".encode("latin-1")))]
-    files = spark.createDataFrame(rows, "text string, written string, content binary")
+    """Names of parts as bytes of three encodings, a third in UTF-8 (every other with a mark), read back by the chain."""
+    i, n = F.col("i"), F.col("n")
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), F.col("p_name").alias("n"))
+    latin = lambda c: F.encode(c, "ISO-8859-1")
+    town = latin(F.concat(F.lit("città "), n))
+    price = F.concat(latin(F.lit("prezzo ")), F.unhex(F.lit("80")), latin(F.concat(F.lit(" "), n, F.lit(" "))), F.unhex(F.lit("93")), latin(F.lit("x")), F.unhex(F.lit("94")))
+    single = F.when(i % 4 == 0, town).when(i % 4 == 1, price).when(i % 4 == 2, F.concat(town, F.unhex(F.lit("81")))).otherwise(latin(n))
+    said = F.when(i % 4 == 0, F.concat(F.lit("città "), n)).when(i % 4 == 1, F.concat(F.lit("prezzo € "), n, F.lit(" “x”"))).when(i % 4 == 2, F.concat(F.lit("città "), n, F.lit("\x81"))).otherwise(n)
+    utf8 = F.concat(F.when(i % 2 == 0, F.unhex(F.lit("EFBBBF"))).otherwise(F.lit(b"")), F.encode(said, "UTF-8"))
+    files = rows.select("i", F.when(i % 3 == 0, utf8).otherwise(single).alias("content"))
     found = R.decoded(F.col("content"))
-    return files.select(found["text"].alias("text"), "written", found["encoding"].alias("encoding"))
+    return files.select("i", found["text"].alias("text"), found["encoding"].alias("encoding"))
 
 
 @query(
     "v03_line_policy",
-    """SELECT * FROM (VALUES ('strict', false, false, false), ('mark', true, false, false), ('returns', false, true, false), ('open', false,
-        false, true), ('empty', false, false, false)) AS v(name, mark, carriage_returns, open_end)""",
+    """SELECT s_suppkey AS i, s_suppkey % 5 = 1 AS mark, s_suppkey % 5 = 2 AS carriage_returns, s_suppkey % 5 = 3 AS open_end FROM supplier""",
     roles=False,
 )
 def line_policy(spark, sf_dir):
-    files = {"strict": b"a;b\nc;d\n", "mark": b"\xef\xbb\xbfa;b\n", "returns": b"a;b\r\nc;d\r\n", "open": b"a;b\nc;d", "empty": b""}
-    table = spark.createDataFrame([(n, bytearray(b)) for n, b in files.items()], "name string, content binary")
-    return table.select("name", R.line_policy(F.col("content")).alias("p")).select("name", "p.*")
+    """A file for each supplier: strict, with a mark, with carriage returns, with an open last line, or empty."""
+    i, name = F.col("s_suppkey"), F.col("s_name")
+    lines = F.concat(name, F.lit(";b\nc;d\n"))
+    text = F.when(i % 5 == 0, lines).when(i % 5 == 1, F.concat(F.lit("\ufeff"), lines)).when(i % 5 == 2, F.replace(lines, F.lit("\n"), F.lit("\r\n"))).when(i % 5 == 3, F.concat(lines, F.lit("e;f"))).otherwise("")
+    return read(spark, sf_dir, "supplier").select(i.alias("i"), R.line_policy(F.encode(text, "UTF-8")).alias("p")).select("i", "p.*")
 
 
 def _zipped(members: dict[str, bytes]) -> bytes:
@@ -85,8 +92,8 @@ def _archive(texts: pd.Series) -> pd.Series:
 
 @query("s05_s06_s08_archives", f"WITH r AS ({_ROWS}) SELECT m.member, code, label FROM r, (VALUES ('data/one.csv'), ('two.csv')) AS m(member)", roles=False)
 def archives(spark, sf_dir):
-    """Members by suffix, also within archives, without what a packer adds."""
-    files = _as_csv(_nations(spark, sf_dir)).select(F.lit("a.zip").alias("path"), _archive(F.col("text")).alias("content"))
+    """Members by suffix, also within archives, without what a packer adds; an archive for each file."""
+    files = _as_csv(_customers(spark, sf_dir)).repartition("file").select(F.concat(F.col("file").cast("string"), F.lit(".zip")).alias("path"), _archive(F.col("text")).alias("content"))
     found = None
     for member in ("data/one.csv", "two.csv"):
         one = R.zip_members(files, rf"{member}$", exactly=1)
@@ -96,6 +103,20 @@ def archives(spark, sf_dir):
     return found
 
 
+@query("s07_locked_member", f"""WITH r AS ({_ROWS}) SELECT file, count(*) AS rows, CASE WHEN file % 3 = 0 THEN 'size' WHEN file % 3 = 1 THEN 'sha256' ELSE 'as locked' END AS state
+        FROM r GROUP BY file""", roles=False)
+def locked_member(spark, sf_dir):
+    """The one member of each archive against its lock of name, size, CRC-32 and SHA-256: a third of the locks name another size, a third another digest."""
+    texts = _as_csv(_customers(spark, sf_dir)).repartition("file").select("file", F.encode("text", "UTF-8").alias("data"))
+    lock = F.struct(
+        F.lit("data/one.csv").alias("name"), (F.octet_length("data") + F.when(F.col("file") % 3 == 0, 1).otherwise(0)).cast("bigint").alias("size"), F.crc32("data").alias("crc32"),
+        F.when(F.col("file") % 3 == 1, F.sha2(F.lit("other"), 256)).otherwise(F.sha2("data", 256)).alias("sha256"),
+    )
+    packed = texts.select(F.col("file").cast("string").alias("path"), _archive(F.col("data").cast("string")).alias("content"), lock.alias("lock"))
+    found = R.member_states(packed, r"^data/").join(texts.select(F.col("file").cast("string").alias("path"), "file", (F.size(F.split(F.decode("data", "UTF-8"), "\r\n")) - 1).cast("bigint").alias("rows")), "path")
+    return found.select("file", "rows", "state")
+
+
 @F.pandas_udf(T.BinaryType())
 def _workbook(texts: pd.Series) -> pd.Series:
     """A workbook whose sheet Data has a row for each line: its number, and the line as shared and as inline text."""
@@ -113,29 +134,32 @@ def _workbook(texts: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@query("s09_workbook", """SELECT CAST(row_number() OVER (ORDER BY n_name) AS BIGINT) AS row, CAST(row_number() OVER (ORDER BY n_name) - 1 AS VARCHAR) AS number,
-        n_name AS shared, n_name AS own FROM nation""", roles=False)
+@query("s09_workbook", f"""WITH r AS (SELECT CAST(floor(c_custkey / {FILE_ROWS}) AS BIGINT) AS file, c_name AS name FROM customer)
+        SELECT file || '.xlsx' AS path, CAST(row_number() OVER w AS BIGINT) AS row, CAST(row_number() OVER w - 1 AS VARCHAR) AS number,
+        name AS shared, name AS own FROM r WINDOW w AS (PARTITION BY file ORDER BY name)""", roles=False)
 def workbook(spark, sf_dir):
-    """Numbers, shared and inline texts of a sheet, by column."""
-    names = read(spark, sf_dir, "nation").agg(F.array_join(F.array_sort(F.collect_list("n_name")), "\n").alias("text"))  # a file of a few rows
-    rows = R.workbook_rows(names.select(F.lit("b.xlsx").alias("path"), _workbook(F.col("text")).alias("content")), "Data")
-    return rows.select("row", F.col("cells")[1].alias("number"), F.col("cells")[2].alias("shared"), F.col("cells")[27].alias("own"))
+    """Numbers, shared and inline texts of a sheet, by column; a workbook for each file."""
+    rows = read(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / FILE_ROWS).alias("file"), "c_name")
+    names = rows.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("c_name")), "\n").alias("text"))  # FILE_ROWS at most
+    books = R.workbook_rows(names.repartition("file").select(F.concat(F.col("file").cast("string"), F.lit(".xlsx")).alias("path"), _workbook(F.col("text")).alias("content")), "Data")
+    return books.select("path", "row", F.col("cells")[1].alias("number"), F.col("cells")[2].alias("shared"), F.col("cells")[27].alias("own"))
 
 
-@query("s18_envelope", "SELECT n_nationkey AS code, CAST(n_regionkey * 1.5 AS DECIMAL(9,2)) AS amount, CAST(NULL AS INT) AS bad FROM nation", roles=False)
+@query("s18_envelope", "SELECT c_custkey AS code, CAST(c_nationkey * 1.5 AS DECIMAL(9,2)) AS amount, CAST(NULL AS INT) AS bad FROM customer", roles=False)
 def envelope(spark, sf_dir):
-    """Typed rows of a nested envelope; what cannot be read is null."""
-    fields = F.struct(F.col("n_nationkey").cast("string").alias("code"), (F.col("n_regionkey") * 1.5).cast("string").alias("amount"), F.lit("x").alias("bad"))
-    text = read(spark, sf_dir, "nation").agg(F.to_json(F.struct(F.struct(F.collect_list(fields).alias("results")).alias("d"))).alias("text"))  # a file of a few rows
-    rows = R.envelope_rows(text, "text", {"code": "int", "amount": "decimal(9,2)", "bad": "int"})
-    return rows.select(F.col("code").cast(read(spark, sf_dir, "nation").schema["n_nationkey"].dataType).alias("code"), "amount", "bad")
+    """Typed rows of nested envelopes, one for each file; what cannot be read is null."""
+    fields = F.struct(F.col("c_custkey").cast("string").alias("code"), (F.col("c_nationkey") * 1.5).cast("string").alias("amount"), F.lit("x").alias("bad"))
+    files = read(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / FILE_ROWS).alias("file"))
+    text = files.agg(F.to_json(F.struct(F.struct(F.collect_list(fields).alias("results")).alias("d"))).alias("text"))  # FILE_ROWS at most
+    return R.envelope_rows(text, "text", {"code": "bigint", "amount": "decimal(9,2)", "bad": "int"}).select("code", "amount", "bad")
 
 
-@query("s19_keyed_objects", "SELECT n_name AS key, CAST(n_nationkey AS BIGINT) AS code, n_regionkey % 2 = 0 AS even FROM nation", roles=False)
+@query("s19_keyed_objects", "SELECT c_name AS key, CAST(c_custkey AS BIGINT) AS code, c_nationkey % 2 = 0 AS even FROM customer", roles=False)
 def keyed_objects(spark, sf_dir):
-    """An object of objects to rows."""
-    entry = F.struct("n_name", F.struct(F.col("n_nationkey").alias("code"), (F.col("n_regionkey") % 2 == 0).alias("even")))
-    text = read(spark, sf_dir, "nation").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("text"))  # a file of a few rows
+    """Objects of objects to rows, an object for each file."""
+    entry = F.struct("c_name", F.struct(F.col("c_custkey").alias("code"), (F.col("c_nationkey") % 2 == 0).alias("even")))
+    files = read(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / FILE_ROWS).alias("file"))
+    text = files.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("text"))  # FILE_ROWS at most
     rows = text.select(F.explode(R.keyed_objects("text", "code bigint, even boolean")).alias("key", "o"))
     return rows.select("key", "o.code", "o.even")
 

@@ -1,4 +1,4 @@
-"""Scalar functions over tables of literals, each with SQL of its own: a function that goes wrong changes a row."""
+"""Scalar functions over texts made from the given tables, each with SQL of its own: a function that goes wrong changes a row."""
 
 from __future__ import annotations
 
@@ -9,35 +9,42 @@ from civicframe.plans.queries import query
 from civicframe.plans.roles import movements, read
 from civicframe.sources.readers import simplified
 
-#: Texts for the number grammars.
-NUMBERS = (
-    "", " ", "0", "7", "-7", "12", "007", "1,5", "-1,5", "1.5", "-1.5", "1.55", "1.555", "12.3456", "1.234", "1.234,56", "1.234.567", "12.34,5", "€ 1.000", "€1.234,5 ", "1 234", "1 234,5",
-    "-3,25", "3,255", "3,245", "0,005", "-0,005", "2,675", "abc", "1e3", "12,34567", "-7.00", "100.10", "9007199254740993", "5.", ",5", "1,2,3", "--1", "+4",
-)
-#: Texts for codes, dates, names and addresses.
-TEXTS = (
-    "", " ", "###", "#a#", " a  b ", "a b", "c72e10000000001", " C72E10000000001 ", "C72E1000000000", "C72E10000000001X", "[123]", "[45", "67]", "042", "058091", "1", "1234567", "2020-02-29",
-    "2020-02-30", "29/02/2020", "30/02/2020", "1900-01-01", "00/01/1900", "2020-02-29T10:00:00", "1850-01-01", "2199-12-31", "www.comune.it", "http://a.it/x", "HTTPS://B.it", "ftp://c.it", "mailto:x@y.it",
-    "nodots", "d.it/path?q=1", "S", "n", " s ", "SI", "N.", "COMUNE DI REGGIO NELL'EMILIA", "SAN DONA' DI PIAVE", "comune di  PRESICCE-ACQUARICA", "L'AQUILA", "CITTÀ DELLA PIEVE", "GENNAIO", " dicembre ", "agost",
-)
-
-
-def _quoted(texts: tuple) -> str:
-    return ", ".join("('" + t.replace("'", "''") + "')" for t in texts)
+#: Texts for the number grammars, made of the keys of parts; the same expression in Spark and in SQL.
+_A, _B, _C = "CAST(i % 1000 AS STRING)", "lpad(CAST(i * 13 % 97 AS STRING), 2, '0')", "lpad(CAST(i * 7 % 1000 AS STRING), 3, '0')"
+NUMBERS = f"""CASE i % 24 WHEN 0 THEN '' WHEN 1 THEN ' ' WHEN 2 THEN {_A} WHEN 3 THEN '-' || {_A} WHEN 4 THEN lpad({_A}, 5, '0') WHEN 5 THEN {_A} || ',' || {_B}
+    WHEN 6 THEN '-' || {_A} || ',' || {_B} WHEN 7 THEN {_A} || '.' || substr({_B}, 1, 1) WHEN 8 THEN {_A} || '.' || {_B} WHEN 9 THEN '-' || {_A} || '.' || {_B}
+    WHEN 10 THEN {_A} || '.' || {_C} WHEN 11 THEN {_A} || '.' || {_C} || ',' || {_B} WHEN 12 THEN '€ ' || {_A} || '.' || {_C} WHEN 13 THEN '€' || {_A} || ',' || substr({_B}, 1, 1) || ' '
+    WHEN 14 THEN {_A} || ' ' || {_C} WHEN 15 THEN {_A} || ',' || {_C} || {_B} WHEN 16 THEN 'abc' || {_A} WHEN 17 THEN {_A} || 'e3' WHEN 18 THEN {_A} || '.' WHEN 19 THEN ',' || {_B}
+    WHEN 20 THEN {_A} || ',' || {_B} || ',' || {_C} WHEN 21 THEN '--' || {_A} WHEN 22 THEN '+' || {_A} ELSE {_A} || '.' || {_C} || {_B} END"""
+#: Texts for codes, dates, names and addresses, made of the keys and dates of orders.
+_K, _D = "CAST(i AS STRING)", "CAST(CAST(o_orderdate AS DATE) AS STRING)"
+_YMD = f"substr({_D}, 9, 2) || '/' || substr({_D}, 6, 2) || '/' || substr({_D}, 1, 4)"
+_MONTHS = ", ".join(f"'{m}'" for m in X.MONTHS)
+TEXTS = f"""CASE i % 36 WHEN 0 THEN '' WHEN 1 THEN ' ' WHEN 2 THEN '###' WHEN 3 THEN '#a' || {_K} WHEN 4 THEN ' a  ' || {_K} WHEN 5 THEN 'c72e1' || lpad({_K}, 10, '0')
+    WHEN 6 THEN ' C72E1' || lpad({_K}, 10, '0') || ' ' WHEN 7 THEN 'C72E1' || lpad({_K}, 9, '0') WHEN 8 THEN '[' || {_K} || ']' WHEN 9 THEN '[' || {_K} WHEN 10 THEN {_K} || ']' WHEN 11 THEN lpad({_K}, 6, '0')
+    WHEN 12 THEN {_K} WHEN 13 THEN {_D} WHEN 14 THEN substr({_D}, 1, 8) || '31' WHEN 15 THEN {_YMD} WHEN 16 THEN '31' || substr({_YMD}, 3) WHEN 17 THEN '1900-01-01' WHEN 18 THEN '00/01/1900'
+    WHEN 19 THEN {_D} || 'T10:00:00' WHEN 20 THEN '18' || substr({_D}, 3) WHEN 21 THEN 'www.c' || {_K} || '.it' WHEN 22 THEN 'http://a' || {_K} || '.it/x' WHEN 23 THEN 'HTTPS://B' || {_K} || '.it'
+    WHEN 24 THEN 'ftp://c' || {_K} || '.it' WHEN 25 THEN 'mailto:x' || {_K} || '@y.it' WHEN 26 THEN 'nodots' || {_K} WHEN 27 THEN 'd.it/path?q=' || {_K} WHEN 28 THEN 'S' WHEN 29 THEN 'n' WHEN 30 THEN ' s '
+    WHEN 31 THEN 'SI' WHEN 32 THEN upper(split_part('{",".join(X.MONTHS)}', ',', 1 + CAST(i % 12 AS INT))) WHEN 33 THEN ' ' || split_part('{",".join(X.MONTHS)}', ',', 1 + CAST(i % 7 AS INT)) || ' '
+    WHEN 34 THEN 'agost' ELSE 'a' || chr(160) || {_K} END"""
+_N, _T = f"WITH t AS (SELECT p_partkey AS i, {NUMBERS.replace('i *', 'p_partkey *').replace('i %', 'p_partkey %')} AS s FROM part)", f"WITH t AS (SELECT i, {TEXTS} AS s FROM (SELECT o_orderkey AS i, o_orderdate FROM orders))"
 
 
-_N, _T = f"WITH t(s) AS (VALUES {_quoted(NUMBERS)})", f"WITH t(s) AS (VALUES {_quoted(TEXTS)})"
+def texts_of(spark, sf_dir, texts: str) -> DataFrame:
+    """i and s: a text for each part (NUMBERS) or order (TEXTS)."""
+    if texts is NUMBERS:
+        return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("i")).select("i", F.expr(texts).alias("s"))
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), "o_orderdate").select("i", F.expr(texts).alias("s"))
 
 
-def literal(name: str, texts: tuple, sql: str):
-    """Registers columns over a table of texts."""
+def literal(name: str, texts: str, sql: str):
+    """Registers columns over the texts of a table."""
 
     def register(columns):
         def build(spark, sf_dir):
-            table = spark.createDataFrame([(t,) for t in texts], "s string")
-            return table.select("s", *[c.alias(n) for n, c in columns(F.col("s")).items()])
+            return texts_of(spark, sf_dir, texts).select("i", "s", *[c.alias(n) for n, c in columns(F.col("s")).items()])
 
-        query(name, f"{_N if texts is NUMBERS else _T} SELECT s, {sql} FROM t", roles=False)(build)
+        query(name, f"{_N if texts is NUMBERS else _T} SELECT i, s, {sql} FROM t", roles=False)(build)
         return columns
 
     return register
@@ -118,12 +125,40 @@ def rounding(spark, sf_dir):
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), X.round_half_away(n, d).alias("away"), X.round_half_up(F.try_divide(n.cast("double"), d.cast("double"))).alias("up"))
 
 
+@literal(
+    "x01_x06_x07_x11_numbers", NUMBERS,
+    """CASE WHEN TRY_CAST(replace(replace(replace(s, ' ', ''), '.', ''), ',', '.') AS DOUBLE) > 1
+            THEN CAST(round_even(TRY_CAST(replace(replace(replace(s, ' ', ''), '.', ''), ',', '.') AS DOUBLE), 0) AS BIGINT) END AS people,
+        CASE WHEN regexp_matches(s, '^\\d[\\d.]*(,\\d+)?$') THEN CAST(round(TRY_CAST(replace(replace(s, '.', ''), ',', '.') AS DECIMAL(30,6)) * 100, 0) AS BIGINT) END AS italian,
+        CAST(round(TRY_CAST(CASE WHEN regexp_matches(regexp_replace(s, '[€\\s]', '', 'g'), '^\\d{1,3}(\\.\\d{3})+(,\\d+)?$') THEN replace(replace(regexp_replace(s, '[€\\s]', '', 'g'), '.', ''), ',', '.')
+        WHEN regexp_matches(regexp_replace(s, '[€\\s]', '', 'g'), '^\\d+(,\\d+)?$') THEN replace(regexp_replace(s, '[€\\s]', '', 'g'), ',', '.')
+        WHEN regexp_matches(regexp_replace(s, '[€\\s]', '', 'g'), '^\\d+\\.(\\d{1,2}|\\d{4,})$') THEN regexp_replace(s, '[€\\s]', '', 'g') END AS DECIMAL(30,6)) * 100, 0) AS BIGINT) AS grouped,
+        CASE WHEN regexp_matches(s, '^\\d+(,\\d+)?$') THEN CAST(round(TRY_CAST(replace(s, ',', '.') AS DECIMAL(28,8)) * 100000000, 0) AS BIGINT) END AS millions,
+        CASE WHEN regexp_matches(s, '^-?\\d+\\.\\d{2}$') THEN CAST(TRY_CAST(s AS DECIMAL(20,2)) * 100 AS BIGINT) END AS exact""",
+)
+def numbers(s: Column) -> dict:
+    """Number grammars."""
+    return {"people": X.population(s), "italian": X.italian_cents(s), "grouped": X.grouped_cents(s), "millions": X.millions_to_cents(s), "exact": X.exact_cents(s)}
+
+
 # --- text -----------------------------------------------------------------------------------------------------------
 
 _COMPACT = "trim(regexp_replace(replace(s, chr(160), ' '), '\\s+', ' ', 'g'))"
 _CODE = f"CASE WHEN {_COMPACT} <> '' AND NOT regexp_full_match({_COMPACT}, '#+') THEN upper({_COMPACT}) END"
 
 
+@literal(
+    "x02_x18_x20_x22_x25_text", TEXTS,
+    f"""coalesce(nullif(regexp_extract(s, '\\d'), ''), '?') AS digit, CASE WHEN {_COMPACT} <> '' AND NOT regexp_matches({_COMPACT}, '^#+$') THEN {_COMPACT} END AS compact,
+        CASE WHEN coalesce(TRY_STRPTIME(trim(s), '%d/%m/%Y'), TRY_STRPTIME(trim(s), '%Y-%m-%d')) > DATE '1900-01-01'
+            THEN CAST(coalesce(TRY_STRPTIME(trim(s), '%d/%m/%Y'), TRY_STRPTIME(trim(s), '%Y-%m-%d')) AS DATE) END AS day,
+        regexp_replace(trim(s), '^\\[|\\]$', '', 'g') AS tax, CASE WHEN length(s) < 6 THEN lpad(s, 6, '0') ELSE s END AS istat""",
+)
+def texts(s: Column) -> dict:
+    """Digits, compact texts, dates, tax codes and codes of places."""
+    return {"digit": X.title_digit(s), "compact": X.compact_text(s), "day": X.flexible_date(s), "tax": X.tax_code(s), "istat": X.istat_code(s)}
+
+
 @literal(
     "x19_x24_x26_codes", TEXTS,
     f"""{_CODE} AS code, CASE WHEN regexp_full_match({_CODE}, '[A-Z]+') THEN {_CODE} END AS letters,
@@ -142,27 +177,36 @@ def dates(s: Column) -> dict:
     return {"day": found["date"], "warning": found["warning"]}
 
 
-HEADERS = ("﻿Cod. Ente ", "  ANNO", "a  b\tc", "già_fatto", "")
+_HEADER = "CASE i % 5 WHEN 0 THEN chr(65279) || 'Cod. ' || n || ' ' WHEN 1 THEN '  ' || upper(n) WHEN 2 THEN n || '  x' || chr(9) || 'y' WHEN 3 THEN 'già_' || n ELSE '' END"
 
 
-@query("x23_headers", f"""WITH t(s) AS (VALUES {_quoted(HEADERS)}) SELECT s, regexp_replace(lower(trim(regexp_replace(replace(s, chr(65279), ''), '\\s+', ' ',
-        'g'))), ' ', '_', 'g') AS name FROM t""", roles=False)
+@query("x23_headers", f"""WITH t AS (SELECT i, {_HEADER} AS s FROM (SELECT p_partkey AS i, p_name AS n FROM part)) SELECT i, s,
+        regexp_replace(lower(trim(regexp_replace(replace(s, chr(65279), ''), '\\s+', ' ', 'g'))), ' ', '_', 'g') AS name FROM t""", roles=False)
 def headers(spark, sf_dir):
-    """Names of columns as a reader makes them."""
-    return spark.createDataFrame([(h, X.header_name(h)) for h in HEADERS], "s string, name string")
+    """Names of columns as a reader makes them, from the names of parts."""
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), F.col("p_name").alias("n"))
+    return rows.select("i", F.expr(_HEADER.replace("chr(65279)", "'\ufeff'")).alias("s")).select("i", "s", X.header_key(F.col("s")).alias("name"))
+
+
+_PLACE = """CASE i % 6 WHEN 0 THEN 'COMUNE DI ' || a || ' NELL' || chr(39) || b WHEN 1 THEN 'SAN ' || a || chr(39) || ' DI ' || b WHEN 2 THEN 'comune di  ' || a || '-' || b WHEN 3 THEN 'L' || chr(39) || a
+    WHEN 4 THEN 'CITTÀ DELLA ' || b || ' E ' || a ELSE 'DI ' || a || ' IN DEGLI' END"""
+_PLACES = "SELECT c_custkey AS i, c_mktsegment AS a, replace(upper(n_name), '_', '') AS b FROM customer JOIN nation ON c_nationkey = n_nationkey"
+_HIGH = "upper(substr({0}, 1, 1)) || substr({0}, 2)"
+_PARTICLES = ", ".join(f"'{w}'" for w in X.PARTICLES)
 
 
 @query(
     "x28_names",
-    """WITH t(s, name) AS (VALUES ('COMUNE DI REGGIO NELL''EMILIA', 'Reggio Nell''Emilia'), ('SAN DONA'' DI PIAVE', 'San Dona'' di Piave'),
-        ('comune di  PRESICCE-ACQUARICA', 'Presicce-Acquarica'), ('L''AQUILA', 'L''Aquila'), ('CITTÀ DELLA PIEVE', 'Città della Pieve'),
-        ('DI DI', 'Di di')) SELECT s, name FROM t""",
+    f"""WITH t AS (SELECT i, {_PLACE} AS s FROM ({_PLACES})), w AS (SELECT i, s, string_split_regex(lower(regexp_replace(trim(s), '(?i)^comune di\\s+', '')), '\\s+') AS ws FROM t)
+        SELECT i, s, array_to_string(list_transform(ws, lambda w, k: CASE WHEN k > 1 AND list_contains([{_PARTICLES}], regexp_replace(w, '[.'']', '', 'g')) THEN w
+            ELSE array_to_string(list_transform(string_split(array_to_string(list_transform(string_split(w, ''''), lambda p: {_HIGH.format('p')}), ''''), '-'), lambda p: {_HIGH.format('p')}), '-') END), ' ') AS name FROM w""",
     roles=False,
 )
 def names(spark, sf_dir):
-    """Registry capitals to names; the answers are stated."""
-    table = spark.createDataFrame([(t,) for t in (*[t for t in TEXTS if "OMUNE" in t or "'" in t or "PIEVE" in t or "PRES" in t], "DI DI")], "s string")
-    return table.select("s", X.municipality_name(F.col("s")).alias("name"))
+    """Registry capitals to names, made of segments and nations."""
+    rows = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.select(F.col("c_custkey").alias("i"), F.col("c_mktsegment").alias("a"), F.replace(F.upper("n_name"), F.lit("_"), F.lit("")).alias("b"))
+    return rows.select("i", F.expr(_PLACE).alias("s")).select("i", "s", X.municipality_name(F.col("s")).alias("name"))
 
 
 @literal(
@@ -175,9 +219,6 @@ def addresses(s: Column) -> dict:
     return {"url": X.external_url(s), "flag": X.yes_no(s)}
 
 
-_MONTHS = ", ".join(f"'{m}'" for m in X.MONTHS)
-
-
 @literal("x36_month_numbers", TEXTS, f"nullif(list_position([{_MONTHS}], lower(trim(s))), 0) AS number, [{_MONTHS}][length(s)] AS name")
 def month_numbers(s: Column) -> dict:
     return {"number": X.month_number(s), "name": X.month_name(F.length(s))}
@@ -185,22 +226,24 @@ def month_numbers(s: Column) -> dict:
 
 #: The search key of a column in SQL.
 FOLD_SQL = r"trim(regexp_replace(strip_accents(lower(translate({0}, '’‘´`–—', '''''''''--'))), '\s+', ' ', 'g'))"
-_FOLD = "strip_accents(lower(translate(s, '’‘´`–—', '''''''''--')))"
+_WIDE = "０１２３４５６７８９"
+_FOLDED = """CASE i % 8 WHEN 0 THEN 'L’' || n WHEN 1 THEN 'L''' || upper(n) WHEN 2 THEN 'l`' || n || ' – centro' WHEN 3 THEN translate(CAST(i AS STRING), '0123456789', '０１２３４５６７８９') || n
+    WHEN 4 THEN 'ﬁ' || n || 'ﬀ' WHEN 5 THEN 'Forlì—' || n WHEN 6 THEN 'forli-' || n ELSE ' ' || n || '   é  ' END"""
 
 
 @query(
     "f04_x27_folded_search",
-    f"""WITH t(s) AS (VALUES ('L’Aquila'), ('L''AQUILA'), ('l`aquila – centro'), ('ＡＱＵＩＬＡ'), ('ﬁume'), ('Forlì—Cesena'), ('forli-cesena'), (' reggio   emilia')),
-        k AS (SELECT s, {_FOLD} AS low FROM t)
-        SELECT s, CASE s WHEN 'ＡＱＵＩＬＡ' THEN 'aquila' WHEN 'ﬁume' THEN 'fiume' ELSE trim(regexp_replace(low, '\\s+', ' ', 'g')) END AS key,
-        s IN ('L’Aquila', 'L''AQUILA', 'l`aquila – centro') AS found FROM k""",
+    f"""WITH t AS (SELECT i, {_FOLDED} AS s FROM (SELECT p_partkey AS i, p_name AS n FROM part)),
+        k AS (SELECT i, s, {FOLD_SQL.format(f"translate(replace(replace(s, 'ﬁ', 'fi'), 'ﬀ', 'ff'), '{_WIDE}', '0123456789')")} AS key FROM t)
+        SELECT i, s, key, starts_with(key, 'l''') OR contains(key, ' l''') AS found FROM k""",
     roles=False,
 )
 def folded_search(spark, sf_dir):
-    """One key for accents, case, full-width and joined letters, apostrophes and dashes."""
-    rows = ("L’Aquila", "L'AQUILA", "l`aquila – centro", "ＡＱＵＩＬＡ", "ﬁume", "Forlì—Cesena", "forli-cesena", " reggio   emilia")
+    """One key for accents, case, full-width and joined letters, apostrophes and dashes, over the names of parts."""
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), F.col("p_name").alias("n"))
     key = X.search_key(F.col("s"))
-    return spark.createDataFrame([(r,) for r in rows], "s string").select("s", key.alias("key"), F.contains(key, X.search_key(F.lit("L´aquila"))).alias("found"))
+    rows = rows.select("i", F.expr(_FOLDED.replace("''", "\\'")).alias("s"))
+    return rows.select("i", "s", key.alias("key"), F.contains(F.concat(F.lit(" "), key), F.concat(F.lit(" "), X.search_key(F.lit("L´")))).alias("found"))
 
 
 # --- records --------------------------------------------------------------------------------------------------------
@@ -244,23 +287,34 @@ def public_works(spark, sf_dir):
     return works.select("number", "secured", "planned", "actual", "change_bp", F.array_join(signals, ",").alias("signals"))
 
 
+_DOTS = "translate(format('{{:,}}', CAST({0} AS BIGINT)), ',', '.')"
+_SIGN = "CASE WHEN v < 0 THEN '-' ELSE '' END"
+
+
+def _italian(n: str, digits: int, unit: str) -> str:
+    """SQL: a whole number of the last digit, shown with that many digits after a comma."""
+    tail = "" if not digits else f" || ',' || lpad(CAST({n} % {10**digits} AS VARCHAR), {digits}, '0')"
+    return f"{_SIGN} || {_DOTS.format(f'{n} // {10**digits}')}{tail} || ' {unit}'"
+
+
+_BILLIONS, _MILLIONS, _PLAIN = _italian("((abs(v) + 5000000) // 10000000)", 2, "mld €"), _italian("((abs(v) + 50000) // 100000)", 1, "mln €"), _italian("abs(v)", 0, "€")
+
+
 @query(
     "x39_formats",
-    """WITH t(v, exact, own, like_billions, pct) AS (VALUES
-        (0.0, '0 €', '0 €', '0,00 mld €', '0,0%'), (1234.5, '1.235 €', '1.235 €', '0,00 mld €', '1.234,5%'), (-999999.0, '-999.999 €',
-        '-999.999 €', '-0,00 mld €', '-999.999,0%'),
-        (1000000.0, '1.000.000 €', '1,0 mln €', '0,00 mld €', '1.000.000,0%'), (-2550000.0, '-2.550.000 €', '-2,6 mln €', '-0,00 mld €',
-        '-2.550.000,0%'),
-        (1234567890.0, '1.234.567.890 €', '1,23 mld €', '1,23 mld €', '1.234.567.890,0%'), (1500000000000.0, '1.500.000.000.000 €',
-        '1.500,00 mld €', '1.500,00 mld €', '1.500.000.000.000,0%'))
-        SELECT CAST(v AS DOUBLE) AS v, exact, own, like_billions, pct FROM t""",
+    f"""WITH t AS (SELECT o_orderkey AS i, CAST((CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE 1 END) * (o_orderkey % 100000) * (CASE o_orderkey % 4 WHEN 0 THEN 1000 WHEN 1 THEN 10000 WHEN 2 THEN 1000000 ELSE 100000000 END) AS BIGINT) AS v FROM orders)
+        SELECT i, CAST(v AS DOUBLE) AS v, {_PLAIN} AS exact, CASE WHEN abs(v) >= 1000000000 THEN {_BILLIONS} WHEN abs(v) >= 1000000 THEN {_MILLIONS} ELSE {_PLAIN} END AS own,
+        {_BILLIONS} AS like_billions, {_DOTS.format("(i % 90000 * 10 + 4) // 80")} || ',' || ((i % 90000 * 10 + 4) // 8) % 10 || '%' AS pct FROM t""",
     roles=False,
 )
 def formats(spark, sf_dir):
-    """Italian notation; a table takes its unit from its largest figure. The answers are stated."""
-    rows = [(v,) for v in (0.0, 1234.5, -999999.0, 1000000.0, -2550000.0, 1234567890.0, 1500000000000.0)]
-    v = F.col("v")
-    return spark.createDataFrame(rows, "v double").select("v", X.exact_euro(v).alias("exact"), X.compact_euro(v).alias("own"), X.compact_euro(v, F.lit(2e9)).alias("like_billions"), X.percent_text(v).alias("pct"))
+    """Italian notation of amounts and shares; a table takes its unit from its largest figure."""
+    i = F.col("i")
+    size = F.when(i % 4 == 0, 1000).when(i % 4 == 1, 10_000).when(i % 4 == 2, 1_000_000).otherwise(100_000_000)
+    v = (F.when(i % 5 == 0, -1).otherwise(1) * (i % 100_000) * size).cast("double")
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i")).withColumn("v", v)
+    share = (i % 90_000).cast("double") / 8
+    return rows.select("i", "v", X.exact_euro(F.col("v")).alias("exact"), X.compact_euro(F.col("v")).alias("own"), X.compact_euro(F.col("v"), F.lit(2e9)).alias("like_billions"), X.percent_text(share).alias("pct"))
 
 
 @query("x40_k05_digests", """SELECT n_nationkey AS region, sha256(n_name) AS sha, '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}' AS json,
@@ -271,28 +325,31 @@ def digests(spark, sf_dir):
     return read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("region"), F.sha2("n_name", 256).alias("sha"), json.alias("json"), F.sha2(json, 256).alias("json_sha"))
 
 
-@query("x40_crc32", """WITH t(s, crc) AS (VALUES ('123456789', 3421780262), ('', 0), ('a', 3904355907), ('The quick brown fox jumps over the lazy dog',
-        1095738169)) SELECT s, CAST(crc AS BIGINT) AS crc FROM t""", roles=False)
+@query(
+    "x40_crc32",
+    """SELECT c_custkey AS i, c_name AS s, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(c_name, ''), lambda x: CAST(ord(x) AS BIGINT))),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda k: CAST(-1 AS BIGINT))), lambda r, k: xor(r >> 1, CASE WHEN r % 2 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END))), 4294967295) AS BIGINT) AS crc FROM customer""",
+    roles=False,
+)
 def checksums(spark, sf_dir):
-    """Known checksums."""
-    rows = [("123456789",), ("",), ("a",), ("The quick brown fox jumps over the lazy dog",)]
-    return spark.createDataFrame(rows, "s string").select("s", F.crc32(F.encode("s", "UTF-8")).alias("crc"))
+    """Checksums of names; SQL divides by the polynomial bit by bit."""
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"), F.col("c_name").alias("s"), F.crc32(F.encode("c_name", "UTF-8")).alias("crc"))
 
 
 @query(
     "x42_geometry",
-    """WITH t(id, area, points) AS (VALUES ('square', 4.0, 4), ('triangle', 6.0, 3), ('noisy', 99.0, 4), ('line', 0.0, 2))
-        SELECT id, CAST(area AS DOUBLE) AS area, CAST(points AS INT) AS points FROM t""",
+    """WITH t AS (SELECT p_partkey AS i, CAST(10 + p_partkey % 90 AS DOUBLE) AS w, CAST(10 + p_size AS DOUBLE) AS h, CAST(p_partkey % 11 AS DOUBLE) / 8 AS e FROM part)
+        SELECT i, round(w * h - w * e / 2, 6) AS area, CAST(4 + CASE WHEN e > 0.5 THEN 1 ELSE 0 END AS INT) AS points FROM t""",
     roles=False,
 )
 def geometry(spark, sf_dir):
-    """Areas of rings, and how many points are left of them at a tolerance of one half. The answers are stated."""
-    rings = [
-        ("square", [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]), ("triangle", [(0.0, 0.0), (4.0, 0.0), (0.0, 3.0)]),
-        ("noisy", [(0.0, 0.0), (5.0, 0.2), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]), ("line", [(0.0, 0.0), (1.0, 0.1), (2.0, 0.0), (3.0, -0.1), (4.0, 0.0)]),
-    ]
-    table = spark.createDataFrame(rings, "id string, ring array<struct<x: double, y: double>>")
-    return table.select("id", F.round(X.polygon_area(F.col("ring")), 6).alias("area"), F.size(simplified(F.col("ring"), 0.5)).alias("points"))
+    """Areas of rectangles with a dent as large as the parts say, and how many points are left at a tolerance of one half."""
+    i, w, h, e = F.col("i"), F.col("w"), F.col("h"), F.col("e")
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), (10 + F.col("p_partkey") % 90).cast("double").alias("w"), (10 + F.col("p_size")).cast("double").alias("h"), ((F.col("p_partkey") % 11).cast("double") / 8).alias("e"))
+    zero = F.lit(0.0)
+    ring = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((zero, zero), (w / 2, e), (w, zero), (w, h), (zero, h))])
+    rows = rows.withColumn("ring", ring)
+    return rows.select(i, F.round(X.polygon_area(F.col("ring")), 6).alias("area"), F.size(simplified(F.col("ring"), 0.5)).alias("points"))
 
 
 @query("x43_availability", """SELECT DISTINCT year, CASE WHEN year IN (1996, 1998, 2000) THEN 'available'
@@ -301,21 +358,20 @@ def available(spark, sf_dir):
     return movements(spark, sf_dir).select("year").distinct().select("year", X.availability(F.col("year"), [1996, 1998, 2000], 2000).alias("state"))
 
 
-#: Requests of periods: (year, month, now).
-PERIODS = ((None, None, 2026), (None, 3, 2026), (1999, None, 2026), (2000, None, 2026), (2027, 12, 2026), (2028, None, 2026), (2024, 0, 2026), (2024, 13, 2026), (2024, 1, 2026))
-
-
 @query(
     "x44_periods",
-    f"""WITH t(year, month, now) AS (VALUES {", ".join(f"({'NULL' if y is None else y}, {'NULL' if m is None else m}, {n})" for y, m, n in PERIODS)})
-        SELECT year, month, CASE WHEN year IS NULL AND month IS NULL THEN 'latest' WHEN year IS NULL THEN 'invalid' WHEN year < 2000 OR year > now + 1 THEN 'invalid'
+    """WITH t AS (SELECT o_orderkey AS i, CAST(CASE WHEN o_orderkey % 7 > 0 THEN year(o_orderdate) END AS INT) AS year, CAST(CASE WHEN o_orderkey % 2 = 0 THEN month(o_orderdate) + o_orderkey % 3 - 1 END AS INT) AS month FROM orders)
+        SELECT i, year, month, CASE WHEN year IS NULL AND month IS NULL THEN 'latest' WHEN year IS NULL THEN 'invalid' WHEN year < 2000 OR year > 2001 THEN 'invalid'
         WHEN month IS NULL THEN 'year' WHEN month BETWEEN 1 AND 12 THEN 'month' ELSE 'invalid' END AS kind FROM t""",
     roles=False,
 )
 def periods(spark, sf_dir):
-    """What a request's year and month select."""
-    table = spark.createDataFrame(list(PERIODS), "year int, month int, now int")
-    return table.select("year", "month", X.period_kind(F.col("year"), F.col("month"), F.col("now")).alias("kind"))
+    """What a request's year and month select, both taken from orders: some lack one, some months are out of range."""
+    i = F.col("o_orderkey")
+    year = F.when(i % 7 > 0, F.year("o_orderdate"))
+    month = F.when(i % 2 == 0, F.month("o_orderdate") + i % 3 - 1).cast("int")
+    rows = read(spark, sf_dir, "orders").select(i.alias("i"), year.alias("year"), month.alias("month"))
+    return rows.select("i", "year", "month", X.period_kind(F.col("year"), F.col("month"), F.lit(2000)).alias("kind"))
 
 
 @query(
@@ -364,28 +420,31 @@ def release_identity(spark, sf_dir):
     return found
 
 
-#: A registry of parliamentary documents: (document, series, type, number, title, presented).
-REGISTRY = (
-    ("u/1", "VIII", "D", "2", "Rendiconto delle entrate e delle spese del Senato per l'anno finanziario 2021", "2022-07-01"), ("u/1", "VIII", "D", "2", "Rendiconto delle entrate e delle spese del Senato per l'anno finanziario 2021", "2022-07-01"),
-    ("u/2", " VIII ", "D", "1", "Progetto di  bilancio interno del Senato per l'anno finanziario 2022", "2022-06-01"), ("u/3", "IX", "D", "9", "Altro", "2022-06-01"), ("u/4", "VIII", "X", "7", "Altro", "2022-06-01"),
-    ("u/5", "VIII", "D", "10", "PROGETTO DI BILANCIO INTERNO DEL SENATO PER L'ANNO FINANZIARIO 2023", "2023-06-01"), ("u/5b", "VIII", "D", "10", "Progetto di bilancio interno del Senato per l'anno finanziario 2023", "2023-06-01"),
-)
+_REGISTRY = """+ m AS (SELECT DISTINCT year, month FROM mov), t AS (SELECT 'u/' || year || '/' || month AS document, CASE month % 3 WHEN 0 THEN 'VIII' WHEN 1 THEN ' VIII ' ELSE 'IX' END AS series,
+        CASE WHEN month % 5 = 0 THEN 'X' ELSE 'D' END AS type, CAST(month AS VARCHAR) AS number, year || '-' || lpad(CAST(month AS VARCHAR), 2, '0') || '-01' AS presented,
+        CASE WHEN month % 3 = 2 OR month % 5 = 0 THEN 'Altro' WHEN month % 2 = 0 THEN 'Rendiconto delle entrate e delle spese del Senato per l''anno finanziario ' || year
+        ELSE 'PROGETTO DI  BILANCIO interno del Senato per l''anno finanziario ' || year END AS title FROM m, (VALUES (0), (1)) AS v(k) WHERE k = 0 OR month % 4 = 0)"""
 
 
 @query(
     "s21_x41_registry",
-    f"""WITH t(document, series, type, number, title,
-        presented) AS (VALUES {", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in REGISTRY)}),
-        o AS (SELECT *, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS name FROM t WHERE trim(series) = 'VIII' AND trim(type) = 'D')
+    _REGISTRY + """, o AS (SELECT *, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS name FROM t WHERE trim(series) = 'VIII' AND trim(type) = 'D')
         SELECT DISTINCT CASE WHEN lower(name) LIKE 'rendiconto%' THEN 'account' ELSE 'budget' END AS kind, CAST(right(name,
         4) AS INT) AS year, CAST(number AS INT) AS number, document, CAST(presented AS DATE) AS presented FROM o""",
-    roles=False,
 )
 def registry(spark, sf_dir):
-    """Documents of one series: kind and year from the title, exact repetitions once, variants apart."""
+    """Documents of one series, one or two for each month of payments: kind and year from the title, exact repetitions once."""
     from civicframe.sources.readers import registry_documents
 
-    return registry_documents(spark.createDataFrame(list(REGISTRY), "document string, series string, type string, number string, title string, presented string"), "VIII", "D")
+    m, year = F.col("month"), F.col("year").cast("string")
+    rows = movements(spark, sf_dir).select("year", "month").distinct().withColumn("k", F.explode(F.when(m % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    title = F.when((m % 3 == 2) | (m % 5 == 0), "Altro").when(m % 2 == 0, F.concat(F.lit("Rendiconto delle entrate e delle spese del Senato per l'anno finanziario "), year))
+    title = title.otherwise(F.concat(F.lit("PROGETTO DI  BILANCIO interno del Senato per l'anno finanziario "), year))
+    rows = rows.select(
+        F.concat_ws("/", F.lit("u"), year, m.cast("string")).alias("document"), F.when(m % 3 == 0, "VIII").when(m % 3 == 1, " VIII ").otherwise("IX").alias("series"),
+        F.when(m % 5 == 0, "X").otherwise("D").alias("type"), m.cast("string").alias("number"), title.alias("title"), F.make_date("year", "month", F.lit(1)).cast("string").alias("presented"),
+    )
+    return registry_documents(rows, "VIII", "D")
 
 
 @query(

@@ -110,6 +110,28 @@ def zip_members(archives: DataFrame, pattern: str = "", exactly: int | None = No
     return archives.mapInPandas(run, "path string, member string, content binary")
 
 
+def member_states(archives: DataFrame, pattern: str) -> DataFrame:
+    """path and state of archives (path, content, lock: name, size, crc32, sha256): as locked, or what of the one member that matches differs."""
+
+    def run(batches):
+        import hashlib
+
+        for frame in batches:
+            out = []
+            for path, raw, lock in zip(frame.path, frame.content, frame.lock):
+                with zipfile.ZipFile(io.BytesIO(bytes(raw))) as z:
+                    members = [i for i in z.infolist() if not i.is_dir() and re.search(pattern, i.filename)]
+                    if len(members) != 1 or members[0].flag_bits & 1:
+                        out.append((path, "encrypted" if len(members) == 1 else f"{len(members)} members"))
+                        continue
+                    data = z.read(members[0])
+                found = {"name": members[0].filename, "size": len(data), "crc32": zlib.crc32(data), "sha256": hashlib.sha256(data).hexdigest()}
+                out.append((path, ", ".join(k for k, v in found.items() if lock[k] != v) or "as locked"))
+            yield pd.DataFrame(out, columns=["path", "state"])
+
+    return archives.mapInPandas(run, "path string, state string")
+
+
 def csv_rows(texts: DataFrame, text_col: str, columns: list[str], sep: str = ",", header: bool = False) -> DataFrame:
     """Rows of files that are columns of text, with doubled quotes and line breaks in quotes; rows of another width are `malformed`: what they lack is null, what they have too much goes.
 
