@@ -12,7 +12,8 @@ of a text's words that have such a mark.
 Null and empty texts score the model's prior. Without labels every score is 0. Texts of any length
 are scored whole. Rows keep their columns, repeated rows stay repeated, and equal texts get equal
 scores; if the new column's name is taken it gets a _ behind it. Of ways to read a token that are
-equally likely the first in the alphabet counts. An empty table gives an empty table.
+equally likely one counts, always the same: of those with equal ends the one found first, then the one whose end was found
+last. An empty table gives an empty table.
 """
 
 from __future__ import annotations

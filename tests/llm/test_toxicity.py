@@ -74,3 +74,52 @@ def test_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert X.learn(docs, none) is None and X.score_toxicity(docs, None).first().toxicity == 0
     assert X.learn(docs.limit(0), none) is None
+
+
+def readings(token, lm):
+    """Score and text of every path through the lattice of a token, one by one."""
+    letters, gaps, gap = [], [], False
+    for c in token:
+        if c.isspace():
+            gap = True
+            continue
+        gaps.append(gap and bool(letters))
+        letters.append(c)
+        gap = False
+
+    def go(i, a, b, last, score, text):
+        if i == len(letters):
+            yield score + float(lm[a, b, 0]), text
+            return
+        c = letters[i]
+        starts = [(a, b, last, score, text)]
+        if (gaps[i] or c in X.SKIPPED and 0 < i < len(letters) - 1) and b:
+            starts.append((b, 0, "", score - X.BORDER + float(lm[a, b, 0]), text + " "))
+        options = [(c, 0.0)] if c.isalpha() else [(x, -1.0 if len(X.LEET[c]) == 1 else -1.8) for x in X.LEET.get(c, "")]
+        same = lambda j: 0 <= j < len(letters) and letters[j] == c
+        again = c.isalpha() and (same(i - 1) and same(i + 1) or same(i - 1) and same(i - 2))
+        for a0, b0, last0, s0, t0 in starts:
+            for x, cost in options:
+                k = X.CODE.get(x, X.N - 1)
+                yield from go(i + 1, b0, k, x, s0 + cost + float(lm[a0, b0, k]), t0 + x)
+            if again and last0 == c or c in X.SKIPPED or not options:
+                yield from go(i + 1, a0, b0, last0, s0 - (0.3 if again or c in X.SKIPPED else 4.0), t0)
+
+    yield from go(0, 0, 0, "", 0.0, "")
+
+
+def test_restore_is_the_best_of_all_paths():
+    import random
+
+    import numpy as np
+
+    rng, words = random.Random(6), np.random.default_rng(6)
+    lm = np.log(words.dirichlet(np.full(X.N, 0.3), (X.N, X.N))).clip(-12).astype(np.float32)
+    for _ in range(150):
+        token = "".join(rng.choices("aabil1!*@0$.-_ x", k=rng.randrange(1, 8))).strip()
+        if not token or token.isspace():
+            continue
+        found = list(readings(token, lm))
+        best = max(s for s, _ in found)
+        got = X.restore(token, lm)
+        assert any(t == got and abs(s - best) < 1e-3 for s, t in found), (token, got)
