@@ -19,25 +19,39 @@ def window_totals(events: DataFrame, size: str = "1 day", late: str = "2 days")
     )
 
 
-def upsert(target: str, keys: list[str]):
+#: Buckets of keys that an upserted table is parted into.
+BUCKETS = 64
+
+
+def upsert(target: str, keys: list[str], buckets: int = BUCKETS):
     """A foreachBatch function: rows of a batch replace those of equal keys; a repeated batch changes nothing.
 
-    Of rows of a batch with equal keys the largest counts, by the other columns in their order.
+    The table is parted by buckets of its keys, and only the buckets that a batch hits are read and written. Of rows of a batch
+    with equal keys the largest counts, by the other columns in their order.
     """
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        from civicframe.sources.sinks import Folder, replace_atomically
+        from civicframe.sources.sinks import Folder
 
         spark = batch.sparkSession
         others = [c for c in batch.columns if c not in keys]
         fresh = batch.groupBy(*keys).agg(F.max(F.struct(*others)).alias("row__")).select(*keys, "row__.*").select(*batch.columns)
+        rows = fresh = fresh.withColumn("bucket__", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
         if Folder(spark, target).exists():
-            fresh = spark.read.parquet(target).join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
-        replace_atomically(spark, lambda where: fresh.write.parquet(where), target)
+            # at most as many rows as there are buckets
+            hit = F.broadcast(fresh.select("bucket__").distinct())
+            old = spark.read.schema(fresh.schema).parquet(target).join(hit, "bucket__", "left_semi").join(fresh.select(*keys), keys, "left_anti")
+            rows = old.select(*fresh.columns).unionByName(fresh)
+        rows.repartition("bucket__").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket__").parquet(target)
 
     return apply
 
 
+def upserted(spark: SparkSession, target: str) -> DataFrame:
+    """The rows of an upserted table."""
+    return spark.read.parquet(target).drop("bucket__")
+
+
 def streamed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table read as a stream to its end: every trigger writes the windows that it has changed, the last of each counts."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema

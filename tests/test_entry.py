@@ -15,6 +15,15 @@ def test_core_queries_stand_alone(monkeypatch):
     assert set(entry.oracle_sql()) == names
 
 
+def test_every_query_reads_its_folder(spark, tmp_path):
+    """No query works on made-up input: without tables each fails when it is built."""
+    import pytest
+
+    for name, build in entry.queries().items():
+        with pytest.raises(Exception, match=r"PATH_NOT_FOUND|does not exist|FileNotFound"):
+            build(spark, str(tmp_path / "nowhere")).count()
+
+
 def test_every_core_query_has_sql():
     sql = entry.oracle_sql()
     assert all(n in sql for n in entry.queries() if not n.startswith("op") and n != "pipeline")

@@ -5,6 +5,7 @@ import io
 import json
 import zipfile
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from civicframe.operators.joins import CheckFailed
 from civicframe.plans.catalog import FILTERS, DatasetQuery, QueryError, level_of, validated
 from civicframe.plans.catalog_queries import BUILDERS
 from civicframe.sources import readers as R, sinks as K
-from civicframe.streaming.months import upsert
+from civicframe.streaming.months import upsert, upserted
 
 
 def test_delimited(spark, tmp_path):
@@ -149,4 +150,12 @@ def test_upsert_is_idempotent(spark, tmp_path):
     a = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     put = upsert(target, ["k"])
     put(a, 0), put(a, 0), put(spark.createDataFrame([(2, "c"), (2, "a")], "k int, v string"), 1)
-    assert sorted(map(tuple, spark.read.parquet(target).collect())) == [(1, "a"), (2, "c")]
+    assert sorted(map(tuple, upserted(spark, target).collect())) == [(1, "a"), (2, "c")]
+    many = spark.range(500).selectExpr("CAST(id AS INT) AS k", "'x' AS v")
+    put(many, 2)
+    before = {str(p.relative_to(target)) for p in Path(target).rglob("*.parquet")}
+    put(spark.createDataFrame([(7, "new"), (900, "more")], "k int, v string"), 3)
+    after = {str(p.relative_to(target)) for p in Path(target).rglob("*.parquet")}
+    rows = {r.k: r.v for r in upserted(spark, target).collect()}
+    assert rows == {**dict.fromkeys(range(500), "x"), 7: "new", 900: "more"}
+    assert len({f.split("/")[0] for f in before - after}) <= 2 and len(before & after) > 40
