@@ -430,20 +430,18 @@ _DISTRIBUTION = f"""b AS (SELECT *, CASE {_BAND} END AS band, CASE WHEN {_REGION
     base AS (SELECT * FROM g, c, k)"""
 
 
-def _quantiles(rows: DataFrame, key: str, prefix: str, weight: str) -> DataFrame:
-    found = A.weighted_nearest_rank(rows.filter(F.col(key).isNotNull()), [key], "head", weight)
-    return found.select(F.col(key).alias("id"), *[F.col(n).alias(f"{prefix}_{n}") for n, _ in A.PROBABILITIES])
-
-
-def _groups(rows: DataFrame, kind: str, key: str, ids: DataFrame) -> DataFrame:
-    """Counts, sums, share and both kinds of quantiles for every id, empty ones too."""
-    sums = rows.groupBy(F.col(key).alias("id")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("people").alias("group_people"), F.sum("title_cents").alias("group_title"), F.sum("total_cents").alias("group_total")
-    )
+def _groups(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Counts, sums, share and both kinds of quantiles (every entity as one, every resident as one) for each kind and id, empty ones too; in one pass over the entities' groups."""
+    both = F.array(F.struct(F.lit("band").alias("kind"), F.col("band").alias("id")), F.struct(F.lit("region").alias("kind"), F.col("place").alias("id")))
+    of = rows.select("people", "title_cents", "total_cents", "head", F.explode(both).alias("g")).select("g.*", "people", "title_cents", "total_cents", "head").filter("id IS NOT NULL")
+    sums = of.groupBy("kind", "id").agg(F.count(F.lit(1)).alias("n"), F.sum("people").alias("group_people"), F.sum("title_cents").alias("group_title"), F.sum("total_cents").alias("group_total"))
+    weights = F.array(F.struct(F.lit("m").alias("by"), F.lit(1).cast("bigint").alias("weight")), F.struct(F.lit("r").alias("by"), F.col("people").alias("weight")))
+    ranked = A.weighted_nearest_rank(of.select("kind", "id", "head", F.explode(weights).alias("w")).select("kind", "id", "head", "w.*"), ["kind", "id", "by"], "head", "weight")
+    picks = [F.max(F.when(F.col("by") == p, F.col(n))).alias(f"{p}_{n}") for p in "mr" for n, _ in A.PROBABILITIES]
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "group_people", "group_title", "group_total")]
-    found = ids.join(sums, "id", "left").select(F.lit(kind).alias("kind"), "id", *zero)
+    found = ids.join(sums, ["kind", "id"], "left").select("kind", "id", *zero)
     found = found.withColumn("group_share", F.try_divide(F.col("group_title").cast("double"), F.col("group_total").cast("double")))
-    return found.join(_quantiles(rows, key, "m", "one"), "id", "left").join(_quantiles(rows, key, "r", "people"), "id", "left")
+    return found.join(ranked.groupBy("kind", "id").agg(*picks), ["kind", "id"], "left")
 
 
 @contract("v12_v22_w10_distribution", (*_MEASURES, *_COVERAGE), _DISTRIBUTION, _RULES, _changes(), _LOST, (*_BREAKS, *_NULLS, "lost_band", "lost_region"))
@@ -452,9 +450,9 @@ def distribution(spark, sf_dir):
     known, regional = F.col("people").isNotNull(), F.col("region") % 5 != 0
     rows = entity_totals(spark, sf_dir)
     own = rows.filter(known).withColumn("band", A.banded(None, "people")).withColumn("place", F.when(regional, F.col("region").cast("string")))
-    own = own.withColumn("head", F.floor(F.col("title_cents") / F.col("people")).cast("bigint")).withColumn("one", F.lit(1))
-    places = regions(spark, sf_dir).filter(regional).select(F.col("region").cast("string").alias("id"))
-    groups = _groups(own, "band", "band", A.band_table(spark).select(F.col("band").alias("id"))).unionByName(_groups(own, "region", "place", places))
+    own = own.withColumn("head", F.floor(F.col("title_cents") / F.col("people")).cast("bigint"))
+    places = regions(spark, sf_dir).filter(regional).select(F.lit("region").alias("kind"), F.col("region").cast("string").alias("id"))
+    groups = _groups(own, A.band_table(spark).select(F.lit("band").alias("kind"), F.col("band").alias("id")).unionByName(places))
 
     def total(column: str, where=None):
         return F.coalesce(F.sum(F.col(column) if where is None else F.when(where, F.col(column))), F.lit(0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from civicframe.functions.scalars import cents, title_digit
 from civicframe.operators.cube import Cube, Level
@@ -10,8 +11,20 @@ from civicframe.sources.shared import shared_folder
 from civicframe.sources.sinks import Folder
 
 
+_schemas: dict[tuple[str, str], tuple[tuple, StructType]] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its schema is read from the files once for each state that they are in."""
+    path = f"{sf_dir}/{name}.parquet"
+    folder = Folder(spark, path)
+    state = folder.state() if folder.exists() else None
+    key = (spark.sparkContext.applicationId, path)
+    if state is None or _schemas.get(key, (None,))[0] != state:
+        table = spark.read.parquet(path)
+        _schemas[key] = (state, table.schema)
+        return table
+    return spark.read.schema(_schemas[key][1]).parquet(path)
 
 
 def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
