@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from civicframe.functions import scalars as X
 from civicframe.operators import aggregates as A, joins as J, series as S
+from civicframe.operators.paging import StoredOrder
 from civicframe.plans.queries import query
 from civicframe.plans.roles import entities, entity_totals, movements, read, regions
 
@@ -77,14 +78,16 @@ def _page_sql(i: int, page: int, size: int) -> str:
 @query("o09_o12_page_numbers", """+ k AS (SELECT count(*) AS n FROM ent), o AS (SELECT entity, row_number() OVER (ORDER BY people DESC NULLS LAST, entity) AS place
         FROM ent) """ + " UNION ALL ".join(f"({_page_sql(i, p, s)})" for i, (p, s, _, _) in enumerate(REQUESTS)))
 def page_numbers(spark, sf_dir):
-    """Pages by number, moved to the last there is, with total, returned and whether there is more."""
-    rows = entities(spark, sf_dir).select("entity", "people")
-    found = None
+    """Pages by number, moved to the last there is, with total, returned and whether there is more: all from one stored order, whose ranges know the total."""
+    stored = StoredOrder.build(entities(spark, sf_dir).select("entity", "people"), S.ordered_by("people", True, "entity"))
+    total, asked, facts = stored.total, [], []
     for i, (page, size, _, _) in enumerate(REQUESTS):
-        env = S.numbered_page(rows, S.ordered_by("people", True, "entity"), page, size)
-        part = env.groupBy("page", "total", "returned", "has_more").agg(F.min("entity").alias("least")).select(F.lit(i).alias("request"), "page", "total", "returned", "has_more", "least")
-        found = part if found is None else found.unionByName(part)
-    return found
+        at = S.last_page(page, total, size)
+        asked.append(((at - 1) * size, size))
+        facts.append((i, at, total, max(0, min(size, total - (at - 1) * size)), total > at * size))
+    least = stored.pages(asked).groupBy("request").agg(F.min("entity").alias("least"))
+    known = spark.createDataFrame(facts, "request int, page bigint, total bigint, returned bigint, has_more boolean")
+    return known.join(least, "request", "left")
 
 
 _CLAMPED = ", ".join(f"({i}, least(greatest({o}, 0), 100000), least(greatest({n}, 1), 100))" for i, (_, _, o, n) in enumerate(REQUESTS))

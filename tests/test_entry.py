@@ -15,6 +15,16 @@ def test_core_queries_stand_alone(monkeypatch):
     assert set(entry.oracle_sql()) == names
 
 
+def test_a_broken_operator_is_no_missing_one(monkeypatch):
+    import pytest
+
+    for name in [m for m in sys.modules if m.startswith("civicframe.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "civicframe.llm.warc", None)
+    with pytest.raises(ImportError, match="warc"):
+        entry.queries()
+
+
 def test_every_query_reads_its_folder(spark, tmp_path):
     """No query works on made-up input: without tables each fails when it is built."""
     import pytest
