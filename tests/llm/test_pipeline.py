@@ -69,4 +69,4 @@ def test_run(spark, folder):
 
 def test_registry():
     names = [k for k in queries() if k.startswith("op")]
-    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
+    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 14)) and set(oracle_sql()) <= set(queries())
