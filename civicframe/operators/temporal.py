@@ -73,17 +73,23 @@ def checked_intervals(versions: DataFrame, start: str, end: str) -> DataFrame:
     return versions.filter(F.when(sound, F.lit(True)).otherwise(F.raise_error(F.lit(f"{start} is after {end} or lacks")).cast("boolean")))
 
 
-def valid_at(facts: DataFrame, versions: DataFrame, keys: list[str], day: str, start: str, end: str, tie: str, days: int = BUCKET_DAYS, how: str = "left") -> DataFrame:
+def valid_at(facts: DataFrame, versions: DataFrame, keys: list[str], day: str, start: str, end: str, tie: str, days: int = BUCKET_DAYS, how: str = "left", span: tuple | None = None) -> DataFrame:
     """facts with valid: of the versions of their keys that hold on their day (both ends included) the one that starts last; of equals the smallest tie.
 
     Versions stand in every bucket of days that they touch and facts in theirs, so they meet in an equality of keys and bucket.
+    span: the first and the last day of facts, where known, so that versions with open ends stand in no bucket beyond; facts beyond it have no version.
     Of a bucket's versions that hold over the same days only the last counts, so what stands in a bucket is bounded by its
     days, however many versions a key has. A fact stays one row. With how = inner those without a version go.
     """
     number = lambda c: F.floor(F.unix_date(c) / days).cast("int")
     first = lambda b: F.date_from_unix_date(b * days)
     fields = [c for c in versions.columns if c not in keys]
-    spread = versions.select(*keys, F.struct(*fields).alias("version__"), F.explode(F.sequence(number(F.col(start)), number(F.col(end)))).alias("bucket__"))
+    begin, stop = F.col(start), F.col(end)
+    if span:
+        first_day, last_day = (F.lit(d).cast("date") for d in span)
+        versions = versions.filter((begin <= last_day) & (stop >= first_day))
+        begin, stop = F.greatest(begin, first_day), F.least(stop, last_day)
+    spread = versions.select(*keys, F.struct(*fields).alias("version__"), F.explode(F.sequence(number(begin), number(stop))).alias("bucket__"))
     low = F.greatest(F.col(f"version__.{start}"), first(F.col("bucket__")))
     high = F.least(F.col(f"version__.{end}"), F.date_add(first(F.col("bucket__")), days - 1))
     order = F.struct(F.datediff(F.lit("1970-01-01").cast("date"), F.col(f"version__.{start}")).alias("late"), F.col(f"version__.{tie}").alias("tie"))

@@ -53,6 +53,8 @@ def test_versions_against_every_pair(spark):
             held = [(a, -v) for key, v, a, b in versions if key == k and day is not None and a <= day <= b]
             assert got[i] == (-max(held)[1] if held else None)
     assert "BroadcastNestedLoopJoin" not in plan(df) and "CartesianProduct" not in plan(df)
+    within = T.valid_at(left, right, ["k"], "day", "low", "high", "version", span=(days(-10), days(1400)))
+    assert {r.id: r.valid and r.valid.version for r in within.collect()} == got
     assert T.valid_at(left, right, ["k"], "day", "low", "high", "version", how="inner").count() == sum(v is not None for v in got.values())
     assert T.valid_at(left, right.limit(0), ["k"], "day", "low", "high", "version").filter("valid IS NOT NULL").count() == 0
 
