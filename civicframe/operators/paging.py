@@ -13,6 +13,8 @@ from civicframe.sources.shared import shared_folder
 
 #: Rows of a range, about; ranges at most, as the zone map has a row for each.
 RANGE_ROWS, MOST_RANGES = 100_000, 20_000
+#: Places asked for at once that are broadcast.
+BROADCAST_PLACES = 200_000
 
 
 @dataclass
@@ -54,7 +56,8 @@ class StoredOrder:
         asked = asked.select("request", "range__", "before__", F.explode(F.sequence("low__", F.col("high__") - 1)).alias("place__"))
         held = self.rows.filter(F.col("range__").isin(sorted({w[1] for w in wanted})))
         # one row for each place asked for
-        found = held.join(F.broadcast(asked), ["range__", "place__"])
+        few = sum(high - low for *_, low, high in wanted) <= BROADCAST_PLACES
+        found = held.join(F.broadcast(asked) if few else asked, ["range__", "place__"])
         return found.select("request", (F.col("before__") + F.col("place__")).alias("place"), *own)
 
     def ranges_of(self, offset: int, limit: int) -> list[int]:
