@@ -4,6 +4,8 @@ Documents are sets of word shingles; two link when their sets' Jaccard similarit
 threshold. Equal sets collapse to one representative. Representatives that could link share a
 shingle among their first n - ceil(t n) + 1 in one global order (hash order, but shingles that are
 frequent in a bounded sample come last; any order is exact, this one keeps common passages apart).
+Shingles that are too rare for the sample and still crowd a block are counted over all documents and
+go last as well; documents that had one of them among their first are signed anew.
 The representatives of such a shingle form a block, named by the smallest of them, its hub; shingles
 with the same hub share a block. In a block a signature tree holds, at every node, the OR of the
 bitmaps below, the range of set sizes and the largest number of shingles that share a bit; a dual
@@ -41,6 +43,8 @@ NODE, LEAF = 4096, 8
 BUNDLE = 1000
 #: Sampled documents, in how many of them a shingle counts as frequent, and bound on these shingles.
 HOT_SAMPLE, HOT_COUNT, HOT_MOST = 4000, 12, 200_000
+#: Times that crowded shingles are looked for; each moves more of them to the end of the order.
+PASSES = 3
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -120,16 +124,61 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, de
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, c1 long, c2 long, prefix array<long>, lead long, map array<long>")
 
 
-def block_members(reps: DataFrame) -> DataFrame:
-    """(hub, hub_n, rep, n): representatives that share a prefix shingle, under the smallest of the shingle's."""
-    tokens = reps.select("rep", "n", F.explode("prefix").alias("token"))
+def token_groups(prefixes: DataFrame) -> DataFrame:
+    """(token, hub, far, c): shingles that several prefixes share, with the smallest and largest representative and their count."""
+    tokens = prefixes.select("rep", F.explode("prefix").alias("token"))
     groups = tokens.groupBy("token").agg(F.min("rep").alias("hub"), F.max("rep").alias("far"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    groups = written(groups, "groups")
+    return written(groups, "groups")
+
+
+def crowded_shingles(groups: DataFrame, hot: np.ndarray) -> np.ndarray:
+    """Shingles of more than NODE prefixes that are not last in the order yet, the most frequent first; as many as HOT_MOST leaves room for.
+
+    Fewer than one of NODE prefix shingles can be crowded.
+    """
+    room = HOT_MOST - len(hot)
+    if room <= 0:
+        return np.zeros(0, np.uint64)
+    # known ones may fill the first rows, so as many more are read
+    rows = groups.filter(F.col("c") > NODE).orderBy(F.desc("c"), "token").limit(HOT_MOST).select("token").collect()
+    found = np.array([r.token for r in rows], np.int64).view(np.uint64)
+    return found[~np.isin(found, hot)][:room]
+
+
+def prefix_groups(docs: DataFrame, signed: DataFrame, reps_of, hot: np.ndarray, id_col: str, text_col: str, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(rep, n, prefix) and their token_groups, in an order in which few shingles are crowded.
+
+    A prefix without a shingle that moves to the end stays what it is in the new order, so only the others are made again.
+    """
+    spark = docs.sparkSession
+    prefixes = reps_of(signed).select("rep", "n", "prefix")
+    groups = token_groups(prefixes)
+    for _ in range(PASSES):
+        crowded = crowded_shingles(groups, hot)
+        if not len(crowded):
+            break
+        hot = np.sort(np.concatenate([hot, crowded]))
+        # HOT_MOST rows at most
+        moved = F.broadcast(spark.createDataFrame([(x,) for x in crowded.view(np.int64).tolist()], "token long"))
+        met = prefixes.select("rep", F.explode("prefix").alias("token")).join(moved, "token", "left_semi")
+        changed = written(met.select(F.col("rep").alias("changed")).distinct(), "changed")
+        if changed.count() <= BROADCAST_ROWS:
+            changed = F.broadcast(changed)
+        own = docs.join(changed, F.col(id_col) == F.col("changed"), "left_semi")
+        again = reps_of(signatures(own, id_col, text_col, k, num, den, hot)).select("rep", "n", "prefix")
+        rest = prefixes.join(changed, F.col("rep") == F.col("changed"), "left_anti")
+        prefixes = written(rest.union(again), "prefixes")
+        groups = token_groups(prefixes)
+    return prefixes, groups
+
+
+def block_members(prefixes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(hub, hub_n, rep, n): representatives that share a prefix shingle, under the smallest of the shingle's."""
     pairs = groups.filter("c = 2").select("hub", F.col("far").alias("rep"))
     many = groups.filter("c > 2").select("token", "hub")
-    stars = tokens.select("token", "rep").join(many, "token").select("hub", "rep")
+    stars = prefixes.select("rep", F.explode("prefix").alias("token")).join(many, "token").select("hub", "rep")
     found = pairs.union(stars).filter("hub <> rep").distinct()
-    sizes = reps.select("rep", "n")
+    sizes = prefixes.select("rep", "n")
     return found.join(sizes.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n")), "hub").join(sizes, "rep").select("hub", "hub_n", "rep", "n")
 
 
@@ -422,12 +471,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     later = sets.join(classes.filter("c > 1").select(*which, "rep"), which).filter("id <> rep").select("id", *which).distinct()
     if later.count() <= BROADCAST_ROWS:
         later = F.broadcast(later)
-    reps = signed.filter("n > 0 AND id IS NOT NULL").join(later, ["id", *which], "left_anti").withColumnRenamed("id", "rep")
-    maps = reps.select("rep", "n", "lead", "map")
+
+    def reps_of(rows: DataFrame) -> DataFrame:
+        return rows.filter("n > 0 AND id IS NOT NULL").join(later, ["id", *which], "left_anti").withColumnRenamed("id", "rep")
+
+    maps = reps_of(signed).select("rep", "n", "lead", "map")
     # an identifier with several sets joins their classes
     several = sets.groupBy("id").agg(F.min(F.struct(*which)).alias("a"), F.max(F.struct(*which)).alias("b")).filter("a <> b").select("id")
     through = written(sets.join(several, "id", "left_semi").join(classes, which).filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct(), "through")
-    members = written(block_members(reps), "members")
+    members = written(block_members(*prefix_groups(docs, signed, reps_of, hot, id_col, text_col, k, num, den)), "members")
     bundles = max(16, members.count() // BUNDLE)
     first = verified(hub_candidates(members, maps, num, den, bundles), docs, id_col, text_col, k, num, den).union(through)
     second = verified(pair_candidates(in_reach(members, connected_components(first), num, den), maps, num, den, bundles), docs, id_col, text_col, k, num, den)

@@ -62,6 +62,34 @@ def test_components_against_brute_force(spark, monkeypatch, seed, k, num, node):
     assert got == brute(docs, k, num, 100)
 
 
+def test_shingles_that_the_sample_misses(spark, monkeypatch):
+    """What crowds a block goes last although no sampled document has it; documents without it keep their prefixes, and no link is lost."""
+    monkeypatch.setattr(N, "NODE", 20)
+    monkeypatch.setattr(N, "HOT_SAMPLE", 0)
+    rng = np.random.default_rng(11)
+    common = [f"c{i}" for i in range(12)]
+    rows = [[*common, *[f"w{i}_{j}" for j in range(60)]] for i in range(80)] + [[f"v{j}" for j in rng.integers(0, 300, 50)] for _ in range(20)]
+    rows += [[*r, "more"] for r in rows[::5]]
+    docs = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    made = {}
+
+    def kept(prefixes, groups):
+        made["prefixes"], made["most"] = {r.rep: r.prefix for r in prefixes.collect()}, max(r.c for r in groups.collect())
+        return plain(prefixes, groups)
+
+    plain = N.block_members
+    monkeypatch.setattr(N, "block_members", kept)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.jaccard_components(df).collect()}
+    assert got == brute(docs, 4, 85, 100) and made["most"] <= 20
+    first = made["prefixes"]
+    monkeypatch.setattr(N, "PASSES", 0)
+    again = {r.doc_id: (r.n_shingles, r.component_id) for r in N.jaccard_components(df).collect()}
+    assert again == got and made["most"] > 60
+    # hash order in whole: what has no common shingle is as it was
+    assert all(first[i] == made["prefixes"][i] for i in range(80, 100)) and first != made["prefixes"]
+
+
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(5)
     sets = []
