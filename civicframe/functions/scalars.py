@@ -240,8 +240,8 @@ def yes_no(text: Column) -> Column:
 
 
 def freshness(at: Column, now: Column, stale_after: Column) -> Column:
-    """unknown, fresh or stale; more than five minutes ahead is unknown, as is a missing time or threshold."""
-    age = F.timestamp_diff("SECOND", at, now)
+    """unknown, fresh or stale; more than five minutes ahead is unknown, as is a missing time or threshold. Ages count whole seconds of the clock: fractions of both times are cut off first."""
+    age = F.timestamp_diff("SECOND", F.date_trunc("second", at), F.date_trunc("second", now))
     return F.when(at.isNull() | stale_after.isNull() | (age < -300), "unknown").when(age > stale_after, "stale").otherwise("fresh")
 
 
