@@ -14,6 +14,11 @@ class CheckFailed(ValueError):
     """A contract does not hold."""
 
 
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """df by keys over parts tasks, where a number is given: Spark goes by bytes, and well packed rows of narrow keys would be millions in a task."""
+    return df if parts is None else df.repartition(parts, *keys)
+
+
 def unambiguous(df: DataFrame, key: str, value: str) -> DataFrame:
     """Keys with exactly one distinct value, with it; nulls are no values."""
     return df.groupBy(key).agg(F.min(value).alias(value), F.max(value).alias("other__")).filter(f"{value} = other__").drop("other__")

@@ -7,11 +7,15 @@ from pyspark.sql.types import StructType
 
 from civicframe.functions.scalars import cents, title_digit
 from civicframe.operators.cube import Cube, Level
+from civicframe.operators.joins import dealt
 from civicframe.sources.shared import shared_folder
 from civicframe.sources.sinks import Folder
 
 
 _schemas: dict[tuple[str, str], tuple[tuple, StructType]] = {}
+_rows: dict[tuple[str, str], tuple[tuple, int]] = {}
+#: Rows of a task, so that what it sorts and groups stays small whatever the tables' size; with at most FEW tasks the choice is left to Spark.
+TASK_ROWS, FEW = 200_000, 32
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,14 +31,27 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_schemas[key][1]).parquet(path)
 
 
+def tasks(spark: SparkSession, sf_dir: str, name: str = "lineitem") -> int | None:
+    """Tasks for the rows of a table, which are counted once for each state of its files; None where they are few."""
+    path = f"{sf_dir}/{name}.parquet"
+    folder = Folder(spark, path)
+    state = folder.state() if folder.exists() else None
+    key = (spark.sparkContext.applicationId, path)
+    if state is None or _rows.get(key, (None,))[0] != state:
+        _rows[key] = (state, read(spark, sf_dir, name).count())
+    n = -(-_rows[key][1] // TASK_ROWS)
+    return n if n > FEW else None
+
+
 def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """entity, supplier, part, number, line, year, month, day, cents of every payment."""
+    """entity, supplier, part, number, line, year, month, day, cents of every payment; of large tables by number over tasks of bounded size."""
+    n = tasks(spark, sf_dir)
     orders = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("entity"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), F.to_date("o_orderdate").alias("day"))
     lines = read(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("number"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("part"),
         cents(F.col("l_extendedprice")).alias("cents"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"),
     )
-    return lines.join(orders, F.col("number") == F.col("o_orderkey")).drop("o_orderkey")
+    return dealt(lines, n, "number").join(dealt(orders, n, "o_orderkey"), F.col("number") == F.col("o_orderkey")).drop("o_orderkey")
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
