@@ -7,11 +7,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from civicframe.operators.joins import dealt
 
-def bitmaps(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, bucket and bits of the whole-number identifiers of every group."""
+
+def bitmaps(df: DataFrame, keys: list[str], value: str, parts: int | None = None) -> DataFrame:
+    """keys, bucket and bits of the whole-number identifiers of every group.
+
+    parts: tasks over which groups are dealt as identifiers, for groups of few of them: a bitmap of each before the shuffle would be 4096 bytes for a few.
+    """
     known = df.filter(F.col(value).isNotNull()).withColumn("id__", F.col(value).cast("bigint"))
-    return known.groupBy(*keys, F.bitmap_bucket_number("id__").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id__")).alias("bits"))
+    return dealt(known, parts, *keys).groupBy(*keys, F.bitmap_bucket_number("id__").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id__")).alias("bits"))
 
 
 def merged(bits: DataFrame, keys: list[str]) -> DataFrame:

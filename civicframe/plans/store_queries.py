@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from civicframe.functions.scalars import cents
 from civicframe.operators import bitmaps as B
+from civicframe.operators.joins import dealt
 from civicframe.operators.paging import StoredOrder
 from civicframe.operators.series import clamped
 from civicframe.operators.trigrams import TrigramIndex
 from civicframe.plans.queries import query
-from civicframe.plans.roles import entities, movements, payments_cube, read, regions
+from civicframe.plans.roles import entities, movements, payments_cube, read, regions, tasks
 from civicframe.sources.shared import shared_folder
 from civicframe.plans.value_queries import FOLD_SQL
 
@@ -26,9 +27,11 @@ from civicframe.plans.value_queries import FOLD_SQL
 def bitmap_distincts(spark, sf_dir):
     """Distinct suppliers by entity, region, area and in all, from one table of bitmaps; the ten entities with the most."""
     where = shared_folder(spark, "suppliers")
-    B.bitmaps(movements(spark, sf_dir).select("entity", "supplier"), ["entity"], "supplier").write.parquet(where)
+    parts = tasks(spark, sf_dir)
+    B.bitmaps(movements(spark, sf_dir).select("entity", "supplier"), ["entity"], "supplier", parts).write.parquet(where)
     places = entities(spark, sf_dir).select("entity", "region").join(regions(spark, sf_dir), "region").select("entity", "region_name", "area")
-    stored = spark.read.parquet(where)
+    # bitmaps take 4096 bytes each in memory and far fewer in files, so files are no measure of a task
+    stored = dealt(spark.read.parquet(where), parts, "entity")
     by_region = B.merged(stored.join(places, "entity"), ["region_name", "area"])
     by_entity = B.distinct_counts(stored, ["entity"], "suppliers")
     first = by_entity.orderBy(F.desc("suppliers"), "entity").limit(10).select("entity", F.lit(True).alias("first"))

@@ -42,3 +42,12 @@ def test_payments_are_dealt_over_tasks_of_bounded_rows(spark, monkeypatch):
     assert rows.rdd.getNumPartitions() == n and sorted(map(tuple, rows.collect())) == whole
     of_groups = rows.groupBy("number", "line").count()
     assert plan(of_groups).count(" Exchange hashpartitioning") == 2 and of_groups.rdd.getNumPartitions() == n
+
+
+def test_bitmaps_of_small_groups_are_made_behind_the_shuffle(spark):
+    rows = spark.range(3000).selectExpr("id % 700 AS k", "id % 41 AS v")
+    dealt = B.bitmaps(rows, ["k"], "v", 5)
+    lines = plan(dealt).splitlines()
+    assert next(i for i, x in enumerate(lines) if "Exchange" in x) > max(i for i, x in enumerate(lines) if "Aggregate" in x)
+    count = lambda b: sorted(map(tuple, B.distinct_counts(b, ["k"], "n").collect()))
+    assert count(dealt) == count(B.bitmaps(rows, ["k"], "v"))
