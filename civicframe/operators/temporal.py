@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from civicframe.operators.joins import dealt
 from civicframe.operators.series import clamped
 
 #: Months that a request without a period looks back, and their range.
@@ -73,13 +74,14 @@ def checked_intervals(versions: DataFrame, start: str, end: str) -> DataFrame:
     return versions.filter(F.when(sound, F.lit(True)).otherwise(F.raise_error(F.lit(f"{start} is after {end} or lacks")).cast("boolean")))
 
 
-def valid_at(facts: DataFrame, versions: DataFrame, keys: list[str], day: str, start: str, end: str, tie: str, days: int = BUCKET_DAYS, how: str = "left", span: tuple | None = None) -> DataFrame:
+def valid_at(facts: DataFrame, versions: DataFrame, keys: list[str], day: str, start: str, end: str, tie: str, days: int = BUCKET_DAYS, how: str = "left", span: tuple | None = None, parts: int | None = None) -> DataFrame:
     """facts with valid: of the versions of their keys that hold on their day (both ends included) the one that starts last; of equals the smallest tie.
 
     Versions stand in every bucket of days that they touch and facts in theirs, so they meet in an equality of keys and bucket.
     span: the first and the last day of facts, where known, so that versions with open ends stand in no bucket beyond; facts beyond it have no version.
     Of a bucket's versions that hold over the same days only the last counts, so what stands in a bucket is bounded by its
     days, however many versions a key has. A fact stays one row. With how = inner those without a version go.
+    parts: tasks over which facts and versions in buckets are dealt.
     """
     number = lambda c: F.floor(F.unix_date(c) / days).cast("int")
     first = lambda b: F.date_from_unix_date(b * days)
@@ -90,12 +92,14 @@ def valid_at(facts: DataFrame, versions: DataFrame, keys: list[str], day: str, s
         versions = versions.filter((begin <= last_day) & (stop >= first_day))
         begin, stop = F.greatest(begin, first_day), F.least(stop, last_day)
     spread = versions.select(*keys, F.struct(*fields).alias("version__"), F.explode(F.sequence(number(begin), number(stop))).alias("bucket__"))
+    spread = dealt(spread, parts, *keys, "bucket__")
     low = F.greatest(F.col(f"version__.{start}"), first(F.col("bucket__")))
     high = F.least(F.col(f"version__.{end}"), F.date_add(first(F.col("bucket__")), days - 1))
     order = F.struct(F.datediff(F.lit("1970-01-01").cast("date"), F.col(f"version__.{start}")).alias("late"), F.col(f"version__.{tie}").alias("tie"))
     held = spread.withColumn("order__", order).groupBy(*keys, "bucket__", low.alias("low__"), high.alias("high__")).agg(F.min(F.struct("order__", "version__")).alias("v__"))
     held = held.groupBy(*keys, "bucket__").agg(F.array_sort(F.collect_list(F.struct(F.col("v__.order__").alias("order"), "low__", "high__", F.col("v__.version__").alias("version")))).alias("held__"))
-    rows = facts.withColumn("bucket__", number(F.col(day))).join(held, [*keys, "bucket__"], how)
+    # versions in buckets are far more than their table's size lets Spark guess, so they are never broadcast
+    rows = dealt(facts.withColumn("bucket__", number(F.col(day))), parts, *keys, "bucket__").join(held.hint("merge"), [*keys, "bucket__"], how)
     on = lambda v: reduce(lambda a, b: a & b, [v["low__"] <= F.col(day), F.col(day) <= v["high__"]])
     found = rows.withColumn("valid", F.get(F.filter("held__", on), F.lit(0))["version"]).select(*facts.columns, "valid")
     return found.filter("valid IS NOT NULL") if how == "inner" else found

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from civicframe.operators import temporal as T
 from civicframe.plans.queries import query
-from civicframe.plans.roles import available_years, entities, movements, read
+from civicframe.plans.roles import available_years, entities, movements, read, tasks
 
 _INDEX = "(year * 12 + month - 1)"
 #: Releases by segment: some months of each, with gaps above the look back; one segment publishes some months twice.
@@ -100,7 +100,7 @@ def valid_versions(spark, sf_dir):
     own = T.checked_intervals(versions(spark, sf_dir), "valid_from", "valid_to")
     years = available_years(spark, sf_dir)
     span = (datetime.date(min(years), 1, 1), datetime.date(max(years), 12, 31)) if years else None
-    found = T.valid_at(movements(spark, sf_dir).select("entity", "day", "cents"), own, ["entity"], "day", "valid_from", "valid_to", "version", span=span)
+    found = T.valid_at(movements(spark, sf_dir).select("entity", "day", "cents"), own, ["entity"], "day", "valid_from", "valid_to", "version", span=span, parts=tasks(spark, sf_dir))
     return found.groupBy("entity", F.col("valid.version").alias("version")).agg(F.count(F.lit(1)).alias("payments"), F.sum("cents").alias("cents"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
 
 

@@ -26,6 +26,17 @@ def test_sums_beyond_64_bits(spark):
     assert [k for k, ok in found.items() if k[0] == "sound" and not ok] == []
 
 
+def test_versions_in_buckets_are_not_broadcast(spark):
+    """Versions are exploded, so the size of their table says nothing."""
+    day = lambda m: datetime.date(2024, m, 1)
+    facts = spark.createDataFrame([(1, day(3)), (1, day(9)), (2, day(3))], "entity long, day date")
+    versions = spark.createDataFrame([(1, 0, day(1), day(6)), (1, 1, day(2), day(4))], "entity long, version int, valid_from date, valid_to date")
+    for parts in (None, 3):
+        found = T.valid_at(facts, versions, ["entity"], "day", "valid_from", "valid_to", "version", parts=parts)
+        assert "BroadcastHashJoin" not in plan(found)
+        assert sorted((r.entity, r.day.month, r.valid and r.valid.version) for r in found.collect()) == [(1, 3, 1), (1, 9, None), (2, 3, None)]
+
+
 def test_ages_count_seconds_of_the_clock(spark):
     now = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
     state = lambda t: spark.range(1).select(X.freshness(F.lit(t).cast("timestamp_ntz"), now, F.lit(86400))).first()[0]
