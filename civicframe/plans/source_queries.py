@@ -117,21 +117,18 @@ def locked_member(spark, sf_dir):
     return found.select("file", "rows", "state")
 
 
-@F.pandas_udf(T.BinaryType())
-def _workbook(texts: pd.Series) -> pd.Series:
+@F.udf(T.BinaryType(), useArrow=False)
+def _workbook(text: str) -> bytes:
     """A workbook whose sheet Data has a row for each line: its number, and the line as shared and as inline text."""
     main, rel = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    out = []
-    for text in texts:
-        lines = text.split("\n")
-        cells = "".join(f'<row r="{i + 1}"><c r="A{i + 1}"><v>{i}</v></c><c r="B{i + 1}" t="s"><v>{i}</v></c><c r="AA{i + 1}" t="inlineStr"><is><t>{escape(x)}</t></is></c></row>' for i, x in enumerate(lines))
-        out.append(_zipped({
-            "xl/workbook.xml": f'<workbook {main} xmlns:r="{rel}"><sheets><sheet name="Data" r:id="r1"/></sheets></workbook>'.encode(),
-            "xl/_rels/workbook.xml.rels": b'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>',
-            "xl/sharedStrings.xml": f"<sst {main}>{''.join(f'<si><t>{escape(x)}</t></si>' for x in lines)}</sst>".encode(),
-            "xl/worksheets/s.xml": f"<worksheet {main}><sheetData>{cells}</sheetData></worksheet>".encode(),
-        }))
-    return pd.Series(out)
+    lines = text.split("\n")
+    cells = "".join(f'<row r="{i + 1}"><c r="A{i + 1}"><v>{i}</v></c><c r="B{i + 1}" t="s"><v>{i}</v></c><c r="AA{i + 1}" t="inlineStr"><is><t>{escape(x)}</t></is></c></row>' for i, x in enumerate(lines))
+    return _zipped({
+        "xl/workbook.xml": f'<workbook {main} xmlns:r="{rel}"><sheets><sheet name="Data" r:id="r1"/></sheets></workbook>'.encode(),
+        "xl/_rels/workbook.xml.rels": b'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>',
+        "xl/sharedStrings.xml": f"<sst {main}>{''.join(f'<si><t>{escape(x)}</t></si>' for x in lines)}</sst>".encode(),
+        "xl/worksheets/s.xml": f"<worksheet {main}><sheetData>{cells}</sheetData></worksheet>".encode(),
+    })
 
 
 @query("s09_workbook", f"""WITH r AS (SELECT CAST(floor(c_custkey / {FILE_ROWS}) AS BIGINT) AS file, c_name AS name FROM customer)

@@ -166,8 +166,8 @@ def workbook_rows(books: DataFrame, sheet: str | None = None) -> DataFrame:
 
         ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
         for frame in batches:
-            out = []
             for path, raw in zip(frame.path, frame.content):
+                out = []  # one workbook at a time
                 with zipfile.ZipFile(io.BytesIO(bytes(raw))) as z:
                     shared = []
                     if "xl/sharedStrings.xml" in z.namelist():
@@ -187,7 +187,7 @@ def workbook_rows(books: DataFrame, sheet: str | None = None) -> DataFrame:
                                 if text is not None:
                                     cells[column_number(c.get("r"))] = shared[int(text)] if c.get("t") == "s" else text
                             out.append((path, s.get("name"), int(r.get("r")), cells))
-            yield pd.DataFrame(out, columns=["path", "sheet", "row", "cells"])
+                yield pd.DataFrame(out, columns=["path", "sheet", "row", "cells"])
 
     return books.mapInPandas(run, "path string, sheet string, row long, cells map<int,string>")
 
@@ -243,8 +243,8 @@ def shapes(content: DataFrame) -> DataFrame:
 
     def run(batches):
         for frame in batches:
-            out = []
             for path, raw in zip(frame.path, frame.content):
+                out = []  # one file at a time
                 data, at = bytes(raw), 100
                 while at + 12 <= len(data):
                     number, words = struct.unpack_from(">ii", data, at)
@@ -256,7 +256,7 @@ def shapes(content: DataFrame) -> DataFrame:
                         rings = [[{"x": points[2 * i], "y": points[2 * i + 1]} for i in range(a, b)] for a, b in zip(starts, starts[1:])]
                         out.append((path, number, rings))
                     at += 8 + 2 * words
-            yield pd.DataFrame(out, columns=["path", "number", "parts"])
+                yield pd.DataFrame(out, columns=["path", "number", "parts"])
 
     return content.mapInPandas(run, "path string, number int, parts array<array<struct<x: double, y: double>>>")
 
@@ -266,8 +266,8 @@ def dbf_rows(content: DataFrame) -> DataFrame:
 
     def run(batches):
         for frame in batches:
-            out = []
             for path, raw in zip(frame.path, frame.content):
+                out = []  # one file at a time
                 data = bytes(raw)
                 n, head, size = struct.unpack_from("<IHH", data, 4)
                 fields, at = [], 32
@@ -280,7 +280,7 @@ def dbf_rows(content: DataFrame) -> DataFrame:
                         row[name] = data[pos : pos + width].decode("latin-1").strip()
                         pos += width
                     out.append((path, i + 1, row))
-            yield pd.DataFrame(out, columns=["path", "number", "fields"])
+                yield pd.DataFrame(out, columns=["path", "number", "fields"])
 
     return content.mapInPandas(run, "path string, number int, fields map<string,string>")
 

@@ -62,3 +62,13 @@ def test_bitmaps_of_small_groups_are_made_behind_the_shuffle(spark):
     assert next(i for i, x in enumerate(lines) if "Exchange" in x) > max(i for i, x in enumerate(lines) if "Aggregate" in x)
     count = lambda b: sorted(map(tuple, B.distinct_counts(b, ["k"], "n").collect()))
     assert count(dealt) == count(B.bitmaps(rows, ["k"], "v"))
+
+
+def test_workbooks_are_read_one_at_a_time(spark, monkeypatch):
+    """Frames of one workbook each, however many come in a batch."""
+    books = spark.range(40).repartition(1).select(F.concat(F.col("id").cast("string"), F.lit(".xlsx")).alias("path"), source_queries._workbook(F.lit("x\ny")).alias("content"))
+    seen = {}
+    monkeypatch.setattr(type(books), "mapInPandas", lambda self, run, schema: seen.update(run=run))
+    R.workbook_rows(books, "Data")
+    frame = pd.DataFrame([tuple(r) for r in books.collect()], columns=["path", "content"])
+    assert [len(f) for f in seen["run"](iter([frame]))] == [2] * 40
