@@ -72,3 +72,27 @@ def test_workbooks_are_read_one_at_a_time(spark, monkeypatch):
     R.workbook_rows(books, "Data")
     frame = pd.DataFrame([tuple(r) for r in books.collect()], columns=["path", "content"])
     assert [len(f) for f in seen["run"](iter([frame]))] == [2] * 40
+
+
+def rows_of(spark, where, file, keys, day):
+    rows = [(n, 1, "1", datetime.datetime(2024, 1, day), file) for n in keys]
+    spark.createDataFrame(rows, files.SCHEMA).coalesce(1).write.mode("append").parquet(f"{where}/in")
+
+
+def test_first_rows_and_repeats_without_state_in_memory(spark, tmp_path):
+    """As the state's test, with a stop between the runs; a batch looks at the first rows before it."""
+    where = str(tmp_path)
+
+    def run():
+        files.first_and_repeats(files.union_of(spark, f"{where}/in", 1), ["number", "line"], "file", "at", f"{where}/out", f"{where}/state")
+        out = spark.read.schema("number bigint, line int, file string, first_file string").option("recursiveFileLookup", "true").parquet(f"{where}/out").collect()
+        return sorted((r.number, r.file) for r in out if r.first_file is None), {(r.number, r.first_file, r.file) for r in out if r.first_file}
+
+    rows_of(spark, where, "a", [1, 2, 2, 3], 1)
+    rows_of(spark, where, "b", [3, 4], 2)
+    assert run() == ([(1, "a"), (2, "a"), (3, "a"), (4, "b")], {(3, "a", "b")})
+    rows_of(spark, where, "c", [1, 5], 3)
+    rows_of(spark, where, "d", [5, 6, 6], 4)
+    found = run()
+    assert found == ([(1, "a"), (2, "a"), (3, "a"), (4, "b"), (5, "c"), (6, "d")], {(3, "a", "b"), (1, "a", "c"), (5, "c", "d")})
+    assert run() == found
