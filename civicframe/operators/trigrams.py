@@ -10,8 +10,11 @@ Null texts and null identifiers are not found. Rows that share an identifier are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from civicframe.functions.scalars import search_key
@@ -19,6 +22,35 @@ from civicframe.sources.shared import shared_folder
 
 #: Texts of a bucket; lists of a term that are intersected.
 BUCKET_ROWS, RAREST = 50_000, 3
+#: Identifiers in the lists that a task gathers.
+GATHERED = 1_000_000
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """gram, bucket and ids of texts (id, key, bucket); whenever the texts have GATHERED identifiers to list, their lists go out."""
+    for batch in batches:
+        first, found, n = 0, [], 0
+        for row, key in enumerate(batch.column("key").to_pylist()):
+            # three code points of 21 bits as one number
+            points = np.frombuffer(key.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+            found.append(np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:]))
+            n += len(found[-1])
+            if n >= GATHERED or row == batch.num_rows - 1:
+                yield _lists(batch, first, found)
+                first, found, n = row + 1, [], 0
+
+
+def _lists(batch: pa.RecordBatch, first: int, found: list[np.ndarray]) -> pa.RecordBatch:
+    """The lists of consecutive texts of a batch; found: each one's distinct trigrams."""
+    grams, rows = np.concatenate(found), np.repeat(np.arange(first, first + len(found)), [len(f) for f in found])
+    buckets = batch.column("bucket").to_numpy()[rows]
+    order = np.lexsort((grams, buckets))
+    grams, buckets = grams[order], buckets[order]
+    starts = np.flatnonzero(np.r_[True, (grams[1:] != grams[:-1]) | (buckets[1:] != buckets[:-1])]) if len(grams) else np.arange(0)
+    points = np.stack([grams[starts] >> 42, grams[starts] >> 21 & 0x1FFFFF, grams[starts] & 0x1FFFFF], axis=1)
+    text = points.astype("<u4").tobytes().decode("utf-32-le")
+    ids = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(grams)], pa.int32()), batch.column("id").take(pa.array(rows[order])))
+    return pa.RecordBatch.from_arrays([pa.array([text[i : i + 3] for i in range(0, len(text), 3)], pa.string()), pa.array(buckets[starts]), ids], names=["gram", "bucket", "ids"])
 
 
 @dataclass
@@ -28,16 +60,18 @@ class TrigramIndex:
 
     @classmethod
     def build(cls, df: DataFrame, id_col: str, text_col: str, bucket_rows: int = BUCKET_ROWS) -> TrigramIndex:
-        """Stores folded texts and the lists, sorted by trigram."""
+        """Stores folded texts and the lists, sorted by trigram within each file."""
         spark = df.sparkSession
         path = shared_folder(spark, "trigrams")
         folded = df.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), search_key(F.col(text_col)).alias("key"))
         folded.write.parquet(f"{path}/texts")
         texts = spark.read.schema(folded.schema).parquet(f"{path}/texts")
         buckets = max(1, -(-texts.count() // bucket_rows))
-        grams = texts.select("id", F.explode(F.array_distinct(F.regexp_extract_all("key", F.lit("(?s)(?=(...))"), 1))).alias("gram"))
-        lists = grams.groupBy("gram", F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket")).agg(F.array_sort(F.collect_set("id")).alias("ids"))
-        lists.repartitionByRange("gram").sortWithinPartitions("gram", "bucket").write.parquet(f"{path}/lists")
+        # tasks pass on lists of many texts, where a row for each trigram of each text would be shuffled
+        placed = texts.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
+        some = placed.mapInArrow(gathered, f"gram string, bucket bigint, ids array<{dict(texts.dtypes)['id']}>")
+        lists = some.groupBy("gram", "bucket").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+        lists.sortWithinPartitions("gram", "bucket").write.parquet(f"{path}/lists")
         return cls(texts, spark.read.schema(lists.schema).parquet(f"{path}/lists"))
 
     def search(self, terms: list[str], rarest: int = RAREST) -> DataFrame:

@@ -3,10 +3,11 @@
 import datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from civicframe.functions import scalars as X
-from civicframe.operators import bitmaps as B, temporal as T
+from civicframe.operators import bitmaps as B, temporal as T, trigrams
 from civicframe.plans import contract_queries, roles, source_queries
 from civicframe.sources import readers as R
 from civicframe.streaming import files
@@ -96,3 +97,19 @@ def test_first_rows_and_repeats_without_state_in_memory(spark, tmp_path):
     found = run()
     assert found == ([(1, "a"), (2, "a"), (3, "a"), (4, "b"), (5, "c"), (6, "d")], {(3, "a", "b"), (1, "a", "c"), (5, "c", "d")})
     assert run() == found
+
+
+def test_lists_of_trigrams_are_gathered_before_the_shuffle(spark, monkeypatch):
+    """Every text once in each of its lists, whatever the border between lots; no row for each trigram of each text."""
+    keys = ["abcabc", "", "ab", "bcé😀a", "abcd", "xabc"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10, 16)), pa.array(keys), pa.array([0, 0, 1, 1, 0, 1])], names=["id", "key", "bucket"])
+    expected = {(k[i : i + 3], b, n) for n, k, b in zip(range(10, 16), keys, [0, 0, 1, 1, 0, 1]) for i in range(len(k) - 2)}
+    for lot, most in ((1, 6), (100, 1)):
+        monkeypatch.setattr(trigrams, "GATHERED", lot)
+        lots = [b.to_pylist() for b in trigrams.gathered(iter([batch, batch.slice(0, 0)]))]
+        rows = [(r["gram"], r["bucket"], i) for x in lots for r in x for i in r["ids"]]
+        assert len(lots) <= most and len(rows) == len(set(rows)) and set(rows) == expected
+    monkeypatch.setattr(trigrams, "GATHERED", 4)
+    df = spark.createDataFrame([(1, "one two"), (1, "two one"), (2, "ONE"), (3, None), (None, "one")], "n long, s string")
+    index = trigrams.TrigramIndex.build(df, "n", "s")
+    assert {r.gram: list(r.ids) for r in index.postings.filter("gram IN ('one', 'two', 'e t')").collect()} == {"one": [1, 2], "two": [1], "e t": [1]}
