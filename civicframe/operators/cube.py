@@ -6,6 +6,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
+#: Parts of a level, about: slices of a part are as many as make one for each task.
+PARTS = 8
+
 
 @dataclass(frozen=True)
 class Level:
@@ -25,17 +28,27 @@ class Cube:
     rows: dict[Level, int] = field(default_factory=dict)
 
     @classmethod
-    def build(cls, df: DataFrame, path: str, levels: list[Level], measures: dict[str, Column]) -> Cube:
-        """Stores all levels: the first from df, by aggregates that may be summed up again, each other from the smallest level stored that has its keys."""
+    def build(cls, df: DataFrame, path: str, levels: list[Level], measures: dict[str, Column], parts: int | None = None) -> Cube:
+        """Stores all levels: the first from df, by aggregates that may be summed up again, each other from the smallest level stored that has its keys.
+
+        parts: tasks over which the rows of the first level are dealt by its part and slices of it, so that one shuffle serves sums and files.
+        """
         cube = cls(df.sparkSession, path, tuple(measures))
         for i, level in enumerate(levels):
             if i:
                 sums = cube.sums(list(level.keys))
             else:
-                sums = df.groupBy(*level.keys).agg(*[c.alias(n) for n, c in measures.items()])
+                rows, slices = df, []
+                if parts and level.parted_by:
+                    slices = ["slice__"]
+                    rows = df.withColumn("slice__", F.pmod(F.xxhash64(*[k for k in level.keys if k != level.parted_by]), F.lit(-(-parts // PARTS))))
+                    rows = rows.repartition(parts, level.parted_by, "slice__")
+                sums = rows.groupBy(*level.keys, *slices).agg(*[c.alias(n) for n, c in measures.items()]).drop(*slices)
             counted = Observation()
             sums = sums.observe(counted, F.count(F.lit(1)).alias("n"))
-            if level.parted_by:
+            if level.parted_by and not i and parts:
+                sums.write.partitionBy(level.parted_by).parquet(f"{path}/{level.name}")
+            elif level.parted_by:
                 # files of even size within each part
                 sums.hint("rebalance", level.parted_by).write.partitionBy(level.parted_by).parquet(f"{path}/{level.name}")
             else:

@@ -83,8 +83,8 @@ def payments_cube(spark: SparkSession, sf_dir: str) -> Cube:
     state = tuple(Folder(spark, f"{sf_dir}/{t}.parquet").state() for t in ("lineitem", "orders", "part"))
     known = _cubes.get(key)
     if known is None or known[0] != state or not all(Folder(spark, f"{known[1].path}/{level.name}/_SUCCESS").exists() for level in LEVELS):
-        rows = dealt(movements(spark, sf_dir).join(titles(spark, sf_dir), "part"), tasks(spark, sf_dir), *LEVELS[0].keys)
-        cube = Cube.build(rows, shared_folder(spark, "payments"), list(LEVELS), {"cents": F.sum("cents"), "lines": F.count(F.lit(1))})
+        rows = movements(spark, sf_dir).join(titles(spark, sf_dir), "part")
+        cube = Cube.build(rows, shared_folder(spark, "payments"), list(LEVELS), {"cents": F.sum("cents"), "lines": F.count(F.lit(1))}, tasks(spark, sf_dir))
         known = _cubes[key] = (state, cube)
     return known[1]
 

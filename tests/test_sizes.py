@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from civicframe.functions import scalars as X
 from civicframe.operators import bitmaps as B, temporal as T, trigrams
+from civicframe.operators.cube import Cube, Level
 from civicframe.plans import contract_queries, roles, source_queries
 from civicframe.sources import readers as R
 from civicframe.streaming import files
@@ -113,3 +114,15 @@ def test_lists_of_trigrams_are_gathered_before_the_shuffle(spark, monkeypatch):
     df = spark.createDataFrame([(1, "one two"), (1, "two one"), (2, "ONE"), (3, None), (None, "one")], "n long, s string")
     index = trigrams.TrigramIndex.build(df, "n", "s")
     assert {r.gram: list(r.ids) for r in index.postings.filter("gram IN ('one', 'two', 'e t')").collect()} == {"one": [1, 2], "two": [1], "e t": [1]}
+
+
+def test_first_level_needs_one_shuffle_for_sums_and_files(spark, monkeypatch, tmp_path):
+    """Slices of a year change no sum; a year's files are as many as tasks have a slice of it, at most."""
+    rows = spark.range(2000).selectExpr("id % 7 + 1992 AS year", "id % 90 AS entity", "id AS cents")
+    level = Level("l", ("year", "entity"), "year")
+    found = {}
+    for parts in (None, 24):
+        cube = Cube.build(rows, f"{tmp_path}/{parts}", [level, Level("y", ("year",))], {"cents": F.sum("cents")}, parts)
+        found[parts] = sorted(map(tuple, cube.sums(["year", "entity"]).collect())), sorted(map(tuple, cube.sums(["year"]).collect()))
+    assert found[None] == found[24] and len(found[24][0]) == 630
+    assert all(len(list(y.glob("*.parquet"))) <= 3 for y in (tmp_path / "24" / "l").glob("year=*"))
