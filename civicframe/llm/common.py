@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 #: Rows of an Arrow batch.
 BATCH = 1000
+#: Environment of lean_workers: blocks above 4 MB are mapped, so freed ones go back at once, and so does what is free above 8 MB at the heap's end.
+LEAN = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +39,14 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = f"{root}:{env['PYTHONPATH']}" if env.get("PYTHONPATH") else root
 
 
+def lean_workers(spark: SparkSession) -> None:
+    """Lets Python workers give freed memory back to the system, from the next query of this session on.
+
+    Workers wait idle between the stages of a pipeline, and what they keep counts for their executor.
+    """
+    spark.sparkContext.environment.update(LEAN)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where the session names none and has no other machines.
 

@@ -597,6 +597,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Pipeline stage: the documents' columns without the text, with the ids of each sample.
 
     Every row stays, repeated ones too; null and empty texts get the empty segmentation, and a column that is named
-    segmentations already keeps its name (ours gets a _ behind it).
+    segmentations already keeps its name (ours gets a _ behind it). Workers keep fewer lattices than elsewhere, as the
+    executor's memory also holds what the stages before have left.
     """
-    return sample_segmentations(docs, id_col, text_col, keep_text=False)
+    return sample_segmentations(docs, id_col, text_col, keep_text=False, kept=KEPT // 4)

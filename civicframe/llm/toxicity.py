@@ -54,7 +54,7 @@ KEPT = 200_000
 def code_table() -> np.ndarray:
     global _codes
     if _codes is None:
-        _codes = np.fromiter((CODE.get(chr(i).lower()[:1], N - 1 if chr(i).isalpha() else 0) for i in range(0x110000)), np.int64, 0x110000)
+        _codes = np.fromiter((CODE.get(chr(i).lower()[:1], N - 1 if chr(i).isalpha() else 0) for i in range(0x110000)), np.uint8, 0x110000)
     return _codes
 
 
@@ -66,7 +66,7 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             texts = [t for t in batch.iloc[:, 0] if t]
             for block in blocks(list(range(len(texts))), texts):
-                codes = code_table()[np.frombuffer((" " + " ".join(texts[i] for i in block) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)]
+                codes = code_table()[np.frombuffer((" " + " ".join(texts[i] for i in block) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
                 codes = codes[np.append(True, (codes[1:] != 0) | (codes[:-1] != 0))]
                 total += np.bincount((codes[:-2] * N + codes[1:-1]) * N + codes[2:], minlength=N**3)
         at = np.flatnonzero(total)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civicframe.llm.common import table, written
+from civicframe.llm.common import lean_workers, table, written
 from civicframe.llm.exact_dedup import distinct_texts
 from civicframe.llm.mixing import mixed
 from civicframe.llm.ngram_join import one_of_each
@@ -21,6 +21,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no word that marks the label and stay; repeated rows stay or go together.
     """
+    lean_workers(spark)
     return drop_toxic(spark, docs, sf_dir)
 
 
@@ -38,6 +39,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without words link with nothing and stay; rows that share an identifier are one document and stay or go together.
     """
+    lean_workers(spark)
     return one_of_each(docs)
 
 
@@ -56,6 +58,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts get the one empty segmentation; repeated rows get equal ones; a column that is named
     segmentations already stays, and ours has a _ behind its name.
     """
+    lean_workers(spark)
     return encoded(docs)
 
 

@@ -1,7 +1,12 @@
+import os
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from civicframe.llm import subword_sampling
 from civicframe.llm.ngram_join import jaccard_components
 from civicframe.llm.registry import oracle_sql, queries
 
@@ -70,3 +75,31 @@ def test_run(spark, folder):
 def test_registry():
     names = [k for k in queries() if k.startswith("op")]
     assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 14)) and set(oracle_sql()) <= set(queries())
+
+
+@pytest.mark.parametrize("name", ["toxicity", "near_dedup", "encoding"])
+def test_workers_give_memory_back(spark, folder, name):
+    kept = dict(spark.sparkContext.environment)
+    try:
+        dict(corpus_pipeline.STAGES)[name](spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+
+        def left(batches):
+            for _ in batches:
+                pass
+            resident = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 2**20
+            del (large := [np.ones(3 << 20)])[:]  # freed, it raises what the allocator keeps by default
+            before = resident()
+            del (blocks := [np.ones(1 << 18) for _ in range(20)])[:]
+            yield pd.DataFrame({"mb": [resident() - before], "n": [len(large) + len(blocks)]})
+
+        assert max(r.mb for r in spark.range(1).coalesce(1).mapInPandas(left, "mb double, n long").collect()) < 16
+    finally:
+        spark.sparkContext.environment.clear()
+        spark.sparkContext.environment.update(kept)
+
+
+def test_encoding_bounds_lattices(spark, folder, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(subword_sampling, "sample_segmentations", lambda docs, *a, kept=subword_sampling.KEPT, **b: asked.update(kept=kept) or docs)
+    corpus_pipeline.encoding(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert asked["kept"] <= 16 << 20
